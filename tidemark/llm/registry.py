@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from tidemark.llm import mixing, sharding
+from tidemark.llm import bpe, mixing, quality_rules, sharding
 
 QUERIES = {
+    "op1_quality_rules": quality_rules.op1_quality_rules,
     "op2_mix_sources": mixing.op2_mix_sources,
+    "op7_bpe_round_trip": bpe.op7_bpe_round_trip,
     "op9_kd_shards": sharding.op9_kd_shards,
 }
 
-SQL = {"op2_mix_sources": mixing.OP2_SQL}
+SQL = {"op1_quality_rules": quality_rules.OP1_SQL, "op2_mix_sources": mixing.OP2_SQL}

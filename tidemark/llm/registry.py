@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from tidemark.llm import bpe, mixing, quality_rules, sharding
+from tidemark.llm import bpe, licenses, line_dedup, media, mixing, quality_rules, sharding
 
 QUERIES = {
     "op1_quality_rules": quality_rules.op1_quality_rules,
     "op2_mix_sources": mixing.op2_mix_sources,
+    "op3_line_dedup": line_dedup.op3_line_dedup,
+    "op4_license_scan": licenses.op4_license_scan,
+    "op5_media_sniffing": media.op5_media_sniffing,
     "op7_bpe_round_trip": bpe.op7_bpe_round_trip,
     "op9_kd_shards": sharding.op9_kd_shards,
 }
 
-SQL = {"op1_quality_rules": quality_rules.OP1_SQL, "op2_mix_sources": mixing.OP2_SQL}
+SQL = {"op1_quality_rules": quality_rules.OP1_SQL, "op2_mix_sources": mixing.OP2_SQL, "op4_license_scan": licenses.OP4_SQL}

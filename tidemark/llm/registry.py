@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidemark.llm import bpe, licenses, line_dedup, media, mixing, quality_rules, sharding
+from tidemark.llm import bpe, licenses, line_dedup, lm_scoring, media, mixing, quality_rules, sharding, token_store
 
 QUERIES = {
     "op1_quality_rules": quality_rules.op1_quality_rules,
@@ -10,7 +10,9 @@ QUERIES = {
     "op3_line_dedup": line_dedup.op3_line_dedup,
     "op4_license_scan": licenses.op4_license_scan,
     "op5_media_sniffing": media.op5_media_sniffing,
+    "op6_lm_scoring": lm_scoring.op6_lm_scoring,
     "op7_bpe_round_trip": bpe.op7_bpe_round_trip,
+    "op8_token_store": token_store.op8_token_store,
     "op9_kd_shards": sharding.op9_kd_shards,
 }
 

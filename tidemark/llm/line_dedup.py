@@ -106,5 +106,13 @@ def line_dedup(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     )
 
 
+def deduped(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+    """``docs`` without the deleted lines, in its own columns; ``n_chars`` follows the text."""
+    out = line_dedup(docs, min_words)
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return out.select(*docs.columns)
+
+
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup(documents(spark, sf_dir)).select("doc_id", "n_lines", "deleted_lines", "text")

@@ -41,16 +41,9 @@ def targets(sources: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float
     return levelled.select("source", "source_size", "rows", F.least(F.col("cap").cast("double"), F.col("level") * F.col("weight")).alias("target"))
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, max_epochs: int = MAX_EPOCHS, keep: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, size, source_size, target, taken (and the columns ``keep`` of ``docs``).
-
-    Each source's rows stand in a random order given by a digest of (doc_id, text); whole passes over the source are
-    taken while they fit its target, then the rows whose middle word lies before the remaining budget. So a source
-    misses its target by at most half of one document, and no row is taken more than ``max_epochs`` times. Rows that
-    agree in doc_id and text tie and get what their places give, the same at each run. Null texts have size 0 and take
-    0 words; a null source is a source; an empty table gives no rows.
-    """
-    base = docs.select(F.col("doc_id"), F.col("source"), n_words(F.col("text")).alias("size"), row_key().alias("_digest"), *[F.col(c).alias(f"_keep_{c}") for c in keep])
+def _placed(docs: DataFrame, weights: tuple[int, ...], share: float, max_epochs: int, keep: list[str]) -> DataFrame:
+    """doc_id, size, source_size, target, copies, and the columns ``keep`` of ``docs`` as _keep_<name>."""
+    base = docs.select(F.col("doc_id"), F.col("source"), n_words(F.col("text")).alias("size"), row_key().alias("_digest"), *[F.col(f"`{c}`").alias(f"_keep_{c}") for c in keep])
     base = stash(base.withColumn("_key", hex_int(F.col("_digest"), 1, 10)), "mix")
     per_source = base.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("rows"))
     plan = targets(per_source, weights, share, max_epochs).withColumnRenamed("source", "_source")
@@ -59,12 +52,33 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHAR
     passes = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
     left = F.col("target") - passes * F.col("source_size")
     once_more = (F.col("_start") * 2 + F.col("size") <= left * 2) & (passes < max_epochs)
-    copies = F.when(F.col("size") > 0, passes + once_more.cast("long")).otherwise(F.when(F.col("target") > 0, 1).otherwise(0)).cast("long")
-    return placed.select("doc_id", "size", "source_size", "target", (F.col("size") * copies).cast("long").alias("taken"), copies.alias("copies"), *[F.col(f"_keep_{c}").alias(c) for c in keep])
+    return placed.withColumn("copies", (passes + once_more.cast("long")).cast("long"))
+
+
+def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, max_epochs: int = MAX_EPOCHS) -> DataFrame:
+    """doc_id, size, source_size, target, taken: a row for each row of ``docs`` (doc_id, text, source).
+
+    Each source's rows stand in a random order given by a digest of (doc_id, text); whole passes over the source are
+    taken while they fit its target, then the rows whose middle word lies before the remaining budget. So a source
+    misses its target by at most half of one document, and no row is taken more than ``max_epochs`` times. Rows that
+    agree in doc_id and text tie and get what their places give, the same at each run. Null texts have size 0 and take
+    0 words; a null source is a source; an empty table gives no rows.
+    """
+    placed = _placed(docs, weights, share, max_epochs, [])
+    return placed.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).cast("long").alias("taken"))
+
+
+def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, max_epochs: int = MAX_EPOCHS) -> DataFrame:
+    """The mix itself: each row of ``docs`` as often as ``mix`` takes it, in the columns of ``docs``.
+
+    Texts without words weigh nothing: they come with the passes and the place that they stand at, like others.
+    """
+    placed = _placed(docs, weights, share, max_epochs, docs.columns).where("copies > 0")
+    return placed.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select(*[F.col(f"`_keep_{c}`").alias(c) for c in docs.columns])
 
 
 def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mix(documents(spark, sf_dir)).drop("copies")
+    return mix(documents(spark, sf_dir))
 
 
 OP2_SQL = r"""

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidemark.llm import bpe, licenses, line_dedup, lm_scoring, media, mixing, quality_rules, sharding, token_store
+from tidemark.llm import bpe, licenses, line_dedup, lm_scoring, media, mixing, near_dedup, quality_rules, sharding, token_store
 
 QUERIES = {
     "op1_quality_rules": quality_rules.op1_quality_rules,
@@ -14,6 +14,7 @@ QUERIES = {
     "op7_bpe_round_trip": bpe.op7_bpe_round_trip,
     "op8_token_store": token_store.op8_token_store,
     "op9_kd_shards": sharding.op9_kd_shards,
+    "op10_near_duplicates": near_dedup.op10_near_duplicates,
 }
 
 SQL = {"op1_quality_rules": quality_rules.OP1_SQL, "op2_mix_sources": mixing.OP2_SQL, "op4_license_scan": licenses.OP4_SQL}

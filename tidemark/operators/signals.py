@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 from tidemark.operators.calendars import ordinals
 from tidemark.operators.quality import grid
 
-BY_ENTITY = W.partitionBy("entity").orderBy("session")
+def by_entity():
+    return W.partitionBy("entity").orderBy("session")
 
 
 def on_grid(bars: DataFrame) -> DataFrame:
@@ -21,7 +22,7 @@ def on_grid(bars: DataFrame) -> DataFrame:
 
 def momentum(bars: DataFrame, lookback: int) -> DataFrame:
     """entity, session, score: close over the close ``lookback`` sessions before, minus 1, if no close between is missing."""
-    w = BY_ENTITY
+    w = by_entity()
     ready = F.count("close").over(w.rowsBetween(-lookback, 0)) == lookback + 1
     return on_grid(bars).withColumn("score", F.when(ready, F.col("close") / F.lag("close", lookback).over(w) - 1)).where("score IS NOT NULL").select("entity", "session", "score")
 
@@ -33,12 +34,12 @@ def top_n(scores: DataFrame, n: int) -> DataFrame:
 
 
 def daily_returns(bars: DataFrame) -> DataFrame:
-    return on_grid(bars).withColumn("ret", F.col("close") / F.lag("close").over(BY_ENTITY) - 1)
+    return on_grid(bars).withColumn("ret", F.col("close") / F.lag("close").over(by_entity()) - 1)
 
 
 def features(bars: DataFrame, history: int = 61) -> DataFrame:
     """return_5/20/60, volatility_20, ma_ratio_20, volume_change_5 where the last ``history`` closes are all there."""
-    w = BY_ENTITY
+    w = by_entity()
     f = daily_returns(bars)
     f = f.select(
         "entity", "session", "ord", F.count("close").over(w.rowsBetween(1 - history, 0)).alias("_n"),
@@ -52,25 +53,25 @@ def features(bars: DataFrame, history: int = 61) -> DataFrame:
 def feature_lineage(bars: DataFrame, lags: tuple[int, ...] = (5, 20, 60)) -> DataFrame:
     """Per feature the latest availability and ingestion, and the first session, of the rows that it uses."""
     full = on_grid(bars)
-    return full.select("entity", "session", *[x for k in lags for x in (F.max(F.greatest("available_at", "ingested_at")).over(BY_ENTITY.rowsBetween(-k, 0)).alias(f"known_{k}"), F.min("session").over(BY_ENTITY.rowsBetween(-k, 0)).alias(f"from_{k}"))])
+    return full.select("entity", "session", *[x for k in lags for x in (F.max(F.greatest("available_at", "ingested_at")).over(by_entity().rowsBetween(-k, 0)).alias(f"known_{k}"), F.min("session").over(by_entity().rowsBetween(-k, 0)).alias(f"from_{k}"))])
 
 
 def forward_label(bars: DataFrame, horizon: int) -> DataFrame:
     """entity, session, end, forward_return, y: over ``horizon`` sessions, where both closes are there."""
-    w = BY_ENTITY
+    w = by_entity()
     out = on_grid(bars).select("entity", "session", F.lead("session", horizon).over(w).alias("end"), (F.lead("close", horizon).over(w) / F.col("close") - 1).alias("forward_return"))
     return out.where("forward_return IS NOT NULL").withColumn("y", (F.col("forward_return") > 0).cast("int"))
 
 
 def stale_marks(bars: DataFrame) -> DataFrame:
     """entity, session, mark, stale: the last close so far, and whether it isn't the session's own; null before any."""
-    return on_grid(bars).select("entity", "session", F.last("close", ignorenulls=True).over(BY_ENTITY.rowsBetween(W.unboundedPreceding, 0)).alias("mark"), F.col("close").isNull().alias("stale"))
+    return on_grid(bars).select("entity", "session", F.last("close", ignorenulls=True).over(by_entity().rowsBetween(W.unboundedPreceding, 0)).alias("mark"), F.col("close").isNull().alias("stale"))
 
 
 def next_tradable(bars: DataFrame) -> DataFrame:
     """entity, session, fill_session: the first later session with a close and volume."""
     tradable = F.when(F.col("close").isNotNull() & (F.col("volume") > 0), F.col("session"))
-    return on_grid(bars).select("entity", "session", F.min(tradable).over(BY_ENTITY.rowsBetween(1, W.unboundedFollowing)).alias("fill_session"))
+    return on_grid(bars).select("entity", "session", F.min(tradable).over(by_entity().rowsBetween(1, W.unboundedFollowing)).alias("fill_session"))
 
 
 def missing_data_events(bars: DataFrame) -> DataFrame:
@@ -133,7 +134,7 @@ def hold_weights(bars: DataFrame, rebalances: DataFrame) -> DataFrame:
 def lot_orders(weights: DataFrame, equity: float, cap: float, lot: int) -> DataFrame:
     """``weights`` (entity, session, weight, close) with target shares in lots under the cap, and the order against the last target."""
     target = F.floor(equity * F.least(F.col("weight"), F.lit(cap)) / F.col("close") / lot) * lot
-    return weights.withColumn("target", target).withColumn("order", F.col("target") - F.coalesce(F.lag("target").over(BY_ENTITY), F.lit(0)))
+    return weights.withColumn("target", target).withColumn("order", F.col("target") - F.coalesce(F.lag("target").over(by_entity()), F.lit(0)))
 
 
 def execution(fills: DataFrame, slip_bps: float, fee_bps: float, fixed: float = 0.0) -> DataFrame:
@@ -177,7 +178,7 @@ def weight_backtest(weights: DataFrame, bars: DataFrame, cost_bps: float, initia
     """
     rets = daily_returns(bars).select("entity", "session", "ord", F.coalesce("ret", F.lit(0.0)).alias("ret"))
     w = rets.join(weights, ["entity", "session"], "left").withColumn("weight", F.coalesce("weight", F.lit(0.0)))
-    held = w.select("*", F.coalesce(F.lag("weight", 2).over(BY_ENTITY), F.lit(0.0)).alias("held"), F.coalesce(F.lag("weight", 1).over(BY_ENTITY), F.lit(0.0)).alias("new"))
+    held = w.select("*", F.coalesce(F.lag("weight", 2).over(by_entity()), F.lit(0.0)).alias("held"), F.coalesce(F.lag("weight", 1).over(by_entity()), F.lit(0.0)).alias("new"))
     daily = held.groupBy("session").agg((F.sum(F.col("held") * F.col("ret")) - F.sum(F.abs(F.col("new") - F.col("held"))) * cost_bps / 10_000).alias("daily_return"))
     return daily.withColumn("equity", initial * F.exp(F.sum(F.log1p("daily_return")).over(W.orderBy("session"))))
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("pit", "quality", "calendars", "signals", "metrics", "ledger", "enrich", "model", "scalar")
+MODULES = ("pit", "quality", "signals", "metrics", "ledger", "enrich", "model", "scalar")
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}

@@ -71,8 +71,8 @@ def sha256_hex(*columns: Column) -> Column:
 
 
 def log_loss(p: Column, y: Column) -> Column:
-    clipped = F.least(F.greatest(p, F.lit(1e-15)), F.lit(1 - 1e-15))
-    return -F.when(y == 1, F.log(clipped)).otherwise(F.log(1 - clipped))
+    """The loss of one prediction, with chances of at least 1e-15."""
+    return -F.when(y == 1, F.log(F.greatest(p, F.lit(1e-15)))).otherwise(F.log(F.greatest(1 - p, F.lit(1e-15))))
 
 
 def sigmoid(x: Column) -> Column:

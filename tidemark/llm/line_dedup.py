@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import documents, row_key, ship, stash
+from tidemark.llm.common import WORD, documents, row_key, ship, stash
 
 MIN_WORDS = 50
 
@@ -74,7 +74,7 @@ def _span_rows(docs: DataFrame, min_words: int) -> DataFrame:
 
 
 def repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """row (digest of doc_id and text) and lines: the sorted places of the lines to delete, for rows that have any.
+    """row (digest of doc_id and text) and lines: the sorted places of the spans to delete, for rows that have any.
 
     Places are ordered by doc_id (null first), row digest and line. A span at its first place stays; lines of all
     other places of it go, also where they overlap the first. Rows that agree in doc_id and text are one document.
@@ -92,17 +92,17 @@ def repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
 def line_dedup(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """``docs`` with ``text`` without the deleted lines, n_lines and deleted_lines (count); columns named so are replaced.
 
-    Null texts stay null with 0 lines; blank lines stay; an empty table gives no rows.
+    Null texts stay null with 0 lines; lines without words stay; an empty table gives no rows.
     """
     marked = repeated_lines(docs, min_words).withColumnRenamed("row", "_row_of").withColumnRenamed("lines", "_lines")
     own = docs.drop("n_lines", "deleted_lines").withColumn("_row", row_key())
     joined = own.join(marked, own["_row"] == marked["_row_of"], "left")
     lines = F.split("text", "\n")
-    left = F.filter(lines, lambda _, i: ~F.array_contains("_lines", i.cast("long")))
+    left = F.filter(lines, lambda x, i: ~(F.array_contains("_lines", i.cast("long")) & x.rlike(WORD)))
     return joined.select(
         *[F.when(F.col("_lines").isNull(), F.col("text")).otherwise(F.array_join(left, "\n")).alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns if c not in ("n_lines", "deleted_lines")],
         F.coalesce(F.size(lines), F.lit(0)).cast("long").alias("n_lines"),
-        F.coalesce(F.size("_lines"), F.lit(0)).cast("long").alias("deleted_lines"),
+        F.when(F.col("_lines").isNull(), 0).otherwise(F.size(lines) - F.size(left)).cast("long").alias("deleted_lines"),
     )
 
 

@@ -76,7 +76,8 @@ def fit(docs: DataFrame, labels: DataFrame) -> np.ndarray:
     (``quality`` 1 in any of its rows), the background to all documents. The table's size bounds what is collected."""
     ship(docs.sparkSession)
     good = labels.where("quality = 1").select(F.col("doc_id").alias("_good")).distinct()
-    marked = docs.select("doc_id", "text").join(good, F.col("doc_id") == F.col("_good"), "left").select("text", F.col("_good").isNotNull().alias("is_target"))
+    # Labels may outgrow any broadcast, so the join is a merge join at every size.
+    marked = docs.select("doc_id", "text").join(good.hint("merge"), F.col("doc_id") == F.col("_good"), "left").select("text", F.col("_good").isNotNull().alias("is_target"))
     model = np.zeros((2, WORDS + PAIRS), np.int64)
     shuffled = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     most_parts = 4 * max(shuffled, docs.rdd.getNumPartitions())  # with room for partitions that Spark splits

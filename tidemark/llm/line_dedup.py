@@ -116,3 +116,19 @@ def deduped(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup(documents(spark, sf_dir)).select("doc_id", "n_lines", "deleted_lines", "text")
+
+
+OP3_SQL = r"""
+WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS pos FROM documents),
+n AS (SELECT doc_id, pos, line, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS words, array_to_string(regexp_extract_all(line, '[^\x20\x09-\x0D]+'), ' ') AS content FROM l),
+w AS (SELECT *, row_number() OVER v AS k, sum(words) OVER v AS upto FROM n WHERE words > 0 WINDOW v AS (PARTITION BY doc_id ORDER BY pos)),
+spans AS (
+  SELECT a.doc_id, a.k AS a, min(z.k) AS z FROM w a JOIN w z ON a.doc_id = z.doc_id AND z.k >= a.k AND z.upto >= a.upto - a.words + 50 GROUP BY a.doc_id, a.k
+  UNION
+  SELECT z.doc_id, max(a.k), z.k FROM w a JOIN w z ON a.doc_id = z.doc_id AND z.k >= a.k AND z.upto >= a.upto - a.words + 50 GROUP BY z.doc_id, z.k),
+c AS (SELECT s.doc_id, s.a, s.z, string_agg(w.content, chr(10) ORDER BY w.k) AS content FROM spans s JOIN w ON w.doc_id = s.doc_id AND w.k BETWEEN s.a AND s.z GROUP BY s.doc_id, s.a, s.z),
+later AS (SELECT doc_id, a, z FROM (SELECT *, row_number() OVER (PARTITION BY content ORDER BY doc_id, a) AS i FROM c) WHERE i > 1),
+gone AS (SELECT DISTINCT w.doc_id, w.pos FROM later s JOIN w ON w.doc_id = s.doc_id AND w.k BETWEEN s.a AND s.z)
+SELECT n.doc_id, count(*) AS n_lines, count(gone.pos) AS deleted_lines, coalesce(string_agg(n.line, chr(10) ORDER BY n.pos) FILTER (gone.pos IS NULL), '') AS text
+FROM n LEFT JOIN gone ON gone.doc_id = n.doc_id AND gone.pos = n.pos GROUP BY n.doc_id
+"""

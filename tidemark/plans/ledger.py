@@ -130,8 +130,9 @@ def w15(spark, sf):
 
 
 EQUITY = """fe AS (SELECT l_returnflag || l_linestatus AS entity, CAST(date_trunc('month', l_shipdate) AS DATE) AS session, CASE WHEN l_returnflag = 'R' THEN -1 ELSE 1 END AS sg, l_quantity AS q, l_extendedprice AS notional, l_tax * l_extendedprice AS fee FROM lineitem),
-hold AS (SELECT bars.entity, bars.session, close, sum(coalesce(q, 0)) OVER (PARTITION BY bars.entity ORDER BY bars.session) AS q FROM bars LEFT JOIN (SELECT entity, session, sum(sg * q) AS q FROM fe GROUP BY 1, 2) h USING (entity, session)),
-val AS (SELECT session, sum(q * close) AS v FROM hold GROUP BY session), cash AS (SELECT session, sum(-sg * notional - fee) AS f FROM fe GROUP BY session)"""
+cells AS (SELECT e.entity, d.session, close FROM (SELECT DISTINCT entity FROM bars) e CROSS JOIN (SELECT DISTINCT session FROM bars) d LEFT JOIN bars ON bars.entity = e.entity AND bars.session = d.session),
+hold AS (SELECT entity, session, last_value(close IGNORE NULLS) OVER (PARTITION BY entity ORDER BY session ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS mark, sum(coalesce(q, 0)) OVER (PARTITION BY entity ORDER BY session) AS q FROM cells LEFT JOIN (SELECT entity, session, sum(sg * q) AS q FROM fe GROUP BY 1, 2) h USING (entity, session)),
+val AS (SELECT session, sum(q * coalesce(mark, 0)) AS v FROM hold GROUP BY session), cash AS (SELECT session, sum(-sg * notional - fee) AS f FROM fe GROUP BY session)"""
 
 
 @query("w16_equity_snapshots", b.BARS, EQUITY, sql_text="SELECT session, round(1e9 + sum(f) OVER (ORDER BY session) + v, 0) AS equity FROM val LEFT JOIN cash USING (session)")

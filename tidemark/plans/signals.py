@@ -56,7 +56,10 @@ def w03(spark, sf):
     return _r(signals.features(b.bars(spark, sf)).drop("ord"), *NAMES)
 
 
-@query("w04_feature_lineage", b.BARS, sql_text="SELECT entity, session, " + ", ".join(f"max(greatest(session + 1, session + CAST(day(session + 400) % 3 AS INT))) OVER (w ROWS BETWEEN {k} PRECEDING AND CURRENT ROW) AS known_{k}, min(session) OVER (w ROWS BETWEEN {k} PRECEDING AND CURRENT ROW) AS from_{k}" for k in (5, 20, 60)) + " FROM bars WINDOW w AS (PARTITION BY entity ORDER BY session)")
+CELLS = "cells AS (SELECT e.entity, d.session, bars.session AS own FROM (SELECT DISTINCT entity FROM bars) e CROSS JOIN (SELECT DISTINCT session FROM bars) d LEFT JOIN bars ON bars.entity = e.entity AND bars.session = d.session)"
+
+
+@query("w04_feature_lineage", b.BARS, CELLS, sql_text="SELECT entity, session, " + ", ".join(f"max(greatest(own + 1, own + CAST(day(own + 400) % 3 AS INT))) OVER (w ROWS BETWEEN {k} PRECEDING AND CURRENT ROW) AS known_{k}, min(session) OVER (w ROWS BETWEEN {k} PRECEDING AND CURRENT ROW) AS from_{k}" for k in (5, 20, 60)) + " FROM cells WINDOW w AS (PARTITION BY entity ORDER BY session)")
 def w04(spark, sf):
     bars = b.bars(spark, sf).withColumn("available_at", F.date_add("session", 1)).withColumn("ingested_at", F.expr("date_add(session, day(date_add(session, 400)) % 3)"))
     return signals.feature_lineage(bars)
@@ -108,7 +111,7 @@ def _folds(spark, sf):
 
 
 @query("w13_walk_forward_folds", b.BARS, FOLDS, sql_text="""SELECT fold, role, count(*) AS n, min(session) AS first, max(session) AS last FROM (SELECT f.fold, s.session, CASE WHEN o BETWEEN train_from AND train_to AND o + 3 < validate_from THEN 'train' WHEN o BETWEEN validate_from AND validate_to AND o + 3 < predict_from THEN 'validate' WHEN o BETWEEN predict_from AND predict_to THEN 'predict' END AS role
-  FROM (SELECT session, row_number() OVER (PARTITION BY entity ORDER BY session) - 1 AS o FROM bars) s JOIN folds f ON o BETWEEN train_from AND predict_to) WHERE role IS NOT NULL GROUP BY fold, role""")
+  FROM (SELECT session, o FROM (SELECT DISTINCT entity FROM bars) CROSS JOIN (SELECT session, row_number() OVER (ORDER BY session) - 1 AS o FROM (SELECT DISTINCT session FROM bars))) s JOIN folds f ON o BETWEEN train_from AND predict_to) WHERE role IS NOT NULL GROUP BY fold, role""")
 def w13(spark, sf):
     samples = signals.on_grid(b.bars(spark, sf)).select("entity", "session", (F.col("ord") - 1).alias("ord"), (F.col("ord") + 2).alias("label_ord"))
     return signals.fold_samples(samples, _folds(spark, sf)).groupBy("fold", "role").agg(F.count(F.lit(1)).alias("n"), F.min("session").alias("first"), F.max("session").alias("last"))

@@ -61,6 +61,8 @@ def test_rules_on_odd_rows(spark, odd):
     assert {r["doc_id"] for r in got if r["kept"]} == {1}
     assert quality_rules.quality_rules(odd.limit(0)).count() == 0
     assert [r["text"] for r in quality_rules.cleaned(odd).collect()] == [CLEAN, CLEAN]
+    clash = quality_rules.cleaned(odd.withColumn("kept", odd["doc_id"] + 7).withColumn("clean_text", odd["lang"]))
+    assert [(r["kept"], r["clean_text"], r["n_chars"]) for r in clash.collect()] == [(8, "en", len(CLEAN))] * 2
 
 
 @pytest.mark.parametrize("line,rule", [("a | b | c | d", 1), ("x### y$$$ z%%%", 2), ("STOP IT NOW!!", 3), ("so so so so so", 4), ("Licensed under the MIT License.", 5), ("one two three four five six seven eight nine ten eleven twelve", 6), (CLEAN, 0), ("  ", 0)])

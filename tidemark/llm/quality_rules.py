@@ -133,10 +133,12 @@ def quality_rules(docs: DataFrame, texts: bool = True) -> DataFrame:
 
 def cleaned(docs: DataFrame) -> DataFrame:
     """The kept documents without their failing lines, in the columns of ``docs``; ``n_chars`` follows the text."""
-    kept = quality_rules(docs).where("kept").withColumn("text", F.col("clean_text"))
-    if "n_chars" in docs.columns:
-        kept = kept.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return kept.select(*docs.columns)
+    others = [c for c in docs.columns if c != "text"]
+    kept = quality_rules(docs.select("text", *[F.col(f"`{c}`").alias(f"_own_{c}") for c in others])).where("kept")
+    own = {c: F.col(f"`_own_{c}`") for c in others} | {"text": F.col("clean_text")}
+    if "n_chars" in own:
+        own["n_chars"] = F.length("clean_text").cast(docs.schema["n_chars"].dataType)
+    return kept.select(*[own[c].alias(c) for c in docs.columns])
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

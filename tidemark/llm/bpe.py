@@ -95,7 +95,7 @@ class Codec:
         return tiktoken.Encoding("same", pat_str=PATTERN, mergeable_ranks={b: i for i, b in enumerate(self.bytes_of) if i not in added}, special_tokens={})
 
     def encode_plain(self, raw: bytes) -> bytes:
-        """Without reuse."""
+        """Ids of a text's UTF-8 bytes, or of a part between safe boundaries, without reuse."""
         text = raw.decode()
         if any(s in raw for s in self.specials) or not (text.isascii() or LATIN.fullmatch(text)):
             return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()

@@ -25,7 +25,8 @@ from tidemark.llm.common import documents, new_path, ship, stash
 
 END_ID = 2
 BLOCK_BYTES = 1 << 20
-SHARD_BYTES = 32 << 20
+SHARD_BYTES = 8 << 20  # a task sorts, writes and reads back one shard; larger executors can take larger ones
+SLICE = 1000  # documents compressed at a time
 #: The dictionary is fitted to about SAMPLE_ROWS rows, at most twice as many, of at most SAMPLE_TOKENS ids each: those
 #: whose doc_id has a hash divisible by the number of rows over SAMPLE_ROWS.
 SAMPLE_ROWS = 500
@@ -41,7 +42,7 @@ def _width(path: str) -> int:
 
 
 def _serial(text: str | None, path: str, width: int) -> bytes:
-    ids = np.frombuffer(codec(path).encode(text), "<u4")
+    ids = np.frombuffer(codec(path).encode_plain((text or "").encode()), "<u4")
     return np.append(ids, END_ID).astype(f"<u{width}").tobytes()
 
 
@@ -83,8 +84,10 @@ def write_store(docs: DataFrame, folder: str, path: str | None = None) -> None:
 
         packer = zstandard.ZstdCompressor(level=LEVEL, dict_data=zstandard.ZstdCompressionDict(dictionary) if dictionary else None, write_content_size=True, write_dict_id=bool(dictionary))
         for batch in batches:
-            arrays = [_serial(t, path, width) for t in batch["text"]]
-            yield batch[["doc_id"]].assign(n_tokens=[len(a) // width for a in arrays], frame=[packer.compress(a) for a in arrays])
+            for i in range(0, len(batch), SLICE):
+                part = batch.iloc[i : i + SLICE]
+                arrays = [_serial(t, path, width) for t in part["text"]]
+                yield part[["doc_id"]].assign(n_tokens=[len(a) // width for a in arrays], frame=[packer.compress(a) for a in arrays])
 
     def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         shard, block, before = TaskContext.get().partitionId(), 0, 0
@@ -113,15 +116,12 @@ def write_store(docs: DataFrame, folder: str, path: str | None = None) -> None:
     frames = stash(frames, "frames")
     total = frames.agg(F.coalesce(F.sum(F.octet_length("frame")), F.lit(0))).head()[0]
     order = ["doc_id", "_tie", "_row"]
-    ranged = frames.repartitionByRange(max(1, total // SHARD_BYTES, min(12, total >> 20)), *order).sortWithinPartitions(*order)
+    ranged = frames.repartitionByRange(max(1, total // SHARD_BYTES), *order).sortWithinPartitions(*order)
     ranged.select("doc_id", "n_tokens", "frame").mapInPandas(pack, BLOCKS).write.parquet(f"{folder}/blocks")
 
 
-def read_store(spark: SparkSession, folder: str, doc_ids: list[int] | None = None) -> DataFrame:
-    """doc_id, shard, start_in_shard, n_tokens, ids (binary, little-endian unsigned 32-bit) of all documents or some.
-
-    With ``doc_ids`` only blocks whose doc_id range holds one are read, and only those documents' frames are unpacked.
-    """
+def _unpacked(spark: SparkSession, folder: str, doc_ids: list[int] | None, last: str, finish) -> DataFrame:
+    """A row for each document wanted; ``finish`` makes its last column (``last``: name and type) of its ids."""
     ship(spark)
     head = spark.read.parquet(f"{folder}/dictionary").head()
     dictionary, width, sha = bytes(head["dictionary"]), head["width"], head["dictionary_sha256"]
@@ -135,13 +135,13 @@ def read_store(spark: SparkSession, folder: str, doc_ids: list[int] | None = Non
             for b in batch.itertuples(index=False):
                 if b.dictionary_sha256 != sha:
                     raise ValueError(f"block {b.shard}/{b.block} was written under another dictionary")
-                payload, begin, start, rows = bytes(b.payload), 0, int(b.first_token), []
+                payload, begin, start, rows = memoryview(b.payload), 0, int(b.first_token), []
                 for doc, n, end in zip(b.doc_ids, b.n_tokens, b.ends):
                     if wanted is None or doc in wanted:
                         ids = np.frombuffer(reader.decompress(payload[begin : int(end)]), f"<u{width}").astype("<u4")
-                        rows.append((doc, b.shard, start, len(ids), ids.tobytes()))
+                        rows.append((doc, b.shard, start, len(ids), finish(ids.tobytes())))
                     begin, start = int(end), start + int(n)
-                out = pd.DataFrame(rows, columns=["doc_id", "shard", "start_in_shard", "n_tokens", "ids"])
+                out = pd.DataFrame(rows, columns=["doc_id", "shard", "start_in_shard", "n_tokens", last.split()[0]])
                 yield out.assign(doc_id=out["doc_id"].astype("Int64"))
 
     blocks = spark.read.schema(BLOCKS).parquet(f"{folder}/blocks")
@@ -150,18 +150,20 @@ def read_store(spark: SparkSession, folder: str, doc_ids: list[int] | None = Non
         for i in wanted:
             ranges = ranges | ((F.col("first_doc") <= i) & (F.col("last_doc") >= i))
         blocks = blocks.where(ranges)
-    return blocks.mapInPandas(unpack, "doc_id long, shard int, start_in_shard long, n_tokens long, ids binary")
+    return blocks.mapInPandas(unpack, f"doc_id long, shard int, start_in_shard long, n_tokens long, {last}")
 
 
-def store_index(spark: SparkSession, folder: str) -> DataFrame:
-    """doc_id, start, n_tokens, ids_crc32, from the files: the ids read back, and starts over all shards."""
-    ship(spark)
+def read_store(spark: SparkSession, folder: str, doc_ids: list[int] | None = None) -> DataFrame:
+    """doc_id, shard, start_in_shard, n_tokens, ids (binary, little-endian unsigned 32-bit) of all documents or some.
+
+    With ``doc_ids`` only blocks whose doc_id range holds one are read, and only those documents' frames are unpacked.
+    """
+    return _unpacked(spark, folder, doc_ids, "ids binary", bytes)
 
-    def check(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            yield batch[["doc_id", "shard", "start_in_shard", "n_tokens"]].assign(ids_crc32=[zlib.crc32(x) for x in batch["ids"]])
 
-    own = read_store(spark, folder).mapInPandas(check, "doc_id long, shard int, start_in_shard long, n_tokens long, ids_crc32 long")
+def store_index(spark: SparkSession, folder: str) -> DataFrame:
+    """doc_id, start, n_tokens, ids_crc32, from the files: the ids read back, and starts over all shards."""
+    own = _unpacked(spark, folder, None, "ids_crc32 long", zlib.crc32)
     blocks = spark.read.schema(BLOCKS).parquet(f"{folder}/blocks")
     shards = blocks.groupBy("shard").agg(F.sum(F.aggregate("n_tokens", F.lit(0).cast("long"), lambda a, x: a + x)).alias("tokens"))
     before = W.orderBy("shard").rowsBetween(W.unboundedPreceding, -1)  # over one row a shard

@@ -17,4 +17,4 @@ QUERIES = {
     "op10_near_duplicates": near_dedup.op10_near_duplicates,
 }
 
-SQL = {"op1_quality_rules": quality_rules.OP1_SQL, "op2_mix_sources": mixing.OP2_SQL, "op3_line_dedup": line_dedup.OP3_SQL, "op4_license_scan": licenses.OP4_SQL}
+SQL = {"op1_quality_rules": quality_rules.OP1_SQL, "op2_mix_sources": mixing.OP2_SQL, "op3_line_dedup": line_dedup.OP3_SQL, "op4_license_scan": licenses.OP4_SQL, "op9_kd_shards": sharding.OP9_SQL}

@@ -104,3 +104,36 @@ def kd_shards(docs: DataFrame, shards: int = 8, target_bytes: int | None = None,
 
 def op9_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kd_shards(documents(spark, sf_dir))
+
+
+def _sql() -> str:
+    """The tree level by level, and CRC-32 from its table, for eight shards."""
+    dims = DIMENSIONS
+
+    def level(i: int) -> str:
+        spread = ", ".join(f"(max({d} >> {TIE_BITS}) - min({d} >> {TIE_BITS}))::DOUBLE / greatest(1, (SELECT max({d} >> {TIE_BITS}) - min({d} >> {TIE_BITS}) FROM n0)) AS {d}" for d in dims)
+        return f"""w{i} AS (SELECT node, sum(size) AS total, {spread} FROM n{i} GROUP BY node),
+p{i} AS (SELECT n.*, w.total, CASE WHEN w.{dims[0]} >= w.{dims[1]} AND w.{dims[0]} >= w.{dims[2]} THEN n.{dims[0]} WHEN w.{dims[1]} >= w.{dims[2]} THEN n.{dims[1]} ELSE n.{dims[2]} END AS place FROM n{i} n JOIN w{i} w USING (node)),
+c{i} AS (SELECT *, sum(size) OVER (PARTITION BY node ORDER BY place) AS upto FROM p{i}),
+k{i} AS (SELECT node, min(place) AS cut FROM c{i} WHERE upto * 2 >= total GROUP BY node),
+n{i + 1} AS (SELECT doc_id, size, crc, digest, {', '.join(dims)}, CASE WHEN place <= cut THEN 2 * node + 1 ELSE 2 * node + 2 END AS node FROM c{i} JOIN k{i} USING (node))"""
+
+    step = "CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END"
+    eight = "i"
+    for _ in range(8):
+        eight = f"list_transform([{eight}], lambda c: {step})[1]"
+    coordinate = {"chars": "length(coalesce(text, ''))", "lang": "('0x' || substr(md5(coalesce(lang, chr(0))), 1, 8))::BIGINT", "source": "('0x' || substr(md5(coalesce(source, chr(0))), 1, 8))::BIGINT"}
+    places = ", ".join(f"({coordinate[d]}::BIGINT << {TIE_BITS}) + ('0x' || substr(digest, 12, 5))::BIGINT AS {d}" for d in dims)
+    return f"""
+WITH t AS (SELECT list({eight} ORDER BY i) AS t FROM range(256) r(i)),
+b AS (SELECT *, hex(encode(coalesce(text, ''))) AS h, md5(coalesce(CAST(doc_id AS VARCHAR), 'null') || ':' || coalesce(text, chr(0))) AS digest FROM documents),
+n0 AS (SELECT doc_id, length(h) // 2 + 1 AS size, digest, 0 AS node, {places},
+  xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(length(h) // 2), lambda k: ('0x' || substr(h, 2 * k + 1, 2))::BIGINT)), lambda c, x: xor(c >> 8, t[xor(c, x) % 256 + 1])), 4294967295) AS crc FROM b, t),
+{level(0)},
+{level(1)},
+{level(2)}
+SELECT doc_id, CAST(size AS BIGINT) AS size, CAST(crc AS BIGINT) AS text_crc32, 'bytes' AS law, CAST(node - 7 AS INT) AS shard, CAST(row_number() OVER (PARTITION BY node ORDER BY digest) - 1 AS BIGINT) AS slot, CAST(NULL AS INT) AS grown_shard FROM n3
+"""
+
+
+OP9_SQL = _sql()

@@ -5,9 +5,11 @@ least under a hash function of its own, in the order of the text. Texts that sha
 and their order must both agree, so the chance follows edit similarity. An alignment inside the band that the wanted
 similarity leaves then gives similarity = aligned k-mers / (all k-mers of both - aligned), at least SIMILARITY.
 
-Classes are the connected components of all candidate pairs that pass. A first round compares each bucket's members
-with the one that shares most buckets; a second compares every pair of a bucket that is still in two classes. Pairs
-inside one class need no comparing, so a large group of copies costs about one comparison a member.
+Classes are the connected components of the links. A first round compares each bucket's members with the one that
+shares most buckets, its pivot. A second compares the pairs that are still in two classes and share SHARED elements
+or more, where similarity to the pivot leaves it open: 1 - similarity is a metric (twice the insertions and deletions
+over all k-mers and these), so texts whose distances from the pivot differ by more than 1 - SIMILARITY can't be
+similar. Pairs inside one class need no comparing, so a large group of copies costs about one comparison a member.
 """
 
 from __future__ import annotations
@@ -25,8 +27,10 @@ from tidemark.llm.common import documents, row_key, ship, stash
 
 SHINGLE = 5
 SIMILARITY = 0.8
-ELEMENTS = 40
+ELEMENTS = 80
 LENGTH = 7
+#: Elements that candidates of the second round share at least. Texts of similarity 0.8 share 16.8 of 80 on average.
+SHARED = 8
 #: Texts of fewer k-mers than SHORT / SIMILARITY also get elements of SHORT_LENGTH; those of SHORT * SIMILARITY or
 #: more get the long ones. Any pair that is similar enough then shares one kind.
 SHORT = 20
@@ -112,16 +116,23 @@ def aligned(a: list, b: list, band: int) -> int:
     return lo + hi + len(a) - row.bit_count()
 
 
-def similarity(a: str | None, b: str | None, least: float = SIMILARITY) -> float:
-    """Aligned k-mers over all k-mers of both; 0 where a bound shows that it is below ``least``."""
+def compare(a: str | None, b: str | None, least: float = SIMILARITY) -> tuple[float, float]:
+    """(similarity, or 0 where it is surely below ``least``; an upper bound of it)."""
     x, y = shingles(a), shingles(b)
     common = (Counter(x) & Counter(y)).total()
     total = len(x) + len(y)
-    if common < least * (total - common):
-        return 0.0
+    bound = common / (total - common)
+    if bound < least:
+        return 0.0, bound
     need = least * total / (1 + least)  # aligned k-mers that the similarity takes
     found = aligned(x, y, int(total - 2 * need) + 1)
-    return found / (total - found)
+    exact = found / (total - found)
+    return (exact, exact) if exact >= least else (0.0, bound)
+
+
+def similarity(a: str | None, b: str | None) -> float:
+    """Aligned k-mers over all k-mers of both; 0 where it is surely below SIMILARITY."""
+    return compare(a, b)[0]
 
 
 def _fits(a: Column, b: Column) -> Column:
@@ -129,17 +140,18 @@ def _fits(a: Column, b: Column) -> Column:
     return F.least(a, b) >= F.greatest(a, b) * SIMILARITY
 
 
-def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs (a, b) that are similar enough; ``texts`` has node and text."""
+def _compared(pairs: DataFrame, texts: DataFrame, all_pairs: bool) -> DataFrame:
+    """a, b, similarity, bound of the pairs (a, b), or of those that are similar enough; ``texts`` has node and text."""
 
     def apply(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            good = [similarity(x, y) >= SIMILARITY for x, y in zip(batch["x"], batch["y"])]
-            yield batch.loc[good, ["a", "b"]]
+            found = [compare(x, y) for x, y in zip(batch["x"], batch["y"])]
+            out = batch[["a", "b"]].assign(similarity=[f[0] for f in found], bound=[f[1] for f in found])
+            yield out if all_pairs else out[out["similarity"] >= SIMILARITY]
 
     one = texts.select(F.col("node").alias("a"), F.col("text").alias("x"))
     two = texts.select(F.col("node").alias("b"), F.col("text").alias("y"))
-    return pairs.join(one, "a").join(two, "b").select("a", "b", "x", "y").mapInPandas(apply, "a long, b long")
+    return pairs.join(one, "a").join(two, "b").select("a", "b", "x", "y").mapInPandas(apply, "a long, b long, similarity double, bound double")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -173,7 +185,8 @@ def near_classes(docs: DataFrame) -> DataFrame:
 
     own = docs.select(text_node().alias("node"), "text")
     sketches = own.mapInPandas(sketched, "node long, n long, buckets array<long>").groupBy("node").agg(F.first("n").alias("n"), F.first("buckets").alias("buckets"))
-    rows = stash(sketches, "sketches").select("node", "n", F.explode("buckets").alias("bucket"))
+    sketches = stash(sketches, "sketches")
+    rows = sketches.select("node", "n", F.explode("buckets").alias("bucket"))
     shared = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
     members = stash(rows.join(shared, "bucket"), "members")
     nodes = members.groupBy("node").agg(F.sum("size").alias("degree"))
@@ -181,19 +194,26 @@ def near_classes(docs: DataFrame) -> DataFrame:
 
     pivots = members.join(nodes, "node").groupBy("bucket").agg(F.min(F.struct((-F.col("degree")).alias("d"), "node", "n")).alias("p"))
     pivots = pivots.select("bucket", F.col("p.node").alias("pivot"), F.col("p.n").alias("pivot_n"))
-    pairs = members.join(pivots, "bucket").where((F.col("node") != F.col("pivot")) & _fits(F.col("n"), F.col("pivot_n")))
-    pairs = stash(pairs.select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct(), "pairs")
-    first = stash(_verified(pairs, texts), "links")
+    around = stash(members.join(pivots, "bucket").withColumn("a", F.least("node", "pivot")).withColumn("b", F.greatest("node", "pivot")), "members")
+    pairs = around.where((F.col("node") != F.col("pivot")) & _fits(F.col("n"), F.col("pivot_n"))).select("a", "b").distinct()
+    checked = stash(_compared(pairs, texts, True), "checked")
+    first = checked.where(F.col("similarity") >= SIMILARITY).select("a", "b")
 
     labels = components(first)
-    labelled = members.join(labels, "node", "left").select("bucket", "node", "n", F.coalesce("label", "node").alias("label"))
-    labelled = stash(labelled, "labelled")
+    labelled = stash(around.select("bucket", "node", "n", "a", "b").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")), "members")
     mixed = labelled.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("bucket")
-    left = labelled.join(mixed, "bucket")
-    other = left.select("bucket", F.col("node").alias("b"), F.col("n").alias("m"), F.col("label").alias("to"))
-    more = left.withColumnRenamed("node", "a").join(other, "bucket").where((F.col("a") < F.col("b")) & (F.col("label") != F.col("to")) & _fits(F.col("n"), F.col("m")))
-    more = more.select("a", "b").distinct().join(pairs, ["a", "b"], "left_anti")
-    links = stash(first.union(_verified(more, texts)), "links")
+    left = labelled.join(mixed, "bucket").join(checked, ["a", "b"], "left").join(sketches.select("node", "buckets"), "node")
+    at_pivot = F.col("a") == F.col("b")
+    near = F.when(at_pivot, 0.0).otherwise(1 - F.coalesce("bound", F.lit(1.0)))  # bounds of the distance from the pivot
+    far = F.when(at_pivot, 0.0).otherwise(1 - F.coalesce("similarity", F.lit(0.0)))
+    left = left.select("bucket", "node", "n", "label", "buckets", near.alias("near"), far.alias("far"))
+    one, two = left.alias("one"), left.alias("two")
+    both = F.array_intersect("one.buckets", "two.buckets")
+    open_pair = (F.col("one.near") - F.col("two.far") <= 1 - SIMILARITY + 1e-9) & (F.col("two.near") - F.col("one.far") <= 1 - SIMILARITY + 1e-9)
+    once = (F.size(both) >= SHARED) & (F.element_at(both, 1) == F.col("one.bucket"))  # in the first bucket that they share
+    more = one.join(two, (F.col("one.bucket") == F.col("two.bucket")) & (F.col("one.node") < F.col("two.node")) & (F.col("one.label") != F.col("two.label")) & _fits(F.col("one.n"), F.col("two.n")) & open_pair & once)
+    more = more.select(F.col("one.node").alias("a"), F.col("two.node").alias("b")).join(checked.select("a", "b"), ["a", "b"], "left_anti")
+    links = stash(first.union(_compared(more, texts, False).select("a", "b")), "links")
 
     count = links.select("a").union(links.select("b")).groupBy(F.col("a").alias("node")).agg(F.count(F.lit(1)).alias("links"))
     return components(links).join(count, "node")

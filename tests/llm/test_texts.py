@@ -242,6 +242,29 @@ def test_scores_tell_held_out_quality(spark):
     assert (good[:, None] < bad[None, :]).mean() > 0.8
 
 
+def test_scores_share_no_counts(spark):
+    """Words whose hashes agree, in documents of other fits too, against exact counts."""
+    seen = {}
+    a, b = next((seen[h], w) for w in map("w{}".format, range(10**6)) if seen.setdefault(h := zlib.crc32(w.encode()) % lm_scoring.WORDS, w) != w)
+    texts = [f"{a} {a} x {a} {a} x", "x y", f"{b} {b} x"]
+    docs, labels = frame(spark, texts), spark.createDataFrame([(0, 1)], "doc_id long, quality int")
+    held = frame(spark, [f"{b} {b} x {b} unseen", None], [None, 2**60 + 1])
+    model = lm_scoring.fit(docs, labels)
+    fitted = [texts[:1], texts]
+    words = [collections.Counter(w for t in f for w in t.split()) for f in fitted]
+    pairs = [collections.Counter(p for t in f for p in zip(t.split(), t.split()[1:])) for f in fitted]
+
+    def mean(text, m):
+        w = text.split()
+        return np.mean([-np.log((pairs[m][v, x] + lm_scoring.PRIOR * (words[m][x] + 1) / (words[m].total() + lm_scoring.WORDS)) / (words[m][v] + lm_scoring.PRIOR)) for v, x in zip([None, *w], w)])
+
+    for frames, known in ((docs, dict(enumerate(texts))), (held, {None: f"{b} {b} x {b} unseen", 2**60 + 1: ""})):
+        out = {r["doc_id"]: r for r in lm_scoring.score(frames, model).collect()}
+        assert out.keys() == known.keys()
+        for doc, text in known.items():
+            assert [out[doc]["target_loss"], out[doc]["background_loss"]] == (pytest.approx([mean(text, 0), mean(text, 1)]) if text else [None, None])
+
+
 # --- Near duplicates ---
 
 

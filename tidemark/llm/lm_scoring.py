@@ -1,109 +1,181 @@
 """Language-model scoring by cross-entropy difference: a target and a background bigram model over one vocabulary.
 
-Both models count hashed words and word pairs in tables of one fixed size, so a model can be broadcast whatever the
-corpus; all documents are counted and all are scored. Words that share a hash share an entry in either model.
+Every word and every pair of words is counted by itself, as bytes; no entries are shared. Documents are dealt into chunks
+by a hash of their id. Each chunk sends its distinct words and pairs with their counts to the hash ranges that add them
+up, and gets the whole corpus's counts back in the order it sent them: just the part of both models that its own
+documents need. A gram travels once a chunk, however often it occurs, so a hot word is a row a chunk.
 """
 
 from __future__ import annotations
 
+import dataclasses
 import zlib
-from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
-from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+import pyarrow.compute as pc
+import zstandard
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import documents, ship
+from tidemark.llm.common import documents, n_words, ship
 
-WORDS = 1 << 18  # entries of the vocabulary that the models share
-PAIRS = 1 << 21  # entries for word pairs
-BLOCK = 1 << 13  # counts that travel together
-FAN_IN = 32  # tables that one task adds up
+WORDS = 1 << 18  # the size that add-one smoothing gives the vocabulary
+CHUNK = 1 << 24  # bytes of text in a chunk, about
 PRIOR = 20.0  # words of the unigram model that back up each context
 
 
-def entries(text: str | None) -> tuple[np.ndarray, np.ndarray]:
-    """Entries of a text's words, and of its word pairs; the first word's pair is with the start of the text."""
-    words = (text or "").encode().split()
-    h = np.fromiter(map(zlib.crc32, words), np.uint64, len(words))
-    before = np.concatenate([[0], h[:-1]]).astype(np.uint64) if len(h) else h
-    pair = (before * np.uint64(0x9E3779B97F4A7C15) ^ h) * np.uint64(0xC2B2AE3D27D4EB4F)
-    return (h % np.uint64(WORDS)).astype(np.int64), ((pair >> np.uint64(40)) % np.uint64(PAIRS)).astype(np.int64)
+def pack(counts: np.ndarray) -> bytes:
+    kind = np.min_scalar_type(int(counts.max(initial=0)))
+    return kind.char.encode() + zstandard.compress(counts.astype(kind).tobytes(), 1)
 
 
-def count_tables(docs: DataFrame, most_parts: int) -> DataFrame:
-    """block, target, background: 64-bit counts of BLOCK entries; ``docs`` has text and is_target.
+def unpack(data: bytes) -> np.ndarray:
+    return np.frombuffer(zstandard.decompress(data[1:]), data[:1].decode()).astype(np.int64)
 
-    Each task counts its rows in two tables and hands them on by blocks. Tables are added up FAN_IN at a time, in as
-    many rounds as ``most_parts`` partitions take, so no task holds more than FAN_IN blocks.
+
+class Grams:
+    """The distinct words and pairs of some texts, in an order that the order of the texts doesn't change.
+
+    ``words`` and ``first``, ``second`` (word numbers of each pair; 0 is the start of a text), ``word`` and ``pair``
+    (the number of each occurrence, text after text) and ``lengths`` (words of each text).
     """
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        tables = np.zeros((2, WORDS + PAIRS), np.int64)
-        for batch in batches:
-            for text, good in zip(batch["text"], batch["is_target"]):
-                word, pair = entries(text)
-                np.add.at(tables[1], word, 1)
-                np.add.at(tables[1], pair + WORDS, 1)
-                if good:
-                    np.add.at(tables[0], word, 1)
-                    np.add.at(tables[0], pair + WORDS, 1)
-        if not tables[1].any():
-            return
-        part = TaskContext.get().partitionId()
-        for block in range((WORDS + PAIRS) // BLOCK):
-            own = tables[:, block * BLOCK : (block + 1) * BLOCK]
-            yield pd.DataFrame([(block, part, *(zlib.compress(t.tobytes(), 1) for t in own))], columns=["block", "part", "target", "background"])
-
-    def add(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        sums = [sum(np.frombuffer(zlib.decompress(x), np.int64) for x in rows[c]) for c in ("target", "background")]
-        return pd.DataFrame([(key[0], key[1], *(zlib.compress(s.tobytes(), 1) for s in sums))], columns=["block", "part", "target", "background"])
-
-    kinds = "block int, part long, target binary, background binary"
-    parts = most_parts
-    tables = docs.mapInPandas(count, kinds)
-    while True:
-        tables = tables.groupBy("block", F.floor(F.col("part") / FAN_IN).alias("part")).applyInPandas(add, kinds)
-        parts = -(-parts // FAN_IN)
-        if parts <= 1:
-            return tables
-
-
-def fit(docs: DataFrame, labels: DataFrame) -> np.ndarray:
-    """Both models' counts, [2, WORDS + PAIRS]: the target is fitted to documents that ``labels`` calls good
-    (``quality`` 1 in any of its rows), the background to all documents. The table's size bounds what is collected."""
-    ship(docs.sparkSession)
-    good = labels.where("quality = 1").select(F.col("doc_id").alias("_good")).distinct()
-    # Labels may outgrow any broadcast, so the join is a merge join at every size.
-    marked = docs.select("doc_id", "text").join(good.hint("merge"), F.col("doc_id") == F.col("_good"), "left").select("text", F.col("_good").isNotNull().alias("is_target"))
-    model = np.zeros((2, WORDS + PAIRS), np.int64)
-    shuffled = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    most_parts = 4 * max(shuffled, docs.rdd.getNumPartitions())  # with room for partitions that Spark splits
-    for row in count_tables(marked, most_parts).collect():
-        for i, c in enumerate(("target", "background")):
-            model[i, row["block"] * BLOCK : (row["block"] + 1) * BLOCK] += np.frombuffer(zlib.decompress(bytes(row[c])), np.int64)
-    return model
-
-
-def losses(text: str | None, model: np.ndarray, total: np.ndarray) -> np.ndarray:
-    """[2, words]: the loss of each word in nats under the target and the background model.
+    def __init__(self, texts: list[bytes | None]):
+        number = _Numbers({b"": 0})
+        parts = []
+        for text in texts:
+            words = text.split() if text else []
+            parts.append(np.fromiter(map(number.__getitem__, words), np.int64, len(words)))
+        self.lengths = np.array([len(p) for p in parts], np.int64)
+        self.words = sorted(number)
+        rank = np.empty(len(self.words), np.int64)
+        rank[np.fromiter(map(number.__getitem__, self.words), np.int64, len(self.words))] = np.arange(len(self.words))
+        self.word = rank[np.concatenate([*parts, np.zeros(0, np.int64)])]
+        before = np.concatenate([[0], self.word[:-1]]) if len(self.word) else self.word
+        ends = np.cumsum(self.lengths)
+        before[(ends - self.lengths)[self.lengths > 0]] = 0
+        codes, self.pair = np.unique(before << 32 | self.word, return_inverse=True)
+        self.first, self.second = codes >> 32, codes & 0xFFFFFFFF
+
+    def dealt(self, ranges: int) -> tuple[np.ndarray, np.ndarray]:
+        """The order of words then pairs by hash range, and where each range starts in it."""
+        h = np.fromiter(map(zlib.crc32, self.words), np.uint64, len(self.words))
+        mixed = (h[self.first] * np.uint64(0x9E3779B97F4A7C15) ^ h[self.second]) * np.uint64(0xC2B2AE3D27D4EB4F)
+        place = (np.concatenate([h * np.uint64(0xD6E8FEB86659FD93), mixed]) >> np.uint64(32)) % np.uint64(ranges)
+        order = np.argsort(place.astype(np.uint16) if ranges < 1 << 16 else place, kind="stable")
+        return order, np.concatenate([[0], np.cumsum(np.bincount(place.astype(np.int64), minlength=ranges))])
+
+    def keys(self, order: np.ndarray) -> pa.Array:
+        """A word's bytes, or a pair's with a space between (no word has one), in that order."""
+        words = pa.array(self.words, pa.large_binary())
+        pairs = pc.binary_join_element_wise(words.take(pa.array(self.first)), words.take(pa.array(self.second)), pa.scalar(b" ", pa.large_binary()))
+        return pa.concat_arrays([words, pairs]).take(pa.array(order))
+
+    def counts(self, weight: np.ndarray) -> np.ndarray:
+        """Occurrences of words then pairs in texts of weight 1."""
+        w = np.repeat(weight, self.lengths)
+        return np.concatenate([np.bincount(x, w, n) for x, n in ((self.word, len(self.words)), (self.pair, len(self.first)))]).astype(np.int64)
+
+
+class _Numbers(dict):
+    def __missing__(self, word: bytes) -> int:
+        self[word] = n = len(self)
+        return n
+
+
+@dataclasses.dataclass
+class Model:
+    """The documents that both models are fitted to, the ids of the target's, and the sizes that scoring needs."""
+
+    docs: DataFrame
+    good: DataFrame
+    totals: np.ndarray  # [2, 1]: words of target and background
+    size: int  # bytes of text
+
+    def __getitem__(self, key) -> np.ndarray:
+        return self.totals[key]
+
+
+def text_size() -> Column:
+    return F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("size")
+
+
+def fit(docs: DataFrame, labels: DataFrame) -> Model:
+    """The target is fitted to documents that ``labels`` calls good (``quality`` 1 in any of its rows), the background
+    to all documents. Only totals are counted here; ``score`` counts the words and pairs."""
+    good = labels.where("quality = 1 AND doc_id IS NOT NULL").select(F.col("doc_id").cast(docs.schema["doc_id"].dataType).alias("_good")).distinct()
+    # Labels may outgrow any broadcast, so the join is a merge join at every size; texts stay out of it.
+    sizes = docs.select("doc_id", n_words(F.col("text")).alias("n"), F.octet_length("text").alias("b")).join(good.hint("merge"), F.col("doc_id") == F.col("_good"), "left")
+    row = sizes.agg(F.sum(F.when(F.col("_good").isNotNull(), F.col("n"))).alias("t"), F.sum("n").alias("a"), F.sum("b").alias("b")).first()
+    return Model(docs, good, np.array([[row["t"] or 0], [row["a"] or 0]], np.int64), row["b"] or 0)
+
+
+SENT = pa.schema([("place", pa.int32()), ("chunk", pa.int32()), ("grams", pa.binary()), ("lengths", pa.binary()), ("target", pa.binary()), ("background", pa.binary())])
+BACK = pa.schema([("chunk", pa.int32()), ("place", pa.int32()), ("target", pa.binary()), ("background", pa.binary())])
+SENT_DDL = "place int, chunk int, grams binary, lengths binary, target binary, background binary"
+BACK_DDL = "chunk int, place int, target binary, background binary"
+
+
+def chunked(docs: DataFrame, n: int) -> DataFrame:
+    """Rows without an id are dealt by their text."""
+    h = F.when(F.col("doc_id").isNull(), F.xxhash64("text")).otherwise(F.xxhash64("doc_id"))
+    return docs.select(F.pmod(h, F.lit(n)).cast("int").alias("_chunk"), "doc_id", F.col("text").cast("binary").alias("text"))
+
+
+def sent(docs: DataFrame, good: DataFrame, n: int, counted: bool, answered: bool) -> DataFrame:
+    """SENT: each chunk's grams and counts by hash range; zero counts unless ``counted``, no chunk unless ``answered``."""
+
+    def count(mine: pa.Table, marks: pa.Table) -> pa.Table:
+        grams = Grams(mine["text"].to_pylist())
+        if not mine.num_rows or not len(grams.word):
+            return SENT.empty_table()
+        order, starts = grams.dealt(n)
+        keys = grams.keys(order)
+        offsets = np.frombuffer(keys.buffers()[1], np.int64)[keys.offset : keys.offset + len(keys) + 1]
+        values = memoryview(keys.buffers()[2])
+        lengths = np.diff(offsets)
+        known = np.array(pc.is_in(mine["doc_id"], pc.unique(marks["_good"])).to_pylist(), np.int64)
+        target, background = (grams.counts(w if counted else 0 * w)[order] for w in (known, np.ones_like(known)))
+        chunk = mine["_chunk"][0].as_py() if answered else None
+        rows = []
+        for place in np.flatnonzero(np.diff(starts)):
+            a, b = starts[place], starts[place + 1]
+            rows.append((int(place), chunk, zstandard.compress(values[offsets[a] : offsets[b]], 1), pack(lengths[a:b]), pack(target[a:b]), pack(background[a:b])))
+        return pa.table([pa.array(c, f.type) for c, f in zip(zip(*rows), SENT)], schema=SENT)
+
+    ids = good.select(F.pmod(F.xxhash64("_good"), F.lit(n)).cast("int").alias("_chunk"), "_good")
+    return docs.groupBy("_chunk").cogroup(ids.groupBy("_chunk")).applyInArrow(count, SENT_DDL)
+
+
+def add_up(rows: pa.Table) -> pa.Table:
+    """BACK: the sums over all chunks, for each chunk in the order of its own grams."""
+    lengths = [unpack(x) for x in rows["lengths"].to_pylist()]
+    offsets = np.concatenate([[0], np.cumsum(np.concatenate(lengths))])
+    values = b"".join(map(zstandard.decompress, rows["grams"].to_pylist()))
+    keys = pa.Array.from_buffers(pa.large_binary(), len(offsets) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(values)])
+    number = keys.dictionary_encode().indices.to_numpy()
+    sums = [np.bincount(number, np.concatenate([unpack(x) for x in rows[c].to_pylist()])).astype(np.int64)[number] for c in ("target", "background")]
+    ends = np.cumsum([len(x) for x in lengths])
+    out = [(chunk, place, *(pack(s[e - len(x) : e]) for s in sums)) for chunk, place, x, e in zip(rows["chunk"].to_pylist(), rows["place"].to_pylist(), lengths, ends) if chunk is not None]
+    return pa.table([pa.array(c, f.type) for c, f in zip(zip(*out), BACK)], schema=BACK) if out else BACK.empty_table()
+
+
+def losses(grams: Grams, counts: np.ndarray, totals: np.ndarray) -> np.ndarray:
+    """[2, pairs]: the loss of each pair's second word in nats under the target and the background model.
 
     A word's chance is (pair count + PRIOR * unigram chance) / (context count + PRIOR), the unigram chance add-one
-    smoothed over the vocabulary; ``total`` [2, 1] is each model's words. Pair counts are no higher than either word's, which limits what shared entries do.
+    smoothed; a first word has no context. ``counts`` [2, words + pairs] and ``totals`` [2, 1] are the whole corpus's.
     """
-    word, pair = entries(text)
-    uni = model[:, word].astype(np.float64)
-    context = np.concatenate([uni[:, :1] * 0, uni[:, :-1]], axis=1)
-    pairs = np.minimum(model[:, pair + WORDS], np.minimum(uni, context))
-    return -np.log((pairs + PRIOR * (uni + 1) / (total + WORDS)) / (context + PRIOR))
+    pairs = np.where(grams.first > 0, counts[:, len(grams.words) :], 0)
+    uni = counts[:, grams.second]
+    return -np.log((pairs + PRIOR * (uni + 1) / (totals + WORDS)) / (counts[:, grams.first] + PRIOR))
 
 
 SCORES = "n_tokens long, target_loss double, background_loss double, difference double"
 
 
-def score(docs: DataFrame, model: np.ndarray) -> DataFrame:
+def score(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, n_tokens, target_loss, background_loss, difference: means over the words of each whole text.
 
     A low difference means like the target. Texts without words (null too) have 0 tokens and null losses; rows are
@@ -111,22 +183,35 @@ def score(docs: DataFrame, model: np.ndarray) -> DataFrame:
     """
     spark = docs.sparkSession
     ship(spark)
-    held = spark.sparkContext.broadcast(model.astype(np.uint32) if model.max(initial=0) < 1 << 32 else model)  # a fixed size
-
-    def apply(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = held.value[:, :WORDS].sum(axis=1, keepdims=True, dtype=np.float64)
-        for batch in batches:
-            rows = []
-            for text in batch["text"]:
-                loss = losses(text, held.value, total)
-                n = loss.shape[1]
-                means = loss.mean(axis=1) if n else (None, None)
-                rows.append((n, means[0], means[1], means[0] - means[1] if n else None))
-            out = pd.DataFrame(rows, columns=["n_tokens", "target_loss", "background_loss", "difference"], index=batch.index)
-            yield pd.concat([batch[["doc_id"]], out], axis=1)
-
+    own = docs is model.docs
+    size = model.size if own else max(model.size, docs.agg(text_size()).first()["size"])
+    n = max(2 * int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // CHUNK))
+    mine = chunked(docs, n)
+    rows = sent(mine, model.good, n, own, True)
+    if not own:
+        rows = rows.unionAll(sent(chunked(model.docs, n), model.good, n, True, False))
+    back = rows.groupBy("place").applyInArrow(add_up, BACK_DDL)
+    totals = model.totals
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInPandas(apply, f"doc_id {kind}, {SCORES}")
+
+    def apply(mine: pa.Table, back: pa.Table) -> pa.Table:
+        grams = Grams(mine["text"].to_pylist())
+        n_tokens = grams.lengths
+        means = np.full((2, len(n_tokens)), np.nan)
+        if len(grams.word):
+            back = back.sort_by("place")
+            order, _ = grams.dealt(n)
+            counts = np.empty((2, len(order)), np.int64)
+            for i, c in enumerate(("target", "background")):
+                counts[i, order] = np.concatenate([unpack(x) for x in back[c].to_pylist()])
+            loss = losses(grams, counts, totals)[:, grams.pair]
+            text = np.repeat(np.arange(len(n_tokens)), n_tokens)
+            with np.errstate(invalid="ignore"):
+                means = np.stack([np.bincount(text, x, len(n_tokens)) for x in loss]) / n_tokens
+        columns = [pa.array(x, pa.float64(), from_pandas=True) for x in (*means, means[0] - means[1])]
+        return pa.table([mine["doc_id"], pa.array(n_tokens), *columns], ["doc_id", "n_tokens", "target_loss", "background_loss", "difference"])
+
+    return mine.groupBy("_chunk").cogroup(back.groupBy("chunk")).applyInArrow(apply, f"doc_id {kind}, {SCORES}")
 
 
 def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:

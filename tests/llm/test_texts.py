@@ -338,6 +338,16 @@ def test_a_large_star_of_copies_is_one_class(spark):
     assert {r["doc_id"] for r in kept} == set(got.values()) and len(kept) == len(set(got.values()))
 
 
+def test_pairs_that_share_one_bucket_are_compared(spark, monkeypatch):
+    """Two similar texts whose only common bucket has a third as its pivot."""
+    words = [f"w{k}" for k in range(60)]
+    texts = [" ".join(words), " ".join(words[:-2]), " ".join(f"v{k}" for k in range(60)), " ".join(f"u{k}" for k in range(60))]
+    buckets = dict(zip(texts, ([1, 11], [1, 12], [1, 2, 3], [2, 3])))
+    monkeypatch.setattr(near_dedup, "sketch", lambda t: (len(near_dedup.shingles(t)), buckets[t]))
+    got = {r["doc_id"]: (r["class_id"], r["links"]) for r in near_dedup.near_duplicates(frame(spark, texts)).collect()}
+    assert got == {0: (0, 1), 1: (0, 1), 2: (2, 0), 3: (3, 0)}
+
+
 def test_near_duplicates_on_odd_rows(spark):
     docs = frame(spark, ODD, [5, 5, 1, None, 2, 3, 4, 5])
     docs = docs.union(docs)

@@ -6,10 +6,12 @@ and their order must both agree, so the chance follows edit similarity. An align
 similarity leaves then gives similarity = aligned k-mers / (all k-mers of both - aligned), at least SIMILARITY.
 
 Classes are the connected components of the links. A first round compares each bucket's members with the one that
-shares most buckets, its pivot. A second compares the pairs that are still in two classes and share SHARED elements
-or more, where similarity to the pivot leaves it open: 1 - similarity is a metric (twice the insertions and deletions
-over all k-mers and these), so texts whose distances from the pivot differ by more than 1 - SIMILARITY can't be
-similar. Pairs inside one class need no comparing, so a large group of copies costs about one comparison a member.
+shares most buckets, its pivot. Up to ROUNDS more compare, in each bucket that still holds several classes, a member of
+its largest class with the members of the others, and relabel. Then all pairs that share a bucket and are still in two
+classes are compared, where similarity to the first pivot leaves it open: 1 - similarity is a metric (twice the
+insertions and deletions over all k-mers and these), so texts whose distances from the pivot differ by more than
+1 - SIMILARITY can't be similar. No other candidate is left out. Pairs inside one class need no comparing, so a large
+group of copies costs a few comparisons a member.
 """
 
 from __future__ import annotations
@@ -29,8 +31,8 @@ SHINGLE = 5
 SIMILARITY = 0.8
 ELEMENTS = 80
 LENGTH = 7
-#: Elements that candidates of the second round share at least. Texts of similarity 0.8 share 16.8 of 80 on average.
-SHARED = 8
+#: Rounds with new pivots, at most, before all pairs that are left are compared.
+ROUNDS = 4
 #: Texts of fewer k-mers than SHORT / SIMILARITY also get elements of SHORT_LENGTH; those of SHORT * SIMILARITY or
 #: more get the long ones. Any pair that is similar enough then shares one kind.
 SHORT = 20
@@ -199,8 +201,25 @@ def near_classes(docs: DataFrame) -> DataFrame:
     checked = stash(_compared(pairs, texts, True), "checked")
     first = checked.where(F.col("similarity") >= SIMILARITY).select("a", "b")
 
-    labels = components(first)
-    labelled = stash(around.select("bucket", "node", "n", "a", "b").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")), "members")
+    def relabelled(links: DataFrame) -> DataFrame:
+        return stash(around.select("bucket", "node", "n", "a", "b").join(components(links), "node", "left").withColumn("label", F.coalesce("label", "node")), "members")
+
+    links, tried, labelled = first, checked.select("a", "b"), relabelled(first)
+    for k in range(ROUNDS):
+        # The first pivot comes last, as all were compared with it.
+        place = F.struct((F.col("a") == F.col("b")).alias("was"), F.xxhash64("bucket", "node", F.lit(k)).alias("h"), "node", "n")
+        held = labelled.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("size"), F.min(place).alias("p"))
+        tops = held.groupBy("bucket").agg(F.max(F.struct("size", "label", "p")).alias("top"), F.count(F.lit(1)).alias("held")).where("held > 1")
+        tops = tops.select("bucket", F.col("top.label").alias("_label"), F.col("top.p.node").alias("_node"), F.col("top.p.n").alias("_n"))
+        pairs = labelled.join(tops, "bucket").where((F.col("label") != F.col("_label")) & _fits(F.col("n"), F.col("_n")))
+        pairs = pairs.select(F.least("node", "_node").alias("a"), F.greatest("node", "_node").alias("b")).distinct()
+        pairs = stash(pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
+        found = stash(_compared(pairs, texts, False).select("a", "b"), "links")
+        tried = tried.union(pairs)
+        if not found.head(1):
+            break
+        links = links.union(found)
+        labelled = relabelled(links)
     mixed = labelled.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("bucket")
     left = labelled.join(mixed, "bucket").join(checked, ["a", "b"], "left").join(sketches.select("node", "buckets"), "node")
     at_pivot = F.col("a") == F.col("b")
@@ -210,10 +229,10 @@ def near_classes(docs: DataFrame) -> DataFrame:
     one, two = left.alias("one"), left.alias("two")
     both = F.array_intersect("one.buckets", "two.buckets")
     open_pair = (F.col("one.near") - F.col("two.far") <= 1 - SIMILARITY + 1e-9) & (F.col("two.near") - F.col("one.far") <= 1 - SIMILARITY + 1e-9)
-    once = (F.size(both) >= SHARED) & (F.element_at(both, 1) == F.col("one.bucket"))  # in the first bucket that they share
+    once = F.element_at(both, 1) == F.col("one.bucket")  # in the first bucket that they share
     more = one.join(two, (F.col("one.bucket") == F.col("two.bucket")) & (F.col("one.node") < F.col("two.node")) & (F.col("one.label") != F.col("two.label")) & _fits(F.col("one.n"), F.col("two.n")) & open_pair & once)
-    more = more.select(F.col("one.node").alias("a"), F.col("two.node").alias("b")).join(checked.select("a", "b"), ["a", "b"], "left_anti")
-    links = stash(first.union(_compared(more, texts, False).select("a", "b")), "links")
+    more = more.select(F.col("one.node").alias("a"), F.col("two.node").alias("b")).join(tried, ["a", "b"], "left_anti")
+    links = stash(links.union(_compared(more, texts, False).select("a", "b")), "links")
 
     count = links.select("a").union(links.select("b")).groupBy(F.col("a").alias("node")).agg(F.count(F.lit(1)).alias("links"))
     return components(links).join(count, "node")

@@ -19,9 +19,11 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that every executor sees: ``spark.checkpoint.dir``, or a temporary one where it is unset (tests)."""
+    """The folder that every executor sees: ``spark.checkpoint.dir``, or a temporary one where it is unset in local mode (tests)."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="tidemark-")
         spark.sparkContext.setCheckpointDir(folder)
     return folder
@@ -56,6 +58,35 @@ def stash(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+class Scratch:
+    """Tables that one operator writes on its way; ``clear`` empties them once its result is written."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, []
+
+    def stash(self, df: DataFrame, name: str) -> DataFrame:
+        path = new_path(self.spark, name)
+        df.write.parquet(path)
+        self.paths.append(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def clear(self) -> None:
+        for path in self.paths:
+            self.spark.range(0).write.mode("overwrite").parquet(path)
+        self.paths = []
+
+
+def packed(docs: DataFrame, *columns: Column) -> DataFrame:
+    """Each row of ``docs`` as one struct ``row`` beside ``columns``: no name of an operator can meet one of the table's."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *columns)
+
+
+def text_key(text: str = "text") -> list[Column]:
+    """one, two: 128 bits that tell texts apart; null is as empty."""
+    whole = F.coalesce(F.col(text), F.lit(""))
+    return [F.xxhash64(whole).alias("one"), F.xxhash64(F.lit(1), whole).alias("two")]
+
+
 def n_words(text: Column) -> Column:
     """Words in ``text``; null counts as empty."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")

@@ -6,6 +6,7 @@ import hashlib
 import io
 import os
 import random
+import re
 import struct
 import zlib
 
@@ -36,47 +37,97 @@ ODD = [None, "", " ", "x" * 20000, "é" * 50, "a  b\n\n c\t'sé日本 <|endoftex
 # --- Line dedup ---
 
 
+def cut_lines(text):
+    """(line of the text, content) of each line that has words."""
+    parts = [(i, part) for i, line in enumerate(text.split("\n")) for part in re.split(f"(?<=[{line_dedup.MARKS}]) ", line)]
+    return [(i, " ".join(part.split())) for i, part in parts if part.split()]
+
+
 def brute_lines(docs, least=line_dedup.MIN_WORDS):
-    """Lines to delete: of all spans of lines with ``least`` words or more that stand at an earlier place."""
-    seen, gone = set(), collections.defaultdict(set)
+    """Lines to delete: of all runs of lines with ``least`` words or more that stand at an earlier place, without overlap."""
+    seen, gone = {}, collections.defaultdict(set)
     for doc, text in sorted(docs.items()):
-        lines = [(i, " ".join(line.split())) for i, line in enumerate(text.split("\n")) if line.split()]
+        lines = [x for _, x in cut_lines(text)]
         for a in range(len(lines)):
-            words, content = 0, []
+            words, key = 0, hashlib.md5()
             for b in range(a, len(lines)):
-                words += len(lines[b][1].split())
-                content.append(lines[b][1])
+                words += len(lines[b].split())
+                key.update((lines[b] + "\n").encode())
                 if words >= least:
-                    key = hashlib.md5("\n".join(content).encode()).digest()
-                    if key in seen:
-                        gone[doc].update(i for i, _ in lines[a : b + 1])
-                    seen.add(key)
+                    first = seen.setdefault(key.digest(), (doc, b))
+                    if first[0] != doc or first[1] < a:
+                        gone[doc].update(range(a, b + 1))
     return gone
 
 
+def left_over(text, gone):
+    k, out = 0, []
+    for line in text.split("\n"):
+        parts = re.split(f"(?<=[{line_dedup.MARKS}]) ", line)
+        kept, lost = [], False
+        for part in parts:
+            if part.split():
+                k += 1
+                if k - 1 in gone:
+                    lost = True
+                    continue
+            kept.append(part)
+        if not lost or any(x.split() for x in kept):
+            out.append(" ".join(kept))
+    return "\n".join(out)
+
+
 def test_line_dedup_by_brute_force(spark):
     rng = random.Random(3)
-    pool = [" ".join(rng.choices("abcdefgh", k=rng.choice([1, 5, 20, 60]))) for _ in range(14)]
-    docs = {i: "\n".join(rng.choices([*pool, "", " ", f"own line {i}"], k=rng.randint(0, 12))) for i in range(60)}
+    pool = [" ".join(rng.choices("abcdefgh", k=rng.choice([1, 5, 20, 60]))) + rng.choice(["", "", ".", "!", "؟"]) for _ in range(14)]
+    docs = {i: "".join(rng.choice([*pool, "", " ", f"own line {i}"]) + rng.choice(["\n", "\n", " "]) for _ in range(rng.randint(0, 12))) for i in range(80)}
     gone = brute_lines(docs)
     got = {r["doc_id"]: r for r in line_dedup.line_dedup(frame(spark, list(docs.values()))).collect()}
     assert sum(map(len, gone.values())) > 20
     for i, text in docs.items():
-        assert got[i]["text"] == "\n".join(x for k, x in enumerate(text.split("\n")) if k not in gone[i]) and got[i]["deleted_lines"] == len(gone[i])
+        assert got[i]["text"] == left_over(text, gone[i]) and got[i]["deleted_lines"] == len(gone[i])
+        assert got[i]["n_lines"] == sum(len(re.split(f"(?<=[{line_dedup.MARKS}]) ", x)) for x in text.split("\n"))
+
+
+def test_the_first_copy_of_a_run_stays(spark):
+    line = "ten words stand in each of all these equal lines"
+    long = " ".join(f"w{k}" for k in range(60))
+    texts = ["\n".join([line + " x"] * 10), "start. " + "A b c. " * 20 + long + ". end", "other\nhead. " + "A b c. " * 20 + long + ".\ntail"]
+    got = {r["doc_id"]: (r["text"], r["deleted_lines"]) for r in line_dedup.line_dedup(frame(spark, texts)).collect()}
+    assert got[0] == ("\n".join([line + " x"] * 5), 5)
+    assert got[1] == (texts[1], 0)  # 60 words of short lines hold no two runs of 50
+    assert got[2] == ("other\nhead.\ntail", 21)
+
+
+def test_line_dedup_is_linear_in_a_long_text(spark):
+    lines = [f"line number {k} of a long text that stands twice in the table" for k in range(60_000)]
+    docs = frame(spark, ["\n".join(lines), "\n".join(["first"] + lines + ["last"]), "same line again and again\n" * 40_000])
+    got = {r["doc_id"]: r for r in line_dedup.line_dedup(docs).collect()}
+    assert got[0]["deleted_lines"] == 0 and got[1]["text"] == "first\nlast" and got[2]["deleted_lines"] == 40_000 - 10
+
+
+def test_extension_needs_equal_lines():
+    mine, source = np.array([9, 1, 2, 3, 4, 8]), np.array([7, 1, 2, 3, 4, 7])
+    assert line_dedup.extend(mine, source, [(2, 3, 2)]) == [(1, 4)]
+    assert line_dedup.extend(mine, source, [(2, 3, 1)]) == [] and line_dedup.extend(mine, source, [(4, 5, 5)]) == []
 
 
 def test_line_dedup_on_odd_rows(spark):
     long = " ".join(f"w{i}" for i in range(60))
     docs = frame(spark, [*ODD, long, long, "head\n" + long + "\ntail"], [*range(len(ODD)), None, 90, 91])
     docs = docs.union(docs.where("doc_id = 91"))
-    got = line_dedup.line_dedup(docs.withColumn("n_lines", docs["doc_id"])).collect()
+    for c in ("n_lines", "row", "runs", "key", "cut", "_row", "_lines"):
+        docs = docs.withColumn(c, docs["doc_id"])
+    got = line_dedup.line_dedup(docs).collect()
     assert len(got) == docs.count()
     by = collections.defaultdict(list)
     for r in got:
         by[r["doc_id"]].append(r["text"])
+        assert r["row"] == r["runs"] == r["key"] == r["cut"] == r["doc_id"]
     assert by[90] == [""] and by[91] == ["head\ntail"] * 2 and by[None] == [long] and by[0] == [None]
     assert line_dedup.line_dedup(docs.limit(0)).count() == 0
-    assert line_dedup.deduped(docs).columns == docs.columns
+    out = line_dedup.deduped(docs)
+    assert out.columns == docs.columns and all(r["n_lines"] == r["doc_id"] for r in out.collect())
 
 
 # --- BPE and the token store ---
@@ -431,7 +482,7 @@ def test_pipeline_stages(spark):
     judged = {i: quality_rules.judge(t) for i, t in texts[0].items()}
     assert texts[1] == {i: j[-1] for i, j in judged.items() if j[6]}
     gone = brute_lines(texts[1])
-    assert texts[2] == {i: "\n".join(x for k, x in enumerate(t.split("\n")) if k not in gone[i]) for i, t in texts[1].items()}
+    assert texts[2] == {i: left_over(t, gone[i]) for i, t in texts[1].items()}
     ids = sorted(texts[2])
     sets = [set(near_dedup.shingles(texts[2][i]).tolist()) for i in ids]
     index = collections.defaultdict(list)

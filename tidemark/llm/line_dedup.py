@@ -1,10 +1,14 @@
 """Line dedup: winnowing over line hashes, positions joined, matches extended both ways, later repeated runs deleted.
 
-A run of consecutive lines that holds at least MIN_WORDS words and stands at an earlier place too is deleted. Windows
-are spans of lines: the shortest from a line on, and the shortest up to a line, with MIN_WORDS words. Equal spans have
-the same least line hash, their fingerprint, so any repeated run shares one. Only the spans of fingerprints that occur
-again go on: they extend the match to both sides, since every line of a repeated run of MIN_WORDS words lies in a span
-inside the run that reaches to its right or to its left.
+A line here is a line of the text, cut after sentence ends too, so that a passage is found wherever its sentences stand
+in longer lines. A run of consecutive lines that holds at least MIN_WORDS words and stands at an earlier place too,
+without overlapping it, is deleted.
+
+Windows are the shortest runs of MIN_WORDS words from a line on, and those up to a line. The least line hash of each is
+its fingerprint. Equal windows have the same least hash, so every repeated run shares a fingerprint with its earlier
+place. First the fingerprints alone meet; only windows whose fingerprint stands at several positions go on. Each meets
+the earliest place of its own content, and there the lines are compared, from the window outwards on both sides, as far
+as they agree. Windows reach from both ends, so a run is found whole even where its parts first stand in other texts.
 """
 
 from __future__ import annotations
@@ -16,10 +20,14 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import WORD, documents, row_key, ship, stash
+from tidemark.llm.common import Scratch, documents, packed, row_key, ship, stash
 
 MIN_WORDS = 50
+#: A line ends after these marks, where a space follows.
+MARKS = ".!?…。！？।؟۔։"
 
+_MARKS = [m.encode() for m in MARKS]
+_CUT = b"\x01"
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -28,107 +36,244 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
-def line_hashes(lines: list[bytes]) -> np.ndarray:
+def _with_cuts(raw: bytes) -> bytes:
+    """``raw``, byte for byte as long, with _CUT for the spaces after sentence ends."""
+    for mark in _MARKS:
+        raw = raw.replace(mark + b" ", mark + _CUT)
+    return raw
+
+
+def line_hashes(text: str | None) -> tuple[np.ndarray, np.ndarray]:
+    """Hash (uint64) and number of words of each line that has words, in order. A line's content is its words."""
     import xxhash
 
-    return np.array([xxhash.xxh3_64_intdigest(x) for x in lines], np.uint64)
-
-
-def spans(text: str | None, min_words: int = MIN_WORDS) -> tuple[np.ndarray, ...]:
-    """(first line, last line, fingerprint, its place, two digests) of each span. Lines without words are no lines
-    here; a line's content is its words. The two digests tell spans apart by 128 bits."""
-    words = [x.split() for x in (text or "").encode().split(b"\n")]
-    place = np.array([i for i, w in enumerate(words) if w], np.int64)
-    if not len(place):
-        return tuple(np.empty(0, np.int64) for _ in range(6))
-    h = line_hashes([b" ".join(words[i]) for i in place])
-    upto = np.concatenate([[0], np.cumsum([len(words[i]) for i in place])])
-    n = len(place)
-    right = np.searchsorted(upto, upto[:-1] + min_words, "left") - 1  # last line of the span from i
-    left = np.searchsorted(upto, upto[1:] - min_words, "right") - 1  # first line of the span up to i
-    at = np.arange(n)
-    pairs = np.unique(np.concatenate([np.stack([at, right], 1)[right < n], np.stack([left, at], 1)[left >= 0]]), axis=0)
-    a, b = pairs[:, 0], pairs[:, 1]
+    own = [x.split() for x in _with_cuts((text or "").encode()).replace(b"\n", _CUT).split(_CUT)]
+    own = [w for w in own if w]
+    hashes = np.fromiter((xxhash.xxh3_64_intdigest(b" ".join(w)) for w in own), np.uint64, len(own))
+    return hashes, np.fromiter(map(len, own), np.int64, len(own))
+
+
+def windows(hashes: list[np.ndarray], words: list[np.ndarray], min_words: int) -> dict[str, np.ndarray]:
+    """The windows of some texts at once: of, first, last (text, and lines in it), low, at (fingerprint, its line), one, two.
+
+    The two digests tell windows apart by 128 bits.
+    """
+    lengths = np.array([len(x) for x in hashes], np.int64)
+    ends = np.cumsum(lengths)
+    h = np.concatenate([*hashes, np.empty(0, np.uint64)])
+    of = np.repeat(np.arange(len(lengths)), lengths)
+    begin, end = (ends - lengths)[of], ends[of]
+    upto = np.concatenate([[0], np.cumsum(np.concatenate([*words, np.empty(0, np.int64)]))])
+    at = np.arange(len(h))
+    right = np.searchsorted(upto, upto[:-1] + min_words, "left") - 1
+    left = np.searchsorted(upto, upto[1:] - min_words, "right") - 1
+    pairs = np.unique(np.concatenate([(at << 32 | right)[right < end], (left << 32 | at)[left >= begin]]))
+    a, b = pairs >> 32, pairs & 0xFFFFFFFF
     low, low_at, one, two = h[a].copy(), a.copy(), _mix(h[a]), _mix(h[a] + _MIX)
+    on = np.arange(len(a))
     for step in range(1, int((b - a).max(initial=0)) + 1):
-        on = a + step <= b
-        x = h[np.minimum(a + step, n - 1)]
-        less = on & (x <= low)
-        low, low_at = np.where(less, x, low), np.where(less, a + step, low_at)
-        one = np.where(on, _mix(one * np.uint64(3) + x), one)
-        two = np.where(on, _mix(two * np.uint64(5) + x + _MIX), two)
-    return place[a], place[b], low.view(np.int64), place[low_at], one.view(np.int64), two.view(np.int64)
+        on = on[a[on] + step <= b[on]]
+        x = h[a[on] + step]
+        less = x <= low[on]
+        low[on[less]], low_at[on[less]] = x[less], a[on[less]] + step
+        one[on] = _mix(one[on] * np.uint64(3) + x)
+        two[on] = _mix(two[on] * np.uint64(5) + x + _MIX)
+    base = begin[a] if len(a) else a
+    return {"of": of[a], "first": a - base, "last": b - base, "low": low.view(np.int64), "at": low_at - base, "one": one.view(np.int64), "two": two.view(np.int64)}
+
+
+LINES = "row binary, doc long, hashes array<long>, words array<int>, lows array<long>, places array<int>"
 
 
-def _span_rows(docs: DataFrame, min_words: int) -> DataFrame:
+def _line_rows(docs: DataFrame, min_words: int) -> DataFrame:
+    """LINES of each text that has a window: its lines, its fingerprints and at how many positions each stands."""
+
+    def apply(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            found = [line_hashes(text) for text in batch["text"]]
+            w = windows([x[0] for x in found], [x[1] for x in found], min_words)
+            chosen = pd.DataFrame({k: w[k] for k in ("of", "low", "at")}).drop_duplicates()
+            chosen = chosen.groupby(["of", "low"], sort=True).size().reset_index(name="places")
+            if not len(chosen):
+                continue
+            by = chosen.groupby("of").agg(lows=("low", list), places=("places", list))
+            own = by.index.to_numpy()
+            yield pd.DataFrame({
+                "row": batch["row"].to_numpy()[own], "doc": batch["doc"].astype("Int64").array[own],
+                "hashes": [found[i][0].view(np.int64) for i in own], "words": [found[i][1].astype(np.int32) for i in own],
+                "lows": by["lows"].tolist(), "places": by["places"].tolist(),
+            })
+
+    return docs.mapInPandas(apply, LINES)
+
+
+def _window_rows(lines: DataFrame, min_words: int) -> DataFrame:
+    """The windows whose fingerprint is in ``again``."""
+
     def apply(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            found = [spans(text, min_words) for text in batch["text"]]
-            of = np.repeat(np.arange(len(batch)), [len(x[0]) for x in found])
-            out = pd.DataFrame({c: np.concatenate([x[i] for x in found]) for i, c in enumerate(("first", "last", "low", "at", "one", "two"))})
-            out.insert(0, "doc", batch["doc_id"].astype("Int64").to_numpy()[of])
-            out.insert(0, "row", batch["_row"].to_numpy()[of])
-            yield out
+            hashes = [np.asarray(x, np.int64).view(np.uint64) for x in batch["hashes"]]
+            w = pd.DataFrame(windows(hashes, [np.asarray(x, np.int64) for x in batch["words"]], min_words))
+            again = pd.DataFrame({"of": np.repeat(np.arange(len(batch)), batch["again"].map(len)), "low": np.concatenate(batch["again"].tolist())})
+            w = w.merge(again.astype(np.int64), on=["of", "low"])
+            of = w.pop("of").to_numpy()
+            w.insert(0, "doc", batch["doc"].astype("Int64").array[of])
+            w.insert(0, "row", batch["row"].to_numpy()[of])
+            yield w[["row", "doc", "first", "last", "one", "two"]]
 
-    return docs.mapInPandas(apply, "row string, doc long, first long, last long, low long, at long, one long, two long")
+    return lines.mapInPandas(apply, "row binary, doc long, first int, last int, one long, two long")
 
 
-def repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """row (digest of doc_id and text) and lines: the sorted places of the spans to delete, for rows that have any.
+def extend(mine: np.ndarray, source: np.ndarray | None, seeds: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
+    """Runs (first, last) of lines of ``mine`` that agree with ``source`` (None: with an earlier run of ``mine``).
 
-    Places are ordered by doc_id (null first), row digest and line. A span at its first place stays; lines of all
-    other places of it go, also where they overlap the first. Rows that agree in doc_id and text are one document.
+    ``seeds`` are windows (first, last, first in the source). Lines are compared over the whole window, then outwards to
+    both sides while they agree and no run holds them yet. Inside one text the window alone counts, as more would
+    overlap its source.
+    """
+    covered = np.zeros(len(mine), bool)
+    other = mine if source is None else source
+    for first, last, start in sorted(seeds):
+        stop = start + last - first + 1
+        if stop > len(other) or not np.array_equal(mine[first : last + 1], other[start:stop]):
+            continue
+        covered[first : last + 1] = True
+        if source is not None:
+            i, j = first - 1, start - 1
+            while i >= 0 and j >= 0 and not covered[i] and mine[i] == other[j]:
+                covered[i] = True
+                i, j = i - 1, j - 1
+            i, j = last + 1, stop
+            while i < len(mine) and j < len(other) and not covered[i] and mine[i] == other[j]:
+                covered[i] = True
+                i, j = i + 1, j + 1
+    edges = np.flatnonzero(np.diff(np.concatenate([[False], covered, [False]]).astype(np.int8)))
+    return list(zip(edges[::2].tolist(), (edges[1::2] - 1).tolist()))
+
+
+def _extended(seeds: DataFrame) -> DataFrame:
+    def apply(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for row, same, mine, source, own in zip(batch["row"], batch["same"], batch["mine"], batch["source"], batch["seeds"]):
+                own = [(s["first"], s["last"], s["start"]) for s in own]
+                rows += [(row, *run) for run in extend(np.asarray(mine), None if same else np.asarray(source), own)]
+            yield pd.DataFrame(rows, columns=["row", "first", "last"])
+
+    return seeds.mapInPandas(apply, "row binary, first int, last int")
+
+
+def repeated_runs(docs: DataFrame, scratch: Scratch, min_words: int = MIN_WORDS) -> DataFrame:
+    """row (digest of doc_id and text) and runs: the sorted runs (first, last) of lines to delete, of rows that have any.
+
+    Lines without words aren't counted. Places are ordered by doc_id (null first), row digest and line. Rows that agree
+    in doc_id and text are one document.
     """
     ship(docs.sparkSession)
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", row_key().alias("_row"))
-    found = stash(_span_rows(own, min_words), "spans")
-    again = found.groupBy("low").agg(F.min(F.struct("row", "at")).alias("a"), F.max(F.struct("row", "at")).alias("b")).where("a <> b").select("low")
-    candidates = found.join(again, "low")
-    sources = candidates.groupBy("one", "two").agg(F.min(F.struct("doc", "row", "first")).alias("source"))
-    later = candidates.join(sources, ["one", "two"]).where(F.struct("doc", "row", "first") != F.col("source"))
-    return later.groupBy("row").agg(F.sort_array(F.array_distinct(F.flatten(F.collect_set(F.sequence("first", "last"))))).alias("lines"))
+    own = docs.select(F.unhex(row_key()).alias("row"), F.col("doc_id").cast("long").alias("doc"), "text")
+    once = _line_rows(own, min_words).groupBy("row").agg(*[F.first(c).alias(c) for c in ("doc", "hashes", "words", "lows", "places")])
+    lines = scratch.stash(once, "lines")
+    prints = lines.select("row", F.explode(F.arrays_zip("lows", "places")).alias("p")).select("row", F.col("p.lows").alias("low"), F.col("p.places").alias("places"))
+    again = prints.groupBy("low").agg(F.sum("places").alias("places")).where("places > 1").select("low")
+    again = prints.join(again, "low").groupBy("row").agg(F.collect_list("low").alias("again"))
+    found = scratch.stash(_window_rows(lines.select("row", "doc", "hashes", "words").join(again, "row"), min_words), "windows")
+    sources = found.groupBy("one", "two").agg(F.min(F.struct("doc", "row", "first", "last")).alias("s"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    later = found.join(sources, ["one", "two"]).where((F.col("row") != F.col("s.row")) | (F.col("s.last") < F.col("first")))
+    seeds = later.groupBy("row", F.col("s.row").alias("from")).agg(F.collect_list(F.struct("first", "last", F.col("s.first").alias("start"))).alias("seeds"))
+    seeds = seeds.join(lines.select("row", F.col("hashes").alias("mine")), "row").join(lines.select(F.col("row").alias("from"), F.col("hashes").alias("source")), "from")
+    runs = _extended(seeds.withColumn("same", F.col("row") == F.col("from")))
+    return runs.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("first", "last"))).alias("runs"))
+
+
+def without_runs(text: str, runs: list) -> tuple[str, int]:
+    """``text`` without the lines of ``runs``, and how many those are.
+
+    A line of the text that loses all its words goes; what is left of another is joined by single spaces. Lines without
+    words stay.
+    """
+    raw = text.encode()
+    n = len(runs) and max(r["last"] for r in runs) + 1
+    gone = np.zeros(n + 1, bool)
+    for r in runs:
+        gone[r["first"] : r["last"] + 1] = True
+    kept, k, start = [], 0, 0
+    for line in _with_cuts(raw).split(b"\n"):
+        left, lost, place = [], 0, start
+        for part in line.split(_CUT):
+            worded = bool(part.split())
+            if worded and k < n and gone[k]:
+                lost += 1
+            else:
+                left.append((worded, raw[place : place + len(part)]))
+            k += worded
+            place += len(part) + 1
+        if not lost:
+            kept.append(raw[start : start + len(line)])
+        elif any(worded for worded, _ in left):
+            kept.append(b" ".join(part for _, part in left))
+        start += len(line) + 1
+    return b"\n".join(kept).decode(), int(gone.sum())
+
+
+def _shortened(docs: DataFrame, min_words: int) -> DataFrame:
+    """row (the row of ``docs``), text, n_lines, deleted_lines."""
+    scratch = Scratch(docs.sparkSession)
+    runs = stash(repeated_runs(docs, scratch, min_words), "runs")
+    scratch.clear()
+
+    @F.pandas_udf("text string, gone long")
+    def cut(text: pd.Series, own: pd.Series) -> pd.DataFrame:
+        rows = [(None, None) if t is None or r is None else without_runs(t, r) for t, r in zip(text, own)]
+        return pd.DataFrame(rows, columns=["text", "gone"]).astype({"gone": "Int64"})
+
+    joined = packed(docs, F.unhex(row_key()).alias("key")).join(runs.withColumnRenamed("row", "key"), "key", "left")
+    text = F.col("row.text")
+    joined = joined.withColumn("cut", cut(F.when(F.col("runs").isNotNull(), text), F.col("runs")))
+    n_lines = F.coalesce(F.size(F.split(text, "\n")) + F.regexp_count(text, F.lit(f"[{MARKS}] ")), F.lit(0)).cast("long")
+    return joined.select("row", F.coalesce("cut.text", text).alias("text"), n_lines.alias("n_lines"), F.coalesce("cut.gone", F.lit(0)).cast("long").alias("deleted_lines"))
 
 
 def line_dedup(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """``docs`` with ``text`` without the deleted lines, n_lines and deleted_lines (count); columns named so are replaced.
+    """``docs`` with ``text`` without the deleted lines, n_lines (lines of the text, as they were, each sentence end
+    ending one) and deleted_lines; columns named so are replaced.
 
-    Null texts stay null with 0 lines; lines without words stay; an empty table gives no rows.
+    Null texts stay null with 0 lines; lines without words stay; of two equal places in the order of doc_id (null
+    first), digest and line the first stays; repeated rows get equal results; a text of any length takes time in
+    proportion to its lines; an empty table gives no rows.
     """
-    marked = repeated_lines(docs, min_words).withColumnRenamed("row", "_row_of").withColumnRenamed("lines", "_lines")
-    own = docs.drop("n_lines", "deleted_lines").withColumn("_row", row_key())
-    joined = own.join(marked, own["_row"] == marked["_row_of"], "left")
-    lines = F.split("text", "\n")
-    left = F.filter(lines, lambda x, i: ~(F.array_contains("_lines", i.cast("long")) & x.rlike(WORD)))
-    return joined.select(
-        *[F.when(F.col("_lines").isNull(), F.col("text")).otherwise(F.array_join(left, "\n")).alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns if c not in ("n_lines", "deleted_lines")],
-        F.coalesce(F.size(lines), F.lit(0)).cast("long").alias("n_lines"),
-        F.when(F.col("_lines").isNull(), 0).otherwise(F.size(lines) - F.size(left)).cast("long").alias("deleted_lines"),
-    )
+    figures = ("n_lines", "deleted_lines")
+    columns = [F.col("text") if c == "text" else F.col(f"row.`{c}`") for c in docs.columns if c not in figures]
+    return _shortened(docs, min_words).select(*columns, *figures)
 
 
 def deduped(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """``docs`` without the deleted lines, in its own columns; ``n_chars`` follows the text."""
-    out = line_dedup(docs, min_words)
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+    """``docs`` without the deleted lines, in its own columns; ``n_chars`` follows the text. Else as ``line_dedup``."""
+    own = {c: F.col(f"row.`{c}`") for c in docs.columns} | {"text": F.col("text")}
+    if "n_chars" in own:
+        own["n_chars"] = F.length("text").cast(docs.schema["n_chars"].dataType)
+    return _shortened(docs, min_words).select(*[c.alias(name) for name, c in own.items()])
 
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup(documents(spark, sf_dir)).select("doc_id", "n_lines", "deleted_lines", "text")
 
 
-OP3_SQL = r"""
+#: By another way: all pairs of equal lines, the diagonals on which they follow each other, and the words on these.
+OP3_SQL = rf"""
 WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS pos FROM documents),
-n AS (SELECT doc_id, pos, line, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS words, array_to_string(regexp_extract_all(line, '[^\x20\x09-\x0D]+'), ' ') AS content FROM l),
-w AS (SELECT *, row_number() OVER v AS k, sum(words) OVER v AS upto FROM n WHERE words > 0 WINDOW v AS (PARTITION BY doc_id ORDER BY pos)),
-spans AS (
-  SELECT a.doc_id, a.k AS a, min(z.k) AS z FROM w a JOIN w z ON a.doc_id = z.doc_id AND z.k >= a.k AND z.upto >= a.upto - a.words + 50 GROUP BY a.doc_id, a.k
-  UNION
-  SELECT z.doc_id, max(a.k), z.k FROM w a JOIN w z ON a.doc_id = z.doc_id AND z.k >= a.k AND z.upto >= a.upto - a.words + 50 GROUP BY z.doc_id, z.k),
-c AS (SELECT s.doc_id, s.a, s.z, string_agg(w.content, chr(10) ORDER BY w.k) AS content FROM spans s JOIN w ON w.doc_id = s.doc_id AND w.k BETWEEN s.a AND s.z GROUP BY s.doc_id, s.a, s.z),
-later AS (SELECT doc_id, a, z FROM (SELECT *, row_number() OVER (PARTITION BY content ORDER BY doc_id, a) AS i FROM c) WHERE i > 1),
-gone AS (SELECT DISTINCT w.doc_id, w.pos FROM later s JOIN w ON w.doc_id = s.doc_id AND w.k BETWEEN s.a AND s.z)
-SELECT n.doc_id, count(*) AS n_lines, count(gone.pos) AS deleted_lines, coalesce(string_agg(n.line, chr(10) ORDER BY n.pos) FILTER (gone.pos IS NULL), '') AS text
-FROM n LEFT JOIN gone ON gone.doc_id = n.doc_id AND gone.pos = n.pos GROUP BY n.doc_id
+c AS (SELECT doc_id, pos, string_split(regexp_replace(line, '([{MARKS}]) ', '\1' || chr(1), 'g'), chr(1)) AS parts FROM l),
+p AS (SELECT doc_id, pos, unnest(parts) AS part, unnest(range(len(parts))) AS i FROM c),
+n AS (SELECT doc_id, pos, i, part, len(regexp_extract_all(part, '[^\x20\x09-\x0D]+')) AS words, array_to_string(regexp_extract_all(part, '[^\x20\x09-\x0D]+'), ' ') AS content FROM p),
+w AS (SELECT *, row_number() OVER v AS k, sum(words) OVER v AS upto FROM n WHERE words > 0 WINDOW v AS (PARTITION BY doc_id ORDER BY pos, i)),
+d AS (SELECT a.doc_id, b.doc_id AS src, a.k, a.k - b.k AS diagonal, a.words FROM w a JOIN w b ON a.content = b.content AND (b.doc_id < a.doc_id OR (b.doc_id = a.doc_id AND b.k < a.k))),
+g AS (SELECT *, k - row_number() OVER (PARTITION BY doc_id, src, diagonal ORDER BY k) AS island FROM d),
+r AS (SELECT doc_id, src, diagonal, min(k) AS a, max(k) AS z FROM g GROUP BY doc_id, src, diagonal, island HAVING sum(words) >= {MIN_WORDS}),
+o AS (SELECT doc_id, a, z FROM r WHERE src <> doc_id
+  UNION SELECT doc_id, k, least(z, k + diagonal - 1) FROM (SELECT *, unnest(range(a, z + 1)) AS k FROM r WHERE src = doc_id)),
+long AS (SELECT o.doc_id, o.a, o.z FROM o JOIN w x ON x.doc_id = o.doc_id AND x.k = o.a JOIN w y ON y.doc_id = o.doc_id AND y.k = o.z WHERE y.upto - x.upto + x.words >= {MIN_WORDS}),
+gone AS (SELECT DISTINCT w.doc_id, w.pos, w.i FROM long JOIN w ON w.doc_id = long.doc_id AND w.k BETWEEN long.a AND long.z),
+m AS (SELECT n.*, gone.i IS NOT NULL AS gone FROM n LEFT JOIN gone ON gone.doc_id = n.doc_id AND gone.pos = n.pos AND gone.i = n.i),
+by_line AS (SELECT doc_id, pos, count(*) AS n, count(*) FILTER (gone) AS lost, count(*) FILTER (words > 0 AND NOT gone) AS worded, coalesce(string_agg(part, ' ' ORDER BY i) FILTER (NOT gone), '') AS line FROM m GROUP BY doc_id, pos)
+SELECT doc_id, CAST(sum(n) AS BIGINT) AS n_lines, CAST(sum(lost) AS BIGINT) AS deleted_lines, coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (lost = 0 OR worded > 0), '') AS text
+FROM by_line GROUP BY doc_id
 """

@@ -12,6 +12,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tidemark.llm import bpe, line_dedup, lm_scoring, media, near_dedup, token_store
 from tidemark.llm.common import new_path
@@ -190,6 +191,48 @@ def test_token_store(spark, codec, given):
     assert token_store.store_index(spark, empty).count() == 0
 
 
+def test_token_store_of_long_texts_has_a_dictionary(spark, codec):
+    rng = random.Random(6)
+    words = [f"word{k}" for k in range(300)]
+    docs = frame(spark, [" ".join(rng.choices(words, k=10_000)) for _ in range(40)])
+    folder = new_path(spark, "tokens")
+    token_store.write_store(docs, folder)
+    head = spark.read.parquet(f"{folder}/dictionary").head()
+    assert head["kind"] == "trained" and len(head["dictionary"]) > 4096
+    back = {r["doc_id"]: bytes(r["ids"]) for r in token_store.read_store(spark, folder, [3, 39, 77]).collect()}
+    assert {i: codec.decode(x[:-4]) for i, x in back.items()} == {r["doc_id"]: r["text"] for r in docs.collect() if r["doc_id"] in (3, 39)}
+    assert token_store.read_store(spark, folder, []).count() == 0
+    few = new_path(spark, "tokens")
+    token_store.write_store(docs.limit(3), few)
+    assert spark.read.parquet(f"{few}/dictionary").head()["kind"] == "raw" and token_store.store_index(spark, few).count() == 3
+
+
+def test_only_known_kinds_of_vocabulary_are_encoded(codec):
+    import json
+
+    with open(bpe.vocabulary_path(), encoding="utf-8") as f:
+        file = json.load(f)
+    bpe.refuse_other_kinds(file, "here")
+    for change in ({"normalizer": {"type": "NFC"}}, {"pre_tokenizer": {"type": "Whitespace"}}, {"pre_tokenizer": file["pre_tokenizer"] | {"add_prefix_space": True}}, {"model": file["model"] | {"type": "Unigram"}}, {"model": file["model"] | {"dropout": 0.1}}):
+        with pytest.raises(ValueError):
+            bpe.refuse_other_kinds(file | change, "here")
+
+
+def test_encoding_keeps_clashing_columns_and_long_texts(spark, codec):
+    long = "A clean sentence, once more. " * 100_000
+    docs = frame(spark, [long, "b", None]).withColumnRenamed("lang", "_text").withColumn("c0", F.lit(7)).withColumn("ids", F.lit("own")).withColumn("frame", F.lit("f"))
+    got = bpe.encode(docs, carry=tuple(docs.columns))
+    rows = {r["doc_id"]: r for r in got.collect()}
+    assert bytes(rows[0]["ids"]) == np.array(library_ids(codec, long), "<u4").tobytes() and rows[2]["n_tokens"] == 0
+    assert all((r["_text"], r["c0"], r["source"]) == ("en", 7, "s") for r in rows.values())
+    back = bpe.decode(got, carry=("doc_id", "text", "_text"))
+    assert {r["doc_id"]: (r["text"], r["_text"]) for r in back.collect()} == {0: (long, "en"), 1: ("b", "en"), 2: ("", "en")}
+    assert {r["doc_id"]: r["n_tokens"] for r in bpe.round_trip(docs).collect()} == {i: r["n_tokens"] for i, r in rows.items()}
+    folder = new_path(spark, "tokens")
+    token_store.write_store(docs, folder)
+    assert {r["doc_id"]: r["n_tokens"] - 1 for r in token_store.store_index(spark, folder).collect()} == {i: r["n_tokens"] for i, r in rows.items()}
+
+
 # --- Media ---
 
 

@@ -10,12 +10,14 @@ has none. The ids then agree exactly with those of the whole text.
 from __future__ import annotations
 
 import hashlib
+import json
 import re
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tidemark.llm.common import documents, ship
 
@@ -59,12 +61,24 @@ def cuts(raw: bytes, bits: int = CHUNK_BITS, least: int = LEAST_CHUNK) -> list[i
     return ends
 
 
+def refuse_other_kinds(file: dict, path: str) -> None:
+    """Raise unless the vocabulary splits by PATTERN alone: byte-level BPE that changes no text before it."""
+    split, model = file.get("pre_tokenizer") or {}, file.get("model") or {}
+    plain = file.get("normalizer") is None and split.get("type") == "ByteLevel" and split.get("use_regex", True) and not split.get("add_prefix_space")
+    odd = [k for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "ignore_merges") if model.get(k)]
+    stripped = [t["content"] for t in file.get("added_tokens", []) if t.get("lstrip") or t.get("rstrip") or t.get("single_word") or t.get("normalized")]
+    if not plain or model.get("type") != "BPE" or odd or stripped:
+        raise ValueError(f"{path}: only byte-level BPE with the usual split, no normaliser and plain added tokens is encoded here")
+
+
 class Codec:
     """Encodes and decodes as the tokenizers library does, one text at a time; memory is bounded by the parameters."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
+        with open(path, encoding="utf-8") as f:
+            refuse_other_kinds(json.load(f), path)
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
@@ -99,7 +113,7 @@ class Codec:
         text = raw.decode()
         if any(s in raw for s in self.specials) or not (text.isascii() or LATIN.fullmatch(text)):
             return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        return self.fast.encode_to_numpy(text, disallowed_special=()).astype("<u4", copy=False).tobytes()
+        return np.array(self.fast.encode_ordinary(text), "<u4").tobytes()
 
     def _chunk(self, raw: bytes) -> tuple[bytes, bytes, bytes] | None:
         """(before the first safe boundary, ids up to the last, after it), None without two boundaries."""
@@ -169,34 +183,45 @@ def encode(docs: DataFrame, path: str | None = None, carry: tuple[str, ...] = ("
     """
     ship(docs.sparkSession)
     path = path or vocabulary_path()
-    carry = tuple(c for c in carry if c not in ("n_tokens", "ids"))
+    carry = [c for c in carry if c not in ("n_tokens", "ids")]
 
     def apply(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         own = codec(path)
         for batch in batches:
-            ids = [own.encode(t) for t in batch.iloc[:, -1]]
-            yield batch[list(carry)].assign(n_tokens=[len(x) // 4 for x in ids], ids=ids)
+            ids = [own.encode(t) for t in batch.pop("text")]
+            yield batch.assign(n_tokens=[len(x) // 4 for x in ids], ids=ids)
+
+    return _carried(docs, carry, F.col("text").alias("text"), apply, "n_tokens long, ids binary")
 
-    kinds = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in carry), "n_tokens long", "ids binary"])
-    return docs.select(*carry, docs["text"].alias("_text")).mapInPandas(apply, kinds)
+
+def _carried(rows: DataFrame, carry: list[str], own: Column, apply, made: str) -> DataFrame:
+    """``apply`` over ``own`` beside the columns ``carry`` under numbers, and those columns again before what is made."""
+    held = [f"c{i}" for i in range(len(carry))]
+    kinds = [f"{h} {rows.schema[c].dataType.simpleString()}" for h, c in zip(held, carry)]
+    out = rows.select(*[F.col(f"`{c}`").alias(h) for h, c in zip(held, carry)], own).mapInPandas(apply, ", ".join([*kinds, made]))
+    return out.select(*[F.col(h).alias(c) for h, c in zip(held, carry)], *out.columns[len(held) :])
 
 
 def decode(encoded: DataFrame, path: str | None = None, carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The columns ``carry``, with the text that the ids stand for; null ids give the empty text."""
+    """The columns ``carry``, with the text that the ids stand for; null ids give the empty text. A column named text is
+    replaced; repeated rows repeat; an empty table gives no rows."""
     ship(encoded.sparkSession)
     path = path or vocabulary_path()
 
     def apply(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         own = codec(path)
         for batch in batches:
-            yield batch[list(carry)].assign(text=[own.decode(bytes(x or b"")) for x in batch["ids"]])
+            yield batch.assign(text=[own.decode(bytes(x or b"")) for x in batch.pop("ids")])
 
-    kinds = ", ".join([*(f"`{c}` {encoded.schema[c].dataType.simpleString()}" for c in carry), "text string"])
-    return encoded.select(*carry, "ids").mapInPandas(apply, kinds)
+    return _carried(encoded, [c for c in carry if c != "text"], F.col("ids").alias("ids"), apply, "text string")
 
 
 def round_trip(docs: DataFrame, path: str | None = None) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256: each text encoded, and decoded from those ids in the same task."""
+    """doc_id, n_tokens, ids_sha256, decoded_sha256: each text encoded, and decoded from those ids in the same task.
+
+    Null texts are as empty; a row for each row, whatever its length; other columns aren't read; an empty table gives
+    no rows.
+    """
     ship(docs.sparkSession)
     path = path or vocabulary_path()
 

@@ -1,7 +1,7 @@
 """Token-id files: each document's ids in a zstandard frame of its own, under one dictionary trained on id arrays.
 
-A store is a folder with two Parquet datasets. ``dictionary``: one row with the dictionary, its SHA-256 and the width
-of an id in bytes. ``blocks``: rows in ascending doc_id order, by ``shard`` (a range of doc_ids) and ``block``; each
+A store is a folder with two Parquet datasets. ``dictionary``: one row with the dictionary, its kind and SHA-256, and the
+width of an id in bytes. ``blocks``: rows in ascending doc_id order, by ``shard`` (a range of doc_ids) and ``block``; each
 holds up to BLOCK_BYTES of frames laid end to end (``payload``), the offset index ``ends``, the documents' ``doc_ids``
 and ``n_tokens``, ``first_token`` (ids before it in its shard) and ``dictionary_sha256``. One short document is read
 by the block's doc_id range, the offset index and the dictionary, without touching its neighbours' frames.
@@ -25,12 +25,17 @@ from tidemark.llm.common import documents, new_path, ship, stash
 
 END_ID = 2
 BLOCK_BYTES = 1 << 20
-SHARD_BYTES = 8 << 20  # a task sorts, writes and reads back one shard; larger executors can take larger ones
+#: A task sorts, writes and reads back one shard: SHARD_BYTES at least, as many as there are shuffle partitions, and
+#: more where a shard would pass MOST_SHARD_BYTES.
+SHARD_BYTES = 8 << 20
+MOST_SHARD_BYTES = 256 << 20
 SLICE = 1000  # documents compressed at a time
-#: The dictionary is fitted to about SAMPLE_ROWS rows, at most twice as many, of at most SAMPLE_TOKENS ids each: those
-#: whose doc_id has a hash divisible by the number of rows over SAMPLE_ROWS.
+#: The dictionary is fitted to about SAMPLE_ROWS rows, at most twice as many, of SAMPLE_TOKENS ids each at most: those
+#: whose doc_id has a hash divisible by the number of rows over SAMPLE_ROWS. Of a longer text it takes SAMPLE_TOKENS ids
+#: that follow each other, from a place that their checksum gives.
 SAMPLE_ROWS = 500
 SAMPLE_TOKENS = 4096
+LEAST_SAMPLES = 8  # fewer can't be trained on; their arrays themselves then are the dictionary
 DICTIONARY_BYTES = 64 << 10
 LEVEL = 3
 
@@ -46,43 +51,63 @@ def _serial(text: str | None, path: str, width: int) -> bytes:
     return np.append(ids, END_ID).astype(f"<u{width}").tobytes()
 
 
-def train_dictionary(docs: DataFrame, path: str) -> bytes:
-    """A zstandard dictionary of the sample's id arrays; empty where there are too few to train one."""
+def sampled(array: bytes, width: int) -> bytes:
+    """``array``, or SAMPLE_TOKENS of its ids where it has more."""
+    spare = len(array) // width - SAMPLE_TOKENS
+    if spare <= 0:
+        return array
+    start = zlib.crc32(array) % (spare + 1) * width
+    return array[start : start + SAMPLE_TOKENS * width]
+
+
+def train_dictionary(docs: DataFrame, path: str) -> tuple[bytes, str]:
+    """A zstandard dictionary of the sample's id arrays, and its kind: trained, raw (of few or tiny arrays: these
+    themselves), or none (no rows)."""
     import zstandard
 
     width, every = _width(path), max(1, docs.count() // SAMPLE_ROWS)
 
     def apply(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            arrays = [_serial(t, path, width) for t in batch["text"]]
-            yield pd.DataFrame({"ids": [a for a in arrays if len(a) <= SAMPLE_TOKENS * width]})
+            yield pd.DataFrame({"ids": [sampled(_serial(t, path, width), width) for t in batch["text"]]})
 
     sample = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(every)) == 0).select("text").mapInPandas(apply, "ids binary").limit(2 * SAMPLE_ROWS)
     arrays = sorted(bytes(r["ids"]) for r in sample.collect())  # bounded by the sample's parameters
-    try:
-        return zstandard.train_dictionary(min(DICTIONARY_BYTES, max(256, sum(map(len, arrays)) // 8)), arrays).as_bytes()
-    except zstandard.ZstdError:
-        return b""
+    size = sum(map(len, arrays))
+    if not size:
+        return b"", "none"
+    if len(arrays) >= LEAST_SAMPLES and size >= 100 * 256:
+        return zstandard.train_dictionary(min(DICTIONARY_BYTES, size // 8), arrays).as_bytes(), "trained"
+    return b"".join(arrays)[-DICTIONARY_BYTES:], "raw"
+
+
+def _dictionary(data: bytes, kind: str):
+    import zstandard
+
+    if kind == "none":
+        return None
+    return zstandard.ZstdCompressionDict(data, dict_type=zstandard.DICT_TYPE_FULLDICT if kind == "trained" else zstandard.DICT_TYPE_RAWCONTENT)
 
 
 def write_store(docs: DataFrame, folder: str, path: str | None = None) -> None:
     """Encode ``docs`` (doc_id, text) and write the store to ``folder``.
 
     Null and empty texts hold the end id alone. Rows of one doc_id stand in the order of their frames' digests; null
-    doc_ids come first. An empty table gives a store without blocks.
+    doc_ids come first. A text of any length is one frame, in a block of its own where it passes BLOCK_BYTES. Other
+    columns aren't read. An empty table gives a store without blocks.
     """
     spark = docs.sparkSession
     ship(spark)
     path = path or vocabulary_path()
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    dictionary, width = train_dictionary(docs, path), _width(path)
+    (dictionary, kind), width = train_dictionary(docs, path), _width(path)
     sha = hashlib.sha256(dictionary).hexdigest()
-    spark.range(1).select(F.lit(sha).alias("dictionary_sha256"), F.lit(bytearray(dictionary)).alias("dictionary"), F.lit(width).alias("width")).write.parquet(f"{folder}/dictionary")
+    spark.range(1).select(F.lit(sha).alias("dictionary_sha256"), F.lit(bytearray(dictionary)).alias("dictionary"), F.lit(kind).alias("kind"), F.lit(width).alias("width")).write.parquet(f"{folder}/dictionary")
 
     def compress(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import zstandard
 
-        packer = zstandard.ZstdCompressor(level=LEVEL, dict_data=zstandard.ZstdCompressionDict(dictionary) if dictionary else None, write_content_size=True, write_dict_id=bool(dictionary))
+        packer = zstandard.ZstdCompressor(level=LEVEL, dict_data=_dictionary(dictionary, kind), write_content_size=True)
         for batch in batches:
             for i in range(0, len(batch), SLICE):
                 part = batch.iloc[i : i + SLICE]
@@ -116,7 +141,8 @@ def write_store(docs: DataFrame, folder: str, path: str | None = None) -> None:
     frames = stash(frames, "frames")
     total = frames.agg(F.coalesce(F.sum(F.octet_length("frame")), F.lit(0))).head()[0]
     order = ["doc_id", "_tie", "_row"]
-    ranged = frames.repartitionByRange(max(1, total // SHARD_BYTES), *order).sortWithinPartitions(*order)
+    shards = max(1, min(total // SHARD_BYTES, int(spark.conf.get("spark.sql.shuffle.partitions"))), -(-total // MOST_SHARD_BYTES))
+    ranged = frames.repartitionByRange(shards, *order).sortWithinPartitions(*order)
     ranged.select("doc_id", "n_tokens", "frame").mapInPandas(pack, BLOCKS).write.parquet(f"{folder}/blocks")
 
 
@@ -124,13 +150,13 @@ def _unpacked(spark: SparkSession, folder: str, doc_ids: list[int] | None, last:
     """A row for each document wanted; ``finish`` makes its last column (``last``: name and type) of its ids."""
     ship(spark)
     head = spark.read.parquet(f"{folder}/dictionary").head()
-    dictionary, width, sha = bytes(head["dictionary"]), head["width"], head["dictionary_sha256"]
+    dictionary, kind, width, sha = bytes(head["dictionary"]), head["kind"], head["width"], head["dictionary_sha256"]
     wanted = None if doc_ids is None else set(doc_ids)
 
     def unpack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import zstandard
 
-        reader = zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(dictionary) if dictionary else None)
+        reader = zstandard.ZstdDecompressor(dict_data=_dictionary(dictionary, kind))
         for batch in batches:
             for b in batch.itertuples(index=False):
                 if b.dictionary_sha256 != sha:
@@ -146,23 +172,29 @@ def _unpacked(spark: SparkSession, folder: str, doc_ids: list[int] | None, last:
 
     blocks = spark.read.schema(BLOCKS).parquet(f"{folder}/blocks")
     if wanted is not None:
-        ranges = F.lit(False)
-        for i in wanted:
-            ranges = ranges | ((F.col("first_doc") <= i) & (F.col("last_doc") >= i))
-        blocks = blocks.where(ranges)
+        if not wanted:
+            blocks = blocks.limit(0)
+        else:
+            each = F.lit(sorted(wanted))
+            blocks = blocks.where((F.col("first_doc") <= max(wanted)) & (F.col("last_doc") >= min(wanted)))
+            blocks = blocks.where(F.exists(each, lambda i: (F.col("first_doc") <= i) & (F.col("last_doc") >= i)))
     return blocks.mapInPandas(unpack, f"doc_id long, shard int, start_in_shard long, n_tokens long, {last}")
 
 
 def read_store(spark: SparkSession, folder: str, doc_ids: list[int] | None = None) -> DataFrame:
     """doc_id, shard, start_in_shard, n_tokens, ids (binary, little-endian unsigned 32-bit) of all documents or some.
 
-    With ``doc_ids`` only blocks whose doc_id range holds one are read, and only those documents' frames are unpacked.
+    With ``doc_ids`` only blocks whose doc_id range holds one are read, and only those documents' frames are unpacked
+    (none for an empty list; rows without an id only where all are read).
     """
     return _unpacked(spark, folder, doc_ids, "ids binary", bytes)
 
 
 def store_index(spark: SparkSession, folder: str) -> DataFrame:
-    """doc_id, start, n_tokens, ids_crc32, from the files: the ids read back, and starts over all shards."""
+    """doc_id, start, n_tokens, ids_crc32, from the files: the ids read back, and starts over all shards.
+
+    A row for each row written, in any number; an empty store gives none.
+    """
     own = _unpacked(spark, folder, None, "ids_crc32 long", zlib.crc32)
     blocks = spark.read.schema(BLOCKS).parquet(f"{folder}/blocks")
     shards = blocks.groupBy("shard").agg(F.sum(F.aggregate("n_tokens", F.lit(0).cast("long"), lambda a, x: a + x)).alias("tokens"))

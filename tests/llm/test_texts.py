@@ -298,31 +298,50 @@ def test_scores_by_brute_force(spark):
     docs = frame(spark, texts, [1, 2, 3, 4, 5, 5])
     labels = spark.createDataFrame([(1, 1), (1, 0), (2, 0), (None, 1)], "doc_id long, quality int")
     model = lm_scoring.fit(docs, labels)
-    count = [collections.Counter(), collections.Counter()]
-    pair = [collections.Counter(), collections.Counter()]
-    for i, t in zip([1, 2, 3, 4, 5, 5], texts):
-        words = (t or "").split()
-        for m in (0, 1) if i == 1 else (1,):
-            count[m].update(words)
-            pair[m].update(zip(["", *words], words))
-    assert model[:, : lm_scoring.WORDS].sum(axis=1).tolist() == [sum(c.values()) for c in count]
-
-    def loss(words, m):
-        out = []
-        for v, w in zip(["", *words], words):
-            context = count[m][v] if v else 0
-            pairs = min(pair[m][v, w], count[m][w], context)
-            out.append(-np.log((pairs + lm_scoring.PRIOR * (count[m][w] + 1) / (sum(count[m].values()) + lm_scoring.WORDS)) / (context + lm_scoring.PRIOR)))
-        return np.mean(out)
-
-    for r in lm_scoring.score(docs, model).collect():
-        words = (dict(zip([1, 2, 3, 4, 5], texts))[r["doc_id"]] or "").split()
-        assert r["n_tokens"] == len(words)
-        if words:
-            assert r["difference"] == pytest.approx(loss(words, 0) - loss(words, 1))
+    ids = [1, 2, 3, 4, 5, 5]
+    assert model[:, : lm_scoring.WORDS].sum(axis=1).tolist() == [5, 5 + 3 + 2 + 2]
+    got = sorted(lm_scoring.score(docs, model).collect(), key=lambda r: r["doc_id"])
+    for k, r in enumerate(got):
+        words = (texts[k] or "").split()
+        assert r["doc_id"] == ids[k] and r["n_tokens"] == len(words)
+        if words:  # each model without this row
+            means = [brute_loss(words, [t for i, t in enumerate(texts) if i != k and (m or ids[i] == 1)], 5 / 12 if m else 1) for m in (0, 1)]
+            assert [r["target_loss"], r["background_loss"], r["difference"]] == pytest.approx([*means, means[0] - means[1]])
         else:
             assert r["difference"] is None
     assert lm_scoring.score(docs.limit(0), lm_scoring.fit(docs.limit(0), labels)).count() == 0
+    clash = docs.withColumn("_good", F.lit(1)).withColumn("_chunk", F.lit(1)).withColumn("n_tokens", F.lit(1))
+    again = lm_scoring.score(clash, lm_scoring.fit(clash, labels.withColumn("_good", F.lit(0))))
+    assert sorted(again.collect(), key=lambda r: r["doc_id"]) == got
+
+
+def brute_loss(words, texts, scale=1.0):
+    count, pair = collections.Counter(), collections.Counter()
+    for t in texts:
+        count.update((t or "").split())
+        pair.update(zip((t or "").split(), (t or "").split()[1:]))
+    total, out = count.total() * scale, []
+    for v, w in zip([None, *words], words):
+        out.append(-np.log((pair[v, w] * scale + lm_scoring.PRIOR * (count[w] * scale + lm_scoring.ADD) / (total + lm_scoring.ADD * lm_scoring.WORDS)) / (count[v] * scale + lm_scoring.PRIOR)))
+    return np.mean(out)
+
+
+def test_a_text_that_stands_twice_is_scored_apart(spark):
+    rng = random.Random(9)
+    words = [f"w{k}" for k in range(200)]
+    texts = [" ".join(rng.choices(words, k=120)) for _ in range(60)]
+    docs = frame(spark, [*texts, texts[7]])
+    labels = spark.createDataFrame([(k, 1) for k in range(20, 40)], "doc_id long, quality int")
+    got = {r["doc_id"]: r["background_loss"] for r in lm_scoring.score(docs, lm_scoring.fit(docs, labels)).collect()}
+    assert max(got[7], got[60]) < min(v for k, v in got.items() if k not in (7, 60))
+
+
+def test_scores_of_a_long_text(spark):
+    long = " ".join(f"w{k % 5000}" for k in range(400_000))
+    docs = frame(spark, [long, "w1 w2 w3", long])
+    labels = spark.createDataFrame([(1, 1)], "doc_id long, quality int")
+    got = {r["doc_id"]: (r["n_tokens"], r["difference"]) for r in lm_scoring.score(docs, lm_scoring.fit(docs, labels)).collect()}
+    assert got[0] == got[2] and got[0][0] == 400_000 and got[1][0] == 3
 
 
 def test_scores_tell_held_out_quality(spark):
@@ -331,7 +350,8 @@ def test_scores_tell_held_out_quality(spark):
         pytest.skip("no tables")
     docs, labels = spark.read.parquet(f"{folder}/documents.parquet"), spark.read.parquet(f"{folder}/labels.parquet")
     model = lm_scoring.fit(docs, labels.where("doc_id % 2 = 0"))
-    held = lm_scoring.score(docs, model).join(labels.where("doc_id % 2 = 1"), "doc_id").where("n_tokens > 0").toPandas()
+    once = docs.groupBy("text").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n")).where("n = 1").select("doc_id")  # copies are scored apart
+    held = lm_scoring.score(docs, model).join(labels.where("doc_id % 2 = 1"), "doc_id").join(once, "doc_id").where("n_tokens > 0").toPandas()
     good, bad = held[held.quality == 1].difference.to_numpy(), held[held.quality == 0].difference.to_numpy()
     assert (good[:, None] < bad[None, :]).mean() > 0.8
 
@@ -344,19 +364,13 @@ def test_scores_share_no_counts(spark):
     docs, labels = frame(spark, texts), spark.createDataFrame([(0, 1)], "doc_id long, quality int")
     held = frame(spark, [f"{b} {b} x {b} unseen", None], [None, 2**60 + 1])
     model = lm_scoring.fit(docs, labels)
-    fitted = [texts[:1], texts]
-    words = [collections.Counter(w for t in f for w in t.split()) for f in fitted]
-    pairs = [collections.Counter(p for t in f for p in zip(t.split(), t.split()[1:])) for f in fitted]
-
-    def mean(text, m):
-        w = text.split()
-        return np.mean([-np.log((pairs[m][v, x] + lm_scoring.PRIOR * (words[m][x] + 1) / (words[m].total() + lm_scoring.WORDS)) / (words[m][v] + lm_scoring.PRIOR)) for v, x in zip([None, *w], w)])
-
-    for frames, known in ((docs, dict(enumerate(texts))), (held, {None: f"{b} {b} x {b} unseen", 2**60 + 1: ""})):
-        out = {r["doc_id"]: r for r in lm_scoring.score(frames, model).collect()}
-        assert out.keys() == known.keys()
-        for doc, text in known.items():
-            assert [out[doc]["target_loss"], out[doc]["background_loss"]] == (pytest.approx([mean(text, 0), mean(text, 1)]) if text else [None, None])
+    scale = len(texts[0].split()) / sum(len(t.split()) for t in texts)
+    for k, r in enumerate(sorted(lm_scoring.score(docs, model).collect(), key=lambda r: r["doc_id"])):
+        rest = [t for i, t in enumerate(texts) if i != k]
+        assert [r["target_loss"], r["background_loss"]] == pytest.approx([brute_loss(texts[k].split(), texts[:1] if k else []), brute_loss(texts[k].split(), rest, scale)])
+    for r in lm_scoring.score(held, model).collect():
+        words = (f"{b} {b} x {b} unseen" if r["doc_id"] is None else "").split()
+        assert [r["target_loss"], r["background_loss"]] == (pytest.approx([brute_loss(words, texts[:1]), brute_loss(words, texts, scale)]) if words else [None, None])
 
 
 # --- Near duplicates ---

@@ -4,6 +4,14 @@ Every word and every pair of words is counted by itself, as bytes; no entries ar
 by a hash of their id. Each chunk sends its distinct words and pairs with their counts to the hash ranges that add them
 up, and gets the whole corpus's counts back in the order it sent them: just the part of both models that its own
 documents need. A gram travels once a chunk, however often it occurs, so a hot word is a row a chunk.
+
+A document that a model was fitted to is scored by that model without it (leave one out): its own counts are taken
+from the sums first. So both losses are those of texts not seen before, for target documents as for all others, and a
+text that stands twice in the corpus shows in the background's loss.
+
+The models are matched: order, vocabulary, smoothing and size agree. The background is counted over the whole corpus,
+then all its counts are brought to the target's number of words, so a word that neither model knows costs the same in
+both, whatever the corpus has.
 """
 
 from __future__ import annotations
@@ -20,7 +28,8 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import documents, n_words, ship
 
-WORDS = 1 << 18  # the size that add-one smoothing gives the vocabulary
+WORDS = 1 << 18  # the size that smoothing gives the vocabulary
+ADD = 0.1  # what it adds to the count of each word
 CHUNK = 1 << 24  # bytes of text in a chunk, about
 PRIOR = 20.0  # words of the unigram model that back up each context
 
@@ -103,10 +112,11 @@ def text_size() -> Column:
 
 def fit(docs: DataFrame, labels: DataFrame) -> Model:
     """The target is fitted to documents that ``labels`` calls good (``quality`` 1 in any of its rows), the background
-    to all documents. Only totals are counted here; ``score`` counts the words and pairs."""
+    to all documents, whole texts. Only totals are counted here; ``score`` counts the words and pairs. Null texts and
+    labels of unknown or null ids add nothing; repeated rows and repeated labels count by the rows of ``docs``; an empty
+    table gives models without words."""
     good = labels.where("quality = 1 AND doc_id IS NOT NULL").select(F.col("doc_id").cast(docs.schema["doc_id"].dataType).alias("_good")).distinct()
-    # Labels may outgrow any broadcast, so the join is a merge join at every size; texts stay out of it.
-    sizes = docs.select("doc_id", n_words(F.col("text")).alias("n"), F.octet_length("text").alias("b")).join(good.hint("merge"), F.col("doc_id") == F.col("_good"), "left")
+    sizes = docs.select("doc_id", n_words(F.col("text")).alias("n"), F.octet_length("text").alias("b")).join(good, F.col("doc_id") == F.col("_good"), "left")
     row = sizes.agg(F.sum(F.when(F.col("_good").isNotNull(), F.col("n"))).alias("t"), F.sum("n").alias("a"), F.sum("b").alias("b")).first()
     return Model(docs, good, np.array([[row["t"] or 0], [row["a"] or 0]], np.int64), row["b"] or 0)
 
@@ -123,6 +133,10 @@ def chunked(docs: DataFrame, n: int) -> DataFrame:
     return docs.select(F.pmod(h, F.lit(n)).cast("int").alias("_chunk"), "doc_id", F.col("text").cast("binary").alias("text"))
 
 
+def good_ids(good: DataFrame, n: int) -> DataFrame:
+    return good.select(F.pmod(F.xxhash64("_good"), F.lit(n)).cast("int").alias("_chunk"), "_good")
+
+
 def sent(docs: DataFrame, good: DataFrame, n: int, counted: bool, answered: bool) -> DataFrame:
     """SENT: each chunk's grams and counts by hash range; zero counts unless ``counted``, no chunk unless ``answered``."""
 
@@ -144,8 +158,7 @@ def sent(docs: DataFrame, good: DataFrame, n: int, counted: bool, answered: bool
             rows.append((int(place), chunk, zstandard.compress(values[offsets[a] : offsets[b]], 1), pack(lengths[a:b]), pack(target[a:b]), pack(background[a:b])))
         return pa.table([pa.array(c, f.type) for c, f in zip(zip(*rows), SENT)], schema=SENT)
 
-    ids = good.select(F.pmod(F.xxhash64("_good"), F.lit(n)).cast("int").alias("_chunk"), "_good")
-    return docs.groupBy("_chunk").cogroup(ids.groupBy("_chunk")).applyInArrow(count, SENT_DDL)
+    return docs.groupBy("_chunk").cogroup(good_ids(good, n).groupBy("_chunk")).applyInArrow(count, SENT_DDL)
 
 
 def add_up(rows: pa.Table) -> pa.Table:
@@ -161,15 +174,32 @@ def add_up(rows: pa.Table) -> pa.Table:
     return pa.table([pa.array(c, f.type) for c, f in zip(zip(*out), BACK)], schema=BACK) if out else BACK.empty_table()
 
 
-def losses(grams: Grams, counts: np.ndarray, totals: np.ndarray) -> np.ndarray:
-    """[2, pairs]: the loss of each pair's second word in nats under the target and the background model.
+def own_counts(text: np.ndarray, number: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """How often each of ``wanted`` stands among the ``number`` of its own text (all of one length, text by text)."""
+    span = int(max(number.max(initial=0), wanted.max(initial=0))) + 1
+    codes, counts = np.unique(text * span + number, return_counts=True)
+    at = np.minimum(np.searchsorted(codes, text * span + wanted), len(codes) - 1)
+    return np.where(codes[at] == text * span + wanted, counts[at], 0)
 
-    A word's chance is (pair count + PRIOR * unigram chance) / (context count + PRIOR), the unigram chance add-one
-    smoothed; a first word has no context. ``counts`` [2, words + pairs] and ``totals`` [2, 1] are the whole corpus's.
+
+def losses(grams: Grams, counts: np.ndarray, totals: np.ndarray, fitted: np.ndarray) -> np.ndarray:
+    """[2, occurrences]: the loss of each word in nats under the target and the background model.
+
+    A word's chance is (pair count + PRIOR * unigram chance) / (context count + PRIOR), the unigram chance smoothed
+    by ADD; a first word has no context. ``counts`` [2, words + pairs] and ``totals`` [2, 1] are the whole corpus's;
+    ``fitted`` [2, texts] is 1 where a model counted that text, whose own counts are then left out. The background's
+    counts are taken ``scale`` times.
     """
-    pairs = np.where(grams.first > 0, counts[:, len(grams.words) :], 0)
-    uni = counts[:, grams.second]
-    return -np.log((pairs + PRIOR * (uni + 1) / (totals + WORDS)) / (counts[:, grams.first] + PRIOR))
+    scale = np.array([[1.0], [totals[0, 0] / max(1, totals[1, 0])]])
+    text = np.repeat(np.arange(len(grams.lengths)), grams.lengths)
+    out = fitted[:, text]
+    first, second = grams.first[grams.pair], grams.word
+    inside = first > 0
+    pairs = np.where(inside, counts[:, len(grams.words) :][:, grams.pair] - out * own_counts(text, grams.pair, grams.pair), 0)
+    uni = counts[:, second] - out * own_counts(text, second, second)
+    context = np.where(inside, counts[:, first] - out * own_counts(text, second, first), 0)
+    words = totals - out * grams.lengths[text]
+    return -np.log((pairs * scale + PRIOR * (uni * scale + ADD) / (words * scale + ADD * WORDS)) / (context * scale + PRIOR))
 
 
 SCORES = "n_tokens long, target_loss double, background_loss double, difference double"
@@ -178,8 +208,9 @@ SCORES = "n_tokens long, target_loss double, background_loss double, difference
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, n_tokens, target_loss, background_loss, difference: means over the words of each whole text.
 
-    A low difference means like the target. Texts without words (null too) have 0 tokens and null losses; rows are
-    scored alone; an empty table gives no rows.
+    A low difference means like the target. Scoring the very table that the models are fitted to leaves each row out of
+    its own score; other tables meet the whole models. Texts without words (null too) have 0 tokens and null losses;
+    each row is scored, repeated ones too; other columns aren't read; an empty table gives no rows.
     """
     spark = docs.sparkSession
     ship(spark)
@@ -194,17 +225,22 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     totals = model.totals
     kind = docs.schema["doc_id"].dataType.simpleString()
 
+    ids = good_ids(model.good, n).select(F.col("_chunk").alias("chunk"), F.lit(-1).alias("place"), F.lit(None).cast("binary").alias("target"), F.lit(None).cast("binary").alias("background"), "_good")
+    back = back.withColumn("_good", F.lit(None).cast(docs.schema["doc_id"].dataType)).unionByName(ids)
+
     def apply(mine: pa.Table, back: pa.Table) -> pa.Table:
         grams = Grams(mine["text"].to_pylist())
         n_tokens = grams.lengths
         means = np.full((2, len(n_tokens)), np.nan)
         if len(grams.word):
-            back = back.sort_by("place")
+            good = pc.unique(back["_good"].drop_null())
+            fitted = np.stack([np.array(pc.is_in(mine["doc_id"], good).to_pylist(), np.int64), np.ones(mine.num_rows, np.int64)]) * int(own)
+            back = back.filter(pc.greater_equal(back["place"], 0)).sort_by("place")
             order, _ = grams.dealt(n)
             counts = np.empty((2, len(order)), np.int64)
             for i, c in enumerate(("target", "background")):
                 counts[i, order] = np.concatenate([unpack(x) for x in back[c].to_pylist()])
-            loss = losses(grams, counts, totals)[:, grams.pair]
+            loss = losses(grams, counts, totals, fitted)
             text = np.repeat(np.arange(len(n_tokens)), n_tokens)
             with np.errstate(invalid="ignore"):
                 means = np.stack([np.bincount(text, x, len(n_tokens)) for x in loss]) / n_tokens

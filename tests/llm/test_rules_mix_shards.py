@@ -65,6 +65,21 @@ def test_rules_on_odd_rows(spark, odd):
     assert [(r["kept"], r["clean_text"], r["n_chars"]) for r in clash.collect()] == [(8, "en", len(CLEAN))] * 2
 
 
+def test_wrapped_and_other_scripts_stay(spark):
+    wrapped = "\n".join(["the first line of a paragraph that is wrapped at the end of each line and"] * 3 + ["Häuser und anderes stehen groß am Anfang, wie es in der Sprache üblich ist."])
+    hindi = "यह एक साफ वाक्य है जिसमें कई शब्द हैं और जो ठीक से समाप्त होता है।\n" * 3
+    arabic = "هذه جملة واضحة فيها كلمات كثيرة جدا وهي تنتهي كما ينتهي السؤال في هذه اللغة أليس كذلك؟"
+    greek = "ΟΛΑ ΤΑ ΓΡΑΜΜΑΤΑ ΜΕΓΑΛΑ"
+    for text, lost in ((wrapped, 0), (hindi, 0), (arabic, 0), (greek, 4), ("Tous droits réservés.\n" + wrapped, 3), ("Alle Rechte vorbehalten.", 3), ("Lea la política de privacidad.", 5), (wrapped + "\n\n" + " ".join(["menu"] + ["item", "x"] * 8), 17)):
+        assert quality_rules.judge(text)[8] == lost, text
+
+
+def test_rules_on_a_very_long_text(spark):
+    text = (CLEAN + "\n") * 20_000 + "a | b | c | d\n" + " ".join(f"w{k}" for k in range(600_000)) + "."
+    r = quality_rules.quality_rules(spark.createDataFrame([(1, text, 3, "x")], "doc_id long, text string, c0 int, clean_md5 string")).head()
+    assert r["n_words"] == 20_000 * 22 + 7 + 600_000 and r["n_lost_words"] == 7 and r["n_failed_lines"] == 1 and r["c0"] == 3
+
+
 @pytest.mark.parametrize("line,rule", [("a | b | c | d", 1), ("x### y$$$ z%%%", 2), ("STOP IT NOW!!", 3), ("so so so so so", 4), ("Licensed under the MIT License.", 5), ("one two three four five six seven eight nine ten eleven twelve", 6), (CLEAN, 0), ("  ", 0)])
 def test_line_rules(line, rule):
     assert quality_rules.line_rule(line, line.encode(), line.encode().split()) == rule
@@ -79,6 +94,22 @@ def test_mix_of_odd_rows(spark, odd):
     assert mixing.mix(odd.limit(0)).count() == 0
 
 
+def test_mix_keeps_clashing_columns_and_long_texts(spark, odd):
+    docs = odd.union(spark.createDataFrame([(9, "word " * 1_000_000, "en", "c", 1)], odd.schema))
+    for c in ("row", "turn", "target", "rows", "start", "copies", "copy", "size", "digest", "key", "_range"):
+        docs = docs.withColumn(c, docs["n_chars"])
+    taken = collections.Counter()
+    for r in mixing.mix(docs).collect():
+        taken[r["doc_id"]] += r["taken"]
+    mixed = mixing.mixed_documents(docs)
+    assert mixed.columns == docs.columns
+    got = collections.Counter()
+    for r in mixed.collect():
+        got[r["doc_id"]] += len((r["text"] or "").encode().split())
+        assert r["row"] == r["turn"] == r["copies"] == r["digest"] == r["n_chars"]
+    assert {k: v for k, v in got.items() if v} == {k: v for k, v in taken.items() if v} and taken[9] in (0, 10**6, 2 * 10**6)
+
+
 def water(sizes, weights):
     """Share 150 % of all by weight; what passes a cap is shared again."""
     left, target, open_ = 1.5 * sum(sizes), [0.0] * len(sizes), set(range(len(sizes)))

@@ -105,16 +105,16 @@ def hex_int(digest: Column, first: int, digits: int) -> Column:
 def running_start(rows: DataFrame, group: str, order: list[str], key: str, size: str, name: str, buckets: Column) -> DataFrame:
     """``name`` = sum of ``size`` over the rows of ``group`` before this one, in the order of (``key``, ``order``).
 
-    ``key`` is a uniform 40-bit integer. Each group is cut into ``buckets`` equal key ranges (about the square root
-    of its rows), so one task holds neither a whole group nor all range sums of more than that many ranges.
+    ``group`` is never null and ``key`` is a uniform 40-bit integer. Each group is cut into ``buckets`` equal key ranges
+    (about the square root of its rows), so one task holds neither a whole group nor all range sums of more than that
+    many ranges. The rows are dealt once: the range sums come to where the rows already lie.
     """
     from pyspark.sql import Window as W
 
     ranged = rows.withColumn("_range", F.floor(F.col(key) * buckets / F.lit(float(1 << 40))).cast("long"))
     sums = ranged.groupBy(group, "_range").agg(F.sum(size).alias("_sum"))
     before = W.partitionBy(group).orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
-    sums = sums.select(F.col(group).alias("_g"), F.col("_range").alias("_r"), F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_base"))
+    sums = sums.select(group, "_range", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_base"))
     inside = W.partitionBy(group, "_range").orderBy(key, *order).rowsBetween(W.unboundedPreceding, -1)
-    placed = ranged.withColumn(name, F.coalesce(F.sum(size).over(inside), F.lit(0)))
-    placed = placed.join(sums, placed[group].eqNullSafe(sums["_g"]) & (placed["_range"] == sums["_r"]))
-    return placed.withColumn(name, (F.col(name) + F.col("_base")).cast("long")).drop("_range", "_g", "_r", "_base")
+    placed = ranged.withColumn(name, F.coalesce(F.sum(size).over(inside), F.lit(0))).join(sums, [group, "_range"])
+    return placed.withColumn(name, (F.col(name) + F.col("_base")).cast("long")).drop("_range", "_base")

@@ -287,7 +287,7 @@ def near_classes(docs: DataFrame, scratch: Scratch) -> DataFrame:
     left = relabelled(around.select("bucket", "node", "n", (F.col("node") == F.col("pivot")).alias("was")))
     for k in range(ROUNDS):
         # The first pivot comes last, as all were compared with it.
-        place = F.struct("was", F.xxhash64("bucket", "node", F.lit(k)).alias("h"), "node", "n")
+        place = F.struct("was", F.xxhash64("node", F.lit(k)).alias("h"), "node", "n")
         held = left.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("size"), F.min(place).alias("p"))
         tops = held.groupBy("bucket").agg(F.max(F.struct("size", "label", "p")).alias("top"))
         tops = tops.select("bucket", F.col("top.label").alias("_label"), F.col("top.p.node").alias("_node"), F.col("top.p.n").alias("_n"))

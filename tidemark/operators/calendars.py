@@ -51,3 +51,31 @@ def previous_session_close(bars: DataFrame) -> DataFrame:
     own = bars.join(F.broadcast(o), "session").select("entity", "session", "ord", "close")  # one row a session
     before = own.select("entity", (F.col("ord") + 1).alias("ord"), F.col("close").alias("previous_close"))
     return own.join(before, ["entity", "ord"], "left").select("entity", "session", "close", "previous_close")
+
+
+def indexed(days: DataFrame, column: str) -> DataFrame:
+    """One row: _days, the sorted days; _first, the first; _upto, how many lie before each day from it on.
+
+    A row a day of history at most. ``between`` looks both ends of an interval up in it.
+    """
+    each = days.select(F.col(column).alias("_d")).distinct()
+    ends = each.agg(F.to_date(F.min("_d")).alias("a"), F.to_date(F.max("_d")).alias("z"))
+    counts = each.groupBy(F.to_date("_d").alias("_day")).agg(F.count(F.lit(1)).alias("_n"))
+    calendar = ends.select(F.explode(F.sequence("a", F.date_add("z", 1))).alias("_day")).join(counts, "_day", "left")
+    upto = calendar.withColumn("_before", F.coalesce(F.sum("_n").over(W.orderBy("_day").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
+    upto = upto.agg(F.transform(F.sort_array(F.collect_list(F.struct("_day", "_before"))), lambda x: x["_before"].cast("int")).alias("_upto"), F.min("_day").alias("_first"))
+    return each.agg(F.sort_array(F.collect_list("_d")).alias("_days")).crossJoin(upto)
+
+
+def between(low: Column, high: Column, exact) -> Column:
+    """The days of ``indexed`` in the joined row from ``low``'s day up to ``high``'s (null: no end), as far as
+    ``exact`` (a predicate on a day) holds: both ends are looked up, so only days of the result are touched."""
+    size = F.size("_upto")
+
+    def before(day: Column) -> Column:
+        at = F.datediff(F.to_date(day), F.col("_first"))
+        return F.when(at < 0, F.lit(0)).when(at >= size, F.size("_days")).otherwise(F.element_at("_upto", F.least(F.greatest(at, F.lit(0)), size - 1) + 1))
+
+    start = before(low)
+    stop = F.when(high.isNull(), F.size("_days")).otherwise(before(F.date_add(F.to_date(high), 1)))
+    return F.filter(F.slice("_days", start + 1, F.greatest(stop - start, F.lit(0))), exact)

@@ -9,18 +9,21 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
-def performance(equity: DataFrame, initial: float, fills: DataFrame | None = None, annual: int = 252) -> DataFrame:
+def performance(equity: DataFrame, initial: float | str, fills: DataFrame | None = None, annual: int = 252) -> DataFrame:
     """Per run, from ``equity`` (run, session, equity) and fills' notionals (run, notional).
 
+    ``initial`` is the value that all runs start from, or the name of the column with each run's own. Figures:
     cumulative_return; cagr (null in one day); max_drawdown from the initial value on, positive; annualised
     volatility (0 below two returns); sharpe_ratio (null without spread); turnover = notional / mean equity.
     """
     w = W.partitionBy("run").orderBy("session")
-    peak = F.greatest(F.max("equity").over(w.rowsBetween(W.unboundedPreceding, 0)), F.lit(initial))
-    steps = equity.withColumn("_ret", F.col("equity") / F.lag("equity", 1, initial).over(w) - 1).withColumn("_down", F.col("equity") / peak - 1)
+    start = F.col(initial) if isinstance(initial, str) else F.lit(initial)
+    peak = F.greatest(F.max("equity").over(w.rowsBetween(W.unboundedPreceding, 0)), start)
+    before = F.coalesce(F.lag("equity", 1).over(w), start)
+    steps = equity.withColumn("_ret", F.col("equity") / before - 1).withColumn("_down", F.col("equity") / peak - 1)
     m = steps.groupBy("run").agg(
-        (F.max_by("equity", "session") / initial).alias("ratio"), F.datediff(F.max("session"), F.min("session")).alias("days"), F.least(F.min("_down"), F.lit(0.0)).alias("down"),
-        F.stddev_samp("_ret").alias("std"), F.avg("_ret").alias("mean"), F.avg("equity").alias("mean_equity"),
+        (F.max_by("equity", "session") / F.max(start)).alias("ratio"), F.datediff(F.max("session"), F.min("session")).alias("days"),
+        F.least(F.min("_down"), F.lit(0.0)).alias("down"), F.stddev_samp("_ret").alias("std"), F.avg("_ret").alias("mean"), F.avg("equity").alias("mean_equity"),
     )
     if fills is not None:
         m = m.join(fills.groupBy("run").agg(F.sum("notional").alias("traded")), "run", "left")
@@ -28,9 +31,14 @@ def performance(equity: DataFrame, initial: float, fills: DataFrame | None = Non
         m = m.withColumn("traded", F.lit(0.0))
     std = F.coalesce("std", F.lit(0.0))
     return m.select(
-        "run", (F.col("ratio") - 1).alias("cumulative_return"), F.when(F.col("days") > 0, F.pow("ratio", 365.25 / F.col("days")) - 1).alias("cagr"), (-F.col("down")).alias("max_drawdown"),
-        (std * math.sqrt(annual)).alias("annualized_volatility"), F.when(std > 0, F.col("mean") / std * math.sqrt(annual)).alias("sharpe_ratio"), (F.coalesce("traded", F.lit(0.0)) / F.col("mean_equity")).alias("turnover"),
-    )
+        "run",
+        (F.col("ratio") - 1).alias("cumulative_return"),
+        F.when(F.col("days") > 0, F.pow("ratio", 365.25 / F.col("days")) - 1).alias("cagr"),
+        (-F.col("down")).alias("max_drawdown"),
+        (std * math.sqrt(annual)).alias("annualized_volatility"),
+        F.when(std > 0, F.col("mean") / std * math.sqrt(annual)).alias("sharpe_ratio"),
+        (F.coalesce("traded", F.lit(0.0)) / F.col("mean_equity")).alias("turnover"),
+    )
 
 
 def running_drawdown(equity: DataFrame) -> DataFrame:
@@ -71,32 +79,50 @@ def probability_metrics(pairs: DataFrame, by: list[str]) -> DataFrame:
     return main.join(auc, by).join(bins, by)
 
 
-def bootstrap_interval(series: DataFrame, replicates: int, block: int, confidence: float, seed: int, statistic: str = "mean") -> DataFrame:
-    """lower, upper, reason of a circular block bootstrap over ``series`` (i from 0, value[, weight]).
+def bootstrap_interval(series: DataFrame, replicates: int, block: int, confidence: float, seed: int, statistic: str = "mean", by: tuple[str, ...] = ()) -> DataFrame:
+    """``by``, lower, upper, reason of a circular block bootstrap over each ``series`` (i from 0, value[, weight]).
 
     Block b of replicate r starts at (r * 7919 + b * 104729 + seed) mod n. The statistic is the mean of values, or
     their sum over the sum of weights. Bounds are the values of rank floor(a (R - 1)) and ceil((1 - a)(R - 1)),
-    a = (1 - confidence) / 2. Fewer than two blocks give null bounds. The series is one row a session.
+    a = (1 - confidence) / 2. Fewer than two blocks give null bounds. A series is one row a session.
     """
-    n = series.agg(F.count(F.lit(1)).alias("n"))
-    draws = n.where(F.col("n") >= 2 * block).select("n", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("r"))
-    draws = draws.select("n", "r", F.explode(F.sequence(F.lit(0), (F.ceil(F.col("n") / block) - 1).cast("int"))).alias("b"))
-    draws = draws.select("n", "r", "b", F.explode(F.sequence(F.lit(0), F.lit(block - 1))).alias("j")).where(F.col("b") * block + F.col("j") < F.col("n"))
-    drawn = draws.select("r", (((F.col("r").cast("long") * 7919 + F.col("b") * 104729 + seed) % F.col("n") + F.col("j")) % F.col("n")).alias("i"))
+    n = series.groupBy(*by).agg(F.count(F.lit(1)).alias("n"))
+    draws = n.where(F.col("n") >= 2 * block).select(*by, "n", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("r"))
+    draws = draws.select(*by, "n", "r", F.explode(F.sequence(F.lit(0), (F.ceil(F.col("n") / block) - 1).cast("int"))).alias("b"))
+    draws = draws.select(*by, "n", "r", "b", F.explode(F.sequence(F.lit(0), F.lit(block - 1))).alias("j")).where(F.col("b") * block + F.col("j") < F.col("n"))
+    drawn = draws.select(*by, "r", (((F.col("r").cast("long") * 7919 + F.col("b") * 104729 + seed) % F.col("n") + F.col("j")) % F.col("n")).alias("i"))
     weight = F.sum("weight") if statistic == "ratio" else F.count(F.lit(1))
-    stats = drawn.join(series, "i").groupBy("r").agg((F.sum("value") / weight).alias("s"))
-    ranked = stats.withColumn("_k", F.row_number().over(W.orderBy("s", "r")) - 1)  # over the replicates
+    stats = drawn.join(series, [*by, "i"]).groupBy(*by, "r").agg((F.sum("value") / weight).alias("s"))
+    ranked = stats.withColumn("_k", F.row_number().over(W.partitionBy(*by).orderBy("s", "r")) - 1)  # over the replicates
     a = (1 - confidence) / 2
     lo, hi = math.floor(a * (replicates - 1)), math.ceil((1 - a) * (replicates - 1))
-    bounds = ranked.agg(F.max(F.when(F.col("_k") == lo, F.col("s"))).alias("lower"), F.max(F.when(F.col("_k") == hi, F.col("s"))).alias("upper"))
-    return n.crossJoin(bounds).select("lower", "upper", F.when(F.col("n") < 2 * block, "insufficient_blocks").alias("reason"))
+    bounds = ranked.groupBy(*by).agg(F.max(F.when(F.col("_k") == lo, F.col("s"))).alias("lower"), F.max(F.when(F.col("_k") == hi, F.col("s"))).alias("upper"))
+    out = n.join(bounds, list(by), "left") if by else n.crossJoin(bounds)  # one row each
+    return out.select(*by, "lower", "upper", F.when(F.col("n") < 2 * block, "insufficient_blocks").alias("reason"))
+
+
+def return_difference(first: DataFrame, second: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """``by``, session, difference of two return series (session, ret) of each run; ``mismatch`` marks a session that
+    only one of them has."""
+    key = [*by, "session"]
+    a, b = first.select(*key, F.col("ret").alias("_a"), F.lit(True).alias("_ina")), second.select(*key, F.col("ret").alias("_b"), F.lit(True).alias("_inb"))
+    joined = a.join(b, key, "full_outer")
+    return joined.select(*key, (F.col("_a") - F.col("_b")).alias("difference"), (F.col("_ina").isNull() | F.col("_inb").isNull()).alias("mismatch"))
+
+
+def returns(equity: DataFrame, initial: float) -> DataFrame:
+    """run, session, ret of equity paths that start from ``initial``."""
+    w = W.partitionBy("run").orderBy("session")
+    return equity.select("run", "session", (F.col("equity") / F.lag("equity", 1, initial).over(w) - 1).alias("ret"))
 
 
-def return_difference(first: DataFrame, second: DataFrame) -> DataFrame:
-    """session, difference of two return series; ``mismatch`` marks a session that only one has."""
-    a, b = first.select("session", F.col("ret").alias("_a")), second.select("session", F.col("ret").alias("_b"))
-    joined = a.withColumn("_ina", F.lit(True)).join(b.withColumn("_inb", F.lit(True)), "session", "full_outer")
-    return joined.select("session", (F.col("_a") - F.col("_b")).alias("difference"), (F.col("_ina").isNull() | F.col("_inb").isNull()).alias("mismatch"))
+def difference_interval(difference: DataFrame, replicates: int, block: int, confidence: float, seed: int) -> DataFrame:
+    """run, mean_difference, lower, upper, reason: the interval of each run's mean return difference over sessions that
+    both series have."""
+    paired = difference.where("NOT mismatch AND difference IS NOT NULL")
+    series = paired.select("run", (F.row_number().over(W.partitionBy("run").orderBy("session")) - 1).alias("i"), F.col("difference").alias("value"))
+    mean = paired.groupBy("run").agg(F.avg("difference").alias("mean_difference"))
+    return mean.join(bootstrap_interval(series, replicates, block, confidence, seed, by=("run",)), "run")
 
 
 def best_candidate(runs: DataFrame, by: list[str]) -> DataFrame:

@@ -6,7 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tidemark.operators.calendars import between, indexed
+
 KEY = ("entity", "event_at")
+INDEX = ("_days", "_upto", "_first")
 
 
 def _micros(c: str) -> Column:
@@ -48,11 +51,12 @@ def validity(rows: DataFrame, key: tuple[str, ...] = KEY) -> DataFrame:
 def as_of_many(rows: DataFrame, decisions: DataFrame, key: tuple[str, ...] = KEY) -> DataFrame:
     """``as_of`` for every ``decision`` of a calendar: each interval is expanded to the decisions inside it.
 
-    The calendar is one sorted array (a row a session of history), so the work is in proportion to the result.
+    The calendar is one row of arrays (a day of history each); a row looks up both ends of its interval, so the work is
+    in proportion to the result.
     """
-    calendar = decisions.agg(F.sort_array(F.collect_set("decision")).alias("_days"))
-    inside = F.filter("_days", lambda d: (d > F.col("visible")) & (F.col("superseded").isNull() | (d <= F.col("superseded"))))
-    return validity(rows, key).crossJoin(F.broadcast(calendar)).withColumn("decision", F.explode(inside)).drop("_days", "visible", "superseded")
+    inside = between(F.col("visible"), F.col("superseded"), lambda d: (d > F.col("visible")) & (F.col("superseded").isNull() | (d <= F.col("superseded"))))
+    joined = validity(rows, key).crossJoin(F.broadcast(indexed(decisions, "decision")))  # one row
+    return joined.withColumn("decision", F.explode(inside)).drop(*INDEX, "visible", "superseded")
 
 
 def ambiguous_revisions(rows: DataFrame, key: tuple[str, ...] = KEY) -> DataFrame:
@@ -61,10 +65,9 @@ def ambiguous_revisions(rows: DataFrame, key: tuple[str, ...] = KEY) -> DataFram
 
 
 def membership(life: DataFrame, sessions: DataFrame) -> DataFrame:
-    """(session, entity) with listing <= session < delisting, or open-ended; the calendar is one sorted array."""
-    calendar = sessions.agg(F.sort_array(F.collect_set("session")).alias("_days"))
-    inside = F.filter("_days", lambda d: (F.col("listing") <= d) & (F.col("delisting").isNull() | (d < F.col("delisting"))))
-    return life.crossJoin(F.broadcast(calendar)).select(F.explode(inside).alias("session"), "entity")
+    """(session, entity) with listing <= session < delisting, or open-ended; both ends are looked up in the calendar."""
+    inside = between(F.col("listing"), F.col("delisting"), lambda d: (F.col("listing") <= d) & (F.col("delisting").isNull() | (d < F.col("delisting"))))
+    return life.crossJoin(F.broadcast(indexed(sessions, "session"))).select(F.explode(inside).alias("session"), "entity")  # one row
 
 
 def known_actions(actions: DataFrame, decision: Column) -> DataFrame:

@@ -6,9 +6,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tidemark.operators import pit
 from tidemark.operators.calendars import ordinals
 from tidemark.operators.quality import grid
 
+
 def by_entity():
     return W.partitionBy("entity").orderBy("session")
 
@@ -37,30 +39,78 @@ def daily_returns(bars: DataFrame) -> DataFrame:
     return on_grid(bars).withColumn("ret", F.col("close") / F.lag("close").over(by_entity()) - 1)
 
 
-def features(bars: DataFrame, history: int = 61) -> DataFrame:
-    """return_5/20/60, volatility_20, ma_ratio_20, volume_change_5 where the last ``history`` closes are all there."""
+def features(bars: DataFrame, history: int = 61, members: DataFrame | None = None, actions: DataFrame | None = None, volume: bool = False) -> DataFrame:
+    """return_5/20/60, volatility_20, ma_ratio_20, volume_change_5 where the last ``history`` closes are all there.
+
+    ``members`` (session, entity): the entity belongs to the universe on the first and on the last of these sessions.
+    ``actions`` (entity, effective): none takes effect after the first and up to the last. ``volume``: rows without a
+    positive volume five sessions before, or without one now, are left out.
+    """
     w = by_entity()
     f = daily_returns(bars)
+    base = F.lag("volume", 5).over(w)
     f = f.select(
-        "entity", "session", "ord", F.count("close").over(w.rowsBetween(1 - history, 0)).alias("_n"),
+        "entity", "session", "ord", F.lag("session", history - 1).over(w).alias("_first"), F.count("close").over(w.rowsBetween(1 - history, 0)).alias("_n"),
         *[(F.col("close") / F.lag("close", k).over(w) - 1).alias(f"return_{k}") for k in (5, 20, 60)],
         F.stddev_samp("ret").over(w.rowsBetween(-19, 0)).alias("volatility_20"), (F.col("close") / F.avg("close").over(w.rowsBetween(-19, 0)) - 1).alias("ma_ratio_20"),
-        F.when(F.lag("volume", 5).over(w) > 0, F.col("volume") / F.lag("volume", 5).over(w) - 1).alias("volume_change_5"),
+        F.when(base > 0, F.col("volume") / base - 1).alias("volume_change_5"),
     )
-    return f.where(F.col("_n") == history).drop("_n")
+    f = f.where(F.col("_n") == history).drop("_n")
+    if volume:
+        f = f.where("volume_change_5 IS NOT NULL")
+    return _unbroken(f, "_first", "session", members, actions).drop("_first")
+
+
+def _unbroken(rows: DataFrame, start: str, end: str, members: DataFrame | None, actions: DataFrame | None) -> DataFrame:
+    """``rows`` (entity, ...) whose entity is a member at both ends and that no action crosses: start < effective <= end."""
+    if members is not None:
+        for side in (start, end):
+            rows = rows.join(members.select("entity", F.col("session").alias(side)).distinct(), ["entity", side], "left_semi")
+    if actions is not None:
+        a = actions.select(F.col("entity").alias("_e"), "effective")
+        rows = rows.join(a, (rows["entity"] == a["_e"]) & (a["effective"] > rows[start]) & (a["effective"] <= rows[end]), "left_anti")
+    return rows
+
 
+#: Rows that a feature uses: the session's own and so many before it.
+USES = {"return_5": 5, "return_20": 20, "return_60": 60, "volatility_20": 20, "ma_ratio_20": 19, "volume_change_5": 5}
 
-def feature_lineage(bars: DataFrame, lags: tuple[int, ...] = (5, 20, 60)) -> DataFrame:
-    """Per feature the latest availability and ingestion, and the first session, of the rows that it uses."""
-    full = on_grid(bars)
-    return full.select("entity", "session", *[x for k in lags for x in (F.max(F.greatest("available_at", "ingested_at")).over(by_entity().rowsBetween(-k, 0)).alias(f"known_{k}"), F.min("session").over(by_entity().rowsBetween(-k, 0)).alias(f"from_{k}"))])
 
+def feature_lineage(bars: DataFrame, uses: dict[str, int] = USES) -> DataFrame:
+    """entity, session, and for each feature known_<name>, the latest availability and ingestion of the rows that it
+    uses, and sources_<name>, those rows in order: (session, revision, digest).
 
-def forward_label(bars: DataFrame, horizon: int) -> DataFrame:
-    """entity, session, end, forward_return, y: over ``horizon`` sessions, where both closes are there."""
+    ``bars``: entity, session, available_at, ingested_at, revision, digest. A list holds as many rows as the feature uses.
+    """
+    own = by_entity()
+    row = F.when(F.col("revision").isNotNull(), F.struct("session", "revision", "digest"))
+    columns = []
+    for name, k in uses.items():
+        used = own.rowsBetween(-k, 0)
+        columns += [F.max(F.greatest("available_at", "ingested_at")).over(used).alias(f"known_{name}"), F.collect_list(row).over(used).alias(f"sources_{name}")]
+    return on_grid(bars).select("entity", "session", *columns)
+
+
+def forward_label(bars: DataFrame, horizon: int, members: DataFrame | None = None, actions: DataFrame | None = None, revisions: DataFrame | None = None, lag_days: int = 0) -> DataFrame:
+    """entity, session, end, forward_return, y: over ``horizon`` sessions, where both closes are there.
+
+    With ``members`` the entity belongs at both ends; with ``actions`` none takes effect after the first and up to the
+    last day. With ``revisions`` (entity, session, close, available_at, ingested_at, revision, value) both closes are
+    those known before the endpoint's cutoff, ``lag_days`` after the end: later revisions change no label.
+    """
     w = by_entity()
-    out = on_grid(bars).select("entity", "session", F.lead("session", horizon).over(w).alias("end"), (F.lead("close", horizon).over(w) / F.col("close") - 1).alias("forward_return"))
-    return out.where("forward_return IS NOT NULL").withColumn("y", (F.col("forward_return") > 0).cast("int"))
+    cells = on_grid(bars).select("entity", "session", "close", F.lead("session", horizon).over(w).alias("end"), F.lead("close", horizon).over(w).alias("_last"))
+    if revisions is None:
+        out = cells.withColumnRenamed("close", "_first")
+    else:
+        seen = pit.validity(revisions, ("entity", "session")).select("entity", F.col("session").alias("_day"), F.col("close").alias("_close"), "visible", "superseded")
+        out = cells.select("entity", "session", "end").where("end IS NOT NULL").withColumn("_cutoff", F.date_add("end", lag_days))
+        for day, name in (("session", "_first"), ("end", "_last")):
+            known = (F.col("visible") < F.col("_cutoff")) & (F.col("superseded").isNull() | (F.col("_cutoff") <= F.col("superseded")))
+            out = out.join(seen.withColumnRenamed("_day", day), ["entity", day]).where(known).withColumnRenamed("_close", name).drop("visible", "superseded")
+    out = out.withColumn("forward_return", F.col("_last") / F.col("_first") - 1).where("forward_return IS NOT NULL")
+    out = _unbroken(out, "session", "end", members, actions)
+    return out.select("entity", "session", "end", "forward_return", (F.col("forward_return") > 0).cast("int").alias("y"))
 
 
 def stale_marks(bars: DataFrame) -> DataFrame:
@@ -162,25 +212,65 @@ def participation(orders: DataFrame, part: float, lot: int) -> DataFrame:
     return orders.withColumn("allowed", F.least("requested", room))
 
 
-def order_life_cycle(orders: DataFrame, fills: DataFrame, rebalances: DataFrame) -> DataFrame:
-    """entity, session, fill_session, status: filled at the first tradable session unless the next rebalance comes first."""
-    days = rebalances.agg(F.sort_array(F.collect_set("session")).alias("_days"))  # one row a week of the calendar
-    joined = orders.join(fills, ["entity", "session"], "left").crossJoin(F.broadcast(days))
-    after = F.array_min(F.filter("_days", lambda d: d > F.col("session")))
-    status = F.when(F.col("fill_session").isNotNull() & (after.isNull() | (F.col("fill_session") <= after)), "filled").when(after.isNotNull(), "cancelled").otherwise("pending")
-    return joined.withColumn("status", status).drop("_days")
+def next_day(sessions: DataFrame, days: DataFrame) -> DataFrame:
+    """session, next_day: the first of ``days`` after each session, or null; over one row a session and day."""
+    both = sessions.select("session").distinct().withColumn("_own", F.lit(True)).unionByName(days.select("session").distinct().withColumn("_own", F.lit(False)))
+    ordered = both.withColumn("_day", F.unix_date("session"))
+    later = W.orderBy("_day").rangeBetween(1, W.unboundedFollowing)
+    return ordered.withColumn("next_day", F.min(F.when(~F.col("_own"), F.col("session"))).over(later)).where("_own").select("session", "next_day")
+
+
+def order_life_cycle(orders: DataFrame, fills: DataFrame, rebalances: DataFrame, exits: DataFrame | None = None) -> DataFrame:
+    """entity, session, fill_session, status: filled at the first tradable session unless it is cancelled before.
+
+    An order is cancelled at the next rebalance, unless its column ``hold`` (buy and hold) says otherwise, or on the
+    first later day in ``exits`` (entity, session): an action or the end of membership. An exit comes before a fill of
+    the same day, a rebalance after it.
+    """
+    orders = orders if "hold" in orders.columns else orders.withColumn("hold", F.lit(False))
+    joined = orders.join(fills, ["entity", "session"], "left").join(next_day(orders, rebalances), "session")
+    after = F.when(~F.col("hold"), F.col("next_day"))
+    joined = joined.withColumn("_after", after).drop("next_day", "hold")
+    if exits is None:
+        joined = joined.withColumn("_exit", F.lit(None).cast("date"))
+    else:
+        e = exits.select(F.col("entity").alias("_e"), F.col("session").alias("_x"))
+        first = joined.join(e, (F.col("entity") == F.col("_e")) & (F.col("_x") > F.col("session"))).groupBy("entity", "session").agg(F.min("_x").alias("_exit"))
+        joined = joined.join(first, ["entity", "session"], "left")
+    fill = F.col("fill_session")
+    filled = fill.isNotNull() & (F.col("_after").isNull() | (fill <= F.col("_after"))) & (F.col("_exit").isNull() | (fill < F.col("_exit")))
+    status = F.when(filled, "filled").when(F.col("_after").isNotNull() | F.col("_exit").isNotNull(), "cancelled").otherwise("pending")
+    return joined.withColumn("status", status).drop("_after", "_exit")
 
 
 def weight_backtest(weights: DataFrame, bars: DataFrame, cost_bps: float, initial: float) -> DataFrame:
-    """session, daily_return, equity: weights decided at t earn from t+2's return (filled at t+1's close), turnover costs at t+1.
+    """``weight_backtests`` of one run: session, daily_return, equity."""
+    runs = weights.sparkSession.range(1).select(F.lit("").alias("run"), F.lit(float(initial)).alias("initial"), F.lit(float(cost_bps)).alias("cost_bps"))
+    return weight_backtests(weights.withColumn("run", F.lit("")), bars, runs).select("session", "daily_return", "equity")
+
+
+def weight_backtests(weights: DataFrame, bars: DataFrame, runs: DataFrame) -> DataFrame:
+    """run, session, initial, daily_return, equity: weights decided at t earn from t+2's return (filled at t+1's close),
+    turnover costs at t+1.
 
-    The running products are over one row a session.
+    ``weights``: run, entity, session, weight; ``runs``: run, initial, cost_bps, a table of parameters. The running
+    products are over one row a run and session.
     """
-    rets = daily_returns(bars).select("entity", "session", "ord", F.coalesce("ret", F.lit(0.0)).alias("ret"))
-    w = rets.join(weights, ["entity", "session"], "left").withColumn("weight", F.coalesce("weight", F.lit(0.0)))
-    held = w.select("*", F.coalesce(F.lag("weight", 2).over(by_entity()), F.lit(0.0)).alias("held"), F.coalesce(F.lag("weight", 1).over(by_entity()), F.lit(0.0)).alias("new"))
-    daily = held.groupBy("session").agg((F.sum(F.col("held") * F.col("ret")) - F.sum(F.abs(F.col("new") - F.col("held"))) * cost_bps / 10_000).alias("daily_return"))
-    return daily.withColumn("equity", initial * F.exp(F.sum(F.log1p("daily_return")).over(W.orderBy("session"))))
+    rets = daily_returns(bars).select("entity", "session", F.coalesce("ret", F.lit(0.0)).alias("ret"))
+    cells = rets.crossJoin(runs.select("run", "cost_bps", "initial"))  # every run holds every cell
+    w = cells.join(weights.select("run", "entity", "session", "weight"), ["run", "entity", "session"], "left").withColumn("weight", F.coalesce("weight", F.lit(0.0)))
+    own = W.partitionBy("run", "entity").orderBy("session")
+    held = w.select("*", F.coalesce(F.lag("weight", 2).over(own), F.lit(0.0)).alias("held"), F.coalesce(F.lag("weight", 1).over(own), F.lit(0.0)).alias("new"))
+    cost = F.sum(F.abs(F.col("new") - F.col("held"))) * F.max("cost_bps") / 10_000
+    daily = held.groupBy("run", "session").agg(F.max("initial").alias("initial"), (F.sum(F.col("held") * F.col("ret")) - cost).alias("daily_return"))
+    path = F.exp(F.sum(F.log1p("daily_return")).over(W.partitionBy("run").orderBy("session")))
+    return daily.withColumn("equity", F.col("initial") * path)
+
+
+def lot_weights(weights: DataFrame, bars: DataFrame, lot: float) -> DataFrame:
+    """``weights`` (run, initial, entity, session, weight) as far as whole lots of the initial capital allow."""
+    priced = weights.join(bars.select("entity", "session", "close"), ["entity", "session"])
+    return priced.withColumn("weight", F.floor(F.col("initial") * F.col("weight") / (F.col("close") * lot)) * lot * F.col("close") / F.col("initial")).drop("close")
 
 
 def split_factors(actions: DataFrame) -> DataFrame:
@@ -197,18 +287,39 @@ def split_positions(positions: DataFrame, splits: DataFrame) -> DataFrame:
 
 
 def dividend_receivables(holdings: DataFrame, dividends: DataFrame) -> DataFrame:
-    """entity, session, receivable: quantity held before the effective session times cash, from then until it is paid."""
-    d = dividends.select(F.col("entity").alias("_e"), "effective", "payment", "cash")
-    joined = holdings.join(d, (holdings["entity"] == d["_e"]) & (holdings["session"] >= d["effective"]) & (holdings["session"] < d["payment"]), "left")
-    before = holdings.select(F.col("entity").alias("_e2"), F.col("session").alias("_s2"), F.col("quantity").alias("_q"))
-    held = joined.join(before, (F.col("entity") == F.col("_e2")) & (F.col("_s2") < F.col("effective")), "left").groupBy("entity", "session", "effective", "cash").agg(F.max_by("_q", "_s2").alias("q"))
-    return held.groupBy("entity", "session").agg(F.coalesce(F.sum(F.col("q") * F.col("cash")), F.lit(0.0)).alias("receivable"))
-
+    """entity, session, receivable: quantity held before the effective session times cash, from then until it is paid.
 
-def action_exceptions(actions: DataFrame, start: Column) -> DataFrame:
-    """Actions that became known after their effective day, or were revised: each is a reason to stop a run."""
+    Two windows over an entity's rows in order: one finds the last quantity before each dividend's effective day, one
+    adds up what becomes due and what is paid. Every dividend counts, equal ones too.
+    """
+    due = dividends.select("entity", F.col("effective").alias("_t"), F.lit(0).alias("_k"), F.lit(None).cast("double").alias("quantity"), "effective", "payment", "cash")
+    own = holdings.select("entity", F.col("session").alias("_t"), F.lit(1).alias("_k"), F.col("quantity").cast("double").alias("quantity"))
+    both = own.unionByName(due, allowMissingColumns=True)
+    before = W.partitionBy("entity").orderBy("_t", "_k").rowsBetween(W.unboundedPreceding, -1)
+    amount = F.coalesce(F.last("quantity", ignorenulls=True).over(before), F.lit(0.0)) * F.col("cash")
+    entitled = both.withColumn("_amount", amount).where("_k = 0 AND payment > effective")
+    steps = entitled.select("entity", F.inline(F.array(F.struct(F.col("effective").alias("_t"), F.col("_amount").alias("_d")), F.struct(F.col("payment").alias("_t"), (-F.col("_amount")).alias("_d")))))
+    steps = steps.groupBy("entity", "_t").agg(F.sum("_d").alias("_d"))
+    days = holdings.select("entity", F.col("session").alias("_t"), F.lit(True).alias("_own"))
+    rows = days.join(steps, ["entity", "_t"], "full_outer")
+    upto = W.partitionBy("entity").orderBy("_t").rangeBetween(W.unboundedPreceding, 0)
+    return rows.withColumn("receivable", F.coalesce(F.sum("_d").over(upto), F.lit(0.0))).where("_own").select("entity", F.col("_t").alias("session"), "receivable")
+
+
+def action_exceptions(actions: DataFrame, start: Column, holdings: DataFrame | None = None, delistings: DataFrame | None = None) -> DataFrame:
+    """entity, event_at, late, revised[, delisted_while_held]: reasons to stop a run.
+
+    An action is late if it became known after its effective day, and revised if it has several versions. With
+    ``holdings`` (entity, session, quantity) and ``delistings`` (entity, effective), the last quantity held before an
+    entity's delisting counts too.
+    """
     known = actions.groupBy("entity", "event_at").agg(F.min("effective").alias("effective"), F.min(F.greatest("available_at", "ingested_at")).alias("known"), F.count_distinct("payload").alias("versions"))
-    return known.select("entity", "event_at", ((F.to_date("known") > F.col("effective")) & (F.to_date("known") >= start)).alias("late"), (F.col("versions") > 1).alias("revised"))
+    out = known.select("entity", "event_at", ((F.to_date("known") > F.col("effective")) & (F.to_date("known") >= start)).alias("late"), (F.col("versions") > 1).alias("revised"))
+    if holdings is None or delistings is None:
+        return out
+    ends = delistings.groupBy("entity").agg(F.min("effective").alias("_end"))
+    held = holdings.join(ends, "entity").where("session < _end").groupBy("entity").agg((F.max_by("quantity", "session") > 0).alias("delisted_while_held"))
+    return out.join(held, "entity", "left").withColumn("delisted_while_held", F.coalesce("delisted_while_held", F.lit(False)))
 
 
 def effective_status(statuses: DataFrame, session: Column, cutoff: Column) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidemark.operators import metrics, signals
+from tidemark.operators import calendars, metrics, quality, signals
 from tidemark.plans.registry import registry
 from tidemark.plans.signals import BACKTEST, FILLS, RET_E, _fills, weights_of
 from tidemark.sources import bindings as b
@@ -100,10 +100,18 @@ def a10(spark, sf):
     return _r(metrics.cost_totals(_fills(spark, sf), ["symbol"]), "cost", digits=2)
 
 
-@query("j17_return_difference", b.UBARS, sql_text="SELECT session, round(a.ret - z.ret, 6) AS difference, a.session IS NULL OR z.session IS NULL AS mismatch FROM (SELECT session, close AS ret FROM ubars WHERE entity = '1') a FULL JOIN (SELECT session, close AS ret FROM ubars WHERE entity = '2') z USING (session)")
+#: Daily returns of every user, and of the mean over all users.
+USER_RETURNS = "r AS (SELECT entity AS run, session, close / lag(close) OVER (PARTITION BY entity ORDER BY session) - 1 AS ret FROM ubars), d AS (SELECT session, avg(close) AS m FROM ubars GROUP BY session), m AS (SELECT session, m / lag(m) OVER (ORDER BY session) - 1 AS ret FROM d)"
+
+
+@query("j17_return_difference", b.UBARS, USER_RETURNS, sql_text="SELECT run, session, round(r.ret - m.ret, 6) AS difference, r.session IS NULL AS mismatch FROM (SELECT DISTINCT run FROM r) CROSS JOIN m LEFT JOIN (SELECT run, session, ret FROM r) r USING (run, session)")
 def j17(spark, sf):
-    bars = b.ubars(spark, sf).select("entity", "session", F.col("close").alias("ret"))
-    return _r(metrics.return_difference(bars.where("entity = '1'"), bars.where("entity = '2'")), "difference")
+    bars = b.ubars(spark, sf)
+    own = bars.select(F.col("entity").alias("run"), "session", (F.col("close") / F.lag("close").over(W.partitionBy("entity").orderBy("session")) - 1).alias("ret"))
+    mean = bars.groupBy("session").agg(F.avg("close").alias("m"))
+    mean = mean.select("session", (F.col("m") / F.lag("m").over(W.orderBy("session")) - 1).alias("ret"))  # one row a session
+    other = own.select("run").distinct().crossJoin(mean)
+    return _r(metrics.return_difference(own, other, ("run",)), "difference")
 
 
 RUNS = "runs AS (SELECT entity AS name, year(session) AS period, round(arg_max(close, session) / arg_min(close, session) - 1, 6) AS ret, month(max(session)) AS condition FROM bars GROUP BY 1, 2)"
@@ -123,22 +131,70 @@ def a16(spark, sf):
     return metrics.best_candidate(_runs(spark, sf), ["period"])
 
 
-SENSITIVITY = " UNION ALL ".join(f"SELECT '{name}' AS run, session, ln(equity) AS log_equity FROM (WITH {BACKTEST.format(bps=bps)} SELECT * FROM equity)" for name, bps in (("optimistic", 0), ("base", 15), ("conservative", 75)))
-
-
-@query("a17_cost_sensitivity", b.EBARS, RET_E, sql_text=f"SELECT run, session, round(log_equity, 6) AS log_equity FROM ({SENSITIVITY})")
-def a17(spark, sf):
-    weights, bars = weights_of(spark, sf), b.ebars(spark, sf)
-    paths = [signals.weight_backtest(weights, bars, bps, 1_000_000.0).select(F.lit(name).alias("run"), "session", F.round(F.log("equity"), 6).alias("log_equity")) for name, bps in (("optimistic", 0.0), ("base", 15.0), ("conservative", 75.0))]
-    return paths[0].union(paths[1]).union(paths[2])
+SCENARIOS = (("optimistic", 0.0), ("base", 15.0), ("conservative", 75.0))
+COST_PATHS = ",\n".join(
+    f"p_{name} AS (SELECT '{name}' AS run, * FROM (WITH {BACKTEST.format(bps=bps)} SELECT * FROM equity))" for name, bps in SCENARIOS
+) + ",\npaths AS (" + " UNION ALL ".join(f"SELECT * FROM p_{name}" for name, _ in SCENARIOS) + ")"
+PAIRED = "series AS (SELECT p.run, row_number() OVER (PARTITION BY p.run ORDER BY session) - 1 AS i, p.daily_return - o.daily_return AS value FROM paths p JOIN p_optimistic o USING (session) WHERE p.run <> 'optimistic')"
 
 
-GRID = "grid AS (SELECT entity || ':' || capital AS run, session, capital * (0.5 + close / first_value(close) OVER (PARTITION BY entity, capital ORDER BY session)) / 1.5 AS equity FROM ebars, (SELECT unnest([100000, 200000, 300000]) AS capital))"
+def _bounds_sql(replicates: int, block: int, seed: int, lo: int, hi: int) -> str:
+    """bounds (run, mean_difference, lower, upper, n) of each run of ``series``."""
+    return f"""num AS (SELECT run, count(*) AS n, avg(value) AS mean_difference FROM series GROUP BY run),
+draws AS (SELECT run, r, ((r * 7919 + k * 104729 + {seed}) % n + j) % n AS i FROM num, range({replicates}) a(r), range(1000) c(k), range({block}) d(j) WHERE n >= {2 * block} AND k * {block} + j < n),
+stats AS (SELECT run, r, sum(value) / count(*) AS s FROM draws JOIN series USING (run, i) GROUP BY run, r),
+ranked AS (SELECT run, s, row_number() OVER (PARTITION BY run ORDER BY s, r) - 1 AS rk FROM stats),
+bounds AS (SELECT run, any_value(mean_difference) AS mean_difference, any_value(n) AS n, max(CASE WHEN rk = {lo} THEN s END) AS lower, max(CASE WHEN rk = {hi} THEN s END) AS upper FROM num LEFT JOIN ranked USING (run) GROUP BY run)"""
 
 
-@query("a18_capital_grid", b.EBARS, GRID, PERFORMANCE.format(initial="100000.0::DOUBLE", path="grid"), sql_text="SELECT run, round(ratio - 1, 6) AS cumulative_return, round(-down, 6) AS max_drawdown FROM perf")
+@query("a17_cost_sensitivity", b.EBARS, RET_E, COST_PATHS, PERFORMANCE.format(initial="1000000.0::DOUBLE", path="paths"), PAIRED, _bounds_sql(500, 5, 7, 12, 487), sql_text="SELECT run, round(ln(ratio), 6) AS log_growth, round(-down, 6) AS max_drawdown, round(std * sqrt(252), 6) AS annualized_volatility, round(CASE WHEN std > 0 THEN mean / std * sqrt(252) END, 6) AS sharpe_ratio, round(mean_difference, 6) AS mean_difference, round(lower, 6) AS lower, round(upper, 6) AS upper FROM perf LEFT JOIN bounds USING (run)")
+def a17(spark, sf):
+    """Each scenario's metrics, and the interval of its mean daily return difference against the one without costs."""
+    weights, bars = weights_of(spark, sf), b.ebars(spark, sf)
+    runs = spark.range(1).select(F.inline(F.array(*[F.struct(F.lit(n).alias("run"), F.lit(1e6).alias("initial"), F.lit(c).alias("cost_bps")) for n, c in SCENARIOS])))
+    paths = signals.weight_backtests(weights.crossJoin(F.broadcast(runs.select("run"))), bars, runs)  # three rows
+    own = paths.where("run <> 'optimistic'").select("run", "session", F.col("daily_return").alias("ret"))
+    free = paths.where("run = 'optimistic'").select("session", F.col("daily_return").alias("ret"))
+    free = free.crossJoin(F.broadcast(runs.where("run <> 'optimistic'").select("run")))
+    interval = metrics.difference_interval(metrics.return_difference(own, free, ("run",)), 500, 5, 0.95, 7)
+    out = metrics.performance(paths, "initial").join(interval, "run", "left").withColumn("log_growth", F.log1p("cumulative_return"))
+    names = ("log_growth", "max_drawdown", "annualized_volatility", "sharpe_ratio", "mean_difference", "lower", "upper")
+    return _r(out.select("run", *names), *names)
+
+
+CAPITALS = (100_000.0, 200_000.0, 300_000.0)
+LOT = 10.0
+#: Three strategies over the bars of event types: equal weights each day, the best by momentum, equal weights held.
+STRATEGIES = """strat AS (SELECT 'equal' AS strategy, entity, session, 1.0::DOUBLE / count(*) OVER (PARTITION BY session) AS weight FROM ebars WHERE close IS NOT NULL
+  UNION ALL SELECT 'hold', entity, session, 1.0::DOUBLE / count(*) OVER (PARTITION BY session) FROM ebars WHERE close IS NOT NULL AND session = (SELECT min(s) FROM (SELECT min(session) AS s FROM ebars GROUP BY date_trunc('week', session)))
+  UNION ALL SELECT 'momentum', entity, session, 1.0::DOUBLE / count(*) OVER (PARTITION BY session) FROM (SELECT *, row_number() OVER (PARTITION BY session ORDER BY score DESC, entity) AS k FROM (SELECT entity, session, close / lag(close, 3) OVER (PARTITION BY entity ORDER BY session) - 1 AS score FROM ebars) WHERE score > 0) WHERE k <= 2),
+lots AS (SELECT strategy || ':' || CAST(capital AS BIGINT) AS run, capital, entity, session, floor(capital * weight / (close * 10)) * 10 * close / capital AS weight FROM strat JOIN ebars USING (entity, session), (SELECT unnest([100000.0, 200000.0, 300000.0])::DOUBLE AS capital)),
+cellw AS (SELECT r.run, r.capital, e.entity, e.session, e.ret, coalesce(l.weight, 0) AS weight FROM (SELECT DISTINCT run, capital FROM lots) r CROSS JOIN ret e LEFT JOIN lots l ON l.run = r.run AND l.entity = e.entity AND l.session = e.session),
+heldw AS (SELECT *, coalesce(lag(weight, 2) OVER v, 0) AS held, coalesce(lag(weight, 1) OVER v, 0) AS new FROM cellw WINDOW v AS (PARTITION BY run, entity ORDER BY session)),
+dayw AS (SELECT run, capital, session, sum(held * ret) - sum(abs(new - held)) * 15 / 10000 AS dr FROM heldw GROUP BY run, capital, session),
+pathw AS (SELECT run, capital, session, dr, exp(sum(ln(1 + dr)) OVER (PARTITION BY run ORDER BY session)) AS growth FROM dayw),
+downw AS (SELECT *, growth / greatest(max(growth) OVER (PARTITION BY run ORDER BY session), 1) - 1 AS down FROM pathw),
+ready AS (SELECT count(*) AS failures FROM ebars WHERE NOT (least(open, high, low, close) > 0 AND low <= least(open, close) AND greatest(open, close) <= high AND volume > 0))"""
+
+
+def _strategies(bars):
+    equal = signals.equal_weights(bars)
+    hold = signals.hold_weights(bars, calendars.rebalance_sessions(bars))
+    best = signals.selected_weights(signals.top_n(signals.momentum(bars, 3), 2))
+    frames = [w.select(F.lit(name).alias("strategy"), "entity", "session", "weight") for name, w in (("equal", equal), ("hold", hold), ("momentum", best))]
+    return frames[0].unionByName(frames[1]).unionByName(frames[2])
+
+
+@query("a18_capital_grid", b.EBARS, RET_E, STRATEGIES, sql_text="SELECT run, capital, round(ln(arg_max(growth, session)), 6) AS log_growth, round(-least(min(down), 0), 6) AS max_drawdown FROM downw, ready WHERE failures = 0 GROUP BY run, capital")
 def a18(spark, sf):
-    capitals = spark.range(1, 4).select((F.col("id") * 100000).alias("capital"))  # three rows
-    first = F.first("close").over(W.partitionBy("entity", "capital").orderBy("session"))
-    paths = b.ebars(spark, sf).crossJoin(F.broadcast(capitals)).select(F.concat_ws(":", "entity", "capital").alias("run"), "session", (F.col("capital") * (0.5 + F.col("close") / first) / 1.5).alias("equity"))
-    return _r(metrics.performance(paths, 100000.0).select("run", "cumulative_return", "max_drawdown"), "cumulative_return", "max_drawdown")
+    """Every capital with every strategy, in whole lots of its own capital, where the bars pass one readiness check."""
+    bars = b.ebars(spark, sf)
+    capitals = F.explode(F.array(*[F.lit(c) for c in CAPITALS])).alias("initial")
+    weights = _strategies(bars).select("*", capitals).withColumn("run", F.concat_ws(":", "strategy", F.col("initial").cast("long")))
+    runs = spark.range(1).select(F.explode(F.array(*[F.lit(s) for s in ("equal", "hold", "momentum")])).alias("strategy")).select("strategy", capitals)
+    runs = runs.select(F.concat_ws(":", "strategy", F.col("initial").cast("long")).alias("run"), "initial", F.lit(15.0).alias("cost_bps"))
+    paths = signals.weight_backtests(signals.lot_weights(weights, bars, LOT), bars, runs)
+    checked = quality.bar_issues(bars.withColumn("available_at", F.date_add("session", 1)).withColumn("factor", F.lit(1.0)))
+    out = metrics.performance(quality.gate(paths, checked), "initial").withColumn("log_growth", F.log1p("cumulative_return"))
+    out = out.join(runs.select("run", F.col("initial").alias("capital")), "run")
+    return _r(out.select("run", "capital", "log_growth", "max_drawdown"), "log_growth", "max_drawdown")

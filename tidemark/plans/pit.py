@@ -33,12 +33,13 @@ def j01_no_estimates(spark, sf):
     return pit.as_of(b.observations(spark, sf), F.lit(DECISION).cast("date"), allow_estimated=False)
 
 
-@query("j01_asof_many", b.OBS, b.MONTHS, sql_text=f"""SELECT decision, entity, event_at, available_at, ingested_at, value, revision, source, basis FROM (
+@query("j01_asof_many", b.OBS, b.MONTHS, sql_text=f"""SELECT decision, entity, count(*) AS keys, CAST(sum(CAST(round(value * 100) AS BIGINT)) AS BIGINT) AS cents, max(revision) AS last_revision FROM (
   SELECT d.session AS decision, o.*, row_number() OVER (PARTITION BY d.session, entity, event_at ORDER BY {ORDER}) AS k
-  FROM (SELECT session FROM months WHERE month(session) = 1) d JOIN obs o ON o.available_at < d.session AND o.ingested_at < d.session) WHERE k = 1""")
+  FROM months d JOIN obs o ON o.available_at < d.session AND o.ingested_at < d.session) WHERE k = 1 GROUP BY decision, entity""")
 def j01_asof_many(spark, sf):
-    yearly = b.months(spark, sf).where(F.month("session") == 1).select(F.col("session").alias("decision"))
-    return pit.as_of_many(b.observations(spark, sf), yearly)
+    """Every month as a decision; the rows known at each are added up by entity."""
+    known = pit.as_of_many(b.observations(spark, sf), b.months(spark, sf).withColumnRenamed("session", "decision"))
+    return known.groupBy("decision", "entity").agg(F.count(F.lit(1)).alias("keys"), F.sum(F.round(F.col("value") * 100).cast("long")).alias("cents"), F.max("revision").alias("last_revision"))
 
 
 @query("j02_ambiguous_revisions", b.OBS, sql_text="SELECT entity, available_at, count(DISTINCT value) AS contents FROM obs GROUP BY ALL HAVING count(DISTINCT value) > 1")

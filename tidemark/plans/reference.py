@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemark.operators import ledger, pit, quality, signals
+from tidemark.plans.metrics import _bounds_sql
 from tidemark.plans.quality import CALENDAR, _calendar
 from tidemark.plans.registry import registry
 from tidemark.sources import bindings as b
@@ -158,11 +159,18 @@ def s03(spark, sf):
     return landed.pagination_issues(pages).select("path", "code")
 
 
-@query("t06_forward_report", b.EBARS, sql_text="SELECT entity AS run, count(*) AS sessions, round(arg_max(equity, session) / 1000 - arg_max(base, session) / 1000, 6) AS relative_return, CASE WHEN count(*) < 60 THEN 'insufficient_forward_history' END AS reason FROM (SELECT entity, session, 1000 + close AS equity, 1000 + open AS base FROM ebars WHERE entity = 'click') GROUP BY entity")
+FORWARD = """fw AS (SELECT entity AS run, session, 1000 * close / first_value(close) OVER w AS equity, 1000 * open / first_value(open) OVER w AS base FROM bars WINDOW w AS (PARTITION BY entity ORDER BY session)),
+fr AS (SELECT *, equity / lag(equity, 1, 1000.0::DOUBLE) OVER w - base / lag(base, 1, 1000.0::DOUBLE) OVER w AS value, row_number() OVER w - 1 AS i FROM fw WINDOW w AS (PARTITION BY run ORDER BY session)),
+series AS (SELECT run, i, value FROM fr)"""
+
+
+@query("t06_forward_report", b.BARS, FORWARD, _bounds_sql(500, 5, 1, 12, 487), sql_text="SELECT run, sessions, round(rel, 6) AS relative_return, round(CASE WHEN sessions >= 60 THEN lower END, 6) AS lower, round(CASE WHEN sessions >= 60 THEN upper END, 6) AS upper, CASE WHEN sessions < 60 THEN 'insufficient_forward_history' END AS reason FROM (SELECT run, count(*) AS sessions, arg_max(equity, session) / 1000 - arg_max(base, session) / 1000 AS rel FROM fr GROUP BY run) LEFT JOIN bounds USING (run)")
 def t06(spark, sf):
-    bars = b.ebars(spark, sf).where("entity = 'click'")
-    path = lambda c: bars.select(F.col("entity").alias("run"), "session", (1000 + F.col(c)).alias("equity"))
-    return forward.report(path("close"), path("open"), 1000.0, 5).select("run", "sessions", F.round("relative_return", 6).alias("relative_return"), "reason")
+    bars = b.bars(spark, sf)
+    first = W.partitionBy("entity").orderBy("session")
+    path = lambda c: bars.select(F.col("entity").alias("run"), "session", (1000 * F.col(c) / F.first(c).over(first)).alias("equity"))
+    out = forward.report(path("close"), path("open"), 1000.0, 5)
+    return out.select("run", "sessions", *[F.round(c, 6).alias(c) for c in ("relative_return", "lower", "upper")], "reason")
 
 
 def _folder(spark) -> str:

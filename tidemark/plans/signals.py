@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemark.operators import calendars, signals
@@ -51,23 +52,61 @@ FEATURES = """features AS (SELECT entity, session, o, close / lag(close, 5) OVER
 NAMES = ("return_5", "return_20", "return_60", "volatility_20", "ma_ratio_20", "volume_change_5")
 
 
-@query("w03_features", b.BARS, RET, FEATURES, sql_text=f"SELECT entity, session, {', '.join(f'round({c}, 6) AS {c}' for c in NAMES)} FROM features WHERE n = 61")
+#: Universe and actions of the bars' entities: members from their second session on, one action after 66 months.
+MEMBERS = "mem AS (SELECT entity, session FROM (SELECT *, min(session) OVER (PARTITION BY entity) AS a FROM bars) WHERE session > a OR entity LIKE '%F')"
+CROSS = "cross_day AS (SELECT entity, CAST(min(session) + INTERVAL 66 MONTH AS DATE) AS effective FROM bars WHERE entity LIKE 'A%' GROUP BY entity)"
+BROKEN = "EXISTS (SELECT 1 FROM cross_day x WHERE x.entity = {t}.entity AND x.effective > {t}.{a} AND x.effective <= {t}.{z})"
+
+
+def _members(bars):
+    first = F.min("session").over(W.partitionBy("entity"))
+    return bars.withColumn("_a", first).where((F.col("session") > F.col("_a")) | F.col("entity").endswith("F")).select("entity", "session")
+
+
+def _crossings(bars):
+    return bars.where(F.col("entity").startswith("A")).groupBy("entity").agg(F.add_months(F.min("session"), 66).alias("effective"))
+
+
+@query("w03_features", b.BARS, RET, FEATURES, MEMBERS, CROSS, sql_text=f"""SELECT entity, session, {', '.join(f'round({c}, 6) AS {c}' for c in NAMES)} FROM (SELECT f.*, lag(session, 60) OVER (PARTITION BY entity ORDER BY session) AS a FROM features f) f
+WHERE n = 61 AND volume_change_5 IS NOT NULL AND (entity, a) IN (SELECT (entity, session) FROM mem) AND (entity, session) IN (SELECT (entity, session) FROM mem) AND NOT {BROKEN.format(t='f', a='a', z='session')}""")
 def w03(spark, sf):
-    return _r(signals.features(b.bars(spark, sf)).drop("ord"), *NAMES)
+    bars = b.bars(spark, sf)
+    return _r(signals.features(bars, members=_members(bars), actions=_crossings(bars), volume=True).drop("ord"), *NAMES)
 
 
-CELLS = "cells AS (SELECT e.entity, d.session, bars.session AS own FROM (SELECT DISTINCT entity FROM bars) e CROSS JOIN (SELECT DISTINCT session FROM bars) d LEFT JOIN bars ON bars.entity = e.entity AND bars.session = d.session)"
+CELLS = "cells AS (SELECT e.entity, d.session, bars.session AS own, sha256(concat_ws('|', bars.entity, bars.session, CAST(round(bars.close * 100) AS BIGINT))) AS digest FROM (SELECT DISTINCT entity FROM bars) e CROSS JOIN (SELECT DISTINCT session FROM bars) d LEFT JOIN bars ON bars.entity = e.entity AND bars.session = d.session)"
+LINEAGE = ", ".join(
+    f"max(greatest(own + 1, own + CAST(day(own + 400) % 3 AS INT))) OVER (w ROWS BETWEEN {k} PRECEDING AND CURRENT ROW) AS known_{name}, "
+    f"sha256(array_to_string(list_filter(list(CASE WHEN own IS NOT NULL THEN concat_ws(':', own, entity || '@' || own, digest) END) OVER (w ROWS BETWEEN {k} PRECEDING AND CURRENT ROW), lambda x: x IS NOT NULL), ',')) AS sources_{name}"
+    for name, k in signals.USES.items()
+)
 
 
-@query("w04_feature_lineage", b.BARS, CELLS, sql_text="SELECT entity, session, " + ", ".join(f"max(greatest(own + 1, own + CAST(day(own + 400) % 3 AS INT))) OVER (w ROWS BETWEEN {k} PRECEDING AND CURRENT ROW) AS known_{k}, min(session) OVER (w ROWS BETWEEN {k} PRECEDING AND CURRENT ROW) AS from_{k}" for k in (5, 20, 60)) + " FROM cells WINDOW w AS (PARTITION BY entity ORDER BY session)")
+@query("w04_feature_lineage", b.BARS, CELLS, sql_text=f"SELECT entity, session, {LINEAGE} FROM cells WINDOW w AS (PARTITION BY entity ORDER BY session)")
 def w04(spark, sf):
     bars = b.bars(spark, sf).withColumn("available_at", F.date_add("session", 1)).withColumn("ingested_at", F.expr("date_add(session, day(date_add(session, 400)) % 3)"))
-    return signals.feature_lineage(bars)
+    bars = bars.withColumn("revision", F.concat_ws("@", "entity", "session")).withColumn("digest", F.sha2(F.concat_ws("|", "entity", "session", F.round(F.col("close") * 100).cast("long")), 256))
+    listed = lambda c: F.sha2(F.array_join(F.transform(c, lambda x: F.concat_ws(":", x["session"], x["revision"], x["digest"])), ","), 256)
+    return signals.feature_lineage(bars).withColumns({f"sources_{c}": listed(f"sources_{c}") for c in signals.USES})
 
 
-@query("w05_forward_labels", b.BARS, sql_text="SELECT entity, session, \"end\", round(f, 6) AS forward_return, (f > 0)::INT AS y FROM (SELECT entity, session, lead(session, 3) OVER w AS \"end\", lead(close, 3) OVER w / close - 1 AS f FROM bars WINDOW w AS (PARTITION BY entity ORDER BY session)) WHERE f IS NOT NULL")
+#: Each month's close is known the next day; every third month it is revised two months later.
+REVISED = "rev AS (SELECT entity, session, close, session + 1 AS known, 1 AS revision FROM bars UNION ALL SELECT entity, session, close * 1.01::DOUBLE, CAST(session + INTERVAL 2 MONTH AS DATE), 2 FROM bars WHERE month(session) % 3 = 0 UNION ALL SELECT entity, session, close * 1.5::DOUBLE, CAST(session + INTERVAL 6 MONTH AS DATE), 3 FROM bars)"
+
+
+def _revisions(bars):
+    row = lambda rows, close, known, k: rows.select("entity", "session", close.alias("close"), close.alias("value"), known.alias("available_at"), known.alias("ingested_at"), F.lit(k).alias("revision"))
+    c = F.col("close")
+    out = row(bars, c, F.date_add("session", 1), 1).union(row(bars.where(F.month("session") % 3 == 0), c * 1.01, F.add_months("session", 2), 2))
+    return out.union(row(bars, c * 1.5, F.add_months("session", 6), 3))
+
+
+@query("w05_forward_labels", b.BARS, REVISED, MEMBERS, CROSS, sql_text=f"""SELECT entity, session, "end", round(f, 6) AS forward_return, (f > 0)::INT AS y FROM (SELECT l.entity, l.session, l."end",
+  (SELECT arg_max(close, revision) FROM rev WHERE rev.entity = l.entity AND rev.session = l."end" AND known < l."end" + 2) / (SELECT arg_max(close, revision) FROM rev WHERE rev.entity = l.entity AND rev.session = l.session AND known < l."end" + 2) - 1 AS f
+  FROM (SELECT entity, session, lead(session, 3) OVER (PARTITION BY entity ORDER BY session) AS "end" FROM bars) l WHERE (l.entity, l.session) IN (SELECT (entity, session) FROM mem) AND (l.entity, l."end") IN (SELECT (entity, session) FROM mem) AND NOT {BROKEN.format(t='l', a='session', z='"end"')}) WHERE f IS NOT NULL""")
 def w05(spark, sf):
-    return _r(signals.forward_label(b.bars(spark, sf), 3), "forward_return")
+    bars = b.bars(spark, sf)
+    return _r(signals.forward_label(bars, 3, _members(bars), _crossings(bars), _revisions(bars), lag_days=2), "forward_return")
 
 
 @query("w06_daily_returns", *SPARSE, sql_text="SELECT entity, session, round(close / lag(close) OVER (PARTITION BY entity ORDER BY session) - 1, 6) AS ret FROM grid")
@@ -177,11 +216,18 @@ def v06(spark, sf):
 REB = "reb AS (SELECT min(session) AS session FROM ubars GROUP BY date_trunc('week', session))"
 
 
-@query("v07_order_life_cycle", *SPARSE, NEXT, REB, sql_text="SELECT entity, session, fill_session, CASE WHEN fill_session IS NOT NULL AND (after IS NULL OR fill_session <= after) THEN 'filled' WHEN after IS NOT NULL THEN 'cancelled' ELSE 'pending' END AS status FROM (SELECT n.*, (SELECT min(r.session) FROM reb r WHERE r.session > n.session) AS after FROM nxt n)")
+EXITS = "exits AS (SELECT entity, session FROM ubars WHERE CAST(entity AS BIGINT) % 3 = 0 AND day(session) % 9 = 0)"
+
+
+@query("v07_order_life_cycle", *SPARSE, NEXT, REB, EXITS, sql_text="""SELECT entity, session, fill_session, CASE WHEN fill_session IS NOT NULL AND (after IS NULL OR fill_session <= after) AND (x IS NULL OR fill_session < x) THEN 'filled' WHEN after IS NOT NULL OR x IS NOT NULL THEN 'cancelled' ELSE 'pending' END AS status
+FROM (SELECT n.*, CASE WHEN CAST(n.entity AS BIGINT) % 5 <> 0 THEN (SELECT min(r.session) FROM reb r WHERE r.session > n.session) END AS after, (SELECT min(e.session) FROM exits e WHERE e.entity = n.entity AND e.session > n.session) AS x FROM nxt n)""")
 def v07(spark, sf):
     bars = b.ubars(spark, sf)
     fills = signals.next_tradable(bars)
-    return signals.order_life_cycle(fills.select("entity", "session"), fills, calendars.rebalance_sessions(bars))
+    user = F.col("entity").cast("long")
+    exits = bars.where((user % 3 == 0) & (F.dayofmonth("session") % 9 == 0)).select("entity", "session")
+    orders = fills.select("entity", "session", (user % 5 == 0).alias("hold"))
+    return signals.order_life_cycle(orders, fills, calendars.rebalance_sessions(bars), exits)
 
 
 BACKTEST = """w AS (SELECT r.entity, r.session, r.ret, CASE WHEN r.session IN (SELECT min(session) FROM ebars GROUP BY date_trunc('week', session)) THEN 0.2 + length(r.entity) / 100.0 ELSE 0.1 END::DOUBLE AS weight FROM ret r),

@@ -79,17 +79,15 @@ def append_decisions(stream: DataFrame, path: str, checkpoint: str, decide: Call
 def report(equity: DataFrame, benchmark: DataFrame, initial: float, block: int, replicates: int = 500, confidence: float = 0.95, seed: int = 1) -> DataFrame:
     """One row a run: its metrics, benchmark-relative return, interval of the mean return difference, or why there is none.
 
-    ``equity`` and ``benchmark`` hold one run each: run, session, equity.
+    ``equity`` and ``benchmark``: run, session, equity; each run has a benchmark path of its own.
     """
-    from pyspark.sql import Window as W
-
-    w = W.orderBy("session")  # one row a session
-    returns = lambda e: e.select("session", (F.col("equity") / F.lag("equity", 1, initial).over(w) - 1).alias("ret"))
-    difference = metrics.return_difference(returns(equity), returns(benchmark)).where("NOT mismatch")
-    series = difference.select((F.row_number().over(w) - 1).alias("i"), F.col("difference").alias("value"))
-    interval = metrics.bootstrap_interval(series, replicates, block, confidence, seed)
-    own, other = metrics.performance(equity, initial), metrics.performance(benchmark, initial).select(F.col("cumulative_return").alias("benchmark_return"))
-    n = equity.agg(F.count(F.lit(1)).alias("sessions"))
+    difference = metrics.return_difference(metrics.returns(equity, initial), metrics.returns(benchmark, initial), ("run",))
+    interval = metrics.difference_interval(difference, replicates, block, confidence, seed)
+    own, other = metrics.performance(equity, initial), metrics.performance(benchmark, initial).select("run", F.col("cumulative_return").alias("benchmark_return"))
+    n = equity.groupBy("run").agg(F.count(F.lit(1)).alias("sessions"))
     short = F.col("sessions") < max(LEAST_FORWARD, 2 * block)
-    out = own.crossJoin(other).crossJoin(interval).crossJoin(n)  # one row each
-    return out.select("run", "sessions", "cumulative_return", "max_drawdown", (F.col("cumulative_return") - F.col("benchmark_return")).alias("relative_return"), F.when(~short, F.col("lower")).alias("lower"), F.when(~short, F.col("upper")).alias("upper"), F.when(short, "insufficient_forward_history").otherwise(F.col("reason")).alias("reason"))
+    out = own.join(other, "run").join(n, "run").join(interval, "run", "left")
+    return out.select(
+        "run", "sessions", "cumulative_return", "max_drawdown", (F.col("cumulative_return") - F.col("benchmark_return")).alias("relative_return"),
+        F.when(~short, F.col("lower")).alias("lower"), F.when(~short, F.col("upper")).alias("upper"), F.when(short, "insufficient_forward_history").otherwise(F.col("reason")).alias("reason"),
+    )

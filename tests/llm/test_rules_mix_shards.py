@@ -182,3 +182,27 @@ def test_licences(spark):
     for r in licenses.known_digests(spark).collect():
         by_digest[r["digest"]].add(r["licence"])
     assert len(by_digest) > 100 and all(len(v) == 1 for v in by_digest.values()) and len(known()) < 400
+
+
+def test_whole_licences_in_usual_forms(spark):
+    import textwrap
+
+    from tidemark.llm import license_texts as t
+
+    def wrapped(text, width=60):
+        return "\n".join(textwrap.fill(p, width, break_on_hyphens=False) for p in text.split("\n"))
+
+    isc = "ISC License\n\nCopyright (c) 2019, Some One <some@one.org>\n\n" + wrapped(t._ISC, 79)
+    bodies = [
+        ("MIT", "MIT License\n\nCopyright (c) 2021 Some One\nCopyright 2022-2024 Others\n\n" + wrapped(t._MIT_BODY.split("\n", 2)[2])),
+        ("ISC", isc), ("BSD-3-Clause", "BSD 3-Clause License\n\nCopyright (c) 2020, Some One\nAll rights reserved.\n\n" + wrapped(t._BSD_3.split("\n", 2)[2])),
+        ("Apache-2.0", wrapped(t.APACHE, 72)), ("Unlicense", wrapped(t.UNLICENSE).replace("recognize", "recognise")), ("GPL-3.0-or-later", wrapped(t.GPL_HEADER.format(kind=""))),
+        (None, t.MIT + "\nand one more sentence"), (None, t.APACHE.replace("perpetual", "temporary")),
+    ]
+    docs = spark.createDataFrame([(i, x, i, "k") for i, (_, x) in enumerate(bodies)], "doc_id long, text string, row long, digest string")
+    got = {r["doc_id"]: r["license_id"] for r in licenses.license_scan(docs).collect()}
+    assert [got[i] for i in range(len(bodies))] == [licence for licence, _ in bodies]
+    assert "copyright notice and this permission notice appear" in " ".join(isc.split())  # a wrapped line may begin so
+    long = spark.createDataFrame([(1, "some words\n" * 200_000 + "MIT License\n")], "doc_id long, text string")
+    assert [(r["notices"], r["n_notice_lines"]) for r in licenses.license_scan(long).collect()] == [(["MIT"], 1)]
+    assert licenses.license_scan(long.limit(0)).count() == 0

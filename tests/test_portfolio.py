@@ -2,6 +2,7 @@
 
 import datetime as dt
 import math
+from decimal import Decimal
 
 import pytest
 from pyspark.sql import functions as F
@@ -145,6 +146,29 @@ def test_descent_matches_by_hand(spark):
     assert fit["intercept"] == pytest.approx(w[0]) and fit["weights"][0] == pytest.approx(w[1])
 
 
-def test_append_is_idempotent(spark):
-    tx = spark.createDataFrame([("1", "a"), ("2", "b")], "id string, what string")
-    assert ledger.append_batch(tx, spark.createDataFrame([("2", "z"), ("3", "a"), ("4", "c"), ("4", "c")], "id string, what string"), ["what"]).collect()[0]["id"] == "4"
+def test_append_is_idempotent_and_refuses_overselling(spark):
+    kind = "id string, what string, symbol string, currency string, side string, quantity int, at int"
+    old = spark.createDataFrame([("1", "a", "A", "JPY", "buy", 5, 1), ("2", "b", "B", "JPY", "buy", 5, 1)], kind)
+    batch = [("2", "z", "A", "JPY", "buy", 1, 2), ("3", "a", "A", "JPY", "buy", 1, 2), ("4", "c", "A", "JPY", "sell", 5, 2), ("4", "c", "A", "JPY", "sell", 5, 2), ("5", "d", "B", "JPY", "sell", 6, 2), ("6", "e", "B", "JPY", "buy", 9, 3)]
+    got = sorted((r["id"], r["code"] or "") for r in ledger.append_batch(old, spark.createDataFrame(batch, kind), ["what"], ["at"]).collect())
+    assert got == [("2", "duplicate_id"), ("3", "duplicate_content"), ("4", ""), ("4", "duplicate_id"), ("5", "oversell"), ("6", "oversell")]
+    assert {r["code"] for r in ledger.append_batch(old, spark.createDataFrame(batch, kind), ["what"]).collect()} == {None, "duplicate_id", "duplicate_content"}
+
+
+def test_ledger_is_exact(spark):
+    p = ledger_of(spark, ("buy", 3, 0.1, 0), ("sell", 1, 0.2, 0.01))
+    assert (p["total_cost"], p["realized_pnl"]) == (Decimal("0.2"), Decimal("0.09"))
+    third = ledger_of(spark, ("buy", 3, 100, 0), ("buy", 4, 0.1, 0.1), ("sell", 1, 1, 0))
+    assert third["total_cost"] == Decimal("300.5") - Decimal("42.928571428571")
+
+
+def test_dividends_of_one_day_all_count(spark):
+    hold = spark.createDataFrame([("A", D(1), 10.0), ("A", D(3), 20.0), ("A", D(5), 0.0), ("A", D(9), 5.0)], "entity string, session date, quantity double")
+    div = spark.createDataFrame([("A", D(3), D(6), 1.0), ("A", D(3), D(6), 1.0), ("A", D(4), D(9), 2.0)], "entity string, effective date, payment date, cash double")
+    got = [r["receivable"] for r in signals.dividend_receivables(hold, div).orderBy("session").collect()]
+    assert got == [0.0, 20.0, 60.0, 0.0]
+
+
+def test_equal_paths_give_equal_returns_whatever_the_capital(spark):
+    paths = spark.createDataFrame([(str(c), D(k), float(c), c * (1 + k / 10)) for c in (100, 200, 300) for k in (1, 2, 3)], "run string, session date, initial double, equity double")
+    assert {round(r["cumulative_return"], 9) for r in metrics.performance(paths, "initial").collect()} == {0.3}

@@ -2,68 +2,128 @@
 
 from __future__ import annotations
 
+import decimal
+import hashlib
+from collections.abc import Iterator
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
-def _state(x) -> Column:
-    """A fold over one symbol's transactions in order: buys add cost, sells take their share of it, all on a full close; a sell of more than is held is counted and skipped."""
-    zero = F.lit(0.0)
-    start = F.struct(zero.alias("quantity"), zero.alias("cost"), zero.alias("realized"), F.lit(0).cast("long").alias("oversold"))
-
-    def step(s, t):
-        q, price, fee = t["quantity"], t["price"], t["fee"]
-        left = s["quantity"] - q
-        closed = F.abs(left) < 1e-9
-        allocated = F.when(closed, s["cost"]).otherwise(s["cost"] * q / F.when(s["quantity"] != 0, s["quantity"]))
-        bought = F.struct((s["quantity"] + q).alias("quantity"), (s["cost"] + q * price + fee).alias("cost"), s["realized"].alias("realized"), s["oversold"].alias("oversold"))
-        sold = F.struct(F.when(closed, zero).otherwise(left).alias("quantity"), F.when(closed, zero).otherwise(s["cost"] - allocated).alias("cost"), (s["realized"] + q * price - fee - allocated).alias("realized"), s["oversold"].alias("oversold"))
-        refused = F.struct(s["quantity"].alias("quantity"), s["cost"].alias("cost"), s["realized"].alias("realized"), (s["oversold"] + 1).alias("oversold"))
-        return F.when(t["side"] == "buy", bought).when(q <= s["quantity"] + 1e-9, sold).otherwise(refused)
-
-    return F.aggregate(x, start, step)
+MONEY = "decimal(38,12)"
+SUM = "decimal(36,12)"  # can be added to without losing digits
 
 
 def positions(tx: DataFrame, order: list[str]) -> DataFrame:
-    """symbol, currency, quantity, average_cost, total_cost, realized_pnl, oversold, last_tx: the ledger replayed per symbol.
+    """symbol, currency, quantity, average_cost, total_cost, realized_pnl, oversold, last_tx: the ledger replayed.
 
-    A ledger is ordered by nature, so a symbol's own transactions are folded in one task; symbols run in parallel.
+    Exact: decimals of 12 digits, each product and share rounded half up once. Buys add cost, sells take their share of
+    it, all on a full close; a sell of more than is held is counted and skipped. A ledger is ordered by nature, so a
+    symbol's rows are sorted into one task each, which spills to disk; the fold streams over them and holds one state,
+    so no symbol is gathered in memory.
+    """
+    kinds = {f.name: f.dataType.simpleString() for f in tx.schema}
+    out = f"symbol {kinds['symbol']}, currency {kinds['currency']}, quantity {MONEY}, average_cost {MONEY}, total_cost {MONEY}, realized_pnl {MONEY}, oversold long, last_tx {kinds['executed_at']}"
+
+    unit = 10**12
+
+    def half_up(a: int, b: int) -> int:
+        """a / b for positive b."""
+        return (2 * a + b) // (2 * b)
+
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        decimal.getcontext().prec = 60
+        key, state, last = None, [0, 0, 0, 0], None
+        columns = [x.split()[0] for x in out.split(", ")]
+
+        def closed() -> tuple:
+            held, cost, realized, oversold = state
+            money = lambda x: decimal.Decimal(x).scaleb(-12)
+            return (*key, money(held), money(half_up(cost * unit, held)) if held else None, money(cost), money(realized), oversold, last)
+
+        for batch in batches:
+            rows = []
+            for symbol, currency, side, quantity, price, fee, at in batch.itertuples(index=False, name=None):
+                if (symbol, currency) != key:
+                    if key is not None:
+                        rows.append(closed())
+                    key, state, last = (symbol, currency), [0, 0, 0, 0], at
+                held, cost, realized, oversold = state
+                q, fee = int(quantity * unit), int(fee * unit)
+                value = half_up(q * int(price * unit), unit)
+                if side == "buy":
+                    state = [held + q, cost + value + fee, realized, oversold]
+                elif q <= held:
+                    share = cost if q == held else half_up(cost * q, held)
+                    state = [held - q, cost - share, realized + value - fee - share, oversold]
+                else:
+                    state[3] += 1
+                last = max(last, at)
+            if rows:
+                yield pd.DataFrame(rows, columns=columns)
+        if key is not None:
+            yield pd.DataFrame([closed()], columns=columns)
+
+    place = ["symbol", "currency", *order, "side", "quantity", "price", "fee"]
+    sorted_rows = tx.repartition("symbol", "currency").sortWithinPartitions(*place)
+    amounts = [F.col(c).cast("decimal(30,12)").alias(c) for c in ("quantity", "price", "fee")]
+    return sorted_rows.select("symbol", "currency", "side", *amounts, "executed_at").mapInPandas(fold, out)
+
+
+def append_batch(existing: DataFrame, batch: DataFrame, economic: list[str], order: list[str] | None = None) -> DataFrame:
+    """``batch`` with ``code``: null for rows to append, else duplicate_id, duplicate_content or oversell.
+
+    Of rows of the batch with one id or one economic content the least (id, then digest of all columns) counts. With
+    ``order`` a symbol whose ledger would then sell more than it holds at any point is refused as a whole: running
+    quantities over the existing and the new rows show it.
     """
-    row = F.struct(*order, "side", "quantity", "price", "fee")
-    folded = tx.groupBy("symbol", "currency").agg(_state(F.sort_array(F.collect_list(row))).alias("s"), F.max("executed_at").alias("last_tx"))
-    return folded.select("symbol", "currency", F.col("s.quantity").alias("quantity"), F.try_divide("s.cost", "s.quantity").alias("average_cost"), F.col("s.cost").alias("total_cost"), F.col("s.realized").alias("realized_pnl"), F.col("s.oversold").alias("oversold"), "last_tx")
-
-
-def append_batch(existing: DataFrame, batch: DataFrame, economic: list[str]) -> DataFrame:
-    """Rows of ``batch`` whose id and economic content are new, once each."""
     content = F.sha2(F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in economic]), 256)
-    new = batch.withColumn("_e", content).dropDuplicates(["id"]).dropDuplicates(["_e"])
-    return new.join(existing.select("id"), "id", "left_anti").join(existing.select(content.alias("_e")), "_e", "left_anti").drop("_e")
+    everything = F.sha2(F.to_json(F.struct(*batch.columns)), 256)
+    known = existing.select("id").distinct().withColumn("_known_id", F.lit(True))
+    contents = existing.select(content.alias("_e")).distinct().withColumn("_known_e", F.lit(True))
+    rows = batch.withColumn("_e", content).withColumn("_d", everything)
+    first = lambda c: F.row_number().over(W.partitionBy(c).orderBy("id", "_d"))
+    rows = rows.withColumn("_ni", first("id")).withColumn("_ne", first("_e")).join(known, "id", "left").join(contents, "_e", "left")
+    code = F.when(F.col("_known_id").isNotNull() | (F.col("_ni") > 1), "duplicate_id").when(F.col("_known_e").isNotNull() | (F.col("_ne") > 1), "duplicate_content")
+    rows = rows.withColumn("code", code).drop("_e", "_ni", "_ne", "_known_id", "_known_e")
+    if order is None:
+        return rows.drop("_d")
+    signed = F.when(F.col("side") == "buy", F.col("quantity")).otherwise(-F.col("quantity"))
+    both = existing.select("symbol", "currency", *order, signed.alias("_q")).unionByName(rows.where("code IS NULL").select("symbol", "currency", *order, signed.alias("_q")))
+    running = both.withColumn("_held", F.sum("_q").over(W.partitionBy("symbol", "currency").orderBy(*order).rowsBetween(W.unboundedPreceding, 0)))
+    short = running.groupBy("symbol", "currency").agg((F.min("_held") < 0).alias("_short"))
+    rows = rows.join(short, ["symbol", "currency"], "left")
+    return rows.withColumn("code", F.coalesce("code", F.when(F.col("_short"), "oversell"))).drop("_d", "_short")
 
 
 def valued(pos: DataFrame, snapshots: DataFrame, as_of: Column, max_age_days: int) -> DataFrame:
     """``pos`` with valuation_status in this priority: closed, missing, future, stale, before_transaction, ok; and value, unrealized, unrealized_pct, daily_move where ok."""
-    s = snapshots.select(F.col("symbol").alias("_s"), F.col("currency").alias("_c"), F.col("price").alias("current_price"), F.col("as_of").alias("snapshot_at"), *([F.col("previous_close")] if "previous_close" in snapshots.columns else [F.lit(None).cast("double").alias("previous_close")]))
+    s = snapshots.select(F.col("symbol").alias("_s"), F.col("currency").alias("_c"), F.col("price").alias("current_price"), F.col("as_of").alias("snapshot_at"), *([F.col("previous_close")] if "previous_close" in snapshots.columns else [F.lit(None).cast(MONEY).alias("previous_close")]))
     j = pos.join(s, (pos["symbol"] == s["_s"]) & (pos["currency"] == s["_c"]), "left").drop("_s", "_c")
     status = (
         F.when(F.col("quantity") == 0, "closed").when(F.col("current_price").isNull(), "missing").when(F.col("snapshot_at") > as_of, "future")
         .when(F.datediff(as_of, F.col("snapshot_at")) > max_age_days, "stale").when(F.col("snapshot_at") < F.col("last_tx"), "before_transaction").otherwise("ok")
     )
     ok = F.col("valuation_status") == "ok"
-    value = F.when(ok, F.col("quantity") * F.col("current_price")).when(F.col("valuation_status") == "closed", F.lit(0.0))
+    # 12 whole digits of shares with 4 decimals, 9 of a price with 12: their product fits a decimal without loss.
+    product = (F.col("quantity").cast("decimal(16,4)") * F.col("current_price").cast("decimal(21,12)")).cast(MONEY)
+    zero = F.lit(0).cast(MONEY)
+    value = F.when(ok, product).when(F.col("valuation_status") == "closed", zero)
     j = j.withColumn("valuation_status", status).withColumn("market_value", value)
-    unrealized = F.when(F.col("valuation_status") == "closed", F.lit(0.0)).otherwise(F.col("market_value") - F.col("total_cost"))
-    return j.withColumn("unrealized", unrealized).withColumn("unrealized_pct", F.when(ok, F.try_divide(F.col("market_value") - F.col("total_cost"), F.col("total_cost")))).withColumn("daily_move", F.when(ok, F.try_divide(F.col("current_price") - F.col("previous_close"), F.col("previous_close"))))
+    unrealized = F.when(F.col("valuation_status") == "closed", zero).otherwise((F.col("market_value") - F.col("total_cost")).cast(MONEY))
+    ratio = lambda a, b: F.when(ok, F.try_divide((F.col(a) - F.col(b)).cast("double"), F.col(b).cast("double")))
+    j = j.withColumn("unrealized", unrealized).withColumn("unrealized_pct", ratio("market_value", "total_cost"))
+    return j.withColumn("daily_move", ratio("current_price", "previous_close"))
 
 
 def currency_totals(v: DataFrame) -> DataFrame:
     """Per currency: cost, realized, known value, completeness, unpriced symbols; value and unrealized are null unless all open positions are priced."""
     unpriced = (F.col("quantity") > 0) & (F.col("valuation_status") != "ok")
     t = v.groupBy("currency").agg(
-        F.sum("total_cost").alias("total_cost"), F.sum("realized_pnl").alias("realized_pnl"), F.sum(F.coalesce("market_value", F.lit(0.0))).alias("known_market_value"),
+        F.sum("total_cost").alias("total_cost"), F.sum("realized_pnl").alias("realized_pnl"), F.sum(F.coalesce("market_value", F.lit(0).cast(MONEY))).alias("known_market_value"),
         (~F.bool_or(unpriced)).alias("complete"), F.sort_array(F.collect_list(F.when(unpriced, F.col("symbol")))).alias("unpriced_symbols"),
     )
     return t.withColumn("market_value", F.when(F.col("complete"), F.col("known_market_value"))).withColumn("unrealized", F.col("market_value") - F.col("total_cost"))
@@ -72,7 +132,7 @@ def currency_totals(v: DataFrame) -> DataFrame:
 def weighted(v: DataFrame) -> DataFrame:
     """``v`` with portfolio_weight inside its currency, null where that isn't complete or worth nothing."""
     t = currency_totals(v).select("currency", F.when(F.col("market_value") > 0, F.col("market_value")).alias("_total"))
-    return v.join(t, "currency").withColumn("portfolio_weight", F.col("market_value") / F.col("_total")).drop("_total")
+    return v.join(t, "currency").withColumn("portfolio_weight", F.col("market_value").cast("double") / F.col("_total").cast("double")).drop("_total")
 
 
 RULES = (("take_profit_threshold", "info", "unrealized_pct", "ge"), ("loss_warning_threshold", "warning", "unrealized_pct", "le"), ("daily_move_threshold", "warning", "daily_move", "abs_ge"), ("concentration_threshold", "warning", "portfolio_weight", "gt"))
@@ -133,32 +193,59 @@ def trade_history(fills: DataFrame, orders: DataFrame) -> DataFrame:
     return fills.join(orders, "order_id")
 
 
-def account(fills: DataFrame, initial: float, by: str = "run") -> DataFrame:
-    """run, session, cash: the initial cash less buys, plus sells, less fees, summed up to each session."""
-    flow = F.when(F.col("side") == "buy", -F.col("notional")).otherwise(F.col("notional")) - F.col("fee")
-    daily = fills.groupBy(by, "session").agg(F.sum(flow.cast("decimal(18,4)")).alias("flow"))
-    return daily.select(by, "session", (F.lit(initial).cast("decimal(18,4)") + F.sum("flow").over(W.partitionBy(by).orderBy("session"))).cast("double").alias("cash"))
+def _flow() -> Column:
+    """What a fill (side, notional, fee) does to cash."""
+    return F.when(F.col("side") == "buy", -F.col("notional")).otherwise(F.col("notional")) - F.col("fee")
 
 
-def equity(fills: DataFrame, marks: DataFrame, initial: float) -> DataFrame:
-    """session, equity: cash plus the held quantities at their marks; ``marks`` (entity, session, mark) on the whole grid."""
+def account(fills: DataFrame, initial: int, by: str = "run") -> DataFrame:
+    """run, session, cash: the initial cash less buys, plus sells, less fees, summed up to each session, as decimals."""
+    daily = fills.groupBy(by, "session").agg(F.sum(_flow().cast(MONEY)).alias("flow"))
+    return daily.select(by, "session", (F.lit(initial) + F.sum("flow").over(W.partitionBy(by).orderBy("session")).cast(SUM)).cast(MONEY).alias("cash"))
+
+
+def equity(fills: DataFrame, marks: DataFrame, initial: int) -> DataFrame:
+    """session, equity: cash plus the held quantities at their marks, as decimals; ``marks`` (entity, session, mark) on
+    the whole grid. Whole shares of 16 digits, marks of 9 whole and 12 other digits."""
     held = fills.groupBy("entity", "session").agg(F.sum(F.when(F.col("side") == "buy", F.col("quantity")).otherwise(-F.col("quantity"))).alias("q"))
     w = W.partitionBy("entity").orderBy("session")
-    value = marks.join(held, ["entity", "session"], "left").withColumn("_q", F.sum(F.coalesce("q", F.lit(0.0))).over(w)).groupBy("session").agg(F.sum(F.col("_q") * F.coalesce("mark", F.lit(0.0))).alias("held_value"))
-    flow = F.when(F.col("side") == "buy", -F.col("notional")).otherwise(F.col("notional")) - F.col("fee")
-    cash = fills.groupBy("session").agg(F.sum(flow).alias("flow"))
+    upto = F.sum(F.coalesce("q", F.lit(0).cast(MONEY))).over(w)
+    value = F.col("_q").cast("decimal(16,0)") * F.coalesce(F.col("mark").cast("decimal(21,12)"), F.lit(0).cast("decimal(21,12)"))
+    value = marks.join(held, ["entity", "session"], "left").withColumn("_q", upto).groupBy("session").agg(F.sum(value).alias("held_value"))
+    cash = fills.groupBy("session").agg(F.sum(_flow().cast(MONEY)).alias("flow"))
     both = value.join(cash, "session", "left")
-    return both.select("session", (initial + F.sum(F.coalesce("flow", F.lit(0.0))).over(W.orderBy("session")) + F.col("held_value")).alias("equity"))  # one row a session
+    running = F.sum(F.coalesce("flow", F.lit(0).cast(MONEY))).over(W.orderBy("session"))  # one row a session
+    return both.select("session", (F.lit(initial) + running.cast(SUM) + F.col("held_value").cast(SUM)).cast(MONEY).alias("equity"))
 
 
 GENESIS = "0" * 64
 
 
 def build_chain(rows: DataFrame, series: str, order: str, digest: str) -> DataFrame:
-    """series, entries, head: h(i) = sha256(h(i-1) | digest(i)) over each series in order, from the genesis."""
-    sorted_rows = F.sort_array(F.collect_list(F.struct(order, digest)))
-    head = F.aggregate(sorted_rows, F.lit(GENESIS), lambda h, r: F.sha2(F.concat_ws("|", h, r[digest]), 256))
-    return rows.groupBy(series).agg(F.count(F.lit(1)).alias("entries"), head.alias("head"))
+    """series, entries, head: h(i) = sha256(h(i-1) | digest(i)) over each series in order, from the genesis.
+
+    Each series is sorted into one task, which spills; the fold streams over it with the running hash as its only state.
+    """
+
+    genesis = GENESIS  # the tasks need no package of their own
+
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, n, head, started = None, 0, genesis, False
+        for batch in batches:
+            out = []
+            for name, d in batch.itertuples(index=False, name=None):
+                if not started or name != key:
+                    if started:
+                        out.append((key, n, head))
+                    key, n, head, started = name, 0, genesis, True
+                n, head = n + 1, hashlib.sha256(f"{head}|{d}".encode()).hexdigest()
+            if out:
+                yield pd.DataFrame(out, columns=[series, "entries", "head"])
+        if started:
+            yield pd.DataFrame([(key, n, head)], columns=[series, "entries", "head"])
+
+    sorted_rows = rows.repartition(series).sortWithinPartitions(series, order, digest)
+    return sorted_rows.select(series, digest).mapInPandas(fold, f"`{series}` {rows.schema[series].dataType.simpleString()}, entries long, head string")
 
 
 def verify_chain(entries: DataFrame, series: str, payload: list[str]) -> DataFrame:

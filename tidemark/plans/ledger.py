@@ -12,61 +12,72 @@ from tidemark.sources import bindings as b
 
 QUERIES, SQL, query = registry()
 
-#: The replay in SQL: one recursive step a transaction of each symbol.
-REPLAY = """n AS (SELECT *, row_number() OVER (PARTITION BY symbol, currency ORDER BY l_shipdate, l_orderkey, l_linenumber, l_partkey, l_suppkey, side, quantity, price, fee) AS k, max(executed_at) OVER (PARTITION BY symbol, currency) AS last_tx FROM tx),
-fold(symbol, currency, k, quantity, cost, realized, oversold, last_tx) AS (
-  SELECT symbol, currency, 0::BIGINT, 0::DOUBLE, 0::DOUBLE, 0::DOUBLE, 0::BIGINT, any_value(last_tx) FROM n GROUP BY symbol, currency
+#: The replay in SQL, in integers of 1e-12: one recursive step a transaction of each symbol.
+REPLAY = """n AS (SELECT *, row_number() OVER (PARTITION BY symbol, currency ORDER BY l_shipdate, l_orderkey, l_linenumber, l_partkey, l_suppkey, side, q, price_units, fee_units) AS k, max(executed_at) OVER (PARTITION BY symbol, currency) AS last_tx FROM txd),
+fold(symbol, currency, k, held, cost, realized, oversold, last_tx) AS (
+  SELECT symbol, currency, 0::BIGINT, 0::HUGEINT, 0::HUGEINT, 0::HUGEINT, 0::BIGINT, any_value(last_tx) FROM n GROUP BY symbol, currency
   UNION ALL
-  SELECT f.symbol, f.currency, n.k, CASE WHEN n.side = 'buy' THEN f.quantity + n.quantity WHEN n.quantity > f.quantity + 1e-9 THEN f.quantity WHEN abs(f.quantity - n.quantity) < 1e-9 THEN 0 ELSE f.quantity - n.quantity END,
-    CASE WHEN n.side = 'buy' THEN f.cost + n.quantity * n.price + n.fee WHEN n.quantity > f.quantity + 1e-9 THEN f.cost WHEN abs(f.quantity - n.quantity) < 1e-9 THEN 0 ELSE f.cost - f.cost * n.quantity / f.quantity END,
-    CASE WHEN n.side = 'buy' OR n.quantity > f.quantity + 1e-9 THEN f.realized WHEN abs(f.quantity - n.quantity) < 1e-9 THEN f.realized + n.quantity * n.price - n.fee - f.cost ELSE f.realized + n.quantity * n.price - n.fee - f.cost * n.quantity / f.quantity END,
-    f.oversold + CASE WHEN n.side = 'sell' AND n.quantity > f.quantity + 1e-9 THEN 1 ELSE 0 END, f.last_tx
+  SELECT f.symbol, f.currency, n.k, CASE WHEN n.side = 'buy' THEN held + q WHEN q > held THEN held ELSE held - q END,
+    CASE WHEN n.side = 'buy' THEN cost + q * price_units::HUGEINT + fee_units WHEN q > held THEN cost WHEN q = held THEN 0 ELSE cost - (2 * cost * q + held) // (2 * held) END,
+    CASE WHEN n.side = 'buy' OR q > held THEN realized ELSE realized + q * price_units::HUGEINT - fee_units - CASE WHEN q = held THEN cost ELSE (2 * cost * q + held) // (2 * held) END END,
+    f.oversold + CASE WHEN n.side = 'sell' AND q > held THEN 1 ELSE 0 END, f.last_tx
   FROM fold f JOIN n ON n.symbol = f.symbol AND n.currency = f.currency AND n.k = f.k + 1),
-pos AS (SELECT symbol, currency, quantity, cost AS total_cost, realized AS realized_pnl, oversold, last_tx FROM fold QUALIFY row_number() OVER (PARTITION BY symbol, currency ORDER BY k DESC) = 1)"""
+pos AS (SELECT symbol, currency, held, cost, realized, oversold, last_tx FROM fold QUALIFY row_number() OVER (PARTITION BY symbol, currency ORDER BY k DESC) = 1)"""
 
 #: Snapshots older than this are stale; those of every seventh symbol lie in the future.
 MAX_AGE = 4000
 AS_OF = "2000-01-01"
-SNAPS = "snaps AS (SELECT symbol, currency, price, CASE WHEN symbol % 7 = 0 THEN as_of + 3000 ELSE as_of END AS as_of, CASE WHEN symbol % 4 <> 0 THEN price * 0.9::DOUBLE END AS previous_close FROM snap)"
-VALUED = f"""valued AS (SELECT *, CASE WHEN status = 'ok' THEN quantity * price WHEN status = 'closed' THEN 0 END AS market_value FROM (SELECT p.*, s.price, s.previous_close, CASE WHEN p.quantity = 0 THEN 'closed' WHEN s.price IS NULL THEN 'missing' WHEN s.as_of > DATE '{AS_OF}' THEN 'future'
-  WHEN DATE '{AS_OF}' - s.as_of > {MAX_AGE} THEN 'stale' WHEN s.as_of < p.first_tx THEN 'before_transaction' ELSE 'ok' END AS status FROM (SELECT *, DATE '1998-05-01' AS first_tx FROM pos) p LEFT JOIN snaps s USING (symbol, currency))),
-u AS (SELECT *, CASE WHEN status = 'closed' THEN 0 ELSE market_value - total_cost END AS unrealized, CASE WHEN status = 'ok' THEN (market_value - total_cost) / nullif(total_cost, 0) END AS unrealized_pct, CASE WHEN status = 'ok' THEN (price - previous_close) / nullif(previous_close, 0) END AS daily_move FROM valued),
-tot AS (SELECT currency, sum(total_cost) AS total_cost, sum(realized_pnl) AS realized_pnl, sum(coalesce(market_value, 0)) AS known, bool_and(NOT (quantity > 0 AND status <> 'ok')) AS complete FROM u GROUP BY currency),
-w AS (SELECT u.*, u.market_value / CASE WHEN complete AND known > 0 THEN known END AS portfolio_weight FROM u JOIN tot USING (currency))"""
-BASE = (b.TX, b.SNAP, REPLAY, SNAPS, VALUED)
+SNAPS = "snaps AS (SELECT symbol, currency, price_units AS price, CASE WHEN symbol % 7 = 0 THEN as_of + 3000 WHEN symbol % 7 < 4 THEN as_of + 300 ELSE as_of END AS as_of, CASE WHEN symbol % 4 <> 0 THEN price_units // 2 END AS previous_close FROM snap)"
+VALUED = f"""valued AS (SELECT *, CASE WHEN status = 'ok' THEN held * price WHEN status = 'closed' THEN 0 END AS market_value FROM (SELECT p.*, s.price, s.previous_close, CASE WHEN p.held = 0 THEN 'closed' WHEN s.price IS NULL THEN 'missing' WHEN s.as_of > DATE '{AS_OF}' THEN 'future'
+  WHEN DATE '{AS_OF}' - s.as_of > {MAX_AGE} THEN 'stale' WHEN s.as_of < p.last_tx THEN 'before_transaction' ELSE 'ok' END AS status FROM pos p LEFT JOIN snaps s USING (symbol, currency))),
+u AS (SELECT *, CASE WHEN status = 'closed' THEN 0 ELSE market_value - cost END AS unrealized, CASE WHEN status = 'ok' THEN (market_value - cost)::DOUBLE / nullif(cost, 0)::DOUBLE END AS unrealized_pct, CASE WHEN status = 'ok' THEN (price - previous_close)::DOUBLE / nullif(previous_close, 0)::DOUBLE END AS daily_move FROM valued),
+tot AS (SELECT currency, sum(cost) AS total_cost, sum(realized) AS realized_pnl, sum(coalesce(market_value, 0)) AS known, bool_and(NOT (held > 0 AND status <> 'ok')) AS complete, array_to_string(list_sort(list(symbol) FILTER (held > 0 AND status <> 'ok')), ',') AS unpriced FROM u GROUP BY currency),
+w AS (SELECT u.*, u.market_value::DOUBLE / CASE WHEN complete AND known > 0 THEN known END::DOUBLE AS portfolio_weight FROM u JOIN tot USING (currency))"""
+BASE = (b.TX, b.TXD, b.SNAP, REPLAY, SNAPS, VALUED)
 THRESHOLDS = {"take_profit_threshold": 20.0, "loss_warning_threshold": -10.0, "daily_move_threshold": 11.0, "concentration_threshold": 5.0}
 
 
 def _positions(spark, sf):
-    return ledger.positions(b.transactions(spark, sf), b.LINE_ORDER)
+    return ledger.positions(b.ledger_rows(spark, sf), b.LINE_ORDER)
 
 
 def _valued(spark, sf):
-    s = b.snapshots(spark, sf)
-    s = s.withColumn("as_of", F.when(F.col("symbol") % 7 == 0, F.date_add("as_of", 3000)).otherwise(F.col("as_of"))).withColumn("previous_close", F.when(F.col("symbol") % 4 != 0, F.col("price") * 0.9))
-    pos = _positions(spark, sf).withColumn("last_tx", F.lit("1998-05-01").cast("date"))
-    return ledger.valued(pos, s, F.lit(AS_OF).cast("date"), MAX_AGE)
+    s, k = b.snapshots(spark, sf), F.col("symbol") % 7
+    days = F.when(k == 0, 3000).when(k < 4, 300).otherwise(0)
+    half = (F.floor(F.col("price").cast("decimal(24,12)") * F.lit(500_000_000_000).cast("decimal(12,0)")).cast("decimal(24,0)") * F.lit("0.000000000001").cast("decimal(13,12)")).cast(ledger.MONEY)
+    s = s.withColumn("as_of", F.date_add("as_of", days)).withColumn("previous_close", F.when(F.col("symbol") % 4 != 0, half))
+    return ledger.valued(_positions(spark, sf), s, F.lit(AS_OF).cast("date"), MAX_AGE)
 
 
 def _r(df, *columns, digits=4):
     return df.withColumns({c: F.round(c, digits) for c in columns})
 
 
-@query("a04_average_cost_ledger", b.TX, REPLAY, sql_text="SELECT symbol, currency, round(quantity, 4) AS quantity, round(total_cost / nullif(quantity, 0), 2) AS average_cost, round(total_cost, 1) AS total_cost, round(realized_pnl, 1) AS realized_pnl, oversold, last_tx FROM pos")
+def _units(df, *columns):
+    """Decimals as whole numbers of 1e-12, written out: they compare digit by digit."""
+    return df.withColumns({c: (F.col(c) * F.lit(10**12).cast("decimal(13,0)")).cast("decimal(38,0)").cast("string") for c in columns})
+
+
+def _text(*columns):
+    return ", ".join(f"CAST({c} AS VARCHAR) AS {name}" for c, name in columns)
+
+
+@query("a04_average_cost_ledger", b.TX, b.TXD, REPLAY, sql_text=f"SELECT symbol, currency, CAST(held AS BIGINT) AS quantity, {_text(('(2 * cost + held) // nullif(2 * held, 0)', 'average_cost'), ('cost', 'total_cost'), ('realized', 'realized_pnl'))}, oversold, last_tx FROM pos")
 def a04(spark, sf):
-    return _r(_r(_r(_positions(spark, sf), "quantity"), "average_cost", digits=2), "total_cost", "realized_pnl", digits=1)
+    out = _units(_positions(spark, sf), "average_cost", "total_cost", "realized_pnl")
+    return out.withColumn("quantity", F.col("quantity").cast("long"))
 
 
-@query("j12_valuation_status", *BASE, sql_text="SELECT symbol, currency, status AS valuation_status, round(market_value, 2) AS market_value, round(unrealized, 1) AS unrealized, round(unrealized_pct, 4) AS unrealized_pct, round(daily_move, 4) AS daily_move FROM u")
+@query("j12_valuation_status", *BASE, sql_text=f"SELECT symbol, currency, status AS valuation_status, {_text(('market_value', 'market_value'), ('unrealized', 'unrealized'))}, round(unrealized_pct, 9) AS unrealized_pct, round(daily_move, 9) AS daily_move FROM u")
 def j12(spark, sf):
-    v = _r(_r(_r(_valued(spark, sf), "market_value", digits=2), "unrealized", digits=1), "unrealized_pct", "daily_move")
+    v = _units(_r(_valued(spark, sf), "unrealized_pct", "daily_move", digits=9), "market_value", "unrealized")
     return v.select("symbol", "currency", "valuation_status", "market_value", "unrealized", "unrealized_pct", "daily_move")
 
 
-@query("a05_currency_totals", *BASE, sql_text="SELECT currency, round(total_cost, 0) AS total_cost, round(realized_pnl, 0) AS realized_pnl, round(known, 0) AS known_market_value, complete, round(CASE WHEN complete THEN known END, 0) AS market_value, round(CASE WHEN complete THEN known - total_cost END, 0) AS unrealized FROM tot")
+@query("a05_currency_totals", *BASE, sql_text=f"SELECT currency, {_text(('total_cost', 'total_cost'), ('realized_pnl', 'realized_pnl'), ('known', 'known_market_value'), ('CASE WHEN complete THEN known END', 'market_value'), ('CASE WHEN complete THEN known - total_cost END', 'unrealized'))}, complete, coalesce(unpriced, '') AS unpriced_symbols FROM tot")
 def a05(spark, sf):
-    t = ledger.currency_totals(_valued(spark, sf))
-    return _r(t, "total_cost", "realized_pnl", "known_market_value", "market_value", "unrealized", digits=0).drop("unpriced_symbols")
+    t = _units(ledger.currency_totals(_valued(spark, sf)), "total_cost", "realized_pnl", "known_market_value", "market_value", "unrealized")
+    return t.withColumn("unpriced_symbols", F.array_join(F.col("unpriced_symbols").cast("array<string>"), ","))
 
 
 @query("v14_portfolio_weights", *BASE, sql_text="SELECT symbol, currency, round(portfolio_weight, 6) AS portfolio_weight FROM w")
@@ -75,7 +86,7 @@ def v14(spark, sf):
 
 
 ALERTS = """al AS (SELECT symbol, currency, status, unnest(['take_profit_threshold', 'loss_warning_threshold', 'daily_move_threshold', 'concentration_threshold']) AS rule, unnest(['info', 'warning', 'warning', 'warning']) AS severity, unnest([1, 2, 3, 4]) AS o, unnest([unrealized_pct, unrealized_pct, daily_move, portfolio_weight]) AS value,
-  unnest([unrealized_pct >= 0.2, unrealized_pct <= -0.1, abs(daily_move) >= 0.11, portfolio_weight > 0.05]) AS triggered FROM w WHERE quantity > 0)"""
+  unnest([unrealized_pct >= 0.2, unrealized_pct <= -0.1, abs(daily_move) >= 0.11, portfolio_weight > 0.05]) AS triggered FROM w WHERE held > 0)"""
 
 
 @query("v12_rule_alerts", *BASE, ALERTS, sql_text="SELECT symbol, currency, rule, severity, round(value, 4) AS value, triggered, CASE WHEN value IS NULL THEN 'price_or_weight_unavailable' WHEN triggered THEN 'configured_threshold_reached' ELSE 'configured_threshold_not_reached' END AS reason FROM al")
@@ -101,16 +112,26 @@ def a06(spark, sf):
     return s.withColumn("concentrated", F.array_join(F.col("concentrated").cast("array<string>"), ","))
 
 
-@query("a20_portfolio_summary", *BASE, sql_text="SELECT (SELECT count(*) FROM tx) AS transactions, count(CASE WHEN quantity > 0 THEN 1 END) AS open_positions, count(CASE WHEN quantity = 0 THEN 1 END) AS closed_positions, string_agg(DISTINCT currency, ',' ORDER BY currency) AS currencies FROM u")
+@query("a20_portfolio_summary", *BASE, sql_text="SELECT (SELECT count(*) FROM tx) AS transactions, count(CASE WHEN held > 0 THEN 1 END) AS open_positions, count(CASE WHEN held = 0 THEN 1 END) AS closed_positions, string_agg(DISTINCT currency, ',' ORDER BY currency) AS currencies FROM u")
 def a20(spark, sf):
     return ledger.portfolio_summary(b.transactions(spark, sf), _valued(spark, sf))
 
 
-@query("s14_ledger_append", b.TX, sql_text="SELECT count(*) AS n, count(DISTINCT id) AS ids FROM (SELECT DISTINCT ON (e) id FROM (SELECT id, concat_ws('|', symbol, side, quantity, executed_at, l_orderkey, l_linenumber) AS e FROM tx WHERE executed_at >= DATE '1995-06-01') WHERE id NOT IN (SELECT id FROM tx WHERE executed_at < DATE '1996-01-01') AND e NOT IN (SELECT concat_ws('|', symbol, side, quantity, executed_at, l_orderkey, l_linenumber) FROM tx WHERE executed_at < DATE '1996-01-01'))")
+ECONOMIC = ["symbol", "side", "quantity", "executed_at", "l_orderkey", "l_linenumber"]
+APPEND = """e AS (SELECT *, concat_ws('|', symbol, side, q, executed_at, l_orderkey, l_linenumber) AS content FROM txd),
+old AS (SELECT * FROM e WHERE executed_at < DATE '1996-01-01'),
+fresh AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY id) AS ni, row_number() OVER (PARTITION BY content ORDER BY id) AS ne FROM e WHERE executed_at >= DATE '1995-06-01'),
+coded AS (SELECT *, CASE WHEN ni > 1 OR id IN (SELECT id FROM old) THEN 'duplicate_id' WHEN ne > 1 OR content IN (SELECT content FROM old) THEN 'duplicate_content' END AS code FROM fresh),
+flow AS (SELECT symbol, currency, sum(CASE WHEN side = 'buy' THEN q ELSE -q END) OVER (PARTITION BY symbol, currency ORDER BY l_shipdate, l_orderkey, l_linenumber, l_partkey, l_suppkey ROWS UNBOUNDED PRECEDING) AS held FROM (SELECT symbol, currency, side, q, l_shipdate, l_orderkey, l_linenumber, l_partkey, l_suppkey FROM old UNION ALL SELECT symbol, currency, side, q, l_shipdate, l_orderkey, l_linenumber, l_partkey, l_suppkey FROM coded WHERE code IS NULL)),
+short AS (SELECT DISTINCT symbol, currency FROM flow WHERE held < 0)"""
+
+
+@query("s14_ledger_append", b.TX, b.TXD, APPEND, sql_text="SELECT id, coalesce(code, CASE WHEN (symbol, currency) IN (SELECT (symbol, currency) FROM short) THEN 'oversell' END) AS code FROM coded")
 def s14(spark, sf):
-    tx = b.transactions(spark, sf)
-    new = ledger.append_batch(tx.where("executed_at < date'1996-01-01'"), tx.where("executed_at >= date'1995-06-01'"), ["symbol", "side", "quantity", "executed_at", "l_orderkey", "l_linenumber"])
-    return new.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("id").alias("ids"))
+    """Every row of the batch with what keeps it out, or null."""
+    tx = b.ledger_rows(spark, sf).withColumn("quantity", F.col("quantity").cast("long"))
+    old, batch = tx.where("executed_at < date'1996-01-01'"), tx.where("executed_at >= date'1995-06-01'")
+    return ledger.append_batch(old, batch, ECONOMIC, b.LINE_ORDER).select("id", "code")
 
 
 @query("j11_trade_history", b.TX, FILLS, sql_text="SELECT f.id, f.symbol, o_orderstatus AS status, CAST(o_orderdate AS DATE) AS ordered_at FROM fills f JOIN orders ON o_orderkey = CAST(split_part(f.id, '|', 1) AS BIGINT)")
@@ -120,25 +141,28 @@ def j11(spark, sf):
     return ledger.trade_history(fills, orders).select("id", "symbol", "status", "ordered_at")
 
 
-FLOW = "flow AS (SELECT currency AS run, executed_at AS session, sum(CAST(CASE WHEN side = 'buy' THEN -quantity * price ELSE quantity * price END - fee AS DECIMAL(18, 4))) AS flow FROM tx GROUP BY 1, 2)"
+FLOW = "flow AS (SELECT currency AS run, executed_at AS session, sum(CASE WHEN side = 'buy' THEN -cents ELSE cents END::HUGEINT * 10000000000 - fee_units) AS flow FROM txd GROUP BY 1, 2)"
 
 
-@query("w15_account_rebuild", b.TX, FLOW, sql_text="SELECT run, session, CAST(1000000000 + sum(flow) OVER (PARTITION BY run ORDER BY session) AS DOUBLE) AS cash FROM flow")
+@query("w15_account_rebuild", b.TX, b.TXD, FLOW, sql_text="SELECT run, session, CAST(1000000000::HUGEINT * 1000000000000 + sum(flow) OVER (PARTITION BY run ORDER BY session) AS VARCHAR) AS cash FROM flow")
 def w15(spark, sf):
-    fills = b.transactions(spark, sf).select(F.col("currency").alias("run"), F.col("executed_at").alias("session"), "side", (F.col("quantity") * F.col("price")).alias("notional"), "fee")
-    return ledger.account(fills, 1e9)
+    fills = b.ledger_rows(spark, sf).select(F.col("currency").alias("run"), F.col("executed_at").alias("session"), "side", "notional", "fee")
+    return _units(ledger.account(fills, 10**9), "cash")
 
 
-EQUITY = """fe AS (SELECT l_returnflag || l_linestatus AS entity, CAST(date_trunc('month', l_shipdate) AS DATE) AS session, CASE WHEN l_returnflag = 'R' THEN -1 ELSE 1 END AS sg, l_quantity AS q, l_extendedprice AS notional, l_tax * l_extendedprice AS fee FROM lineitem),
-cells AS (SELECT e.entity, d.session, close FROM (SELECT DISTINCT entity FROM bars) e CROSS JOIN (SELECT DISTINCT session FROM bars) d LEFT JOIN bars ON bars.entity = e.entity AND bars.session = d.session),
+EQUITY = """fe AS (SELECT l_returnflag || l_linestatus AS entity, CAST(date_trunc('month', l_shipdate) AS DATE) AS session, CASE WHEN side = 'sell' THEN -1 ELSE 1 END AS sg, q, cents::HUGEINT * 10000000000 AS notional, fee_units AS fee, price_units, l_shipdate, l_orderkey, l_linenumber, l_partkey, l_suppkey FROM txd),
+closes AS (SELECT entity, session, arg_max(price_units, {'a': l_shipdate, 'b': l_orderkey, 'c': l_linenumber, 'd': l_partkey, 'e': l_suppkey}) AS close FROM fe GROUP BY 1, 2),
+cells AS (SELECT e.entity, d.session, close FROM (SELECT DISTINCT entity FROM closes) e CROSS JOIN (SELECT DISTINCT session FROM closes) d LEFT JOIN closes c ON c.entity = e.entity AND c.session = d.session),
 hold AS (SELECT entity, session, last_value(close IGNORE NULLS) OVER (PARTITION BY entity ORDER BY session ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS mark, sum(coalesce(q, 0)) OVER (PARTITION BY entity ORDER BY session) AS q FROM cells LEFT JOIN (SELECT entity, session, sum(sg * q) AS q FROM fe GROUP BY 1, 2) h USING (entity, session)),
-val AS (SELECT session, sum(q * coalesce(mark, 0)) AS v FROM hold GROUP BY session), cash AS (SELECT session, sum(-sg * notional - fee) AS f FROM fe GROUP BY session)"""
+val AS (SELECT session, sum(q * coalesce(mark, 0)::HUGEINT) AS v FROM hold GROUP BY session), cash AS (SELECT session, sum(-sg * notional - fee) AS f FROM fe GROUP BY session)"""
 
 
-@query("w16_equity_snapshots", b.BARS, EQUITY, sql_text="SELECT session, round(1e9 + sum(f) OVER (ORDER BY session) + v, 0) AS equity FROM val LEFT JOIN cash USING (session)")
+@query("w16_equity_snapshots", b.TX, b.TXD, EQUITY, sql_text="SELECT session, CAST(1000000000::HUGEINT * 1000000000000 + sum(coalesce(f, 0)) OVER (ORDER BY session) + v AS VARCHAR) AS equity FROM val LEFT JOIN cash USING (session)")
 def w16(spark, sf):
-    fills = b.table(spark, sf, "lineitem").select(F.concat("l_returnflag", "l_linestatus").alias("entity"), F.trunc("l_shipdate", "month").alias("session"), F.when(F.col("l_returnflag") == "R", "sell").otherwise("buy").alias("side"), F.col("l_quantity").alias("quantity"), F.col("l_extendedprice").alias("notional"), (F.col("l_tax") * F.col("l_extendedprice")).alias("fee"))
-    return _r(ledger.equity(fills, signals.stale_marks(b.bars(spark, sf)), 1e9), "equity", digits=0)
+    rows = b.ledger_rows(spark, sf, F.concat("l_returnflag", "l_linestatus").alias("entity")).withColumn("session", F.trunc("executed_at", "month"))
+    closes = rows.groupBy("entity", "session").agg(F.max_by("price", F.struct(*b.LINE_ORDER)).alias("close"))
+    fills = rows.select("entity", "session", "side", "quantity", "notional", "fee")
+    return _units(ledger.equity(fills, signals.stale_marks(closes), 10**9), "equity")
 
 
 CHAIN = f"""chain AS (SELECT user_id, event_id, sha256(event_id || '|' || event_type) AS h, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS k FROM events),

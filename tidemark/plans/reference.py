@@ -102,10 +102,10 @@ def f10(spark, sf):
     return quality.tradable_bars(bars, splits).select("entity", "session")
 
 
-@query("f16_snapshot_contract", b.TX, b.SNAP, sql_text="SELECT symbol, array_to_string(list_sort(list_filter([CASE WHEN symbol % 5 = 0 THEN 'invalid_price' END, CASE WHEN symbol % 3 = 0 THEN 'invalid_previous_close' END, CASE WHEN symbol % 2 = 0 THEN 'ingested_before_as_of' END], lambda x: x IS NOT NULL)), ',') AS errors FROM snap")
+@query("f16_snapshot_contract", b.TX, b.TXD, b.SNAP, sql_text="SELECT symbol, array_to_string(list_sort(list_filter([CASE WHEN symbol % 5 = 0 THEN 'invalid_price' END, CASE WHEN symbol % 3 = 0 THEN 'invalid_previous_close' END, CASE WHEN symbol % 2 = 0 THEN 'ingested_before_as_of' END], lambda x: x IS NOT NULL)), ',') AS errors FROM snap")
 def f16(spark, sf):
     s = F.col("symbol")
-    rows = b.snapshots(spark, sf).select("symbol", F.when(s % 5 != 0, F.col("price")).otherwise(0.0).alias("price"), F.when(s % 3 == 0, -1.0).alias("previous_close"), "as_of", F.when(s % 2 == 0, F.date_sub("as_of", 1)).otherwise(F.col("as_of")).alias("ingested_at"))
+    rows = b.snapshots(spark, sf).select("symbol", F.when(s % 5 != 0, F.col("price").cast("double")).otherwise(0.0).alias("price"), F.when(s % 3 == 0, -1.0).alias("previous_close"), "as_of", F.when(s % 2 == 0, F.date_sub("as_of", 1)).otherwise(F.col("as_of")).alias("ingested_at"))
     return quality.snapshot_errors(rows).select("symbol", F.array_join("errors", ",").alias("errors"))
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -77,8 +77,8 @@ OBS = """obs AS (SELECT l_partkey AS entity, CAST(date_trunc('month', o_orderdat
   FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_shipdate > o_orderdate)"""
 
 
-def transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A ledger: buys and sells of suppliers' symbols in their region's currency; money as decimals."""
+def transactions(spark: SparkSession, sf_dir: str, *more: Column) -> DataFrame:
+    """A ledger: buys and sells of suppliers' symbols in their region's currency, as doubles; ``more`` columns of the line."""
     li, s = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "supplier")
     n, r = table(spark, sf_dir, "nation"), table(spark, sf_dir, "region")
     place = s.join(n, s["s_nationkey"] == n["n_nationkey"]).join(r, n["n_regionkey"] == r["r_regionkey"]).select("s_suppkey", F.col("r_name").alias("currency"))
@@ -87,27 +87,48 @@ def transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat_ws("|", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.date_format("l_shipdate", "yyyy-MM-dd")).alias("id"),
         F.col("l_suppkey").alias("symbol"), "currency", F.when(F.col("l_returnflag") == "R", "sell").otherwise("buy").alias("side"),
         F.col("l_quantity").alias("quantity"), (F.col("l_extendedprice") / F.col("l_quantity")).alias("price"), (F.col("l_tax") * F.col("l_extendedprice")).alias("fee"),
-        F.to_date("l_shipdate").alias("executed_at"), *LINE_ORDER,
+        F.to_date("l_shipdate").alias("executed_at"), *LINE_ORDER, *more,
     )
 
 
 TX = """tx AS (SELECT concat_ws('|', l_orderkey, l_linenumber, l_partkey, l_suppkey, strftime(l_shipdate, '%Y-%m-%d')) AS id, l_suppkey AS symbol, r_name AS currency,
   CASE WHEN l_returnflag = 'R' THEN 'sell' ELSE 'buy' END AS side, l_quantity AS quantity, l_extendedprice / l_quantity AS price, l_tax * l_extendedprice AS fee,
-  CAST(l_shipdate AS DATE) AS executed_at, l_shipdate, l_orderkey, l_linenumber, l_partkey, l_suppkey
+  CAST(l_shipdate AS DATE) AS executed_at, l_shipdate, l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_quantity, l_tax, l_returnflag, l_linestatus
   FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey)"""
 
+#: Money as integers of 1e-12: prices are rounded half up to 12 digits, fees are exact.
+UNITS = {
+    "cents": "CAST(round(l_extendedprice * 100) AS BIGINT)",
+    "price_units": "(2 * CAST(round(l_extendedprice * 100) AS BIGINT) * 10000000000 + CAST(l_quantity AS BIGINT)) {div} (2 * CAST(l_quantity AS BIGINT))",
+    "fee_units": "CAST(round(l_tax * 100) AS BIGINT) * CAST(round(l_extendedprice * 100) AS BIGINT) * 100000000",
+}
+MONEY = "decimal(38,12)"
+
+
+def money(units: str) -> Column:
+    return (F.col(units).cast("decimal(24,0)") * F.lit("0.000000000001").cast("decimal(13,12)")).cast(MONEY)
+
+
+def ledger_rows(spark: SparkSession, sf_dir: str, *more: Column) -> DataFrame:
+    """``transactions`` with quantity, price, notional and fee as decimals of 12 digits."""
+    tx = transactions(spark, sf_dir, *more, *[F.expr(x.format(div="div")).alias(c) for c, x in UNITS.items()])
+    return tx.withColumns({"quantity": F.col("quantity").cast(MONEY), "price": money("price_units"), "fee": money("fee_units"), "notional": (F.col("cents").cast("decimal(20,0)") * F.lit("0.01").cast("decimal(3,2)")).cast(MONEY)}).drop(*UNITS)
+
+
+TXD = "txd AS (SELECT tx.*, CAST(quantity AS BIGINT) AS q, " + ", ".join(x.format(div="//") + f" AS {c}" for c, x in UNITS.items()) + " FROM tx)"
+
 AS_OF = "1998-06-01"
 
 
 def snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The last two prices of each symbol before a fixed day."""
-    before = transactions(spark, sf_dir).where(F.col("executed_at") < F.lit(AS_OF).cast("date"))
+    """The last price of each symbol before a fixed day, as a decimal."""
+    before = ledger_rows(spark, sf_dir).where(F.col("executed_at") < F.lit(AS_OF).cast("date"))
     place = F.struct(*LINE_ORDER)
     last = before.groupBy("symbol", "currency").agg(F.max(F.struct(place.alias("o"), "price", "executed_at")).alias("a"))
     return last.select("symbol", "currency", F.col("a.price").alias("price"), F.col("a.executed_at").alias("as_of"))
 
 
-SNAP = f"""snap AS (SELECT symbol, currency, price, executed_at AS as_of FROM (SELECT *, row_number() OVER (PARTITION BY symbol, currency ORDER BY l_shipdate DESC, l_orderkey DESC, l_linenumber DESC, l_partkey DESC, l_suppkey DESC, price DESC) AS k FROM tx WHERE executed_at < DATE '{AS_OF}') WHERE k = 1)"""
+SNAP = f"""snap AS (SELECT symbol, currency, price_units, executed_at AS as_of FROM (SELECT *, row_number() OVER (PARTITION BY symbol, currency ORDER BY l_shipdate DESC, l_orderkey DESC, l_linenumber DESC, l_partkey DESC, l_suppkey DESC, price_units DESC) AS k FROM txd WHERE executed_at < DATE '{AS_OF}') WHERE k = 1)"""
 
 
 def news(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -142,8 +142,24 @@ def test_streams_equal_batches(spark, tmp_path):
         forward.ingest_checked(stream(), str(tmp_path / "ok"), str(tmp_path / "late"), str(tmp_path / "c2"), F.lit(D(3))).awaitTermination(120)
     assert sorted(r["digest"] for r in spark.read.parquet(str(tmp_path / "ok")).collect()) == ["d3", "d5"]
     assert [r["digest"] for r in spark.read.parquet(str(tmp_path / "late")).collect()] == ["d2"]
-    forward.latest_revisions(stream(), str(tmp_path / "rev"), str(tmp_path / "c3"), F.lit(D(9))).awaitTermination(120)
-    assert spark.read.parquet(str(tmp_path / "rev/0")).first()["value"] == 5.0
+    forward.latest_revisions(stream(), str(tmp_path / "log"), str(tmp_path / "c3")).awaitTermination(120)
+    log = spark.read.schema(ROWS).parquet(str(tmp_path / "log"))
+    assert forward.current_revisions(log, F.lit(D(9))).first()["value"] == 5.0
+
+
+def test_compacted_logs_answer_later_decisions_alike(spark):
+    """Rows not yet available, and a second content of a superseded availability, still count."""
+    from tidemark.operators import pit
+
+    row = lambda k, at, ing, v, r: (f"{k}{r}", k, D(1), D(at), dt.datetime(2025, 1, ing), v, r, "s", "observed")
+    rows = [row("A", 2, 2, 1.0, "a"), row("A", 4, 4, 2.0, "b"), row("A", 2, 8, 9.0, "c"), row("B", 7, 7, 5.0, "d"), row("B", 3, 3, 4.0, "e"), row("C", 2, 3, 1.0, "f"), row("C", 2, 2, 1.0, "g"), row("D", 2, 3, 1.0, "h"), row("D", 2, 2, 3.0, "i"), row("D", 5, 5, 3.0, "j")]
+    log = spark.createDataFrame(rows, ROWS)
+    for early in (1, 3, 5, 8, 12):
+        kept = forward.compacted(log, F.lit(D(early)))
+        for late in range(early, 13):
+            whole = sorted(pit.as_of(log, F.lit(D(late))).select("entity", "value", "ambiguous").collect())
+            assert sorted(forward.current_revisions(kept, F.lit(D(late))).select("entity", "value", "ambiguous").collect()) == whole
+    assert forward.compacted(log, F.lit(D(12))).count() < log.count()
 
 
 def test_decisions_append_once_a_session(spark, tmp_path):

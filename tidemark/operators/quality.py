@@ -9,7 +9,18 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 QUOTES = ("open", "high", "low", "close")
-CURRENCY = "^[A-Z]{3}$"
+COUNTED = (*QUOTES, "volume", "turnover", "factor")
+#: Currencies of the ledger and the form of its symbols (fixed values).
+CURRENCIES = "JPY USD EUR GBP CHF CAD AUD NZD HKD SGD CNY SEK NOK DKK INR KRW TWD".split()
+SYMBOL = r"^[A-Z0-9][A-Z0-9.\-]{0,31}$"
+CONTROL = r"[\x00-\x1F\x7F]"
+
+
+def _no_text(c: str, limit: int, empty: bool = False) -> Column:
+    """Whether ``c`` isn't a text of at most ``limit`` characters without control characters, blank only if ``empty``."""
+    text = F.col(c)
+    good = (F.length(text) <= limit) & ~text.rlike(CONTROL)
+    return ~F.coalesce(good if empty else good & (F.length(F.trim(text)) > 0), F.lit(False))
 
 
 def _codes(*rules: tuple[Column, str]) -> Column:
@@ -43,7 +54,10 @@ def bar_issues(bars: DataFrame) -> DataFrame:
     quiet = (nulls == 4) & (F.coalesce(F.col("volume"), F.lit(0.0)) == 0)
     positive = reduce(lambda a, x: a & (F.col(x) > 0) & ~F.isnan(F.col(x)), QUOTES, F.lit(True))
     v, f = F.col("volume"), F.col("factor")
+    # Columns that came as texts of a payload and hold no number, or no session: the payload has another schema.
+    broken = F.col("schema_ok") == F.lit(False) if "schema_ok" in bars.columns else F.lit(False)
     rules = [
+        (broken | F.col("session").isNull(), "error", "invalid_schema"),
         (F.col("available_at") < F.date_add("session", 1), "warning", "intraday_availability"),
         (F.col("available_at") < F.col("session"), "error", "future_bar"),
         (quiet, "warning", "missing_quotes"),
@@ -93,6 +107,7 @@ def study_errors(studies: DataFrame) -> DataFrame:
     return checked.groupBy("study").agg(
         F.bool_and((F.col("start") <= F.col("end")) & (F.col("_before").isNull() | (F.col("_before") < F.col("start")))).alias("ordered"),
         F.bool_and(F.col("known_at") < F.col("start")).alias("universe_known"),
+        F.bool_and(F.size("symbols") == F.size(F.array_distinct("symbols"))).alias("symbols_unique"),
     )
 
 
@@ -104,6 +119,8 @@ def transaction_errors(tx: DataFrame) -> DataFrame:
 
     return tx.withColumn("errors", _codes(
         (~F.coalesce(F.col("id").rlike(r"^[A-Za-z0-9_.|:-]{1,64}$"), F.lit(False)), "invalid_id"),
+        (~F.coalesce(F.col("symbol").cast("string").rlike(SYMBOL), F.lit(False)), "invalid_symbol"),
+        (~F.coalesce(F.col("currency").isin(*CURRENCIES), F.lit(False)), "unsupported_currency"),
         (~F.coalesce(F.col("side").isin("buy", "sell"), F.lit(False)), "invalid_side"),
         (amount("quantity", "0.000000000001"), "invalid_quantity"),
         (amount("price", "0.000000000001"), "invalid_price"),
@@ -127,6 +144,7 @@ def event_errors(events: DataFrame) -> DataFrame:
         (~F.coalesce(F.col("event_type").isin("earnings", "dividend", "stock_split"), F.lit(False)), "invalid_type"),
         (~F.coalesce(F.col("status").isin("scheduled", "announced", "confirmed", "completed", "cancelled"), F.lit(False)), "invalid_status"),
         (F.col("event_date").try_cast("date").isNull(), "invalid_date"),
+        (~F.coalesce(F.col("announced_at").cast("string").rlike(r"(Z|[+-]\d{2}:?\d{2})$"), F.lit(False)) if dict(events.dtypes).get("announced_at") == "string" else F.col("announced_at").isNull(), "announcement_without_zone"),
         (F.size("metadata") > 16, "too_much_metadata"),
     ))
 
@@ -140,13 +158,18 @@ def url_ok(url: Column) -> Column:
 
 
 def article_errors(articles: DataFrame) -> DataFrame:
+    """``articles`` with ``errors``; a missing time of publication is allowed."""
+    keys = F.exists(F.map_keys("metadata"), lambda k: (F.length(k) > 64) | (F.length(F.trim(k)) == 0))
+    values = F.exists(F.map_values("metadata"), lambda v: F.length(v) > 256)
     return articles.withColumn("errors", _codes(
-        (~F.coalesce(F.length("id").between(1, 200), F.lit(False)), "invalid_id"),
-        (~F.coalesce(F.length("title").between(1, 500), F.lit(False)), "invalid_title"),
-        (F.length("summary") > 5000, "summary_too_long"),
-        (~F.coalesce(F.col("language").rlike("^[a-z]{2,3}(-[A-Za-z0-9]{2,8})*$"), F.lit(False)), "invalid_language"),
+        (_no_text("id", 128), "invalid_id"),
+        (~F.coalesce(F.col("symbol").cast("string").rlike(SYMBOL), F.lit(False)), "invalid_symbol"),
+        (_no_text("title", 300), "invalid_title"),
+        (_no_text("source", 120), "invalid_source"),
+        (_no_text("summary", 600, empty=True), "invalid_summary"),
+        (~F.coalesce(F.col("language").rlike("^[A-Za-z]{2,8}(-[A-Za-z0-9]{1,8})*$") & (F.length("language") <= 35), F.lit(False)), "invalid_language"),
         (~url_ok(F.col("url")), "invalid_url"),
-        (F.size("metadata") > 8, "too_much_metadata"),
+        ((F.size("metadata") > 8) | keys | values, "invalid_metadata"),
     ))
 
 
@@ -179,19 +202,22 @@ def tradable_bars(bars: DataFrame, splits: DataFrame) -> DataFrame:
 
 
 def coverage_report(bars: DataFrame, sessions: DataFrame) -> DataFrame:
-    """Per entity over the calendar: rows, sessions with quotes and with volume, missing sessions, duplicates, revisions, nulls."""
+    """Per entity over the calendar: rows, sessions with quotes and with volume, missing
+    sessions, duplicates, revisions, days whose factor isn't 1, and the nulls of every column in COUNTED that is there."""
     quoted = reduce(lambda a, c: a & F.col(c).isNotNull(), QUOTES, F.lit(True))
     content = F.sha2(F.concat_ws("|", *[F.coalesce(F.round(F.col(c) * 1000).cast("long").cast("string"), F.lit("null")) for c in (*QUOTES, "volume")]), 256)
     cells = bars.withColumn("_c", content).groupBy("entity", "session").agg(
         F.count(F.lit(1)).alias("n"), F.count_distinct("_c").alias("kinds"), F.bool_or(quoted).alias("quoted"), F.bool_or(F.col("volume").isNotNull()).alias("traded"),
-        *[F.count_if(F.col(c).isNull()).alias(f"null_{c}") for c in ("close", "volume")],
+        *[F.count_if(F.col(c).isNull()).alias(f"null_{c}") for c in COUNTED if c in bars.columns],
+        F.count_if(F.col("factor") != 1).alias("factors") if "factor" in bars.columns else F.lit(0).alias("factors"),
     )
     full = grid(sessions, bars.select("entity").distinct()).join(cells, ["entity", "session"], "left")
     return full.groupBy("entity").agg(
         F.count(F.lit(1)).alias("expected_sessions"), F.coalesce(F.sum("n"), F.lit(0)).alias("acquired_rows"),
         F.count_if("quoted").alias("price_coverage"), F.count_if("traded").alias("volume_coverage"),
         F.count_if(F.col("n").isNull()).alias("missing_sessions"), F.coalesce(F.sum(F.col("n") - F.col("kinds")), F.lit(0)).alias("duplicate_rows"),
-        F.coalesce(F.sum(F.col("kinds") - 1), F.lit(0)).alias("revisions"), F.coalesce(F.sum("null_close"), F.lit(0)).alias("null_close"), F.coalesce(F.sum("null_volume"), F.lit(0)).alias("null_volume"),
+        F.coalesce(F.sum(F.col("kinds") - 1), F.lit(0)).alias("revisions"), F.coalesce(F.sum("factors"), F.lit(0)).alias("factor_events"),
+        *[F.coalesce(F.sum(f"null_{c}"), F.lit(0)).alias(f"null_{c}") for c in COUNTED if c in bars.columns],
     )
 
 

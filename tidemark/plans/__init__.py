@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("pit", "quality", "signals", "metrics", "ledger", "enrich", "model", "scalar", "reference")
+MODULES = ("pit", "quality", "signals", "metrics", "ledger", "enrich", "model", "scalar", "reference", "landing")
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}

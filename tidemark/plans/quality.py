@@ -55,15 +55,16 @@ def _defects(spark, sf):
     return out.select(
         "entity", "session", F.when(m == 9, -F.col("open")).otherwise(F.col("open")).alias("open"), F.when(m == 3, F.col("low") - 1).otherwise(F.col("high")).alias("high"), "low", F.when(~m.isin(1, 2), F.col("close")).alias("close"),
         F.when(m.isin(2, 5), 0.0).when(m == 6, -1.0).when(m != 4, F.col("volume")).alias("volume"), F.when(m == 8, -1.0).when(m != 7, 1.0).alias("factor"),
-        F.when(m == 11, F.date_sub("session", 1)).when(m == 10, F.col("session")).otherwise(F.date_add("session", 1)).alias("available_at"),
-    )
+        m.isin(12).alias("_bad"), F.when(m == 11, F.date_sub("session", 1)).when(m == 10, F.col("session")).otherwise(F.date_add("session", 1)).alias("available_at"),
+    ).withColumn("schema_ok", ~F.col("_bad")).drop("_bad")
 
 
 DEFECTS = """defects AS (SELECT entity, session, CASE WHEN m = 2 THEN NULL WHEN m = 9 THEN -open ELSE open END AS open, CASE WHEN m = 2 THEN NULL WHEN m = 3 THEN low - 1 ELSE high END AS high, CASE WHEN m <> 2 THEN low END AS low,
   CASE WHEN m NOT IN (1, 2) THEN close END AS close, CASE WHEN m IN (2, 5) THEN 0.0 WHEN m = 6 THEN -1.0 WHEN m <> 4 THEN volume END AS volume, CASE WHEN m = 8 THEN -1.0 WHEN m <> 7 THEN 1.0 END AS factor,
-  CASE WHEN m = 11 THEN session - 1 WHEN m = 10 THEN session ELSE session + 1 END AS available_at FROM (SELECT *, month(session) AS m FROM bars))"""
+  CASE WHEN m = 11 THEN session - 1 WHEN m = 10 THEN session ELSE session + 1 END AS available_at, m <> 12 AS schema_ok FROM (SELECT *, month(session) AS m FROM bars))"""
 
 ISSUES = """rules AS (SELECT entity, session, unnest([
+  CASE WHEN NOT schema_ok THEN 'error:invalid_schema' END,
   CASE WHEN available_at < session + 1 THEN 'warning:intraday_availability' END, CASE WHEN available_at < session THEN 'error:future_bar' END,
   CASE WHEN nulls = 4 AND coalesce(volume, 0) = 0 THEN 'warning:missing_quotes' WHEN nulls > 0 THEN 'error:partial_quotes' WHEN NOT ok THEN 'error:invalid_price' WHEN NOT (low <= least(open, close) AND greatest(open, close) <= high) THEN 'error:ohlc_order' END,
   CASE WHEN volume IS NULL THEN 'warning:missing_volume' WHEN volume < 0 THEN 'error:invalid_volume' WHEN volume = 0 THEN 'warning:zero_volume' END,
@@ -129,25 +130,26 @@ def s09(spark, sf):
     return calendars.calendar_from_raw(raw.select("day", (F.col("odd") + F.floor(F.col("iso") / 3)).cast("string").alias("code"), "ingested_at"))
 
 
-STUDIES = "studies AS (SELECT o_custkey AS study, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS place, CAST(o_orderdate AS DATE) AS start, CAST(o_orderdate AS DATE) + CAST(o_orderkey % 90 AS INT) AS \"end\", CAST(o_orderdate AS DATE) - CAST(o_orderkey % 5 AS INT) AS known_at FROM orders)"
+STUDIES = "studies AS (SELECT o_custkey AS study, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS place, CAST(o_orderdate AS DATE) AS start, CAST(o_orderdate AS DATE) + CAST(o_orderkey % 90 AS INT) AS \"end\", CAST(o_orderdate AS DATE) - CAST(o_orderkey % 5 AS INT) AS known_at, [o_orderkey % 3, o_custkey % 3, 7] AS symbols FROM orders)"
 
 
-@query("f13_study_validity", STUDIES, sql_text="SELECT study, bool_and(start <= \"end\" AND (before IS NULL OR before < start)) AS ordered, bool_and(known_at < start) AS universe_known FROM (SELECT *, lag(\"end\") OVER (PARTITION BY study ORDER BY place) AS before FROM studies) GROUP BY study")
+@query("f13_study_validity", STUDIES, sql_text="SELECT study, bool_and(start <= \"end\" AND (before IS NULL OR before < start)) AS ordered, bool_and(known_at < start) AS universe_known, bool_and(len(symbols) = len(list_distinct(symbols))) AS symbols_unique FROM (SELECT *, lag(\"end\") OVER (PARTITION BY study ORDER BY place) AS before FROM studies) GROUP BY study")
 def f13(spark, sf):
     from pyspark.sql import Window as W
 
     o = b.table(spark, sf, "orders")
-    studies = o.select(F.col("o_custkey").alias("study"), F.row_number().over(W.partitionBy("o_custkey").orderBy("o_orderkey")).alias("place"), F.to_date("o_orderdate").alias("start"), F.expr("date_add(to_date(o_orderdate), cast(o_orderkey % 90 as int))").alias("end"), F.expr("date_sub(to_date(o_orderdate), cast(o_orderkey % 5 as int))").alias("known_at"))
+    studies = o.select(F.col("o_custkey").alias("study"), F.row_number().over(W.partitionBy("o_custkey").orderBy("o_orderkey")).alias("place"), F.to_date("o_orderdate").alias("start"), F.expr("date_add(to_date(o_orderdate), cast(o_orderkey % 90 as int))").alias("end"), F.expr("date_sub(to_date(o_orderdate), cast(o_orderkey % 5 as int))").alias("known_at"), F.array(F.col("o_orderkey") % 3, F.col("o_custkey") % 3, F.lit(7).cast("long")).alias("symbols"))
     return quality.study_errors(studies)
 
 
-@query("f15_transaction_contract", b.TX, sql_text="""SELECT errors, count(*) AS n FROM (SELECT list_sort(list_filter([CASE WHEN NOT regexp_matches(id, '^[A-Za-z0-9_.|:-]{1,64}$') THEN 'invalid_id' END, CASE WHEN side NOT IN ('buy', 'sell') THEN 'invalid_side' END,
+@query("f15_transaction_contract", b.TX, sql_text="""SELECT errors, count(*) AS n FROM (SELECT list_sort(list_filter([CASE WHEN NOT regexp_matches(id, '^[A-Za-z0-9_.|:-]{1,64}$') THEN 'invalid_id' END, CASE WHEN symbol % 6 = 0 THEN 'invalid_symbol' END, CASE WHEN currency = 'AFRICA' THEN 'unsupported_currency' END, CASE WHEN side NOT IN ('buy', 'sell') THEN 'invalid_side' END,
   CASE WHEN q < 0.5 THEN 'invalid_quantity' END, CASE WHEN fee < 0 THEN 'invalid_fee' END, CASE WHEN executed_at > created_at THEN 'executed_after_created' END, CASE WHEN ctl THEN 'control_characters' END], lambda x: x IS NOT NULL)) AS errors
-  FROM (SELECT id, CASE WHEN l_linenumber = 3 THEN 'hold' ELSE side END AS side, CASE WHEN l_linenumber = 4 THEN 0 ELSE quantity END AS q, CASE WHEN l_linenumber = 5 THEN -fee - 1 ELSE fee END AS fee, executed_at, executed_at - 1 + l_linenumber AS created_at, l_linenumber = 7 AS ctl FROM tx)) GROUP BY errors""")
+  FROM (SELECT id, symbol, currency, CASE WHEN l_linenumber = 3 THEN 'hold' ELSE side END AS side, CASE WHEN l_linenumber = 4 THEN 0 ELSE quantity END AS q, CASE WHEN l_linenumber = 5 THEN -fee - 1 ELSE fee END AS fee, executed_at, executed_at - 1 + l_linenumber AS created_at, l_linenumber = 7 AS ctl FROM tx)) GROUP BY errors""")
 def f15(spark, sf):
     n = F.col("l_linenumber")
     tx = b.transactions(spark, sf).select(
-        "id", F.when(n == 3, "hold").otherwise(F.col("side")).alias("side"), F.when(n == 4, 0.0).otherwise(F.col("quantity")).alias("quantity"), "price", F.when(n == 5, -F.col("fee") - 1).otherwise(F.col("fee")).alias("fee"),
+        "id", F.when(F.col("symbol") % 6 == 0, F.concat(F.lit("s-"), F.col("symbol"))).otherwise(F.col("symbol").cast("string")).alias("symbol"),
+        F.when(F.col("currency") == "AFRICA", "ZAR").otherwise("JPY").alias("currency"), F.when(n == 3, "hold").otherwise(F.col("side")).alias("side"), F.when(n == 4, 0.0).otherwise(F.col("quantity")).alias("quantity"), "price", F.when(n == 5, -F.col("fee") - 1).otherwise(F.col("fee")).alias("fee"),
         "executed_at", F.expr("date_add(executed_at, l_linenumber - 1)").alias("created_at"), F.when(n == 7, F.lit("a\x01b")).otherwise("note").alias("note"),
     )
     return quality.transaction_errors(tx).groupBy("errors").agg(F.count(F.lit(1)).alias("n"))
@@ -158,11 +160,38 @@ def f18(spark, sf):
     return b.table(spark, sf, "pages").select("page_id", quality.url_ok(F.col("url")).alias("ok"))
 
 
-@query("a01_coverage_report", b.UBARS, DAYS, sql_text="""SELECT g.entity, count(*) AS expected_sessions, count(u.session) AS acquired_rows, count(u.session) AS price_coverage, count(u.session) AS volume_coverage, count(*) - count(u.session) AS missing_sessions,
-  0::BIGINT AS duplicate_rows, 0::BIGINT AS revisions, 0::BIGINT AS null_close, 0::BIGINT AS null_volume FROM (SELECT DISTINCT entity FROM ubars) g CROSS JOIN days d LEFT JOIN ubars u ON u.entity = g.entity AND u.session = d.session GROUP BY g.entity""")
+ARTICLES = "art AS (SELECT page_id, CASE WHEN page_id % 5 = 0 THEN '' ELSE 'a' || page_id END AS id, CASE WHEN page_id % 7 = 0 THEN 'low' ELSE 'S' || page_id END AS symbol, CASE WHEN page_id % 3 = 0 THEN repeat('t', 301) ELSE 'title' END AS title, CASE WHEN page_id % 4 = 0 THEN 'x' ELSE 'en-GB' END AS language, url FROM pages)"
+
+
+@query("f18_article_contract", ARTICLES, sql_text="SELECT page_id, array_to_string(list_sort(list_filter([CASE WHEN id = '' THEN 'invalid_id' END, CASE WHEN symbol = 'low' THEN 'invalid_symbol' END, CASE WHEN length(title) > 300 THEN 'invalid_title' END, CASE WHEN language = 'x' THEN 'invalid_language' END, CASE WHEN NOT (regexp_matches(url, '" + quality.URL + "') AND length(url) <= 2048) THEN 'invalid_url' END, CASE WHEN page_id % 2 = 0 THEN 'invalid_metadata' END], lambda x: x IS NOT NULL)), ',') AS errors FROM art")
+def f18_contract(spark, sf):
+    k = F.col("page_id")
+    name = lambda p: F.concat(F.lit(p), k.cast("string"))
+    rows = b.table(spark, sf, "pages").select(
+        "page_id", "url", F.when(k % 5 == 0, "").otherwise(name("a")).alias("id"), F.when(k % 7 == 0, "low").otherwise(name("S")).alias("symbol"), F.when(k % 3 == 0, F.repeat(F.lit("t"), F.lit(301))).otherwise("title").alias("title"),
+        F.when(k % 4 == 0, "x").otherwise("en-GB").alias("language"), F.lit("s").alias("source"), F.lit("").alias("summary"), F.create_map(F.lit("k"), F.when(k % 2 == 0, F.repeat(F.lit("v"), F.lit(257))).otherwise("v")).alias("metadata"),
+    )
+    return quality.article_errors(rows).select("page_id", F.array_join("errors", ",").alias("errors"))
+
+
+#: Raw rows with defects: a third are there twice, a fifth have a revision, closes and volumes are missing, factors change.
+RAWBARS = """rb0 AS (SELECT *, day(session) + CAST(entity AS BIGINT) AS k FROM ubars),
+rb1 AS (SELECT entity, session, open, high, low, CASE WHEN k % 7 <> 0 THEN close END AS close, CASE WHEN k % 11 <> 0 THEN volume END AS volume, CASE WHEN k % 13 = 0 THEN NULL WHEN k % 4 = 0 THEN 0.5 ELSE 1 END AS factor, k FROM rb0),
+rawbars AS (SELECT * FROM rb1 UNION ALL SELECT * FROM rb1 WHERE k % 3 = 0 UNION ALL SELECT entity, session, open, high, low, close + 1, volume, factor, k FROM rb1 WHERE k % 5 = 0),
+rawcells AS (SELECT entity, session, count(*) AS n, count(DISTINCT concat_ws('|', CAST(round(open * 1000) AS BIGINT), CAST(round(high * 1000) AS BIGINT), CAST(round(low * 1000) AS BIGINT), coalesce(CAST(CAST(round(close * 1000) AS BIGINT) AS VARCHAR), 'null'), coalesce(CAST(CAST(round(volume * 1000) AS BIGINT) AS VARCHAR), 'null'))) AS kinds,
+  bool_or(close IS NOT NULL) AS quoted, bool_or(volume IS NOT NULL) AS traded, count(*) - count(close) AS nc, count(*) - count(volume) AS nv, count(*) - count(factor) AS nf, count(*) FILTER (factor <> 1) AS f FROM rawbars GROUP BY entity, session)"""
+
+
+@query("a01_coverage_report", b.UBARS, DAYS, RAWBARS, sql_text="""SELECT g.entity, count(*) AS expected_sessions, CAST(coalesce(sum(n), 0) AS BIGINT) AS acquired_rows, count(*) FILTER (quoted) AS price_coverage, count(*) FILTER (traded) AS volume_coverage, count(*) FILTER (n IS NULL) AS missing_sessions,
+  CAST(coalesce(sum(n - kinds), 0) AS BIGINT) AS duplicate_rows, CAST(coalesce(sum(kinds - 1), 0) AS BIGINT) AS revisions, CAST(coalesce(sum(f), 0) AS BIGINT) AS factor_events, 0::BIGINT AS null_open, 0::BIGINT AS null_high, 0::BIGINT AS null_low, CAST(coalesce(sum(nc), 0) AS BIGINT) AS null_close, CAST(coalesce(sum(nv), 0) AS BIGINT) AS null_volume, CAST(coalesce(sum(nf), 0) AS BIGINT) AS null_factor
+  FROM (SELECT DISTINCT entity FROM ubars) g CROSS JOIN days d LEFT JOIN rawcells u ON u.entity = g.entity AND u.session = d.session GROUP BY g.entity""")
 def a01(spark, sf):
-    bars = b.ubars(spark, sf)
-    return quality.coverage_report(bars, bars.select("session"))
+    bars = b.ubars(spark, sf).withColumn("k", F.dayofmonth("session") + F.col("entity").cast("long"))
+    k = F.col("k")
+    raw = bars.withColumn("close", F.when(k % 7 != 0, F.col("close"))).withColumn("volume", F.when(k % 11 != 0, F.col("volume")))
+    raw = raw.withColumn("factor", F.when(k % 13 == 0, F.lit(None)).when(k % 4 == 0, 0.5).otherwise(1.0))
+    raw = raw.unionByName(raw.where(k % 3 == 0)).unionByName(raw.where(k % 5 == 0).withColumn("close", F.col("close") + 1))
+    return quality.coverage_report(raw.drop("k"), bars.select("session"))
 
 
 @query("a01_missing_sessions", b.UBARS, DAYS, sql_text="SELECT entity, string_agg(CAST(session AS VARCHAR), ',' ORDER BY session) AS sessions FROM (SELECT entity, session FROM (SELECT DISTINCT entity FROM ubars) CROSS JOIN days EXCEPT SELECT entity, session FROM ubars) GROUP BY entity")

@@ -2,18 +2,17 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidemark.operators import ledger, pit, quality, signals
+from tidemark.operators import calendars, ledger, pit, quality, signals
 from tidemark.plans.metrics import _bounds_sql
+from tidemark.plans.pit import DECISION, ELIGIBLE, _asof_sql
 from tidemark.plans.quality import CALENDAR, _calendar
 from tidemark.plans.registry import registry
 from tidemark.sources import bindings as b
-from tidemark.sources import landed
+from tidemark.sources import datasets, landed
+from tidemark.sources.folders import new_folder
 from tidemark.streaming import forward
 
 QUERIES, SQL, query = registry()
@@ -89,9 +88,12 @@ REFS = """refs AS (SELECT o_orderkey AS id, CASE o_orderkey % 4 WHEN 0 THEN 'sto
 @query("f09_reference_rules", CALENDAR, REFS, sql_text="""SELECT errors, count(*) AS n FROM (SELECT array_to_string(list_sort(list_filter([CASE WHEN kind = 'merger' THEN 'unknown_kind' END, CASE WHEN effective NOT IN (SELECT day FROM cal WHERE state = 'open') THEN 'effective_day_closed' END, CASE WHEN (kind = 'stock_split' AND ratio <= 1) OR (kind = 'reverse_split' AND NOT (ratio > 0 AND ratio < 1)) THEN 'invalid_ratio' END,
   CASE WHEN kind = 'dividend' AND cash <= 0 THEN 'invalid_cash' END, CASE WHEN kind = 'dividend' AND payment < effective THEN 'payment_before_effective' END], lambda x: x IS NOT NULL)), ',') AS errors FROM refs) GROUP BY errors""")
 def f09(spark, sf):
+    return quality.reference_errors(_references(spark, sf), _calendar(spark, sf)).groupBy(F.array_join("errors", ",").alias("errors")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def _references(spark, sf):
     k = F.col("o_orderkey") % 4
-    rows = b.table(spark, sf, "orders").select(F.when(k == 0, "stock_split").when(k == 1, "reverse_split").when(k == 2, "dividend").otherwise("merger").alias("kind"), F.to_date("o_orderdate").alias("effective"), ((F.col("o_custkey") % 5) / 2.0).alias("ratio"), (F.col("o_custkey") % 3).cast("double").alias("cash"), F.expr("date_add(to_date(o_orderdate), cast(o_custkey % 7 as int) - 1)").alias("payment"))
-    return quality.reference_errors(rows, _calendar(spark, sf)).groupBy(F.array_join("errors", ",").alias("errors")).agg(F.count(F.lit(1)).alias("n"))
+    return b.table(spark, sf, "orders").select(F.when(k == 0, "stock_split").when(k == 1, "reverse_split").when(k == 2, "dividend").otherwise("merger").alias("kind"), F.to_date("o_orderdate").alias("effective"), ((F.col("o_custkey") % 5) / 2.0).alias("ratio"), (F.col("o_custkey") % 3).cast("double").alias("cash"), F.expr("date_add(to_date(o_orderdate), cast(o_custkey % 7 as int) - 1)").alias("payment"))
 
 
 @query("f10_tradable_bars", b.UBARS, sql_text="SELECT entity, session FROM ubars WHERE open > 0 AND high > 0 AND low > 0 AND close > 0 AND (day(session) % 3 <> 0 OR day(session) % 6 = 0)")
@@ -109,16 +111,42 @@ def f16(spark, sf):
     return quality.snapshot_errors(rows).select("symbol", F.array_join("errors", ",").alias("errors"))
 
 
-@query("f17_event_contract", b.CEV, sql_text="SELECT array_to_string(list_sort(list_filter([CASE WHEN event_type = 'split' THEN 'invalid_type' END, CASE WHEN status = 'tentative' THEN 'invalid_status' END, CASE WHEN id % 9 = 0 THEN 'invalid_date' END], lambda x: x IS NOT NULL)), ',') AS errors, count(*) AS n FROM cev GROUP BY 1")
+@query("f17_event_contract", b.CEV, sql_text="SELECT array_to_string(list_sort(list_filter([CASE WHEN event_type = 'split' THEN 'invalid_type' END, CASE WHEN status = 'tentative' THEN 'invalid_status' END, CASE WHEN id % 9 = 0 THEN 'invalid_date' END, CASE WHEN id % 4 = 1 THEN 'announcement_without_zone' END], lambda x: x IS NOT NULL)), ',') AS errors, count(*) AS n FROM cev GROUP BY 1")
 def f17(spark, sf):
-    rows = b.corporate_events(spark, sf).select("event_type", "status", F.when(F.col("id") % 9 == 0, "soon").otherwise(F.col("event_date").cast("string")).alias("event_date"), F.create_map(F.lit("k"), F.lit("v")).alias("metadata"))
+    rows = b.corporate_events(spark, sf).select("event_type", "status", F.when(F.col("id") % 9 == 0, "soon").otherwise(F.col("event_date").cast("string")).alias("event_date"), F.concat(F.col("announced_at").cast("string"), F.when(F.col("id") % 4 == 1, "T09:00:00").otherwise("T09:00:00+09:00")).alias("announced_at"), F.create_map(F.lit("k"), F.lit("v")).alias("metadata"))
     return quality.event_errors(rows).groupBy(F.array_join("errors", ",").alias("errors")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("f19_preflight", CALENDAR, REFS, b.TX, sql_text="SELECT 'calendar' AS \"check\", (SELECT count(*) FROM cal WHERE state = '') AS failures UNION ALL SELECT 'unknown kinds', (SELECT count(*) FROM refs WHERE kind = 'merger') UNION ALL SELECT 'free trades', (SELECT count(*) FROM tx WHERE fee = 0) UNION ALL SELECT 'no quantity', (SELECT count(*) FROM tx WHERE quantity <= 0)")
+MASTER = "master AS (SELECT strftime(ts, '%Y-%m-%d') AS requested, CASE WHEN event_id % 50 = 0 THEN '2000-01-01' ELSE strftime(ts, '%Y-%m-%d') END AS d, CASE WHEN event_id % 70 = 0 THEN '' ELSE user_id::VARCHAR END AS code, event_type = 'click' AS ordinary FROM events)"
+
+
+#: What each check counts, in SQL: the rules of S10, F08, F09, F12, J10 and of the run's own parameters.
+PREFLIGHT = {"lot": 100, "participation": 0.1, "position_cap": 0.2, "cash_reserve": 0.1, "fees": 10.0, "slippage": 5.0}
+READY = {
+    "master": "SELECT count(*) FROM (SELECT CASE WHEN d <> requested THEN 1 WHEN code = '' THEN 1 WHEN count(*) OVER (PARTITION BY requested, code) > 1 THEN 1 END AS bad FROM master) WHERE bad = 1",
+    "calendar": "SELECT count(*) FROM (SELECT day FROM cal WHERE state = 'open' AND year(day) = 1995 AND day NOT IN (SELECT CAST(o_orderdate AS DATE) FROM orders) UNION ALL SELECT DISTINCT CAST(o_orderdate AS DATE) FROM orders WHERE year(o_orderdate) = 1995 AND CAST(o_orderdate AS DATE) NOT IN (SELECT day FROM cal WHERE state = 'open'))",
+    "references": "SELECT count(*) FROM refs WHERE kind = 'merger' OR effective NOT IN (SELECT day FROM cal WHERE state = 'open') OR (kind = 'stock_split' AND ratio <= 1) OR (kind = 'reverse_split' AND NOT (ratio > 0 AND ratio < 1)) OR (kind = 'dividend' AND (cash <= 0 OR payment < effective))",
+    "sealed_periods": "SELECT count(*) FROM obs WHERE (event_at BETWEEN DATE '1992-01-01' AND DATE '1994-12-31' AND ingested_at > DATE '1994-12-31') OR (event_at BETWEEN DATE '1995-01-01' AND DATE '1996-12-31' AND ingested_at > DATE '1996-12-31')",
+    "membership": "SELECT (SELECT count(*) FROM mem WHERE (session, entity) NOT IN (SELECT (session, entity) FROM cells)) + (SELECT count(*) FROM cells WHERE (session, entity) NOT IN (SELECT (session, entity) FROM mem)) + (SELECT count(*) FROM mem WHERE (session, entity) NOT IN (SELECT (session, entity) FROM cells WHERE volume IS NOT NULL))",
+    "parameters": "SELECT 0",
+}
+
+
+@query("f19_preflight", CALENDAR, REFS, MASTER, b.OBS, b.LIFE, b.MONTHS, CELLS, sql_text=" UNION ALL ".join(f"SELECT '{name}' AS \"check\", CAST(({text}) AS BIGINT) AS failures" for name, text in READY.items()))
 def f19(spark, sf):
-    tx = b.transactions(spark, sf)
-    return landed.preflight([("calendar", _calendar(spark, sf).where("state = ''")), ("unknown kinds", b.table(spark, sf, "orders").where("o_orderkey % 4 = 3")), ("free trades", tx.where("fee = 0")), ("no quantity", tx.where("quantity <= 0"))])
+    """All failures of the inputs of a run, check by check, before anything is computed."""
+    calendar, cells = _calendar(spark, sf), _cells(spark, sf)
+    sessions = b.table(spark, sf, "orders").select(F.to_date("o_orderdate").alias("session")).where("session between date'1995-01-01' and date'1995-12-31'").distinct()
+    periods = spark.sql("SELECT * FROM VALUES ('development', date'1992-01-01', date'1994-12-31'), ('validation', date'1995-01-01', date'1996-12-31') AS v(period, a, z)")
+    crossing = datasets.rows_by_period(b.observations(spark, sf), periods).where("crossing > 0").select(F.explode(F.sequence(F.lit(1).cast("long"), F.col("crossing"))))
+    return landed.preflight([
+        ("master", landed.master_issues(_master(spark, sf)).where("code_issue IS NOT NULL")),
+        ("calendar", calendars.session_set_issues(sessions, calendar, "1995-01-01", "1995-12-31")),
+        ("references", quality.reference_errors(_references(spark, sf), calendar).where(F.size("errors") > 0)),
+        ("sealed_periods", crossing),
+        ("membership", landed.agreement_issues(pit.membership(b.lifecycle(spark, sf), b.months(spark, sf)), cells, cells)),
+        ("parameters", landed.parameter_errors(spark, **PREFLIGHT)),
+    ])
 
 
 DIVIDENDS = "hold AS (SELECT entity, session, volume AS quantity FROM ubars), div AS (SELECT entity, min(session) + 5 AS effective, min(session) + 12 AS payment, 2.0::DOUBLE AS cash FROM ubars GROUP BY entity)"
@@ -138,14 +166,14 @@ def a19(spark, sf):
     return landed.inventory_issues(o.where("digest <> 'P'"), present)
 
 
-MASTER = "master AS (SELECT strftime(ts, '%Y-%m-%d') AS requested, CASE WHEN event_id % 50 = 0 THEN '2000-01-01' ELSE strftime(ts, '%Y-%m-%d') END AS d, CASE WHEN event_id % 70 = 0 THEN '' ELSE user_id::VARCHAR END AS code, event_type = 'click' AS ordinary FROM events)"
-
-
 @query("s10_master_issues", MASTER, sql_text="SELECT requested, code_issue, ordinary, count(*) AS n FROM (SELECT *, CASE WHEN d <> requested THEN 'wrong_date' WHEN code = '' THEN 'invalid_code' WHEN count(*) OVER (PARTITION BY requested, code) > 1 THEN 'repeated_code' END AS code_issue FROM master) GROUP BY ALL")
 def s10(spark, sf):
+    return landed.master_issues(_master(spark, sf)).groupBy("requested", "code_issue", "ordinary").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _master(spark, sf):
     day, k = F.date_format("ts", "yyyy-MM-dd"), F.col("event_id")
-    rows = b.table(spark, sf, "events").select(day.alias("requested"), F.when(k % 50 == 0, "2000-01-01").otherwise(day).alias("Date"), F.when(k % 70 == 0, "").otherwise(F.col("user_id").cast("string")).alias("Code"), F.when(F.col("event_type") == "click", "011").otherwise("012").alias("ProdCat"))
-    return landed.master_issues(rows).groupBy("requested", "code_issue", "ordinary").agg(F.count(F.lit(1)).alias("n"))
+    return b.table(spark, sf, "events").select(day.alias("requested"), F.when(k % 50 == 0, "2000-01-01").otherwise(day).alias("Date"), F.when(k % 70 == 0, "").otherwise(F.col("user_id").cast("string")).alias("Code"), F.when(F.col("event_type") == "click", "011").otherwise("012").alias("ProdCat"))
 
 
 @query("s03_pagination", sql_text="""SELECT u AS path, code FROM (WITH p AS (SELECT user_id AS u, lag(event_id) OVER w AS asked, CASE WHEN lead(event_id) OVER w IS NOT NULL THEN CASE WHEN user_id % 10 = 3 AND row_number() OVER w = 2 THEN -event_id ELSE event_id END END AS nxt FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id))
@@ -173,39 +201,49 @@ def t06(spark, sf):
     return out.select("run", "sessions", *[F.round(c, 6).alias(c) for c in ("relative_return", "lower", "upper")], "reason")
 
 
-def _folder(spark) -> str:
-    """A new folder that all executors share: below spark.checkpoint.dir, or a temporary one where that is unset (tests)."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="tidemark-")
-    return f"{shared}/stream-{uuid.uuid4().hex}"
+def _landed(spark, rows) -> str:
+    """``rows`` written as a folder of files, for streams to read."""
+    path = f"{new_folder(spark)}/landed"
+    rows.repartition(4).write.parquet(path)
+    return path
 
 
 def _stream(spark, sf):
     """The events table as a stream of observation records."""
-    path = f"{sf}/events.parquet"
-    rows = spark.readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", 4).parquet(f"{sf}/events.parque[t]")  # a pattern: streams take no single file
+    events = b.table(spark, sf, "events")
+    rows = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 2).parquet(_landed(spark, events))
     return rows.select(F.sha2(F.concat_ws("|", "user_id", "event_type", F.to_date("ts")), 256).alias("digest"), F.col("ts").cast("timestamp").alias("ingested_at"), F.to_date("ts").alias("day"), "user_id")
 
 
 @query("t01_stream_ingest", sql_text="SELECT count(*) AS records, count(DISTINCT digest) AS digests FROM (SELECT DISTINCT sha256(concat_ws('|', user_id, event_type, CAST(ts AS DATE))) AS digest FROM events)")
 def t01(spark, sf):
-    out = _folder(spark)
+    out = new_folder(spark)
     forward.ingest(_stream(spark, sf), f"{out}/rows", f"{out}/state", "60 days").awaitTermination()
     return spark.read.parquet(f"{out}/rows").agg(F.count(F.lit(1)).alias("records"), F.count_distinct("digest").alias("digests"))
 
 
 @query("t02_stream_late_data", sql_text="SELECT sum(CASE WHEN d >= DATE '2024-01-10' THEN 1 ELSE 0 END)::BIGINT AS accepted, sum(CASE WHEN d < DATE '2024-01-10' THEN 1 ELSE 0 END)::BIGINT AS rejected FROM (SELECT DISTINCT user_id, event_type, CAST(ts AS DATE) AS d FROM events)")
 def t02(spark, sf):
-    out = _folder(spark)
-    forward.ingest_checked(_stream(spark, sf), f"{out}/accepted", f"{out}/rejected", f"{out}/state", F.lit("2024-01-10").cast("timestamp")).awaitTermination()
+    out = new_folder(spark)
+    forward.ingest_checked(_stream(spark, sf), f"{out}/accepted", f"{out}/rejected", f"{out}/state", F.lit("2024-01-10").cast("timestamp"), "day").awaitTermination()
     counts = [spark.read.parquet(f"{out}/{name}").agg(F.count(F.lit(1)).alias(name)) for name in ("accepted", "rejected")]
     return counts[0].crossJoin(counts[1])  # one row each
 
 
+@query("t03_stream_revisions", b.OBS, sql_text=_asof_sql(ELIGIBLE))
+def t03(spark, sf):
+    """Observations come in as a stream; the log is compacted at an earlier decision and then asked for a later one."""
+    out, rows = new_folder(spark), b.observations(spark, sf)
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(_landed(spark, rows))
+    forward.latest_revisions(stream, f"{out}/log", f"{out}/state").awaitTermination()
+    log = forward.compacted(spark.read.schema(rows.schema).parquet(f"{out}/log"), F.lit("1995-01-01").cast("date"))
+    return forward.current_revisions(log, F.lit(DECISION).cast("date"))
+
+
 @query("t04_stream_decisions", sql_text="SELECT user_id AS series, CAST(ts AS DATE) AS session, count(*) AS n FROM events GROUP BY 1, 2")
 def t04(spark, sf):
-    out = _folder(spark)
+    out, events = new_folder(spark), b.table(spark, sf, "events")
     decide = lambda batch: batch.groupBy(F.col("user_id").alias("series"), F.col("day").alias("session")).agg(F.count(F.lit(1)).alias("n"))
-    path = f"{sf}/events.parquet"
-    rows = spark.readStream.schema(spark.read.parquet(path).schema).parquet(f"{sf}/events.parque[t]").select("user_id", F.to_date("ts").alias("day"))
+    rows = spark.readStream.schema(events.schema).parquet(_landed(spark, events)).select("user_id", F.to_date("ts").alias("day"))
     forward.append_decisions(rows, f"{out}/rows", f"{out}/state", decide).awaitTermination()
-    return spark.read.parquet(f"{out}/rows")
+    return spark.read.parquet(f"{out}/rows").select("series", "session", "n")

@@ -106,6 +106,28 @@ def preflight(violations: list[tuple[str, DataFrame]]) -> DataFrame:
     return out[0] if len(out) == 1 else out[0].unionByName(preflight(violations[1:]))
 
 
+def parameter_errors(spark: SparkSession, lot: int, participation: float | None, position_cap: float, cash_reserve: float, fees: float, slippage: float) -> DataFrame:
+    """code: a row for each parameter of a run that isn't set as a real comparison asks."""
+    rules = [
+        (lot == 100, "lot_size"), (participation is not None and 0 < participation <= 1, "volume_participation"), (0 < position_cap < 1, "position_cap"),
+        (0 < cash_reserve < 1, "cash_reserve"), (fees > 0, "fees"), (slippage > 0, "slippage"),
+    ]
+    return spark.createDataFrame([(code,) for good, code in rules if not good], "code string")
+
+
+def write_documents(rows: DataFrame, path: str, name: str, bucket: Column) -> None:
+    """Strict documents {schema_version: 1, <name>: [rows]} below ``path``, one for each ``bucket``, which bounds them."""
+    whole = rows.select(bucket.alias("bucket"), F.struct(*rows.columns).alias("row")).groupBy("bucket").agg(F.sort_array(F.collect_list("row")).alias(name))
+    body = F.to_json(F.struct(F.lit(1).alias("schema_version"), F.col(name)))
+    whole.select("bucket", body.alias("value")).write.partitionBy("bucket").text(path)
+
+
+def write_pages(pages: DataFrame, path: str, bucket: Column) -> None:
+    """Response pages below ``path``, an array of them in one file for each ``bucket``, which bounds it."""
+    whole = pages.select(bucket.alias("bucket"), F.struct(*pages.columns).alias("page")).groupBy("bucket").agg(F.to_json(F.collect_list("page")).alias("value"))
+    whole.write.partitionBy("bucket").text(path)
+
+
 def save_run(tables: dict[str, DataFrame], path: str) -> None:
     """Each table of a run below ``path``, by run_id; a run that is there already is an error."""
     for name, rows in tables.items():

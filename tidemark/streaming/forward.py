@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -19,59 +20,79 @@ def ingest(stream: DataFrame, path: str, checkpoint: str, delay: str = "7 days")
     return new.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    location = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return location.getFileSystem(spark._jsc.hadoopConfiguration()).exists(location)
-
-
 def _read(spark: SparkSession, path: str, schema) -> DataFrame:
-    return spark.read.schema(schema).parquet(path) if _exists(spark, path) else spark.createDataFrame([], schema)
+    """The rows below ``path``, none where nothing has been written yet."""
+    try:
+        return spark.read.schema(schema).parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], schema)
 
 
-def ingest_checked(stream: DataFrame, accepted: str, rejected: str, checkpoint: str, cutoff: Column) -> StreamingQuery:
+def ingest_checked(stream: DataFrame, accepted: str, rejected: str, checkpoint: str, cutoff: Column, partition: str | None = None) -> StreamingQuery:
     """Append new records to ``accepted``; those that claim an ingestion before the previous decision's cutoff go to ``rejected``.
 
-    A batch that is retried adds nothing: records that either side holds are left out.
+    A batch that is retried adds nothing: records that either side holds are left out. Both sides are laid out by
+    ``partition`` (equal records agree in it), and a batch reads only the partitions that it touches.
     """
 
     def step(batch: DataFrame, _: int) -> None:
         spark = batch.sparkSession
-        known = _read(spark, accepted, batch.schema).select("digest").union(_read(spark, rejected, batch.schema).select("digest"))
-        new = batch.dropDuplicates(["digest"]).join(known, "digest", "left_anti").select(*batch.columns).persist()
-        new.where(F.col("ingested_at") < cutoff).write.mode("append").parquet(rejected)
-        new.where(F.coalesce(F.col("ingested_at") >= cutoff, F.lit(False))).write.mode("append").parquet(accepted)
-        new.unpersist()
+        by = [partition] if partition else []
+        known = _read(spark, accepted, batch.schema).select("digest", *by).union(_read(spark, rejected, batch.schema).select("digest", *by))
+        if partition:
+            known = known.join(F.broadcast(batch.select(partition).distinct()), partition, "left_semi")  # a few partitions
+        new = batch.dropDuplicates(["digest"]).join(known.select("digest"), "digest", "left_anti").select(*batch.columns)
+        late = F.coalesce(F.col("ingested_at") < cutoff, F.lit(True))
+        for path, rows in ((rejected, new.where(late)), (accepted, new.where(~late))):
+            rows.write.mode("append").partitionBy(*by).parquet(path)
 
     return stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def latest_revisions(stream: DataFrame, versions: str, checkpoint: str, decision: Column, key: tuple[str, ...] = pit.KEY) -> StreamingQuery:
-    """Keep per key the current revision as of ``decision``: each batch is merged with the last version and written as the next, ``versions``/<batch>.
+def latest_revisions(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """Append every observation to the log ``path``, each once. Nothing is dropped, so what is not yet available, or comes
+    late for a superseded availability, counts when its decision comes."""
+    return stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
 
-    A row that is superseded stays out; whether a key was ever ambiguous is carried on.
-    """
 
-    def step(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        rows = batch.withColumn("ambiguous", F.lit(False))
-        before = _read(spark, f"{versions}/{number - 1}", rows.schema) if number else spark.createDataFrame([], rows.schema)
-        both = before.unionByName(rows)
-        now = pit.as_of(both.drop("ambiguous"), decision, key=key)
-        was = before.where("ambiguous").select(*key).distinct().withColumn("_was", F.lit(True))
-        out = now.join(was, list(key), "left").withColumn("ambiguous", F.col("ambiguous") | F.coalesce("_was", F.lit(False))).drop("_was")
-        out.select(*rows.columns).write.mode("overwrite").parquet(f"{versions}/{number}")
+def current_revisions(log: DataFrame, decision: Column, key: tuple[str, ...] = pit.KEY) -> DataFrame:
+    """Per key the revision that holds at ``decision``, and whether any eligible availability is ambiguous."""
+    return pit.as_of(log, decision, key=key)
 
-    return stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+def compacted(log: DataFrame, decision: Column, key: tuple[str, ...] = pit.KEY) -> DataFrame:
+    """The rows of ``log`` that decisions from ``decision`` on can depend on.
+
+    Of the rows that are eligible by then, each key and availability keeps its winner and one row of another value, if
+    there is one; rows that aren't eligible yet stay.
+    """
+    known = (F.col("available_at") < decision) & (F.col("ingested_at") < decision)
+    rest = [c for c in log.columns if c not in (*key, "available_at")]
+    order = F.struct((-F.unix_micros(F.col("ingested_at").cast("timestamp"))).alias("early"), F.col("revision"))
+    row = F.struct(*rest)
+    kept = log.where(known).groupBy(*key, "available_at").agg(F.max_by(row, order).alias("won"), F.min_by(row, F.struct("value", "revision")).alias("least"), F.max_by(row, F.struct("value", "revision")).alias("most"))
+    other = F.when(F.col("least.value") != F.col("won.value"), F.col("least")).when(F.col("most.value") != F.col("won.value"), F.col("most"))
+    kept = kept.select(*key, "available_at", F.explode(F.array_compact(F.array("won", other))).alias("row")).select(*key, "available_at", "row.*")
+    return kept.unionByName(log.where(F.coalesce(~known, F.lit(True))).select(*kept.columns)).select(*log.columns)
 
 
 def append_decisions(stream: DataFrame, path: str, checkpoint: str, decide: Callable[[DataFrame], DataFrame]) -> StreamingQuery:
-    """One row a (series, session): ``decide`` turns a batch into decisions; those whose session is not after the series' last are left out, so a replay adds nothing."""
+    """One row a (series, session): ``decide`` turns a batch into decisions; those whose session is not after the series' last are left out, so a replay adds nothing.
+
+    ``path`` is laid out by session; a batch reads only the sessions from its own first one on.
+    """
 
     def step(batch: DataFrame, _: int) -> None:
         rows = decide(batch).dropDuplicates(["series", "session"])
-        last = _read(batch.sparkSession, path, rows.schema).groupBy("series").agg(F.max("session").alias("_last"))
+        first = rows.agg(F.min("session")).head()[0]
+        if first is None:
+            return
+        later = _read(batch.sparkSession, path, rows.schema).where(F.col("session") >= F.lit(first))
+        last = later.groupBy("series").agg(F.max("session").alias("_last"))
         new = rows.join(last, "series", "left").where(F.col("_last").isNull() | (F.col("session") > F.col("_last"))).select(*rows.columns)
-        new.write.mode("append").parquet(path)
+        new.write.mode("append").partitionBy("session").parquet(path)
 
     return stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

@@ -4,11 +4,12 @@ A line here is a line of the text, cut after sentence ends too, so that a passag
 in longer lines. A run of consecutive lines that holds at least MIN_WORDS words and stands at an earlier place too,
 without overlapping it, is deleted.
 
-Windows are the shortest runs of MIN_WORDS words from a line on, and those up to a line. The least line hash of each is
-its fingerprint. Equal windows have the same least hash, so every repeated run shares a fingerprint with its earlier
-place. First the fingerprints alone meet; only windows whose fingerprint stands at several positions go on. Each meets
+Windows are the shortest runs of MIN_WORDS words from a line on, and those up to a line. The least line hash of each,
+with that of the line beside it in the window, is its fingerprint. Equal windows have equal least hashes at the same
+place, so every repeated run shares a fingerprint with its earlier place. First the fingerprints alone meet; only windows whose fingerprint stands at several positions go on. Each meets
 the earliest place of its own content, and there the lines are compared, from the window outwards on both sides, as far
 as they agree. Windows reach from both ends, so a run is found whole even where its parts first stand in other texts.
+A text whose lines all equal those of an earlier one, in order, is one match at once and brings no windows of its own.
 """
 
 from __future__ import annotations
@@ -27,6 +28,7 @@ MIN_WORDS = 50
 MARKS = ".!?…。！？।؟۔։"
 
 _MARKS = [m.encode() for m in MARKS]
+_ASCII_MARKS = [m for m in _MARKS if m.isascii()]
 _CUT = b"\x01"
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -38,23 +40,26 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 def _with_cuts(raw: bytes) -> bytes:
     """``raw``, byte for byte as long, with _CUT for the spaces after sentence ends."""
-    for mark in _MARKS:
+    for mark in _ASCII_MARKS if raw.isascii() else _MARKS:
         raw = raw.replace(mark + b" ", mark + _CUT)
     return raw
 
 
-def line_hashes(text: str | None) -> tuple[np.ndarray, np.ndarray]:
-    """Hash (uint64) and number of words of each line that has words, in order. A line's content is its words."""
+def line_hashes(text: str | None) -> tuple[np.ndarray, np.ndarray, int]:
+    """Hash (uint64) and number of words of each line that has words, in order, and the number of all lines (null: 0).
+
+    A line's content is its words.
+    """
     import xxhash
 
-    own = [x.split() for x in _with_cuts((text or "").encode()).replace(b"\n", _CUT).split(_CUT)]
-    own = [w for w in own if w]
+    lines = _with_cuts((text or "").encode()).replace(b"\n", _CUT).split(_CUT)
+    own = [w for w in map(bytes.split, lines) if w]
     hashes = np.fromiter((xxhash.xxh3_64_intdigest(b" ".join(w)) for w in own), np.uint64, len(own))
-    return hashes, np.fromiter(map(len, own), np.int64, len(own))
+    return hashes, np.fromiter(map(len, own), np.int64, len(own)), 0 if text is None else len(lines)
 
 
 def windows(hashes: list[np.ndarray], words: list[np.ndarray], min_words: int) -> dict[str, np.ndarray]:
-    """The windows of some texts at once: of, first, last (text, and lines in it), low, at (fingerprint, its line), one, two.
+    """The windows of some texts at once: of, first, last (text, and lines in it), mark, at (fingerprint, its line), one, two.
 
     The two digests tell windows apart by 128 bits.
     """
@@ -78,31 +83,45 @@ def windows(hashes: list[np.ndarray], words: list[np.ndarray], min_words: int) -
         low[on[less]], low_at[on[less]] = x[less], a[on[less]] + step
         one[on] = _mix(one[on] * np.uint64(3) + x)
         two[on] = _mix(two[on] * np.uint64(5) + x + _MIX)
+    near = h[np.where(low_at < b, low_at + 1, np.maximum(a, low_at - 1))]
+    mark = _mix(low * np.where(low_at < b, np.uint64(3), np.uint64(5)) + near)
     base = begin[a] if len(a) else a
-    return {"of": of[a], "first": a - base, "last": b - base, "low": low.view(np.int64), "at": low_at - base, "one": one.view(np.int64), "two": two.view(np.int64)}
+    return {"of": of[a], "first": a - base, "last": b - base, "mark": mark.view(np.int64), "at": low_at - base, "one": one.view(np.int64), "two": two.view(np.int64)}
+
 
+LINES = "row binary, doc long, n_lines long, whole binary, n int, hashes array<long>, words array<int>, marks array<long>, places array<int>"
+#: Texts worked on at once, beside each other.
+SLICE = 500
 
-LINES = "row binary, doc long, hashes array<long>, words array<int>, lows array<long>, places array<int>"
+
+def _slices(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        for i in range(0, len(batch), SLICE):
+            yield batch.iloc[i : i + SLICE]
 
 
 def _line_rows(docs: DataFrame, min_words: int) -> DataFrame:
-    """LINES of each text that has a window: its lines, its fingerprints and at how many positions each stands."""
+    """LINES of each text: its lines with their digest and number, its fingerprints and at how many positions each
+    stands; hashes, words and the digest only where it has a window."""
+    import xxhash
 
     def apply(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
+        for batch in _slices(batches):
             found = [line_hashes(text) for text in batch["text"]]
             w = windows([x[0] for x in found], [x[1] for x in found], min_words)
-            chosen = pd.DataFrame({k: w[k] for k in ("of", "low", "at")}).drop_duplicates()
-            chosen = chosen.groupby(["of", "low"], sort=True).size().reset_index(name="places")
-            if not len(chosen):
-                continue
-            by = chosen.groupby("of").agg(lows=("low", list), places=("places", list))
-            own = by.index.to_numpy()
-            yield pd.DataFrame({
-                "row": batch["row"].to_numpy()[own], "doc": batch["doc"].astype("Int64").array[own],
-                "hashes": [found[i][0].view(np.int64) for i in own], "words": [found[i][1].astype(np.int32) for i in own],
-                "lows": by["lows"].tolist(), "places": by["places"].tolist(),
-            })
+            chosen = pd.DataFrame({k: w[k] for k in ("of", "mark", "at")}).drop_duplicates()
+            chosen = chosen.groupby(["of", "mark"], sort=True).size()
+            of, marks, places = (np.asarray(x, np.int64) for x in (chosen.index.get_level_values(0), chosen.index.get_level_values(1), chosen))
+            ends = np.searchsorted(of, np.arange(len(batch) + 1))
+            out = batch[["row"]].assign(doc=batch["doc"].astype("Int64"), n_lines=[x[2] for x in found])
+            some = ends[1:] > ends[:-1]
+            out["whole"] = [xxhash.xxh3_128_digest(x[0].tobytes()) if s else None for x, s in zip(found, some)]
+            out["n"] = [len(x[0]) for x in found]
+            out["hashes"] = [x[0].view(np.int64) if s else [] for x, s in zip(found, some)]
+            out["words"] = [x[1] if s else [] for x, s in zip(found, some)]
+            out["marks"] = [marks[a:b] for a, b in zip(ends, ends[1:])]
+            out["places"] = [places[a:b] for a, b in zip(ends, ends[1:])]
+            yield out
 
     return docs.mapInPandas(apply, LINES)
 
@@ -111,11 +130,11 @@ def _window_rows(lines: DataFrame, min_words: int) -> DataFrame:
     """The windows whose fingerprint is in ``again``."""
 
     def apply(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
+        for batch in _slices(batches):
             hashes = [np.asarray(x, np.int64).view(np.uint64) for x in batch["hashes"]]
             w = pd.DataFrame(windows(hashes, [np.asarray(x, np.int64) for x in batch["words"]], min_words))
-            again = pd.DataFrame({"of": np.repeat(np.arange(len(batch)), batch["again"].map(len)), "low": np.concatenate(batch["again"].tolist())})
-            w = w.merge(again.astype(np.int64), on=["of", "low"])
+            again = pd.DataFrame({"of": np.repeat(np.arange(len(batch)), batch["again"].map(len)), "mark": np.concatenate(batch["again"].tolist())})
+            w = w.merge(again.astype(np.int64), on=["of", "mark"])
             of = w.pop("of").to_numpy()
             w.insert(0, "doc", batch["doc"].astype("Int64").array[of])
             w.insert(0, "row", batch["row"].to_numpy()[of])
@@ -131,58 +150,70 @@ def extend(mine: np.ndarray, source: np.ndarray | None, seeds: list[tuple[int, i
     both sides while they agree and no run holds them yet. Inside one text the window alone counts, as more would
     overlap its source.
     """
-    covered = np.zeros(len(mine), bool)
-    other = mine if source is None else source
+    mine = mine.tolist()
+    other = mine if source is None else source.tolist()
+    covered = bytearray(len(mine))
+    reached: dict[int, tuple[int, int]] = {}  # by place in the text less that in the source: where it was compared
     for first, last, start in sorted(seeds):
+        low, high = reached.get(first - start, (0, -1))
+        if low <= first and last <= high:
+            continue
         stop = start + last - first + 1
-        if stop > len(other) or not np.array_equal(mine[first : last + 1], other[start:stop]):
+        if stop > len(other) or mine[first : last + 1] != other[start:stop]:
             continue
-        covered[first : last + 1] = True
+        covered[first : last + 1] = b"\1" * (last + 1 - first)
+        low, high = first, last
         if source is not None:
-            i, j = first - 1, start - 1
-            while i >= 0 and j >= 0 and not covered[i] and mine[i] == other[j]:
-                covered[i] = True
-                i, j = i - 1, j - 1
-            i, j = last + 1, stop
-            while i < len(mine) and j < len(other) and not covered[i] and mine[i] == other[j]:
-                covered[i] = True
-                i, j = i + 1, j + 1
-    edges = np.flatnonzero(np.diff(np.concatenate([[False], covered, [False]]).astype(np.int8)))
+            shift = start - first
+            while low > 0 and low + shift > 0 and not covered[low - 1] and mine[low - 1] == other[low - 1 + shift]:
+                low -= 1
+                covered[low] = 1
+            while high + 1 < len(mine) and high + 1 + shift < len(other) and not covered[high + 1] and mine[high + 1] == other[high + 1 + shift]:
+                high += 1
+                covered[high] = 1
+        reached[first - start] = (low, high)
+    edges = np.flatnonzero(np.diff(np.frombuffer(b"\0" + covered + b"\0", np.int8)))
     return list(zip(edges[::2].tolist(), (edges[1::2] - 1).tolist()))
 
 
 def _extended(seeds: DataFrame) -> DataFrame:
     def apply(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
+        for batch in _slices(batches):
             rows = []
-            for row, same, mine, source, own in zip(batch["row"], batch["same"], batch["mine"], batch["source"], batch["seeds"]):
-                own = [(s["first"], s["last"], s["start"]) for s in own]
-                rows += [(row, *run) for run in extend(np.asarray(mine), None if same else np.asarray(source), own)]
+            for x in batch.itertuples(index=False):
+                own = list(zip(x.first.tolist(), x.last.tolist(), x.start.tolist()))
+                rows += [(x.row, *run) for run in extend(np.asarray(x.mine), None if x.source is None else np.asarray(x.source), own)]
             yield pd.DataFrame(rows, columns=["row", "first", "last"])
 
     return seeds.mapInPandas(apply, "row binary, first int, last int")
 
 
 def repeated_runs(docs: DataFrame, scratch: Scratch, min_words: int = MIN_WORDS) -> DataFrame:
-    """row (digest of doc_id and text) and runs: the sorted runs (first, last) of lines to delete, of rows that have any.
+    """row (digest of doc_id and text), n_lines, and runs: the sorted runs (first, last) of lines to delete, or null.
 
-    Lines without words aren't counted. Places are ordered by doc_id (null first), row digest and line. Rows that agree
-    in doc_id and text are one document.
+    Runs don't count lines without words. Places are ordered by doc_id (null first), row digest and line. Rows that
+    agree in doc_id and text are one document.
     """
     ship(docs.sparkSession)
     own = docs.select(F.unhex(row_key()).alias("row"), F.col("doc_id").cast("long").alias("doc"), "text")
-    once = _line_rows(own, min_words).groupBy("row").agg(*[F.first(c).alias(c) for c in ("doc", "hashes", "words", "lows", "places")])
+    once = _line_rows(own, min_words).groupBy("row").agg(*[F.first(c).alias(c) for c in ("doc", "n_lines", "whole", "n", "hashes", "words", "marks", "places")])
     lines = scratch.stash(once, "lines")
-    prints = lines.select("row", F.explode(F.arrays_zip("lows", "places")).alias("p")).select("row", F.col("p.lows").alias("low"), F.col("p.places").alias("places"))
-    again = prints.groupBy("low").agg(F.sum("places").alias("places")).where("places > 1").select("low")
-    again = prints.join(again, "low").groupBy("row").agg(F.collect_list("low").alias("again"))
+    own = lines.select("whole", "row", "doc", "n").where("whole IS NOT NULL")
+    firsts = own.groupBy("whole").agg(F.min(F.struct("doc", "row")).alias("s"), F.count(F.lit(1)).alias("copies")).where("copies > 1").select("whole", "s")
+    copies = scratch.stash(own.join(firsts, "whole").where(F.col("row") != F.col("s.row")).select("row", F.lit(0).alias("first"), (F.col("n") - 1).alias("last")), "copies")
+    prints = lines.select("row", F.explode(F.arrays_zip("marks", "places")).alias("p")).select("row", F.col("p.marks").alias("mark"), F.col("p.places").alias("places"))
+    again = prints.groupBy("mark").agg(F.sum("places").alias("places")).where("places > 1").select("mark")
+    again = prints.join(again, "mark").groupBy("row").agg(F.collect_list("mark").alias("again"))
+    again = again.join(copies.select("row"), "row", "left_anti")
     found = scratch.stash(_window_rows(lines.select("row", "doc", "hashes", "words").join(again, "row"), min_words), "windows")
     sources = found.groupBy("one", "two").agg(F.min(F.struct("doc", "row", "first", "last")).alias("s"), F.count(F.lit(1)).alias("n")).where("n > 1")
     later = found.join(sources, ["one", "two"]).where((F.col("row") != F.col("s.row")) | (F.col("s.last") < F.col("first")))
-    seeds = later.groupBy("row", F.col("s.row").alias("from")).agg(F.collect_list(F.struct("first", "last", F.col("s.first").alias("start"))).alias("seeds"))
+    seeds = later.groupBy("row", F.col("s.row").alias("from")).agg(F.collect_list(F.struct("first", "last", F.col("s.first").alias("start"))).alias("s"))
+    seeds = seeds.select("row", "from", *[F.col(f"s.{c}").alias(c) for c in ("first", "last", "start")])
     seeds = seeds.join(lines.select("row", F.col("hashes").alias("mine")), "row").join(lines.select(F.col("row").alias("from"), F.col("hashes").alias("source")), "from")
-    runs = _extended(seeds.withColumn("same", F.col("row") == F.col("from")))
-    return runs.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("first", "last"))).alias("runs"))
+    runs = _extended(seeds.withColumn("source", F.when(F.col("row") != F.col("from"), F.col("source"))))
+    runs = runs.union(copies).groupBy("row").agg(F.sort_array(F.collect_list(F.struct("first", "last"))).alias("runs"))
+    return lines.select("row", "n_lines").join(runs, "row", "left")
 
 
 def without_runs(text: str, runs: list) -> tuple[str, int]:
@@ -226,11 +257,10 @@ def _shortened(docs: DataFrame, min_words: int) -> DataFrame:
         rows = [(None, None) if t is None or r is None else without_runs(t, r) for t, r in zip(text, own)]
         return pd.DataFrame(rows, columns=["text", "gone"]).astype({"gone": "Int64"})
 
-    joined = packed(docs, F.unhex(row_key()).alias("key")).join(runs.withColumnRenamed("row", "key"), "key", "left")
+    joined = packed(docs, F.unhex(row_key()).alias("key")).join(runs.withColumnRenamed("row", "key"), "key")
     text = F.col("row.text")
     joined = joined.withColumn("cut", cut(F.when(F.col("runs").isNotNull(), text), F.col("runs")))
-    n_lines = F.coalesce(F.size(F.split(text, "\n")) + F.regexp_count(text, F.lit(f"[{MARKS}] ")), F.lit(0)).cast("long")
-    return joined.select("row", F.coalesce("cut.text", text).alias("text"), n_lines.alias("n_lines"), F.coalesce("cut.gone", F.lit(0)).cast("long").alias("deleted_lines"))
+    return joined.select("row", F.coalesce("cut.text", text).alias("text"), "n_lines", F.coalesce("cut.gone", F.lit(0)).cast("long").alias("deleted_lines"))
 
 
 def line_dedup(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:

@@ -151,10 +151,14 @@ def test_shards_by_brute_force(spark, given):
             return {i: shards[0] for i in part["doc_id"]}
         d = max(sharding.DIMENSIONS, key=lambda d: wide(part, d))
         part = part.sort_values(d)
-        low = (part["size"].cumsum() - part["size"]) * 2 < part["size"].sum()
         half = len(shards) // 2
+        low = (part["size"].cumsum() - part["size"]) * len(shards) < part["size"].sum() * half
         return cut(part[low], shards[:half]) | cut(part[~low], shards[half:])
 
+    many = 21  # leaves of about as many bytes, an odd number of them
+    target = int(-(-own["size"].sum() // many))
+    got = sharding.kd_shards(docs, target_bytes=target, keep=("lang", "source")).toPandas()
+    assert dict(zip(got["doc_id"], got["shard"])) == cut(own, list(range(many))) and set(got["shard"]) == set(range(many))
     expected = cut(own, list(range(8)))
     got = sharding.kd_shards(docs).toPandas()
     assert dict(zip(got["doc_id"], got["shard"])) == expected
@@ -170,6 +174,11 @@ def test_shards_of_odd_rows(spark, odd):
     assert len(got) == len(ODD) and {r["size"] for r in got if r["doc_id"] == 2} == {1}
     assert sharding.kd_shards(odd.limit(0)).count() == 0
     assert {r["shard"] for r in sharding.kd_shards(odd, target_bytes=10**9).collect()} == {0}
+    clash = odd.union(spark.createDataFrame([(9, "word " * 1_000_000, "en", "c", 1)], odd.schema))
+    for c in ("row", "at", "first", "many", "dim", "cut", "digest", "key", "rows", "one", "_range", "k0"):
+        clash = clash.withColumn(c, clash["n_chars"])
+    got = sharding.kd_shards(clash, keep=("row", "at", "first", "n_chars")).collect()
+    assert len(got) == len(ODD) + 1 and all(r["row"] == r["at"] == r["first"] == r["n_chars"] for r in got)
 
 
 def test_licences(spark):

@@ -278,6 +278,17 @@ def test_sniffing_column(spark):
     assert got[3]["media_type"] is None and got[4]["embedded"] == []
 
 
+def test_sniffing_is_linear_and_keeps_names(spark):
+    many = b"%PDF-1 PK\x03\x04 " * 60_000
+    assert media.sniff(many) == (None, 0, [])
+    assert [k for k, _, _ in media.sniff(many + PDF + zipped())[2]].count("application/zip") == 1
+    items = spark.createDataFrame([(1, bytearray(png()), "image/gif", "x")], "content_id int, said binary, media_type string, c0 string")
+    r = media.sniff_media(items, content="said", declared="media_type", carry=("content_id", "c0")).head()
+    assert (r["content_id"], r["c0"], r["media_type"], r["declared_right"]) == (1, "x", "image/png", False)
+    held = media.media_features(media.store_texts(frame(spark, ["GIF89a" + "x" * 3_000_000, None]).withColumn("media", F.lit(1)).withColumn("payload_bytes", F.lit(2)))).collect()
+    assert sorted(r["payload_bytes"] for r in held) == [64, 3_000_064]
+
+
 def test_media_round_trip(spark, given):
     texts = [*ODD, *(r["text"] for r in given.limit(50).collect())]
     got = {r["doc_id"]: r for r in media.media_features(media.store_texts(frame(spark, texts))).collect()}

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import os
 import tempfile
-import uuid
 import zipfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.sources.folders import new_folder as new_path
+
 #: A word is a run of anything but the six ASCII white space characters.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -18,17 +19,6 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that every executor sees: ``spark.checkpoint.dir``, or a temporary one where it is unset in local mode (tests)."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not folder:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        folder = "file://" + tempfile.mkdtemp(prefix="tidemark-")
-        spark.sparkContext.setCheckpointDir(folder)
-    return folder
-
-
 def ship(spark: SparkSession) -> None:
     """Send this package to the executors' Python, once a session, as ``--py-files`` would."""
     context = spark.sparkContext
@@ -46,10 +36,6 @@ def ship(spark: SparkSession) -> None:
     context._tidemark_shipped = True
 
 
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-
-
 def stash(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` into the shared folder and read it back: cuts the lineage and outlives lost executors."""
     spark = df.sparkSession

@@ -7,10 +7,13 @@ import hashlib
 import re
 import struct
 import zlib
+from bisect import bisect_left
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tidemark.llm.common import documents, ship
 
@@ -97,10 +100,35 @@ def _bmp(b: bytes, at: int) -> int:
     return size if not zero and header in (40, 108, 124) and 14 + header <= offset <= size <= len(b) - at else 0
 
 
-def _pdf(b: bytes, at: int) -> int:
+class Content(bytes):
+    """Bytes that find a mark's places once, however many signatures ask."""
+
+    def places(self, mark: bytes) -> list[int]:
+        found = self.__dict__.setdefault("found", {})
+        if mark not in found:
+            found[mark] = [m.start() for m in re.finditer(re.escape(mark), self)]
+        return found[mark]
+
+    def archives(self) -> dict[int, int]:
+        """Start of each ZIP archive whose end record points at its directory, to its end."""
+        if "ends" not in self.__dict__:
+            self.ends: dict[int, int] = {}
+            for p in self.places(b"PK\x05\x06"):
+                if p + 22 > len(self):
+                    continue
+                size, start, note = struct.unpack_from("<IIH", self, p + 12)
+                at = p - size - start
+                if at >= 0 and self[at + start : at + start + 4] == b"PK\x01\x02" and p + 22 + note <= len(self):
+                    self.ends.setdefault(at, p + 22 + note)
+        return self.ends
+
+
+def _pdf(b: Content, at: int) -> int:
     """PDF: a version, a cross-reference pointer and an end mark."""
-    end = b.find(b"%%EOF", at)
-    return end + 5 - at if end > 0 and b[at + 5 : at + 6].isdigit() and b.find(b"startxref", at, end) > 0 else 0
+    ends, pointers = b.places(b"%%EOF"), b.places(b"startxref")
+    i, j = bisect_left(ends, at), bisect_left(pointers, at)
+    good = i < len(ends) and j < len(pointers) and pointers[j] < ends[i] and b[at + 5 : at + 6].isdigit()
+    return ends[i] + 5 - at if good else 0
 
 
 def _gzip(b: bytes, at: int) -> int:
@@ -119,14 +147,9 @@ def _gzip(b: bytes, at: int) -> int:
         return 0
 
 
-def _zip(b: bytes, at: int) -> int:
+def _zip(b: Content, at: int) -> int:
     """ZIP: a first local header, and an end record whose directory starts and ends where it says."""
-    p = at
-    while (p := b.find(b"PK\x05\x06", p + 1)) >= 0 and p + 22 <= len(b):
-        size, start, note = struct.unpack_from("<IIH", b, p + 12)
-        if at + start + size == p and b[at + start : at + start + 4] == b"PK\x01\x02" and p + 22 + note <= len(b):
-            return p + 22 + note - at
-    return 0
+    return b.archives().get(at, at) - at
 
 
 def _ogg(b: bytes, at: int) -> int:
@@ -198,7 +221,7 @@ def sniff(content: bytes | None) -> tuple[str | None, int, list[tuple[str, int,
     The content is of a type if an item of it starts at 0; trailing bytes are allowed. Items inside an item that was
     found are embedded ones too; of items at one place the first format in FORMATS counts.
     """
-    content = content or b""
+    content = Content(content or b"")
     whole, length, inside = None, 0, []
     for end, formats in automaton().iter(content.decode("latin-1")):
         for n, kind, check in formats:
@@ -219,25 +242,28 @@ def sniff_media(items: DataFrame, content: str = "content", declared: str | None
     """The columns ``carry``, with the sniffed type (the declared one where no signature holds), its length, whether
     the declaration was right (null without one) and the embedded items with their bytes.
 
-    Null and empty contents have no type and nothing embedded. Rows are judged alone; an empty table gives no rows.
+    Null and empty contents have no type and nothing embedded. Rows are judged alone, repeated ones too, contents of any
+    length whole; an empty table gives no rows. Carried columns keep their values, whatever their names.
     """
     ship(items.sparkSession)
+    held = [F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(carry)]
+    said = F.col(f"`{declared}`") if declared else F.lit(None)
 
     def apply(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
-            for i, x in enumerate(batch[content]):
+            for x, said in zip(batch.pop("content"), batch.pop("said")):
                 raw = bytes(x) if x is not None else b""
                 kind, length, inside = sniff(raw)
-                said = batch[declared].iloc[i] if declared else None
                 said = None if pd.isna(said) else said
                 right = None if said is None else bool(kind == said) if kind else None
                 rows.append((kind or said, length, right, [{"media_type": k, "offset": a, "length": n, "content": raw[a : a + n]} for k, a, n in inside]))
             out = pd.DataFrame(rows, columns=["media_type", "media_length", "declared_right", "embedded"], index=batch.index)
-            yield pd.concat([batch[list(carry)], out], axis=1)
+            yield pd.concat([batch, out], axis=1)
 
-    kinds = ", ".join([*(f"`{c}` {items.schema[c].dataType.simpleString()}" for c in carry), SNIFFED])
-    return items.select(*dict.fromkeys([*carry, content, *([declared] if declared else [])])).mapInPandas(apply, kinds)
+    kinds = ", ".join([*(f"c{i} {items.schema[c].dataType.simpleString()}" for i, c in enumerate(carry)), SNIFFED])
+    out = items.select(*held, F.col(f"`{content}`").alias("content"), said.cast("string").alias("said")).mapInPandas(apply, kinds)
+    return out.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(carry)], *out.columns[len(carry) :])
 
 
 def to_wav(payload: bytes) -> bytes:
@@ -257,7 +283,8 @@ def from_wav(media: bytes) -> bytes:
 def store_texts(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, media, declared: each text as UTF-8, with zeros up to a positive multiple of 64, as a WAV file.
 
-    Null texts are empty: 64 zeros. The type is declared as plain bytes, as pipelines that don't look do.
+    Null texts are empty: 64 zeros. The type is declared as plain bytes, as pipelines that don't look do. Repeated rows
+    give repeated rows, texts of any length are stored whole, other columns aren't read; an empty table gives no rows.
     """
     ship(docs.sparkSession)
 
@@ -272,7 +299,11 @@ def store_texts(docs: DataFrame) -> DataFrame:
 
 
 def media_features(stored: DataFrame) -> DataFrame:
-    """Sniffs the stored media, reads the payload back by its confirmed structure, and computes features."""
+    """Sniffs the stored media, reads the payload back by its confirmed structure, sniffs that too, and computes features.
+
+    A row for each row of ``stored``; media that isn't a whole WAV file is an error, null media too. The feature names
+    the type of the container and of what it holds, and every item inside. An empty table gives no rows.
+    """
     ship(stored.sparkSession)
 
     def apply(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -284,8 +315,9 @@ def media_features(stored: DataFrame) -> DataFrame:
                 if kind != "audio/wav" or length != len(media):
                     raise ValueError(f"stored media is {kind} of {length} bytes, not a WAV file of {len(media)}")
                 payload = from_wav(media)
+                held = sniff(payload)[0] or "no known media"
                 carved = ",".join(f"{k}@{a}+{n}" for k, a, n in inside) or "none"
-                feature = f"{kind}; declared {'right' if kind == said else 'wrong'}; {len(payload)} samples; mean {sum(payload) / len(payload):.6f}; zeros {payload.count(0)}; embedded {carved}"
+                feature = f"{kind}; declared {'right' if kind == said else 'wrong'}; holds {held}; {len(payload)} samples; mean {int(np.frombuffer(payload, np.uint8).sum(dtype=np.int64)) / len(payload):.6f}; zeros {payload.count(0)}; embedded {carved}"
                 rows.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-BLOCK:]), len(media), hashlib.sha256(media).hexdigest(), feature))
             out = pd.DataFrame(rows, columns=["payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"], index=batch.index)
             yield pd.concat([batch[["doc_id", "n_bytes"]], out], axis=1)

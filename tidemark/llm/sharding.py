@@ -6,9 +6,10 @@ Main path: DataFrame functions only.
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import documents, hex_int, row_key, running_start, stash
+from tidemark.llm.common import Scratch, documents, hex_int, row_key, running_start, stash
 
 #: Metadata dimensions in order of precedence; each gives a 32-bit coordinate.
 DIMENSIONS = ("chars", "lang", "source")
@@ -24,82 +25,77 @@ def coordinates(text: Column, lang: Column, source: Column, digest: Column) -> l
     return [(F.shiftleft(x, TIE_BITS) + tie).alias(d) for x, d in zip(raw, DIMENSIONS)]
 
 
-def _choose(cases: dict[int, str], node: Column) -> Column:
-    """Per node, the column that it is split along. At most one case a node: the tree's width bounds this."""
-    out = F.lit(None).cast("long")
-    for n, dim in cases.items():
-        out = F.when(node == n, F.col(dim)).otherwise(out)
-    return out
+def _placed(points: DataFrame, shards: int, splits: list[DataFrame]) -> DataFrame:
+    """``points`` with first and many, the shards that are still open for a row, after the tree's levels so far.
 
-
-def split_keys(rows: DataFrame, dims: dict[int, str], low_share: dict[int, float]) -> dict[int, int]:
-    """For each node the least place at which the bytes up to it reach ``low_share`` of the node's.
-
-    Exact: a histogram of the leading bits finds the bin that holds the median, the next one looks inside that bin.
-    Each pass returns at most nodes * 2**STEP_BITS sums to the driver, whatever the input.
+    A node is known by its first shard. Each level's splits (first, dim, cut) are a row a node; Spark broadcasts them
+    while they are small and joins them by shuffle beyond.
+    """
+    rows = points.withColumn("first", F.lit(0)).withColumn("many", F.lit(shards))
+    for level in splits:
+        joined = rows.join(level, "first", "left")
+        half, split = F.floor(F.col("many") / 2).cast("int"), F.col("dim").isNotNull()
+        high = split & (F.element_at("at", F.col("dim") + 1) > F.col("cut"))
+        many = F.when(~split, F.col("many")).when(high, F.col("many") - half).otherwise(half)
+        rows = joined.withColumns({"first": F.when(high, F.col("first") + half).otherwise(F.col("first")), "many": many}).drop("dim", "cut")
+    return rows
+
+
+def _splits(rows: DataFrame, whole: list[int], scratch: Scratch) -> DataFrame:
+    """first, dim, cut of each node of several shards: its widest dimension, and the least place there at which the bytes
+    up to it reach the share of its lower shards.
+
+    Exact: a histogram of the leading bits finds the bin that holds the median, the next one looks inside that bin. A
+    node's bins are at most 2**STEP_BITS sums; nothing but the tree's depth comes to the driver.
     """
-    node, place = F.col("node"), _choose(dims, F.col("node"))
-    bits = 32 + TIE_BITS
-    total = {r["node"]: r["b"] for r in rows.groupBy("node").agg(F.sum("size").alias("b")).collect()}
-    prefix, below = {n: 0 for n in dims}, {n: 0 for n in dims}
-    for left in range(bits - STEP_BITS, -1, -STEP_BITS):
-        head = F.lit(None).cast("long")
-        for n in dims:
-            head = F.when(node == n, F.lit(prefix[n])).otherwise(head)
-        binned = rows.withColumn("_p", place).where(F.shiftright("_p", left + STEP_BITS) == head)
-        sums: dict[int, list] = {n: [] for n in dims}
-        for r in binned.groupBy("node", F.shiftright("_p", left).alias("bin")).agg(F.sum("size").alias("b")).collect():
-            sums[r["node"]].append((r["bin"], r["b"]))
-        for n, found in sums.items():
-            for b, size in sorted(found):
-                prefix[n] = b
-                if below[n] + size >= low_share[n] * total[n]:
-                    break
-                below[n] += size
-    return prefix
+    wide = [(F.max(F.shiftright(F.col("at")[i], TIE_BITS)) - F.min(F.shiftright(F.col("at")[i], TIE_BITS))) / max(1, whole[i]) for i in range(len(DIMENSIONS))]
+    widest = F.array_max(F.array(*[F.struct(w.alias("w"), F.lit(-i).alias("i")) for i, w in enumerate(wide)]))
+    state = rows.groupBy("first", "many").agg(F.sum("size").alias("total"), (-widest["i"]).alias("dim"))
+    state = scratch.stash(state.select("*", F.lit(0).cast("long").alias("prefix"), F.lit(0).cast("long").alias("below")), "nodes")
+    exact = lambda c: c.cast("decimal(38,0)")
+    for left in range(32 + TIE_BITS - STEP_BITS, -1, -STEP_BITS):
+        place = F.element_at("at", F.col("dim") + 1)
+        inside = rows.join(state, ["first", "many"]).withColumn("place", place).where(F.shiftright("place", left + STEP_BITS) == F.col("prefix"))
+        sums = inside.groupBy("first", "many", "total", "dim", "below", F.shiftright("place", left).alias("bin")).agg(F.sum("size").alias("b"))
+        upto = F.col("below") + F.sum("b").over(W.partitionBy("first").orderBy("bin").rowsBetween(W.unboundedPreceding, 0))
+        reached = sums.withColumn("upto", upto).where(exact(F.col("upto")) * F.col("many") >= exact(F.col("total")) * F.floor(F.col("many") / 2))
+        found = reached.groupBy("first", "many", "total", "dim").agg(F.min(F.struct("bin", (F.col("upto") - F.col("b")).alias("below"))).alias("s"))
+        state = scratch.stash(found.select("first", "many", "total", "dim", F.col("s.bin").alias("prefix"), F.col("s.below").alias("below")), "nodes")
+    return state.select("first", "dim", F.col("prefix").alias("cut"))
 
 
 def kd_shards(docs: DataFrame, shards: int = 8, target_bytes: int | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot, grown_shard (and the columns ``keep``).
 
     The law is ``bytes``: each split halves a node's bytes (in proportion to the leaves on either side where their
-    number is odd). With ``target_bytes`` the number of shards follows from the table's bytes instead. Ties along a
-    dimension are cut by the row's digest, so equal values never force an uneven split; only rows that agree in doc_id
-    and text stay together. Slots number a shard's rows without gaps in digest order. Null texts have size 1 and the
-    checksum of no bytes; null languages and sources are values; an empty table gives no rows.
+    number is odd). With ``target_bytes`` the number of shards follows from the table's bytes instead: leaves of about
+    that many. Ties along a dimension are cut by the row's digest, so equal values never force an uneven split; only
+    rows that agree in doc_id and text stay together. Slots number a shard's rows without gaps in digest order. Null
+    texts have size 1 and the checksum of no bytes; null languages and sources are values; repeated rows are rows; a
+    text of any length is one row of a shard; an empty table gives no rows. Columns in ``keep`` keep their values,
+    whatever their names (a name of a result comes twice).
     """
     digest = row_key()
-    base = docs.select("doc_id", (F.coalesce(F.octet_length("text"), F.lit(0)) + 1).cast("long").alias("size"), F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary")).alias("text_crc32"), digest.alias("_digest"), *coordinates(F.col("text"), F.col("lang"), F.col("source"), digest), *[F.col(c).alias(f"_keep_{c}") for c in keep])
-    base = stash(base.withColumn("_key", hex_int(F.col("_digest"), 1, 10)).withColumn("_one", F.lit(1)), "shards")
+    points = coordinates(F.col("text"), F.col("lang"), F.col("source"), digest)
+    base = docs.select(
+        F.struct("doc_id", *[F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(keep)]).alias("row"), (F.coalesce(F.octet_length("text"), F.lit(0)) + 1).cast("long").alias("size"),
+        F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary")).alias("text_crc32"), digest.alias("digest"), F.array(*points).alias("at"),
+    )
+    base = stash(base.withColumn("key", hex_int(F.col("digest"), 1, 10)), "shards")
+    spread = [F.max(F.shiftright(F.col("at")[i], TIE_BITS)) - F.min(F.shiftright(F.col("at")[i], TIE_BITS)) for i in range(len(DIMENSIONS))]
+    head = base.agg(F.coalesce(F.sum("size"), F.lit(0)), *[F.coalesce(x, F.lit(0)) for x in spread]).head()
     if target_bytes:
-        total = base.agg(F.coalesce(F.sum("size"), F.lit(0))).head()[0]
-        shards = max(1, -(-total // target_bytes))
-    slim = base.select("size", *DIMENSIONS)
-    spread_of = [f(d).alias(f"{d}_{n}") for d in DIMENSIONS for n, f in (("lo", F.min), ("hi", F.max))]
-    node = F.lit(0)
-    leaves = {0: (0, shards)}  # node: its first shard, its number of shards
-    whole = slim.agg(*spread_of).head()
-    while whole[0] is not None and any(n > 1 for _, n in leaves.values()):
-        ranges = {r["node"]: r for r in slim.withColumn("node", node).groupBy("node").agg(*spread_of).collect()}
-        open_nodes = {n: x for n, x in leaves.items() if x[1] > 1 and n in ranges}
-        wide = lambda r, d: ((r[f"{d}_hi"] >> TIE_BITS) - (r[f"{d}_lo"] >> TIE_BITS)) / max(1, (whole[f"{d}_hi"] >> TIE_BITS) - (whole[f"{d}_lo"] >> TIE_BITS))
-        dims = {n: max(DIMENSIONS, key=lambda d: wide(ranges[n], d)) for n in open_nodes}
-        keys = split_keys(slim.withColumn("node", node).where(F.col("node").isin(*open_nodes)), dims, {n: (x[1] // 2) / x[1] for n, x in open_nodes.items()})
-        grown = {n: x for n, x in leaves.items() if n not in open_nodes and x[1] == 1}
-        out = node
-        for n, (first, many) in open_nodes.items():
-            low, high = 2 * n + 1, 2 * n + 2
-            grown[low], grown[high] = (first, many // 2), (first + many // 2, many - many // 2)
-            out = F.when(node == n, F.when(F.col(dims[n]) <= keys[n], low).otherwise(high)).otherwise(out)
-        node, leaves = out, grown
-    shard = F.lit(0)
-    for n, (first, _) in leaves.items():
-        shard = F.when(F.col("_node") == n, first).otherwise(shard)
-    rows = base.withColumn("_node", node).withColumn("shard", shard.cast("int"))
-    rows_of = rows.groupBy("shard").agg(F.count(F.lit(1)).alias("_rows")).withColumnRenamed("shard", "_shard")
-    rows = rows.join(F.broadcast(rows_of), rows["shard"] == rows_of["_shard"])  # one row a shard
-    placed = running_start(rows, "shard", ["_digest"], "_key", "_one", "slot", F.ceil(F.sqrt(F.col("_rows"))))
-    return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), *[F.col(f"_keep_{c}").alias(c) for c in keep])
+        shards = max(1, -(-head[0] // target_bytes))
+    scratch, splits, slim = Scratch(docs.sparkSession), [], base.select("size", "at")
+    for _ in range((shards - 1).bit_length()):  # the depth of the tree
+        open_rows = _placed(slim, shards, splits).where("many > 1")
+        splits.append(stash(_splits(open_rows, list(head[1:]), scratch), "splits"))
+    rows = _placed(base, shards, splits).withColumnRenamed("first", "shard").withColumn("one", F.lit(1))
+    rows_of = rows.groupBy("shard").agg(F.count(F.lit(1)).alias("rows"))
+    placed = running_start(rows.join(rows_of, "shard"), "shard", ["digest"], "key", "one", "slot", F.ceil(F.sqrt(F.col("rows"))))
+    scratch.clear()
+    kept = [F.col(f"row.k{i}").alias(c) for i, c in enumerate(keep)]
+    return placed.select("row.doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), *kept)
 
 
 def op9_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:

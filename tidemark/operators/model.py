@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from functools import reduce
 
-import pandas as pd
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame
@@ -13,6 +12,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.scalars import sigmoid
 from tidemark.operators.metrics import probability_metrics
+from tidemark.sources.folders import new_folder
 
 EPOCHS = 120
 RATE = 0.1
@@ -34,24 +34,27 @@ def fit_descent(train: DataFrame, names: list[str], penalties: list[float], by:
     """fold, penalty, intercept, weights by full-batch gradient descent from zero: ``epochs`` steps of RATE on mean log-loss + penalty / 2 * |w|^2.
 
     Each step is one aggregation over all training rows of all folds and penalties; only the weights, a row for each
-    fold and penalty, go round. Nothing gathers a fold's rows.
+    fold and penalty, go round. Nothing gathers a fold's rows. The training rows are written once, so a step that loses
+    an executor reads them again.
     """
     spark = train.sparkSession
     k = len(names)
-    grid = [(r[by], p) for r in train.select(by).distinct().collect() for p in penalties]  # a row a fold
+    path = new_folder(spark, "train")
+    train.select(by, F.col("y").cast("double").alias("y"), *names).write.parquet(path)
+    rows = spark.read.parquet(path)
+    kind = rows.schema[by].dataType.simpleString()
+    grid = [(r[by], float(p)) for r in rows.select(by).distinct().orderBy(by).collect() for p in penalties]  # a row a fold
     state = {g: [0.0] * (k + 1) for g in grid}
-    rows = train.select(by, F.col("y").cast("double").alias("y"), *names).persist()
+    table = lambda: spark.createDataFrame([(f, p, x) for (f, p), x in state.items()], f"`{by}` {kind}, penalty double, w array<double>")
     for _ in range(epochs):
-        w = spark.createDataFrame(pd.DataFrame([(f, p, x) for (f, p), x in state.items()], columns=[by, "penalty", "w"]))
-        joined = rows.join(F.broadcast(w), by)
+        joined = rows.join(F.broadcast(table()), by)  # a row a fold and penalty
         score = reduce(lambda a, i: a + F.col("w")[i + 1] * F.col(names[i]), range(k), F.col("w")[0])
         error = sigmoid(score) - F.col("y")
         grads = joined.groupBy(by, "penalty").agg(F.avg(error).alias("g0"), *[F.avg(error * F.col(c)).alias(f"g{i + 1}") for i, c in enumerate(names)]).collect()
         for g in grads:
             x, p = state[(g[by], g["penalty"])], g["penalty"]
             state[(g[by], p)] = [x[0] - RATE * g["g0"]] + [x[i] - RATE * (g[f"g{i}"] + p * x[i]) for i in range(1, k + 1)]
-    rows.unpersist()
-    return spark.createDataFrame(pd.DataFrame([(f, p, x[0], x[1:]) for (f, p), x in state.items()], columns=[by, "penalty", "intercept", "weights"]))
+    return table().select(by, "penalty", F.col("w")[0].alias("intercept"), F.slice("w", 2, k).alias("weights"))
 
 
 def fit_logistic(train: DataFrame, names: list[str], penalty: float) -> tuple[float, list[float]]:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidemark.operators import model, signals
+from tidemark.operators import calendars, model, signals
 from tidemark.plans.registry import registry
 from tidemark.plans.signals import FEATURES, RET
 from tidemark.sources import bindings as b
@@ -74,3 +74,60 @@ def m05(spark, sf):
 @query("v01_model_weights", b.PRED, sql_text="SELECT session, symbol AS entity, round(1.0::DOUBLE / count(*) OVER (PARTITION BY session), 8) AS weight FROM pred WHERE p >= 0.5")
 def v01_model(spark, sf):
     return _r(model.signal_weights(b.predictions(spark, sf).withColumnRenamed("symbol", "entity")), "weight", digits=8)
+
+
+#: The chain: folds over the sessions that have features, train-only scaling, descent for each penalty, choice by
+#: validation loss, predictions of the chosen model, scores where the label is known.
+PENALTIES_TRIED = [0.0, 0.1, 1.0]
+STEPS = 25
+LINEAR = " + ".join(f"f.w{i + 1} * z.{c}" for i, c in enumerate(USED))
+CHAINED = f"""fo AS (SELECT session, row_number() OVER (ORDER BY session) - 1 AS ord FROM (SELECT DISTINCT session FROM features WHERE n = 61)),
+num AS (SELECT count(*) AS n FROM fo),
+folds AS (SELECT (p - 17) // 3 AS fold, p, least(p + 2, n - 1) AS p_to FROM (SELECT n, unnest(generate_series(17, n - 1, 3)) AS p FROM num)),
+labelled AS (SELECT f.entity, f.session, fo.ord, {', '.join('f.' + c for c in USED)}, y FROM features f JOIN fo USING (session) LEFT JOIN (SELECT entity, session, (lead(close, 3) OVER (PARTITION BY entity ORDER BY session) / close - 1 > 0)::INT AS y FROM bars) l USING (entity, session) WHERE f.n = 61),
+roles AS (SELECT l.*, fold, CASE WHEN ord BETWEEN p - 17 AND p - 10 AND ord + 3 < p - 6 THEN 'train' WHEN ord BETWEEN p - 6 AND p - 4 AND ord + 3 < p THEN 'validate' WHEN ord BETWEEN p AND p_to THEN 'predict' END AS role FROM labelled l JOIN folds ON ord BETWEEN p - 17 AND p_to),
+sc AS (SELECT fold, {', '.join(f"avg({c}) AS {c}_m, CASE WHEN stddev_pop({c}) > 0 THEN stddev_pop({c}) ELSE 1 END AS {c}_s" for c in USED)} FROM roles WHERE role = 'train' AND y IS NOT NULL GROUP BY fold),
+z AS (SELECT r.fold, r.role, r.entity, r.session, r.y, {', '.join(f"(r.{c} - {c}_m) / {c}_s AS {c}" for c in USED)} FROM roles r JOIN sc USING (fold) WHERE role IS NOT NULL),
+zt AS (SELECT * FROM z WHERE role = 'train' AND y IS NOT NULL),
+fit(fold, penalty, step, w0, {', '.join(f'w{i + 1}' for i in range(len(USED)))}) AS (
+  SELECT DISTINCT fold, penalty, 0, 0::DOUBLE, {', '.join('0::DOUBLE' for _ in USED)} FROM zt, (SELECT unnest({PENALTIES_TRIED})::DOUBLE AS penalty)
+  UNION ALL SELECT f.fold, f.penalty, f.step + 1, any_value(f.w0) - {model.RATE} * avg(1 / (1 + exp(-(f.w0 + {LINEAR}))) - z.y), {', '.join(f"any_value(f.w{i + 1}) - {model.RATE} * (avg((1 / (1 + exp(-(f.w0 + {LINEAR}))) - z.y) * z.{c}) + f.penalty * any_value(f.w{i + 1}))" for i, c in enumerate(USED))}
+  FROM fit f JOIN zt z ON z.fold = f.fold WHERE f.step < {STEPS} GROUP BY f.fold, f.penalty, f.step),
+done AS (SELECT * FROM fit WHERE step = {STEPS}),
+val AS (SELECT f.fold, f.penalty, -avg(z.y * ln(p) + (1 - z.y) * ln(1 - p)) AS loss FROM (SELECT z.*, f.penalty AS pen, 1 / (1 + exp(-(f.w0 + {LINEAR}))) AS p FROM z JOIN done f ON f.fold = z.fold WHERE z.role = 'validate' AND z.y IS NOT NULL) z JOIN done f ON f.fold = z.fold AND f.penalty = z.pen GROUP BY f.fold, f.penalty),
+chosen AS (SELECT fold, arg_min(penalty, {{'l': loss, 'p': penalty}}) AS penalty, min(loss) AS loss FROM val GROUP BY fold),
+oos AS (SELECT z.fold, z.entity, z.session, z.y, 1 / (1 + exp(-(f.w0 + {LINEAR}))) AS p FROM z JOIN chosen c ON c.fold = z.fold JOIN done f ON f.fold = z.fold AND f.penalty = c.penalty WHERE z.role = 'predict')"""
+
+
+def _roles(spark, sf):
+    """Scaled samples of every fold with their role, and labels where they are known."""
+    bars = b.bars(spark, sf)
+    rows = signals.features(bars).select("entity", "session", *USED).join(signals.forward_label(bars, 3).select("entity", "session", "y"), ["entity", "session"], "left")
+    calendar = calendars.ordinals(rows).withColumn("ord", F.col("ord") - 1)
+    folds = calendar.agg(F.count(F.lit(1)).alias("n")).select(F.inline(signals.walk_forward_folds(F.col("n"), 8, 3, 3, 3, warmup=0)))
+    roles = signals.fold_samples(rows.join(calendar, "session").withColumn("label_ord", F.col("ord") + 3), folds)
+    roles = roles.select("fold", "role", "entity", "session", "y", *USED)
+    return model.scaled(roles, model.scaler(roles.where("role = 'train' AND y IS NOT NULL"), USED), USED)
+
+
+def _fitted(z):
+    return model.fit_descent(z.where("role = 'train' AND y IS NOT NULL"), USED, PENALTIES_TRIED, epochs=STEPS)
+
+
+@query("m02_descent", b.BARS, RET, FEATURES, CHAINED, sql_text=f"SELECT fold, penalty, round(w0, 6) AS intercept, {', '.join(f'round(w{i + 1}, 6) AS w{i + 1}' for i in range(len(USED)))} FROM done")
+def m02_descent(spark, sf):
+    fits = _fitted(_roles(spark, sf))
+    return _r(fits.select("fold", "penalty", "intercept", *[F.col("weights")[i].alias(f"w{i + 1}") for i in range(len(USED))]), "intercept", *[f"w{i + 1}" for i in range(len(USED))])
+
+
+@query("m05_walk_forward", b.BARS, RET, FEATURES, CHAINED, sql_text="SELECT fold, penalty, round(loss, 6) AS log_loss, count(*) AS predictions, count(y) AS scored, round(avg(p), 6) AS mean_p, round(avg(CASE WHEN y IS NOT NULL THEN pow(p - y, 2) END), 6) AS brier_score FROM oos JOIN chosen USING (fold) GROUP BY fold, penalty, loss")
+def m05_chain(spark, sf):
+    """Fit, choice and out-of-sample predictions of every fold, each from the step before."""
+    z = _roles(spark, sf)
+    fits = _fitted(z)
+    judged = model.predict(z.where("role = 'validate' AND y IS NOT NULL").join(fits, "fold"), USED, F.col("intercept"), F.col("weights"))
+    chosen = model.best_penalty(judged.select("fold", "penalty", "p", "y"))
+    best = fits.join(chosen, ["fold", "penalty"])
+    p = model.predict(z.where("role = 'predict'").join(best, "fold"), USED, F.col("intercept"), F.col("weights"))
+    out = p.groupBy("fold", "penalty", "log_loss").agg(F.count(F.lit(1)).alias("predictions"), F.count("y").alias("scored"), F.avg("p").alias("mean_p"), F.avg(F.pow(F.col("p") - F.col("y"), 2)).alias("brier_score"))
+    return _r(out, "log_loss", "mean_p", "brier_score")

@@ -86,9 +86,9 @@ def s05(spark, sf):
     return _digests(spark, sf).select("revision", "digest")
 
 
-@query("s06_dataset_digest", b.OBS, sql_text=f"SELECT bucket, count(*) AS n, sha256(string_agg(digest, '' ORDER BY digest)) AS bucket_digest FROM (SELECT substr(digest, 1, 2) AS bucket, digest FROM (SELECT {DIGEST} FROM obs)) GROUP BY bucket")
+@query("s06_dataset_digest", b.OBS, sql_text=f"SELECT bucket, count(*) AS n, sha256(string_agg(digest, '' ORDER BY digest)) AS bucket_digest FROM (SELECT substr(digest, 1, 4) AS bucket, digest FROM (SELECT {DIGEST} FROM obs)) GROUP BY bucket")
 def s06(spark, sf):
-    return datasets.bucket_digests(_digests(spark, sf), levels=1)
+    return datasets.bucket_digests(_digests(spark, sf), levels=2)
 
 
 @query("s08_incremental_merge", b.OBS, sql_text=f"SELECT digest, min(bundle) AS bundle, count(*) AS copies FROM (SELECT DISTINCT 1 AS bundle, {DIGEST} FROM obs WHERE available_at < DATE '1997-01-01' UNION ALL SELECT DISTINCT 2, {DIGEST} FROM obs WHERE available_at >= DATE '1996-01-01') GROUP BY digest")

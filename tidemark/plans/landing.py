@@ -30,7 +30,7 @@ def _pages(spark, sf):
         F.struct("data", F.lit(None).cast("string").alias("pagination_key")).alias("response"),
     )
     path = new_folder(spark, "pages")
-    landed.write_pages(pages, path, F.sha2("path", 256).substr(1, 1))
+    landed.write_pages(pages, path, F.floor(F.substring_index("path", "/", -1).cast("long") / 50))
     return landed.read_pages(spark, path)
 
 
@@ -94,7 +94,7 @@ def s11(spark, sf):
         F.concat(F.lit("S"), "symbol").alias("symbol"), "price", F.lit("JPY").alias("currency"), F.col("as_of").cast("timestamp").alias("as_of"), F.lit("feed").alias("source"),
         F.when(dated, "XTKS").alias("market"), F.when(dated, F.col("as_of")).alias("data_date"), F.when(dated, F.col("as_of").cast("timestamp")).alias("ingested_at"),
     )
-    read = _documents(spark, rows, "snapshots", landed.SNAPSHOTS, ["symbol", "currency"], F.sha2("symbol", 256).substr(1, 2))
+    read = _documents(spark, rows, "snapshots", landed.SNAPSHOTS, ["symbol", "currency"], F.floor(F.substring("symbol", 2, 20).cast("long") / 500))
     units = (F.col("price") * F.lit(10**12).cast("decimal(13,0)")).cast("decimal(38,0)").cast("string")
     return read.select("symbol", units.alias("price"), "currency", F.to_date("as_of").alias("as_of"), F.col("data_date").isNotNull().alias("dated"), landed.paired_optionals(read).alias("paired"), "duplicate")
 
@@ -105,7 +105,7 @@ def s12(spark, sf):
         F.concat(F.lit("S"), "symbol").alias("symbol"), "event_type", F.col("event_date").cast("string").alias("event_date"), F.col("announced_at").cast("timestamp").alias("announced_at"),
         F.lit("feed").alias("source"), "status",
     )
-    read = _documents(spark, rows, "events", landed.EVENTS, ["symbol", "event_type", "event_date", "source"], F.concat_ws("-", F.col("symbol"), F.substring("event_date", 1, 4)))
+    read = _documents(spark, rows, "events", landed.EVENTS, ["symbol", "event_type", "event_date", "source"], F.floor(F.substring("symbol", 2, 20).cast("long") / 200))
     return read.select("symbol", "event_type", "event_date", "status", "duplicate")
 
 
@@ -113,7 +113,7 @@ def s12(spark, sf):
 def s13(spark, sf):
     pages = b.table(spark, sf, "pages")
     rows = pages.select(F.col("page_id").cast("string").alias("id"), F.concat(F.lit("S"), F.col("page_id") % 50).alias("symbol"), F.lit("title").alias("title"), F.lit("s").alias("source"), "url", F.lit("en").alias("language"))
-    read = _documents(spark, rows, "articles", landed.ARTICLES, ["id"], F.sha2("id", 256).substr(1, 2))
+    read = _documents(spark, rows, "articles", landed.ARTICLES, ["id"], F.floor(F.col("id").cast("long") / 2000))
     return read.select("id", "symbol", "url", "duplicate")
 
 

@@ -512,8 +512,8 @@ def test_prefix_filter_loses_no_similar_pair(spark):
 
 def test_near_duplicates_keep_columns_and_long_texts(spark):
     rng = random.Random(8)
-    words = [f"w{rng.randrange(10**6)}" for _ in range(300_000)]
-    long = [" ".join(words), " ".join(words[:150_000] + ["put", "in"] + words[150_000:]), " ".join(words[150_000:] + words[:150_000])]
+    words = [f"w{rng.randrange(10**6)}" for _ in range(120_000)]
+    long = [" ".join(words), " ".join(words[:60_000] + ["put", "in"] + words[60_000:]), " ".join(words[60_000:] + words[:60_000])]
     rows = [(i, t, f"n{i}", f"k{i}", i) for i, t in enumerate([*long, "a b", "a b", None])]
     docs = spark.createDataFrame(rows + [(3, "a b", "n9", "k9", 9), (3, "a b", "n3", "k3", 3)], "doc_id long, text string, _node string, key string, row long")
     got = {r["doc_id"]: r["class_id"] for r in near_dedup.near_duplicates(docs).collect()}

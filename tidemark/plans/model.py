@@ -39,7 +39,8 @@ def m01(spark, sf):
 def m02(spark, sf):
     rows = _samples(spark, sf)
     z = model.scaled(rows, model.scaler(rows, USED), USED)
-    fits = [(fold, *model.fit_logistic(z.where(F.col("fold") == fold), USED, 0.1)) for fold in (0, 1)]
+    folds = [r["fold"] for r in rows.select("fold").distinct().orderBy("fold").collect()]  # a row a fold
+    fits = [(fold, *model.fit_logistic(z.where(F.col("fold") == fold), USED, 0.1)) for fold in folds]
     return spark.createDataFrame(fits, "fold int, intercept double, weights array<double>")
 
 

@@ -40,6 +40,8 @@ SHORT = 20
 SHORT_LENGTH = 2
 #: Hash values that a sketch holds at once.
 BLOCK = 1 << 21
+#: Texts whose arrays a task holds at once.
+SLICE = 500
 #: Numbers of k-mers are dealt into bins that grow by this ratio, for the prefix filter.
 RATIO = 1.03
 
@@ -81,12 +83,12 @@ def kmers(text: str | None) -> np.ndarray:
     return labelled(shingles(text))
 
 
-def sketch(text: str | None) -> tuple[int, list[int]]:
+def sketch(text: str | None) -> tuple[int, np.ndarray]:
     """(k-mers, bucket of each sketch element). Long texts take few elements at a time: BLOCK hash values at most."""
     h = kmers(text)
     n = len(h)
     kinds = [x for x, wanted in ((LENGTH, n >= SHORT * SIMILARITY), (SHORT_LENGTH, n < SHORT / SIMILARITY)) if wanted]
-    buckets: dict[int, list[int]] = {x: [] for x in kinds}
+    buckets: dict[int, list[np.ndarray]] = {x: [] for x in kinds}
     step = max(1, BLOCK // n)
     for start in range(0, ELEMENTS, step):
         seeds = _SEEDS[start : start + step]
@@ -100,8 +102,8 @@ def sketch(text: str | None) -> tuple[int, list[int]]:
             key = _mix(seeds[:, 0] + np.uint64(length))
             for column in h[at].T:
                 key = _mix(key * np.uint64(5) + column)
-            buckets[length] += key.view(np.int64).tolist()
-    return n, [x for found in buckets.values() for x in found]
+            buckets[length].append(key.view(np.int64))
+    return n, np.concatenate([x for found in buckets.values() for x in found])
 
 
 def aligned(a: np.ndarray, b: np.ndarray, band: int) -> int:
@@ -175,6 +177,13 @@ def _fits(a: Column, b: Column) -> Column:
     return F.least(a, b) >= F.greatest(a, b) * SIMILARITY
 
 
+def _slices(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """SLICE rows at a time, so that a task holds the arrays of few texts."""
+    for batch in batches:
+        for i in range(0, len(batch), SLICE):
+            yield batch.iloc[i : i + SLICE]
+
+
 def _linked(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """The pairs (a, b) that are similar enough; ``texts`` has node and text."""
 
@@ -223,7 +232,7 @@ def _open_pairs(left: DataFrame, texts: DataFrame, scratch: Scratch) -> DataFram
     """
 
     def apply(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
+        for batch in _slices(batches):
             yield batch[["node", "label", "n"]].assign(kmer=[kmers(t).view(np.int64) for t in batch["text"]])
 
     share = SIMILARITY / (1 + SIMILARITY)
@@ -256,7 +265,7 @@ def near_classes(docs: DataFrame, scratch: Scratch) -> DataFrame:
     keep = scratch.stash
 
     def sketched(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
+        for batch in _slices(batches):
             found = [sketch(t) for t in batch["text"]]
             yield batch[["one", "two"]].assign(n=[x[0] for x in found], buckets=[x[1] for x in found])
 

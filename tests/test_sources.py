@@ -6,7 +6,7 @@ import json
 
 from pyspark.sql import functions as F
 
-from tidemark.operators import calendars, enrich, quality, signals
+from tidemark.operators import calendars, enrich, ledger, quality, signals
 from tidemark.sources import datasets, landed
 from tidemark.streaming import forward
 
@@ -162,14 +162,46 @@ def test_compacted_logs_answer_later_decisions_alike(spark):
     assert forward.compacted(log, F.lit(D(12))).count() < log.count()
 
 
-def test_decisions_append_once_a_session(spark, tmp_path):
-    source, out = str(tmp_path / "in"), str(tmp_path / "out")
-    observations(spark, 2, 3).write.parquet(source)
-    decide = lambda batch: batch.groupBy(F.col("entity").alias("series"), F.col("available_at").alias("session")).agg(F.max("value").alias("value"))
-    for k in range(2):
-        stream = spark.readStream.schema(ROWS).parquet(source)
-        forward.append_decisions(stream, out, str(tmp_path / f"c{k}"), decide).awaitTermination(120)
-    assert spark.read.parquet(out).count() == 2
+DECISIONS = "series string, session date, generated_at timestamp, body string"
+
+
+def decision(series, day, body="b", hour=12, late=0):
+    return series, D(day), dt.datetime(2025, 1, day + late, hour), body
+
+
+def decided(spark, folder, batches, first=1):
+    """Rows of ``path`` after each batch has been landed and the stream run again; an empty batch is a plain restart."""
+    calendar = spark.createDataFrame([(D(n), k, dt.datetime(2025, 1, n, 9)) for k, n in enumerate((6, 7, 8, 9, 10, 14), 1)], "session date, ordinal int, cutoff timestamp")
+    for rows in batches:
+        if rows:
+            spark.createDataFrame(rows, DECISIONS).coalesce(1).write.mode("append").parquet(f"{folder}/in")
+        stream = spark.readStream.schema(DECISIONS).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
+        forward.append_decisions(stream, calendar, f"{folder}/out", f"{folder}/state", first).awaitTermination(120)
+    return forward.read_decisions(spark, f"{folder}/out")
+
+
+def test_decisions_of_several_batches_equal_those_of_one(spark, tmp_path):
+    """A batch that comes again and a restart add nothing but their refusals; the head is the built chain's."""
+    whole = [decision(s, n) for s in "AB" for n in (6, 7, 8, 9, 10, 14)]
+    once = decided(spark, str(tmp_path / "one"), [whole]).where("accepted").drop("accepted")
+    parts = [[r for r in whole if r[1] <= D(7)], [r for r in whole if r[1] == D(8)], [], [r for r in whole if r[1] == D(8)], [r for r in whole if r[1] > D(8)]]
+    several = decided(spark, str(tmp_path / "many"), parts)
+    assert sorted(several.where("accepted").drop("accepted").collect()) == sorted(once.collect()) and once.count() == 12
+    assert [(r["code"], r["n"]) for r in several.where("NOT accepted").groupBy("code").agg(F.count(F.lit(1)).alias("n")).collect()] == [("already_recorded", 2)]
+    built = ledger.build_chain(once.select("series", "session", "digest"), "series", "session", "digest")
+    assert sorted(map(tuple, built.collect())) == sorted(map(tuple, ledger.chain_heads(once, "series").collect()))
+
+
+def test_decisions_take_strictly_the_next_session(spark, tmp_path):
+    rows = [decision("A", 6), decision("A", 8), decision("B", 7), decision("C", 6, hour=8), decision("C", 6), decision("D", 11), decision("E", 6, late=3), decision("E", 7, late=1), decision("F", 6, "x"), decision("F", 6, "y"), decision("G", 10), decision("G", 14), (None, D(6), dt.datetime(2025, 1, 6, 12), "b")]
+    found = decided(spark, str(tmp_path / "a"), [rows])
+    codes = sorted((str(r["series"]), r["session"].day, r["body"], str(r["code"])) for r in found.where("series <> 'G' OR series IS NULL").collect())
+    assert codes == [
+        ("A", 6, "b", "None"), ("A", 8, "b", "not_next_session"), ("B", 7, "b", "not_next_session"), ("C", 6, "b", "None"), ("C", 6, "b", "session_not_closed"), ("D", 11, "b", "unknown_session"),
+        ("E", 6, "b", "None"), ("E", 7, "b", "generated_not_increasing"), ("F", 6, "x", "None"), ("F", 6, "y", "already_recorded"), ("None", 6, "b", "None"),
+    ]
+    later = decided(spark, str(tmp_path / "b"), [[decision("G", 10), decision("G", 14)]], first=5)
+    assert later.where("accepted").count() == 2  # a series may begin late; the next session skips closed days
 
 
 def test_short_forward_report(spark):

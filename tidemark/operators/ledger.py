@@ -12,21 +12,68 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tidemark.operators import ordered
 
 MONEY = "decimal(38,12)"
 SUM = "decimal(36,12)"  # can be added to without losing digits
 
 
-def positions(tx: DataFrame, order: list[str]) -> DataFrame:
+#: A symbol of more rows than these is cut into segments, which are folded side by side.
+HOT_ROWS = 1_000_000
+
+
+def positions(tx: DataFrame, order: list[str], hot_rows: int = HOT_ROWS) -> DataFrame:
     """symbol, currency, quantity, average_cost, total_cost, realized_pnl, oversold, last_tx: the ledger replayed.
 
     Exact: decimals of 12 digits, each product and share rounded half up once. Buys add cost, sells take their share of
-    it, all on a full close; a sell of more than is held is counted and skipped. A ledger is ordered by nature, so a
-    symbol's rows are sorted into one task each, which spills to disk; the fold streams over them and holds one state,
-    so no symbol is gathered in memory.
+    it, all on a full close; a sell of more than is held is counted and skipped. A ledger is ordered by nature: a
+    symbol's rows are sorted into one task, which spills to disk, and the fold holds one state. But nothing of what came
+    before is left where the holding is zero, so a symbol of more than ``hot_rows`` rows is cut there (``segments``),
+    its parts are folded as if they were symbols of their own, and their sums are added.
     """
+    size = tx.groupBy("symbol", "currency").agg(F.count(F.lit(1)).alias("_n"))
+    hot = size.where(F.col("_n") > hot_rows).select("symbol", "currency")
+    if hot.isEmpty():
+        return _folded(tx.withColumn("segment", F.lit(0).cast("long")), order).drop("segment")
+    rest = tx.join(hot, ["symbol", "currency"], "left_anti").withColumn("segment", F.lit(0).cast("long"))
+    cut = segments(tx.join(hot, ["symbol", "currency"], "left_semi"), order)
+    parts = _folded(rest.unionByName(cut), order)
+    # Only a symbol's last segment can hold anything.
+    add = lambda c: F.sum(c).cast(MONEY).alias(c)
+    return parts.groupBy("symbol", "currency").agg(
+        add("quantity"), F.max("average_cost").alias("average_cost"), add("total_cost"), add("realized_pnl"), F.sum("oversold").alias("oversold"), F.max("last_tx").alias("last_tx"),
+    )
+
+
+def _place(order: list[str]) -> list[str]:
+    return [*order, "side", "quantity", "price", "fee"]
+
+
+def segments(tx: DataFrame, order: list[str]) -> DataFrame:
+    """``tx`` with ``segment``: how often its symbol's holding was zero before the row.
+
+    Prefix sums over ranges of the order find the places, so no task holds a symbol. They are right as long as nothing
+    was oversold; from a symbol's first oversell on its rows stay in one segment, from the last zero before it.
+    """
+    by, place = ["symbol", "currency"], _place(order)
+    amount = F.col("quantity").cast("decimal(30,12)")
+    signed = F.when(F.col("side") == "buy", amount).otherwise(-amount)
+    cut = ordered.ranged(tx, by, place)
+    held = ordered.running_before(cut, by, place, {"_before": signed.cast("decimal(28,12)")})
+    held = held.withColumn("_held", F.col("_before") + signed)
+    zero, short = (F.col("_held") == 0).cast("long"), (F.col("_held") < 0).cast("long")
+    marked = ordered.running_before(held, by, place, {"_zeros": zero, "_short": short})
+    first = marked.where("_short = 0 AND _held < 0").groupBy(*by).agg(F.max("_zeros").alias("_last"))
+    own = marked.join(first, by, "left")
+    return own.withColumn("segment", F.least("_zeros", F.coalesce("_last", "_zeros"))).select(*tx.columns, "segment")
+
+
+def _folded(tx: DataFrame, order: list[str]) -> DataFrame:
+    """The positions that each segment of each symbol leaves, from nothing."""
     kinds = {f.name: f.dataType.simpleString() for f in tx.schema}
-    out = f"symbol {kinds['symbol']}, currency {kinds['currency']}, quantity {MONEY}, average_cost {MONEY}, total_cost {MONEY}, realized_pnl {MONEY}, oversold long, last_tx {kinds['executed_at']}"
+    money = [f"{c} {MONEY}" for c in ("quantity", "average_cost", "total_cost", "realized_pnl")]
+    key_kinds = [f"{c} {kinds[c]}" for c in ("symbol", "currency", "segment")]
+    out = ", ".join([*key_kinds, *money, "oversold long", f"last_tx {kinds['executed_at']}"])
 
     unit = 10**12
 
@@ -46,11 +93,11 @@ def positions(tx: DataFrame, order: list[str]) -> DataFrame:
 
         for batch in batches:
             rows = []
-            for symbol, currency, side, quantity, price, fee, at in batch.itertuples(index=False, name=None):
-                if (symbol, currency) != key:
+            for *own, side, quantity, price, fee, at in batch.itertuples(index=False, name=None):
+                if own != key:
                     if key is not None:
                         rows.append(closed())
-                    key, state, last = (symbol, currency), [0, 0, 0, 0], at
+                    key, state, last = own, [0, 0, 0, 0], at
                 held, cost, realized, oversold = state
                 q, fee = int(quantity * unit), int(fee * unit)
                 value = half_up(q * int(price * unit), unit)
@@ -67,10 +114,10 @@ def positions(tx: DataFrame, order: list[str]) -> DataFrame:
         if key is not None:
             yield pd.DataFrame([closed()], columns=columns)
 
-    place = ["symbol", "currency", *order, "side", "quantity", "price", "fee"]
-    sorted_rows = tx.repartition("symbol", "currency").sortWithinPartitions(*place)
+    by = ["symbol", "currency", "segment"]
+    sorted_rows = tx.repartition(*by).sortWithinPartitions(*by, *_place(order))
     amounts = [F.col(c).cast("decimal(30,12)").alias(c) for c in ("quantity", "price", "fee")]
-    return sorted_rows.select("symbol", "currency", "side", *amounts, "executed_at").mapInPandas(fold, out)
+    return sorted_rows.select(*by, "side", *amounts, "executed_at").mapInPandas(fold, out)
 
 
 def append_batch(existing: DataFrame, batch: DataFrame, economic: list[str], order: list[str] | None = None) -> DataFrame:
@@ -221,39 +268,133 @@ def equity(fills: DataFrame, marks: DataFrame, initial: int) -> DataFrame:
 GENESIS = "0" * 64
 
 
-def build_chain(rows: DataFrame, series: str, order: str, digest: str) -> DataFrame:
-    """series, entries, head: h(i) = sha256(h(i-1) | digest(i)) over each series in order, from the genesis.
+#: Entries between two checkpoints of a chain.
+EVERY = 100_000
 
-    Each series is sorted into one task, which spills; the fold streams over it with the running hash as its only state.
-    """
 
-    genesis = GENESIS  # the tasks need no package of their own
+def chain_entries(rows: DataFrame, series: str, order: str, digest: str) -> DataFrame:
+    """series, seq (from 1), digest, previous_hash, entry_hash: h(i) = sha256(h(i-1) | i | digest(i)) from the genesis.
+
+    A hash needs the one before it, so a series is built in one task: sorted there, which spills, and streamed over
+    with the running hash as the only state. Rows that tie in ``order`` stand by their digests.
+    """
+    genesis, kind = GENESIS, rows.schema[series].dataType.simpleString()  # the tasks need no package of their own
 
     def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         key, n, head, started = None, 0, genesis, False
         for batch in batches:
-            out = []
-            for name, d in batch.itertuples(index=False, name=None):
+            seqs, before, after = [], [], []
+            for name, d in zip(batch["series"], batch["digest"]):
                 if not started or name != key:
-                    if started:
-                        out.append((key, n, head))
                     key, n, head, started = name, 0, genesis, True
-                n, head = n + 1, hashlib.sha256(f"{head}|{d}".encode()).hexdigest()
-            if out:
-                yield pd.DataFrame(out, columns=[series, "entries", "head"])
-        if started:
-            yield pd.DataFrame([(key, n, head)], columns=[series, "entries", "head"])
+                n += 1
+                seqs.append(n)
+                before.append(head)
+                head = hashlib.sha256(f"{head}|{n}|{d}".encode()).hexdigest()
+                after.append(head)
+            yield batch.assign(seq=seqs, previous_hash=before, entry_hash=after)
 
     sorted_rows = rows.repartition(series).sortWithinPartitions(series, order, digest)
-    return sorted_rows.select(series, digest).mapInPandas(fold, f"`{series}` {rows.schema[series].dataType.simpleString()}, entries long, head string")
+    held = sorted_rows.select(F.col(series).alias("series"), F.col(digest).alias("digest"))
+    entries = held.mapInPandas(fold, f"series {kind}, digest string, seq long, previous_hash string, entry_hash string")
+    return entries.select(F.col("series").alias(series), "seq", "digest", "previous_hash", "entry_hash")
+
+
+def chain_checkpoints(entries: DataFrame, series: str, every: int = EVERY) -> DataFrame:
+    """series, seq, head: the hash after each ``every`` entries; what ``verify_segments`` starts and ends at."""
+    return entries.where(F.col("seq") % every == 0).select(series, "seq", F.col("entry_hash").alias("head"))
+
+
+def chain_heads(entries: DataFrame, series: str) -> DataFrame:
+    """series, entries, head: what a chain is recorded as."""
+    return entries.groupBy(series).agg(F.max("seq").alias("entries"), F.max_by("entry_hash", "seq").alias("head"))
+
+
+def build_chain(rows: DataFrame, series: str, order: str, digest: str) -> DataFrame:
+    """The recorded heads of the chains that ``rows`` make."""
+    return chain_heads(chain_entries(rows, series, order, digest), series)
 
 
-def verify_chain(entries: DataFrame, series: str, payload: list[str]) -> DataFrame:
-    """Per series whether its sequence has no gap, each entry names the one before, and each hash recomputes."""
-    w = W.partitionBy(series).orderBy("seq")
-    again = F.sha2(F.concat_ws("|", "previous_hash", *[F.col(c).cast("string") for c in payload]), 256)
-    e = entries.select("*", (F.col("seq") == F.row_number().over(w)).alias("_s"), (F.col("previous_hash") == F.lag("entry_hash", 1, GENESIS).over(w)).alias("_p"), (F.col("entry_hash") == again).alias("_h"))
-    return e.groupBy(series).agg(F.bool_and("_s").alias("contiguous"), F.bool_and("_p").alias("linked"), F.bool_and("_h").alias("hashes_right"), F.max_by("entry_hash", "seq").alias("head"))
+def _compared(found: DataFrame, record: DataFrame, series: str) -> DataFrame:
+    """``found`` (series, entries, head, ...) with count_right and head_right; a series that one side lacks is wrong."""
+    kept = record.select(series, F.col("entries").alias("_n"), F.col("head").alias("_h"))
+    both = found.join(kept, series, "full_outer")
+    right = lambda a, b: F.coalesce(F.col(a) == F.col(b), F.lit(False))
+    return both.withColumns({"count_right": right("entries", "_n"), "head_right": right("head", "_h")}).drop("_n", "_h")
+
+
+def verify_chain(entries: DataFrame, record: DataFrame, series: str, every: int = EVERY) -> DataFrame:
+    """Per series: contiguous (seq 1, 2, ... without gap or repeat), linked (each names the hash before it), hashes_right
+    (each recomputes), and count_right, head_right against ``record`` (series, entries, head).
+
+    Each entry is compared with the one before it inside its segment of ``every`` numbers; the last of a segment goes to
+    the next one too, so a long series is verified in many tasks and none of them sorts a series.
+    """
+    number = F.floor(F.col("seq") / every)
+    edge = F.col("seq") % every == every - 1
+    held = entries.withColumn("_segment", F.explode(F.when(edge, F.array(number, number + 1)).otherwise(F.array(number))))
+    w = W.partitionBy(series, "_segment").orderBy("seq")
+    again = F.sha2(F.concat_ws("|", "previous_hash", F.col("seq").cast("string"), "digest"), 256)
+    start = F.col("seq") == 1
+    before = lambda c: F.lag(c).over(w)
+    contiguous = F.when(before("seq").isNull(), start).otherwise(before("seq") == F.col("seq") - 1)
+    link = F.when(start, F.lit(GENESIS)).otherwise(before("entry_hash"))
+    linked = F.coalesce(F.col("previous_hash") == link, F.lit(False))
+    e = held.select(series, "seq", "entry_hash", contiguous.alias("_s"), linked.alias("_p"), (F.col("entry_hash") == again).alias("_h"), (F.col("_segment") == number).alias("_own"))
+    e = e.where("_own")  # an edge is judged in its own segment
+    found = e.groupBy(series).agg(
+        F.bool_and("_s").alias("contiguous"), F.bool_and("_p").alias("linked"), F.bool_and("_h").alias("hashes_right"),
+        F.count(F.lit(1)).alias("entries"), F.max_by("entry_hash", "seq").alias("head"),
+    )
+    return _compared(found, record, series)
+
+
+def verify_segments(rows: DataFrame, checkpoints: DataFrame, record: DataFrame, series: str, every: int = EVERY) -> DataFrame:
+    """Per series: segments, wrong_segments, entries, count_right, head_right, from ``rows`` (series, seq, digest) alone.
+
+    Hashes are made again, each segment from the checkpoint before it to the one after it, side by side; a segment is
+    wrong where the numbers have a gap, the checkpoint before it is missing, or the hash isn't the one that the
+    checkpoint after it holds (the record's head for the last segment).
+    """
+    genesis, kind = GENESIS, rows.schema[series].dataType.simpleString()
+
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, state = None, None  # head, next number, entries, right
+
+        def closed() -> tuple:
+            return (*key, state[2], state[0], state[3])
+
+        for batch in batches:
+            out = []
+            for name, segment, role, seq, value in batch.itertuples(index=False, name=None):
+                if (name, segment) != key:
+                    if key is not None:
+                        out.append(closed())
+                    key, state = (name, segment), [genesis if segment == 0 else None, segment * every + 1, 0, True]
+                if role == 0:
+                    state[0] = value
+                elif role == 1:
+                    state[3] = state[3] and seq == state[1] and state[0] is not None
+                    state[0] = hashlib.sha256(f"{state[0]}|{seq}|{value}".encode()).hexdigest()
+                    state[1], state[2] = seq + 1, state[2] + 1
+                else:
+                    state[3] = state[3] and state[0] == value
+            yield pd.DataFrame(out, columns=["series", "segment", "entries", "head", "right"])
+        if key is not None:
+            yield pd.DataFrame([closed()], columns=["series", "segment", "entries", "head", "right"])
+
+    def part(df: DataFrame, number: Column, role: int, value: str) -> DataFrame:
+        return df.select(F.col(series).alias("series"), F.floor(number / every).alias("segment"), F.lit(role).alias("role"), "seq", F.col(value).alias("value"))
+
+    ends = checkpoints.union(record.select(series, F.col("entries"), "head")).distinct()
+    held = part(rows, F.col("seq") - 1, 1, "digest").union(part(checkpoints, F.col("seq"), 0, "head")).union(part(ends, F.col("seq") - 1, 2, "head"))
+    held = held.repartition("series", "segment").sortWithinPartitions("series", "segment", "role", "seq", "value")
+    each = held.mapInPandas(fold, f"series {kind}, segment long, entries long, head string, right boolean")
+    each = each.where("entries > 0")  # the last checkpoint begins a segment that may be empty
+    found = each.groupBy(F.col("series").alias(series)).agg(
+        F.count(F.lit(1)).alias("segments"), F.count_if(~F.col("right")).alias("wrong_segments"), F.sum("entries").alias("entries"), F.max_by("head", "segment").alias("head"),
+    )
+    return _compared(found, record, series)
 
 
 def same_outputs(stored: DataFrame, recomputed: DataFrame) -> DataFrame:

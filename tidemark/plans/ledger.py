@@ -9,6 +9,7 @@ from tidemark.operators import ledger, signals
 from tidemark.plans.registry import registry
 from tidemark.plans.signals import FILLS, _fills
 from tidemark.sources import bindings as b
+from tidemark.sources.folders import written
 
 QUERIES, SQL, query = registry()
 
@@ -68,6 +69,13 @@ def a04(spark, sf):
     return out.withColumn("quantity", F.col("quantity").cast("long"))
 
 
+@query("a04_segmented_ledger", b.TX, b.TXD, REPLAY, sql_text=f"SELECT symbol, currency, CAST(held AS BIGINT) AS quantity, {_text(('cost', 'total_cost'), ('realized', 'realized_pnl'))}, oversold FROM pos")
+def a04_segmented(spark, sf):
+    """Every symbol as a hot one: cut where nothing is held, its segments folded apart."""
+    out = _units(ledger.positions(b.ledger_rows(spark, sf), b.LINE_ORDER, hot_rows=0), "total_cost", "realized_pnl")
+    return out.select("symbol", "currency", F.col("quantity").cast("long").alias("quantity"), "total_cost", "realized_pnl", "oversold")
+
+
 @query("j12_valuation_status", *BASE, sql_text=f"SELECT symbol, currency, status AS valuation_status, {_text(('market_value', 'market_value'), ('unrealized', 'unrealized'))}, round(unrealized_pct, 9) AS unrealized_pct, round(daily_move, 9) AS daily_move FROM u")
 def j12(spark, sf):
     v = _units(_r(_valued(spark, sf), "unrealized_pct", "daily_move", digits=9), "market_value", "unrealized")
@@ -166,28 +174,55 @@ def w16(spark, sf):
 
 
 CHAIN = f"""chain AS (SELECT user_id, event_id, sha256(event_id || '|' || event_type) AS h, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS k FROM events),
-link(user_id, k, head) AS (SELECT DISTINCT user_id, 0::BIGINT, '{ledger.GENESIS}' FROM chain UNION ALL SELECT l.user_id, c.k, sha256(l.head || '|' || c.h) FROM link l JOIN chain c ON c.user_id = l.user_id AND c.k = l.k + 1)"""
+link(user_id, k, head) AS (SELECT DISTINCT user_id, 0::BIGINT, '{ledger.GENESIS}' FROM chain UNION ALL SELECT l.user_id, c.k, sha256(l.head || '|' || c.k || '|' || c.h) FROM link l JOIN chain c ON c.user_id = l.user_id AND c.k = l.k + 1),
+heads AS (SELECT user_id, max(k) AS entries, arg_max(head, k) AS head FROM link GROUP BY user_id)"""
+#: Entries between checkpoints; small, so that every series has several.
+EVERY = 8
 
 
 def _chain(spark, sf):
     return b.table(spark, sf, "events").select("user_id", "event_id", F.sha2(F.concat_ws("|", "event_id", "event_type"), 256).alias("h"))
 
 
-@query("w12_chain_build", CHAIN, sql_text="SELECT user_id, max(k) AS entries, arg_max(head, k) AS head FROM link GROUP BY user_id")
+def _entries(spark, sf):
+    return ledger.chain_entries(_chain(spark, sf), "user_id", "event_id", "h")
+
+
+@query("w12_chain_build", CHAIN, sql_text="SELECT * FROM heads")
 def w12(spark, sf):
     return ledger.build_chain(_chain(spark, sf), "user_id", "event_id", "h")
 
 
-ENTRIES = f"""ent AS (SELECT *, sha256(previous_hash || '|' || h) AS again FROM (SELECT user_id, k, h, CASE WHEN user_id % 10 = 3 AND k = 4 THEN 'x' ELSE coalesce(lag(h) OVER (PARTITION BY user_id ORDER BY k), '{ledger.GENESIS}') END AS previous_hash FROM chain))"""
+@query("w12_chain_checkpoints", CHAIN, sql_text=f"SELECT user_id, k AS seq, head FROM link WHERE k > 0 AND k % {EVERY} = 0")
+def w12_checkpoints(spark, sf):
+    return ledger.chain_checkpoints(_entries(spark, sf), "user_id", EVERY)
+
+
+ENTRIES = """ent AS (SELECT c.user_id, c.k, CASE WHEN c.user_id % 10 = 9 AND c.k = 3 THEN 'forged' ELSE c.h END AS h, CASE WHEN c.user_id % 10 = 3 AND c.k = 4 THEN 'x' ELSE b.head END AS previous, o.head AS entry
+  FROM chain c JOIN link o ON o.user_id = c.user_id AND o.k = c.k JOIN link b ON b.user_id = c.user_id AND b.k = c.k - 1 WHERE NOT (c.user_id % 10 = 7 AND c.k = 2)),
+judged AS (SELECT *, k = 1 OR coalesce(lag(k) OVER w = k - 1, false) AS s, previous = CASE WHEN k = 1 THEN '""" + ledger.GENESIS + """' ELSE coalesce(lag(entry) OVER w, '') END AS p, entry = sha256(previous || '|' || k || '|' || h) AS again FROM ent WINDOW w AS (PARTITION BY user_id ORDER BY k))"""
 
 
-@query("w11_chain_verify", CHAIN, ENTRIES, sql_text="SELECT user_id, bool_and(user_id % 10 <> 7 OR k <> 2) AS contiguous, bool_and(p) AS linked, true AS hashes_right, arg_max(again, k) AS head FROM (SELECT *, previous_hash = coalesce(lag(again) OVER (PARTITION BY user_id ORDER BY k), '" + ledger.GENESIS + "') AS p FROM ent) GROUP BY user_id")
+@query("w11_chain_verify", CHAIN, ENTRIES, sql_text="SELECT j.*, h.entries + CASE WHEN user_id % 10 = 1 THEN 1 ELSE 0 END = j.entries AS count_right, CASE WHEN user_id % 10 = 5 THEN 'y' ELSE h.head END = j.head AS head_right FROM (SELECT user_id, bool_and(s) AS contiguous, bool_and(p) AS linked, bool_and(again) AS hashes_right, count(*) AS entries, arg_max(entry, k) AS head FROM judged GROUP BY user_id) j JOIN heads h USING (user_id)")
 def w11(spark, sf):
-    w = W.partitionBy("user_id").orderBy("event_id")
-    rows = _chain(spark, sf).withColumn("k", F.row_number().over(w)).withColumn("before", F.lag("h", 1, ledger.GENESIS).over(w))
-    rows = rows.withColumn("previous_hash", F.when((F.col("user_id") % 10 == 3) & (F.col("k") == 4), "x").otherwise(F.col("before")))
-    entries = rows.select("user_id", F.when((F.col("user_id") % 10 == 7) & (F.col("k") == 2), F.lit(2.5)).otherwise(F.col("k").cast("double")).alias("seq"), "h", "previous_hash", F.sha2(F.concat_ws("|", "previous_hash", "h"), 256).alias("entry_hash"))
-    return ledger.verify_chain(entries, "user_id", ["h"])
+    """Chains with an entry that names another one before it, one that is missing, a forged one, and wrong records."""
+    tens, entries = F.col("user_id") % 10, _entries(spark, sf)
+    record = ledger.chain_heads(entries, "user_id")
+    record = record.withColumns({"entries": F.col("entries") + F.when(tens == 1, 1).otherwise(0), "head": F.when(tens == 5, "y").otherwise(F.col("head"))})
+    planted = entries.where((tens != 7) | (F.col("seq") != 2))
+    planted = planted.withColumn("previous_hash", F.when((tens == 3) & (F.col("seq") == 4), "x").otherwise(F.col("previous_hash")))
+    planted = planted.withColumn("digest", F.when((tens == 9) & (F.col("seq") == 3), "forged").otherwise(F.col("digest")))
+    return ledger.verify_chain(planted, record, "user_id", EVERY)
+
+
+@query("w11_chain_segments", CHAIN, sql_text=f"SELECT user_id, CAST(ceil(entries / {EVERY}) AS BIGINT) AS segments, CASE WHEN user_id % 10 = 9 AND entries >= 3 THEN 1 ELSE 0 END::BIGINT AS wrong_segments, entries, true AS count_right, NOT (user_id % 10 = 9 AND entries BETWEEN 3 AND {EVERY}) AS head_right FROM heads")
+def w11_segments(spark, sf):
+    """The third row of every tenth user is forged: its segment alone is wrong, also the head where it is the last one."""
+    entries = written(_entries(spark, sf), "entries")
+    forged = F.when((F.col("user_id") % 10 == 9) & (F.col("seq") == 3), "forged").otherwise(F.col("digest"))
+    rows, record = entries.select("user_id", "seq", forged.alias("digest")), ledger.chain_heads(entries, "user_id")
+    out = ledger.verify_segments(rows, ledger.chain_checkpoints(entries, "user_id", EVERY), record, "user_id", EVERY)
+    return out.drop("head")
 
 
 @query("t05_past_outputs", b.BARS, sql_text="SELECT entity, session, 'stored' AS side FROM bars WHERE year(session) = 1995 UNION ALL SELECT entity, session, 'recomputed' FROM bars WHERE year(session) = 1997")

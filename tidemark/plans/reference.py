@@ -12,7 +12,7 @@ from tidemark.plans.quality import CALENDAR, _calendar
 from tidemark.plans.registry import registry
 from tidemark.sources import bindings as b
 from tidemark.sources import datasets, landed
-from tidemark.sources.folders import new_folder
+from tidemark.sources.folders import new_folder, written
 from tidemark.streaming import forward
 
 QUERIES, SQL, query = registry()
@@ -204,14 +204,14 @@ def t06(spark, sf):
 def _landed(spark, rows) -> str:
     """``rows`` written as a folder of files, for streams to read."""
     path = f"{new_folder(spark)}/landed"
-    rows.repartition(4).write.parquet(path)
+    rows.write.parquet(path)
     return path
 
 
 def _stream(spark, sf):
     """The events table as a stream of observation records."""
     events = b.table(spark, sf, "events")
-    rows = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 2).parquet(_landed(spark, events))
+    rows = spark.readStream.schema(events.schema).option("maxBytesPerTrigger", 1 << 30).parquet(_landed(spark, events))
     return rows.select(F.sha2(F.concat_ws("|", "user_id", "event_type", F.to_date("ts")), 256).alias("digest"), F.col("ts").cast("timestamp").alias("ingested_at"), F.to_date("ts").alias("day"), "user_id")
 
 
@@ -234,16 +234,44 @@ def t02(spark, sf):
 def t03(spark, sf):
     """Observations come in as a stream; the log is compacted at an earlier decision and then asked for a later one."""
     out, rows = new_folder(spark), b.observations(spark, sf)
-    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(_landed(spark, rows))
+    stream = spark.readStream.schema(rows.schema).option("maxBytesPerTrigger", 1 << 30).parquet(_landed(spark, rows))
     forward.latest_revisions(stream, f"{out}/log", f"{out}/state").awaitTermination()
     log = forward.compacted(spark.read.schema(rows.schema).parquet(f"{out}/log"), F.lit("1995-01-01").cast("date"))
     return forward.current_revisions(log, F.lit(DECISION).cast("date"))
 
 
-@query("t04_stream_decisions", sql_text="SELECT user_id AS series, CAST(ts AS DATE) AS session, count(*) AS n FROM events GROUP BY 1, 2")
+DECIDED = f"""days AS (SELECT session, row_number() OVER (ORDER BY session) AS o FROM (SELECT DISTINCT CAST(ts AS DATE) AS session FROM events)),
+made AS (SELECT CAST(u.user_id AS VARCHAR) AS series, u.user_id, d.session, d.o, count(e.user_id) AS n,
+  epoch_us(CAST(d.session AS TIMESTAMP) + CASE WHEN u.user_id % 10 = 5 AND o = 2 THEN INTERVAL 1 HOUR ELSE INTERVAL 12 HOUR END) AS micros
+  FROM (SELECT DISTINCT user_id FROM events) u CROSS JOIN days d LEFT JOIN events e ON e.user_id = u.user_id AND CAST(e.ts AS DATE) = d.session WHERE NOT (u.user_id % 10 = 3 AND o = 5) GROUP BY ALL),
+sent AS (SELECT *, sha256(concat_ws('|', session, micros, sha256(CAST(n AS VARCHAR)))) AS digest, CASE WHEN user_id % 10 = 3 THEN 4 WHEN user_id % 10 = 5 THEN 1 ELSE 1000000 END AS good FROM made),
+link(series, k, head) AS (SELECT DISTINCT series, 0::BIGINT, '{forward.GENESIS}' FROM sent UNION ALL SELECT l.series, s.o, sha256(l.head || '|' || s.o || '|' || s.digest) FROM link l JOIN sent s ON s.series = l.series AND s.o = l.k + 1 AND s.o <= s.good)"""
+
+
+@query("t04_stream_decisions", DECIDED, sql_text="""SELECT series, max(k) AS entries, arg_max(head, k) AS head, coalesce(any_value(codes), '') AS codes FROM link LEFT JOIN
+  (SELECT series, CASE WHEN good = 1 THEN 'not_next_session ' || (count(*) - 2) || ',session_not_closed 1' ELSE 'not_next_session ' || (count(*) - 4) END AS codes FROM sent WHERE good < 1000 GROUP BY series, good) USING (series) WHERE k > 0 GROUP BY series""")
 def t04(spark, sf):
-    out, events = new_folder(spark), b.table(spark, sf, "events")
-    decide = lambda batch: batch.groupBy(F.col("user_id").alias("series"), F.col("day").alias("session")).agg(F.count(F.lit(1)).alias("n"))
-    rows = spark.readStream.schema(events.schema).parquet(_landed(spark, events)).select("user_id", F.to_date("ts").alias("day"))
-    forward.append_decisions(rows, f"{out}/rows", f"{out}/state", decide).awaitTermination()
-    return spark.read.parquet(f"{out}/rows").select("series", "session", "n")
+    """Each user's count of every day as decisions of a series; the stream is stopped half way and started again.
+
+    One series in ten lacks its fifth session, and one has its second one generated before the day's cutoff.
+    """
+    out, events = new_folder(spark), b.table(spark, sf, "events").select("user_id", F.to_date("ts").alias("session"))
+    days = written(events.select("session").distinct().withColumn("ordinal", F.row_number().over(W.orderBy("session"))), "sessions")  # one row a day
+    cutoff = F.to_timestamp(F.concat(F.col("session").cast("string"), F.lit("T18:00:00+09:00")))
+    counts = events.groupBy("user_id", "session").agg(F.count(F.lit(1)).alias("n"))
+    grid = events.select("user_id").distinct().crossJoin(F.broadcast(days.agg(F.collect_list(F.struct("session", "ordinal")).alias("d"))))  # one row
+    grid = grid.select("user_id", F.inline("d")).join(counts, ["user_id", "session"], "left")
+    tens = F.col("user_id") % 10
+    hours = F.when((tens == 5) & (F.col("ordinal") == 2), 1).otherwise(12)
+    made = F.col("session").cast("timestamp") + F.make_dt_interval(hours=hours)
+    body = F.sha2(F.coalesce("n", F.lit(0)).cast("string"), 256)
+    rows = grid.where((tens != 3) | (F.col("ordinal") != 5)).select(F.col("user_id").cast("string").alias("series"), "session", "ordinal", made.alias("generated_at"), body.alias("body"))
+    for half in (F.col("ordinal") <= 15, F.col("ordinal") > 15):
+        rows.where(half).write.mode("append").parquet(f"{out}/landed")
+        stream = spark.readStream.schema(rows.schema).parquet(f"{out}/landed")
+        forward.append_decisions(stream, days.withColumn("cutoff", cutoff), f"{out}/rows", f"{out}/state").awaitTermination()
+    done = forward.read_decisions(spark, f"{out}/rows")
+    codes = done.where("NOT accepted").groupBy("series", "code").agg(F.concat_ws(" ", "code", F.count(F.lit(1))).alias("c"))
+    codes = codes.groupBy("series").agg(F.array_join(F.sort_array(F.collect_list("c")), ",").alias("codes"))
+    heads = ledger.chain_heads(done.where("accepted"), "series")
+    return heads.join(codes, "series", "left").withColumn("codes", F.coalesce("codes", F.lit("")))

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import hashlib
+from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tidemark.operators import metrics, pit
 
@@ -78,23 +81,75 @@ def compacted(log: DataFrame, decision: Column, key: tuple[str, ...] = pit.KEY)
     return kept.unionByName(log.where(F.coalesce(~known, F.lit(True))).select(*kept.columns)).select(*log.columns)
 
 
-def append_decisions(stream: DataFrame, path: str, checkpoint: str, decide: Callable[[DataFrame], DataFrame]) -> StreamingQuery:
-    """One row a (series, session): ``decide`` turns a batch into decisions; those whose session is not after the series' last are left out, so a replay adds nothing.
+#: What the stream keeps of each series: entries and the last one's place in the calendar, time and hash.
+SERIES_STATE = "entries long, ordinal long, generated_at long, head string"
+GENESIS = "0" * 64
+#: What ``append_decisions`` writes.
+DECISIONS = (
+    "series string, session date, body string, digest string, seq long, previous_hash string, entry_hash string, "
+    "code string, generated_at timestamp, accepted boolean"
+)
 
-    ``path`` is laid out by session; a batch reads only the sessions from its own first one on.
-    """
 
-    def step(batch: DataFrame, _: int) -> None:
-        rows = decide(batch).dropDuplicates(["series", "session"])
-        first = rows.agg(F.min("session")).head()[0]
-        if first is None:
-            return
-        later = _read(batch.sparkSession, path, rows.schema).where(F.col("session") >= F.lit(first))
-        last = later.groupBy("series").agg(F.max("session").alias("_last"))
-        new = rows.join(last, "series", "left").where(F.col("_last").isNull() | (F.col("session") > F.col("_last"))).select(*rows.columns)
-        new.write.mode("append").partitionBy("session").parquet(path)
+def read_decisions(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(DECISIONS).parquet(path)
 
-    return stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+def decision_digest(session: Column, generated_at: Column, body: Column) -> Column:
+    """What a decision's hash covers: its session, its time in microseconds, and the digest of its body."""
+    return F.sha2(F.concat_ws("|", session.cast("string"), F.unix_micros(generated_at).cast("string"), body), 256)
+
+
+def append_decisions(stream: DataFrame, sessions: DataFrame, path: str, checkpoint: str, first: int = 1) -> StreamingQuery:
+    """Append each series' decisions to ``path``, strictly the next session each time, chained by hash.
+
+    ``stream``: series (string), session (date), generated_at (timestamp), body (a digest). ``sessions``: the frozen
+    calendar (session, ordinal from 1, cutoff); a series begins at ordinal ``first``. The state of a series is its
+    number of entries, the last one's ordinal and time, and the chain's head. Rows of one batch are taken in the order
+    of (session, generated_at, body). ``path`` gets every row with seq, previous_hash, entry_hash and ``code``, by
+    ``accepted``: null code for an entry, else why it is none: unknown_session, session_not_closed (generated before
+    the cutoff), already_recorded, not_next_session, generated_not_increasing. A restart goes on from the state, and a
+    batch that comes again finds its sessions recorded; h(i) = sha256(h(i-1) | i | ``decision_digest``).
+    """
+    genesis = GENESIS  # the tasks need no package of their own
+
+    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        entries, ordinal, generated, head = state.get if state.exists else (0, first - 1, None, genesis)
+        rows = pd.concat(list(frames)).sort_values(["place", "micros", "body"], na_position="last")
+        out = []
+        for place, micros, closed, digest in zip(rows["place"], rows["micros"], rows["closed"], rows["digest"]):
+            code = None
+            if pd.isna(place):
+                code = "unknown_session"
+            elif not closed:
+                code = "session_not_closed"
+            elif place <= ordinal:
+                code = "already_recorded"
+            elif place != ordinal + 1:
+                code = "not_next_session"
+            elif generated is not None and micros <= generated:
+                code = "generated_not_increasing"
+            if code:
+                out.append((None, None, None, code))
+                continue
+            entries, ordinal, generated, before = entries + 1, int(place), int(micros), head
+            head = hashlib.sha256(f"{before}|{entries}|{digest}".encode()).hexdigest()
+            out.append((entries, before, head, None))
+        if entries:
+            state.update((entries, ordinal, generated, head))
+        made = pd.DataFrame(out, columns=["seq", "previous_hash", "entry_hash", "code"], index=rows.index)
+        yield pd.concat([rows[["series", "session", "micros", "body", "digest"]], made.astype({"seq": "Int64"})], axis=1)
+
+    calendar = sessions.select("session", F.col("ordinal").cast("long").alias("place"), "cutoff")
+    known = stream.select("series", "session", "generated_at", "body").join(calendar, "session", "left")
+    digest = decision_digest(F.col("session"), F.col("generated_at"), F.col("body"))
+    closed = F.coalesce(F.col("generated_at") >= F.col("cutoff"), F.lit(False))
+    known = known.select("series", "session", F.unix_micros("generated_at").alias("micros"), "body", digest.alias("digest"), "place", closed.alias("closed"))
+    out = "series string, session date, micros long, body string, digest string, seq long, previous_hash string, entry_hash string, code string"
+    chained = known.groupBy("series").applyInPandasWithState(step, out, SERIES_STATE, "append", GroupStateTimeout.NoTimeout)
+    chained = chained.withColumn("generated_at", F.timestamp_micros("micros")).withColumn("accepted", F.col("code").isNull()).drop("micros")
+    written = chained.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint)
+    return written.partitionBy("accepted").outputMode("append").trigger(availableNow=True).start()
 
 
 def report(equity: DataFrame, benchmark: DataFrame, initial: float, block: int, replicates: int = 500, confidence: float = 0.95, seed: int = 1) -> DataFrame:

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tidemark.operators.ordered import ranged, running_before
+
 
 def performance(equity: DataFrame, initial: float | str, fills: DataFrame | None = None, annual: int = 252) -> DataFrame:
     """Per run, from ``equity`` (run, session, equity) and fills' notionals (run, notional).
@@ -62,8 +64,8 @@ def calibration(pairs: DataFrame, by: list[str]) -> DataFrame:
 def probability_metrics(pairs: DataFrame, by: list[str]) -> DataFrame:
     """Per group: count, accuracy, precision, recall, roc_auc (ties count half), brier_score, log_loss, expected_calibration_error; null on empty denominators.
 
-    The area comes from running counts over the distinct scores, which are first counted, so no group of rows is
-    gathered; the windows hold distinct scores only.
+    The area comes from the ranks of the distinct scores: these are counted, cut into ranges, and each range starts at
+    the count below it, so no task holds a group's scores.
     """
     hit = (F.col("p") >= 0.5).cast("int")
     y = F.col("y")
@@ -73,26 +75,50 @@ def probability_metrics(pairs: DataFrame, by: list[str]) -> DataFrame:
         F.avg(F.pow(F.col("p") - y, 2)).alias("brier_score"), F.avg(loss).alias("log_loss"),
     )
     scores = pairs.groupBy(*by, "p").agg(F.sum(y).alias("pos"), F.sum(1 - y).alias("neg"))
-    below = F.coalesce(F.sum("neg").over(W.partitionBy(*by).orderBy("p").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    auc = scores.withColumn("_won", F.col("pos") * (below + F.col("neg") / 2)).groupBy(*by).agg(F.try_divide(F.sum("_won"), F.sum("pos") * F.sum("neg")).alias("roc_auc"))
+    scores = running_before(ranged(scores, by, ["p"]), by, ["p"], {"_below": F.col("neg")})
+    auc = scores.withColumn("_won", F.col("pos") * (F.col("_below") + F.col("neg") / 2)).groupBy(*by).agg(F.try_divide(F.sum("_won"), F.sum("pos") * F.sum("neg")).alias("roc_auc"))
     bins = calibration(pairs, by).groupBy(*by).agg((F.sum(F.col("count") * F.abs(F.col("mean_probability") - F.col("observed_frequency"))) / F.sum("count")).alias("expected_calibration_error"))
     return main.join(auc, by).join(bins, by)
 
 
+def _block_sums(series: DataFrame, n: DataFrame, block: int, by: tuple[str, ...]) -> DataFrame:
+    """by, i, tail, value, weight: circular sums of ``block`` entries from i on, and of the last block's (``tail``)."""
+    key = list(by)
+    sized = series.join(n, key) if key else series.crossJoin(F.broadcast(n))  # one row
+    # The first entries stand again behind the last, and one more place ends the sums.
+    far = sized.where(F.col("i") <= block).withColumn("i", F.col("i") + F.col("n"))
+    w = W.partitionBy(*key).orderBy("i")
+    places = sized.unionByName(far)
+    before = [(F.sum(c).over(w) - F.col(c)).alias(c) for c in ("value", "weight")]
+    sums = places.select(*key, "i", "n", *before)
+    left = F.col("n") - (F.ceil(F.col("n") / block) - 1) * block  # entries of the last block
+    starts = sums.where(F.col("i") < F.col("n"))
+    starts = starts.select(*key, "i", F.col("value").alias("_v"), F.col("weight").alias("_w"), F.posexplode(F.array(F.lit(block).cast("long"), left)).alias("tail", "_len"))
+    ends = sums.select(*key, F.col("i").alias("_end"), "value", "weight")
+    found = starts.withColumn("_end", F.col("i") + F.col("_len")).join(ends, [*key, "_end"])
+    return found.select(*key, "i", "tail", (F.col("value") - F.col("_v")).alias("value"), (F.col("weight") - F.col("_w")).alias("weight"))
+
+
 def bootstrap_interval(series: DataFrame, replicates: int, block: int, confidence: float, seed: int, statistic: str = "mean", by: tuple[str, ...] = ()) -> DataFrame:
     """``by``, lower, upper, reason of a circular block bootstrap over each ``series`` (i from 0, value[, weight]).
 
-    Block b of replicate r starts at (r * 7919 + b * 104729 + seed) mod n. The statistic is the mean of values, or
-    their sum over the sum of weights. Bounds are the values of rank floor(a (R - 1)) and ceil((1 - a)(R - 1)),
-    a = (1 - confidence) / 2. Fewer than two blocks give null bounds. A series is one row a session.
+    Block b of replicate r starts at (r * 7919 + b * 104729 + seed) mod n; the last one is cut so that a replicate has n
+    entries. The statistic is the mean of values, or their sum over the sum of weights. Bounds are the values of rank
+    floor(a (R - 1)) and ceil((1 - a)(R - 1)), a = (1 - confidence) / 2. Fewer than two blocks give null bounds. A
+    series is one row a session; a block's sum is the difference of two prefix sums, so a replicate costs a lookup a
+    block instead of a row an entry.
     """
-    n = series.groupBy(*by).agg(F.count(F.lit(1)).alias("n"))
-    draws = n.where(F.col("n") >= 2 * block).select(*by, "n", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("r"))
-    draws = draws.select(*by, "n", "r", F.explode(F.sequence(F.lit(0), (F.ceil(F.col("n") / block) - 1).cast("int"))).alias("b"))
-    draws = draws.select(*by, "n", "r", "b", F.explode(F.sequence(F.lit(0), F.lit(block - 1))).alias("j")).where(F.col("b") * block + F.col("j") < F.col("n"))
-    drawn = draws.select(*by, "r", (((F.col("r").cast("long") * 7919 + F.col("b") * 104729 + seed) % F.col("n") + F.col("j")) % F.col("n")).alias("i"))
-    weight = F.sum("weight") if statistic == "ratio" else F.count(F.lit(1))
-    stats = drawn.join(series, [*by, "i"]).groupBy(*by, "r").agg((F.sum("value") / weight).alias("s"))
+    n = series.groupBy(*by).agg(F.count(F.lit(1)).cast("long").alias("n"))
+    weight = F.col("weight") if statistic == "ratio" else F.lit(1)
+    held = series.select(*by, F.col("i").cast("long").alias("i"), F.col("value").cast("double").alias("value"), weight.cast("double").alias("weight"))
+    enough = n.where(F.col("n") >= 2 * block)
+    sums = _block_sums(held, enough, block, by)
+    draws = enough.select(*by, "n", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("r"))
+    blocks = F.ceil(F.col("n") / block).cast("int")
+    draws = draws.select(*by, "n", "r", blocks.alias("_blocks"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("b"))
+    start = (F.col("r").cast("long") * 7919 + F.col("b") * 104729 + seed) % F.col("n")
+    draws = draws.select(*by, "r", start.alias("i"), (F.col("b") == F.col("_blocks") - 1).cast("int").alias("tail"))
+    stats = draws.join(sums, [*by, "i", "tail"]).groupBy(*by, "r").agg((F.sum("value") / F.sum("weight")).alias("s"))
     ranked = stats.withColumn("_k", F.row_number().over(W.partitionBy(*by).orderBy("s", "r")) - 1)  # over the replicates
     a = (1 - confidence) / 2
     lo, hi = math.floor(a * (replicates - 1)), math.ceil((1 - a) * (replicates - 1))

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemark.operators.calendars import between, indexed
+from tidemark.operators.ordered import uncrossed
 
 KEY = ("entity", "event_at")
 INDEX = ("_days", "_upto", "_first")
@@ -77,8 +78,7 @@ def known_actions(actions: DataFrame, decision: Column) -> DataFrame:
 
 def without_crossing(windows: DataFrame, actions: DataFrame) -> DataFrame:
     """Windows (entity, start, end) that no action of the entity crosses: start < effective <= end."""
-    a = actions.select(F.col("entity").alias("_e"), "effective")
-    return windows.join(a, (windows["entity"] == a["_e"]) & (a["effective"] > windows["start"]) & (a["effective"] <= windows["end"]), "left_anti")
+    return uncrossed(windows, "start", "end", actions)
 
 
 def missing_history(earlier: DataFrame, later: DataFrame, digest: str = "digest") -> DataFrame:

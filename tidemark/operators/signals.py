@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators import pit
 from tidemark.operators.calendars import ordinals
+from tidemark.operators.ordered import uncrossed
 from tidemark.operators.quality import grid
 
 
@@ -67,8 +68,7 @@ def _unbroken(rows: DataFrame, start: str, end: str, members: DataFrame | None,
         for side in (start, end):
             rows = rows.join(members.select("entity", F.col("session").alias(side)).distinct(), ["entity", side], "left_semi")
     if actions is not None:
-        a = actions.select(F.col("entity").alias("_e"), "effective")
-        rows = rows.join(a, (rows["entity"] == a["_e"]) & (a["effective"] > rows[start]) & (a["effective"] <= rows[end]), "left_anti")
+        rows = uncrossed(rows, start, end, actions)
     return rows
 
 
@@ -151,19 +151,27 @@ def walk_forward_folds(n_sessions: int | Column, train: int, validation: int, st
     ))
 
 
-def fold_samples(samples: DataFrame, folds: DataFrame) -> DataFrame:
-    """Samples (ord, label_ord) with each fold's role; a label must be known strictly before what comes next.
+def fold_samples(samples: DataFrame, n_sessions: int | Column, train: int, validation: int, step: int, horizon: int, warmup: int = 60) -> DataFrame:
+    """``samples`` (ord from 0, label_ord) with fold and role in each of ``walk_forward_folds`` that they belong to; a
+    label must be known strictly before what comes next.
 
-    Folds are one row a step of the calendar; samples join them by range with the folds on the small side.
+    The folds that hold a sample follow from its ordinal, at most (train + validation + 2 horizon) / step + 2 of them,
+    so there is nothing to join. ``n_sessions`` may be a column of the samples.
     """
-    f = F.broadcast(folds)
-    o, known = F.col("ord"), F.col("label_ord")
+    first = warmup + train + validation + 2 * horizon
+    n = n_sessions if isinstance(n_sessions, Column) else F.lit(n_sessions)
+    o, known = F.col("ord").cast("long"), F.col("label_ord")
+    back = 2 * horizon + validation + train  # from the training's start to the prediction's
+    low = F.greatest(F.floor((o - first) / step), F.lit(0))
+    high = F.least(F.floor((o + back - first) / step), F.floor((n - 1 - first) / step))
+    p = F.lit(first) + F.col("fold") * step
     role = (
-        F.when(o.between(F.col("train_from"), F.col("train_to")) & (known < F.col("validate_from")), "train")
-        .when(o.between(F.col("validate_from"), F.col("validate_to")) & (known < F.col("predict_from")), "validate")
-        .when(o.between(F.col("predict_from"), F.col("predict_to")), "predict")
+        F.when(o.between(p - back, p - 2 * horizon - validation - 1) & (known < p - horizon - validation), "train")
+        .when(o.between(p - horizon - validation, p - horizon - 1) & (known < p), "validate")
+        .when(o.between(p, p + step - 1), "predict")
     )
-    return samples.join(f, o.between(F.col("train_from"), F.col("predict_to"))).withColumn("role", role).where("role IS NOT NULL")
+    each = samples.withColumn("fold", F.explode(F.when((low <= high) & (n > first), F.sequence(low, high))))
+    return each.withColumn("role", role).where("role IS NOT NULL")
 
 
 def equal_weights(bars: DataFrame) -> DataFrame:

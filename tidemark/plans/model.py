@@ -105,8 +105,9 @@ def _roles(spark, sf):
     bars = b.bars(spark, sf)
     rows = signals.features(bars).select("entity", "session", *USED).join(signals.forward_label(bars, 3).select("entity", "session", "y"), ["entity", "session"], "left")
     calendar = calendars.ordinals(rows).withColumn("ord", F.col("ord") - 1)
-    folds = calendar.agg(F.count(F.lit(1)).alias("n")).select(F.inline(signals.walk_forward_folds(F.col("n"), 8, 3, 3, 3, warmup=0)))
-    roles = signals.fold_samples(rows.join(calendar, "session").withColumn("label_ord", F.col("ord") + 3), folds)
+    samples = rows.join(calendar, "session").withColumn("label_ord", F.col("ord") + 3)
+    samples = samples.crossJoin(F.broadcast(calendar.agg(F.count(F.lit(1)).alias("sessions"))))  # one row
+    roles = signals.fold_samples(samples, F.col("sessions"), 8, 3, 3, 3, warmup=0)
     roles = roles.select("fold", "role", "entity", "session", "y", *USED)
     return model.scaled(roles, model.scaler(roles.where("role = 'train' AND y IS NOT NULL"), USED), USED)
 

@@ -144,16 +144,23 @@ def a13(spark, sf):
 FOLDS = "folds AS (SELECT i AS fold, p AS predict_from, least(p + 4, n - 1) AS predict_to, p - 3 - 5 AS validate_from, p - 4 AS validate_to, p - 6 - 5 - 20 AS train_from, p - 7 - 5 AS train_to FROM (SELECT n, unnest(generate_series(41, n - 1, 5)) AS p, unnest(range(len(generate_series(41, n - 1, 5)))) AS i FROM (SELECT count(DISTINCT session) AS n FROM bars)))"
 
 
-def _folds(spark, sf):
+#: Sessions of training, validation, step, horizon and warm-up.
+WALK = {"train": 20, "validation": 5, "step": 5, "horizon": 3, "warmup": 10}
+
+
+@query("w13_fold_table", b.BARS, FOLDS, sql_text="SELECT * FROM folds")
+def w13_table(spark, sf):
     n = b.bars(spark, sf).agg(F.count_distinct("session").alias("n"))
-    return n.select(F.inline(signals.walk_forward_folds(F.col("n"), 20, 5, 5, 3, warmup=10)))
+    return n.select(F.inline(signals.walk_forward_folds(F.col("n"), **WALK)))
 
 
 @query("w13_walk_forward_folds", b.BARS, FOLDS, sql_text="""SELECT fold, role, count(*) AS n, min(session) AS first, max(session) AS last FROM (SELECT f.fold, s.session, CASE WHEN o BETWEEN train_from AND train_to AND o + 3 < validate_from THEN 'train' WHEN o BETWEEN validate_from AND validate_to AND o + 3 < predict_from THEN 'validate' WHEN o BETWEEN predict_from AND predict_to THEN 'predict' END AS role
   FROM (SELECT session, o FROM (SELECT DISTINCT entity FROM bars) CROSS JOIN (SELECT session, row_number() OVER (ORDER BY session) - 1 AS o FROM (SELECT DISTINCT session FROM bars))) s JOIN folds f ON o BETWEEN train_from AND predict_to) WHERE role IS NOT NULL GROUP BY fold, role""")
 def w13(spark, sf):
     samples = signals.on_grid(b.bars(spark, sf)).select("entity", "session", (F.col("ord") - 1).alias("ord"), (F.col("ord") + 2).alias("label_ord"))
-    return signals.fold_samples(samples, _folds(spark, sf)).groupBy("fold", "role").agg(F.count(F.lit(1)).alias("n"), F.min("session").alias("first"), F.max("session").alias("last"))
+    n = b.bars(spark, sf).agg(F.count_distinct("session").alias("sessions"))
+    samples = samples.crossJoin(F.broadcast(n))  # one row
+    return signals.fold_samples(samples, F.col("sessions"), **WALK).groupBy("fold", "role").agg(F.count(F.lit(1)).alias("n"), F.min("session").alias("first"), F.max("session").alias("last"))
 
 
 @query("v01_equal_weights", b.UBARS, sql_text="SELECT session, entity, round(1.0::DOUBLE / count(*) OVER (PARTITION BY session), 8) AS weight FROM ubars WHERE close IS NOT NULL")

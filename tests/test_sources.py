@@ -4,6 +4,7 @@ import datetime as dt
 import hashlib
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from tidemark.operators import calendars, enrich, ledger, quality, signals
@@ -50,18 +51,70 @@ def test_strict_documents(spark, tmp_path):
     assert quality.event_errors(rows).first()["errors"] == []
 
 
+def test_bodies_are_stored_once_and_meet_their_receipts(spark, tmp_path):
+    path, texts = str(tmp_path / "bodies"), ["a\n", "b\nb\n", "é\n", "a\n"]
+    names = [hashlib.sha256(t.encode()).hexdigest() for t in texts]
+    for _ in range(2):
+        landed.store_bodies(spark.createDataFrame([(t,) for t in [*texts, None]], "body string"), path)
+    found = landed.body_integrity(spark, path).collect()
+    assert sorted(r["expected"] for r in found) == sorted(set(names)) and all(r["intact"] for r in found)
+    receipts = spark.createDataFrame([(n, k) for k, n in enumerate([names[0], names[0], names[2], "f" * 64])], "body_sha256 string, k int")
+    file = next((tmp_path / "bodies" / f"body_sha256={names[2]}").glob("part*"))
+    assert [r["body"] for r in landed.verified_bodies(spark, path, receipts.where("k < 3")).orderBy("k").collect()] == ["a\n", "a\n", "é\n"]
+    (file.parent / f".{file.name}.crc").unlink()
+    file.write_text("è\n")
+    status = landed.receipt_integrity(spark, path, receipts)
+    assert sorted((str(r["k"]), r["status"]) for r in status.collect()) == [("0", "intact"), ("1", "intact"), ("2", "corrupt"), ("3", "missing"), ("None", "unreceipted")]
+    for k in (2, 3):
+        with pytest.raises(Exception, match="missing or corrupt"):
+            landed.verified_bodies(spark, path, receipts.where(f"k = {k}")).collect()
+
+
 def test_sink_is_create_only_and_verified(spark, tmp_path):
-    rows = spark.range(50).select(F.sha2(F.col("id").cast("string"), 256).alias("digest"), F.lit("d").alias("dataset"))
+    rows = spark.range(50).select(F.sha2(F.col("id").cast("string"), 256).alias("digest"), F.when(F.col("id") > 3, F.col("id") / 7).alias("x"), F.lit("d").alias("dataset"))
     path = str(tmp_path / "o")
-    datasets.save_observations(rows, path)
-    digest = datasets.dataset_digest(rows.orderBy(F.rand())).first()["dataset_digest"]
-    assert datasets.load_observations(spark, path, None, digest).count() == 50
-    for broken in (lambda: datasets.save_observations(rows, path), lambda: datasets.load_observations(spark, path, None, "x").collect()):
-        try:
-            broken()
-        except Exception:
-            continue
-        raise AssertionError("no failure")
+    digest = datasets.save_observations(rows, path)
+    again = datasets.save_observations(rows.orderBy(F.rand()).repartition(3), str(tmp_path / "p"))
+    assert digest == again  # in any order and partitions
+    schema = "digest string, x double, dataset string"
+    copy = datasets.load_observations(spark, path, schema, digest)
+    assert copy.count() == 50
+    with pytest.raises(Exception, match="(?i)exists"):
+        datasets.save_observations(rows, path)
+    changed = {
+        "value": rows.withColumn("x", F.when(F.col("x") == 1, 2.0).otherwise(F.col("x"))),
+        "null": rows.withColumn("x", F.coalesce("x", F.lit(0.0))),
+        "lost": rows.limit(49),
+        "twice": rows.union(rows.limit(1)),
+    }
+    for name, other in changed.items():
+        datasets.save_observations(other, str(tmp_path / name))
+        with pytest.raises(ValueError, match="digest differs"):
+            datasets.load_observations(spark, str(tmp_path / name), schema, digest)
+
+
+RUN = "value double, run_id string"
+
+
+def test_runs_are_committed_whole(spark, tmp_path):
+    path = str(tmp_path / "runs")
+    fine = spark.createDataFrame([(1.0, "a"), (2.0, "b")], RUN)
+    crash = fine.withColumn("value", F.when(F.col("run_id") == "b", F.raise_error(F.lit("crash")).cast("double")).otherwise(F.col("value")))
+    with pytest.raises(Exception, match="crash"):
+        landed.save_run({"orders": fine, "fills": crash}, path, "one")
+    assert landed.read_run(spark, path, "orders", RUN) is None  # what was written before the crash isn't there
+    landed.save_run({"orders": fine, "fills": fine.limit(0)}, path, "one")
+    landed.save_run({"orders": fine.withColumn("run_id", F.lit("c"))}, path, "two")
+    assert sorted(map(tuple, landed.read_run(spark, path, "orders", RUN).collect())) == [(1.0, "a"), (1.0, "c"), (2.0, "b"), (2.0, "c")]
+    assert landed.read_run(spark, path, "fills", RUN).count() == 0
+    for commit, rows in (("one", fine.withColumn("run_id", F.lit("d"))), ("three", fine)):
+        with pytest.raises(ValueError, match="there already"):
+            landed.save_run({"orders": rows}, path, commit)
+    agree = lambda: {(r["commit"], r["name"]): r["digest"] == r["found_digest"] for r in landed.run_inventory(spark, path, {"orders": RUN, "fills": RUN}).collect()}
+    assert agree() == {("one", "orders"): True, ("one", "fills"): True, ("two", "orders"): True}
+    for part in (tmp_path / "runs" / "data").glob("orders-*/run_id=b/*"):
+        part.unlink()
+    assert agree()["one", "orders"] is False
 
 
 def test_calendar_and_shift_over_a_holiday(spark):

@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from tidemark.functions.scalars import sha256_hex
 from tidemark.plans.pit import DIGEST
 from tidemark.plans.registry import registry
 from tidemark.sources import bindings as b
 from tidemark.sources import datasets, landed
-from tidemark.sources.folders import new_folder
+from tidemark.sources.folders import new_folder, written
 
 QUERIES, SQL, query = registry()
 
@@ -48,6 +49,35 @@ def s02(spark, sf):
     return landed.page_rows(_pages(spark, sf)).select("path", "Date", "Code", "O", "H", "L", "C", "Vo")
 
 
+BODIES = "bd AS (SELECT CAST(entity AS BIGINT) // 10 AS bucket, CAST(date_trunc('week', session) AS DATE) AS week, count(*) AS n FROM ubars GROUP BY 1, 2)"
+
+
+@query("s02_body_integrity", b.UBARS, BODIES, sql_text="SELECT bucket, week, CASE WHEN bucket % 5 = 3 THEN 'corrupt' WHEN bucket % 5 = 4 THEN 'missing' ELSE 'intact' END AS status, CASE WHEN bucket % 5 < 3 THEN n END AS n_rows FROM bd UNION ALL SELECT NULL, NULL, 'unreceipted', NULL")
+def s02_integrity(spark, sf):
+    """Bodies of daily rows, one for ten users and a week, stored under their digests and received with receipts.
+
+    Some bodies change afterwards, some are lost, and one has no receipt; rows are read of the intact ones.
+    """
+    bars = b.ubars(spark, sf)
+    bucket = F.floor(F.col("entity").cast("long") / 10).alias("bucket")
+    row = F.struct(F.col("session").cast("string").alias("Date"), F.col("entity").alias("Code"), F.col("close").alias("C"))
+    whole = bars.select(bucket, F.date_trunc("week", "session").cast("date").alias("week"), row.alias("row")).groupBy("bucket", "week").agg(F.sort_array(F.collect_list("row")).alias("data"))
+    body = F.concat(F.to_json(F.struct(F.col("week").cast("string").alias("week"), F.col("bucket"), "data")), F.lit("\n"))
+    landed_bodies = written(whole.select("bucket", "week", body.alias("body"), F.sha2(body, 256).alias("body_sha256")), "receipts")
+    path, fifth = new_folder(spark, "bodies"), F.col("bucket") % 5
+    landed.store_bodies(landed_bodies.where(fifth < 3).select("body"), path)
+    landed.store_bodies(landed_bodies.where(fifth < 3).select("body"), path)  # changes nothing
+    extra = landed_bodies.limit(1).select(F.lit("of no receipt\n").alias("body"))
+    landed.store_bodies(extra, path)
+    changed = landed_bodies.where(fifth == 3).select("body_sha256", F.concat(F.lit(" "), F.expr("left(body, length(body) - 1)")).alias("value"))
+    changed.write.mode("append").partitionBy("body_sha256").text(path)
+    receipts = landed_bodies.select("bucket", "week", "body_sha256")
+    found = landed.receipt_integrity(spark, path, receipts)
+    read = landed.verified_bodies(spark, path, found.where("status = 'intact'").select("body_sha256"))
+    rows = read.select("body_sha256", F.size(F.from_json("body", "data array<struct<Date: string>>")["data"]).cast("long").alias("n_rows"))
+    return found.join(rows, "body_sha256", "left").select("bucket", "week", "status", "n_rows")
+
+
 @query("s04_normalise_daily", b.UBARS, sql_text="""SELECT 'daily_bars' AS dataset, 'vendor:' || entity AS entity_id, strftime(CAST(session AS TIMESTAMP) - INTERVAL 9 HOUR, '%Y-%m-%d %H:%M:%S') AS event_at, '2024-03-01 08:00:00' AS available_at, 'observed' AS basis, session, entity AS code, open, high, low, close, volume, 1.0::DOUBLE AS factor, true AS revised FROM ubars""")
 def s04(spark, sf):
     """Observations of the landed pages; a revision id is a digest."""
@@ -67,9 +97,9 @@ def s07(spark, sf):
     """Written once, by dataset, and read back under the digest that it was written with."""
     rows = _digested(spark, sf)
     path = new_folder(spark, "dataset")
-    datasets.save_observations(rows, path)
-    expected = datasets.dataset_digest(rows).head()["dataset_digest"]  # one row
-    return datasets.load_observations(spark, path, None, expected).select("entity", "revision", "dataset", "digest")
+    expected = datasets.save_observations(rows, path)
+    schema = StructType([f for f in rows.schema if f.name != "dataset"] + [rows.schema["dataset"]])
+    return datasets.load_observations(spark, path, schema, expected).select("entity", "revision", "dataset", "digest")
 
 
 @query("s06_whole_digest", b.OBS, sql_text=f"""SELECT CAST(sum(n) AS BIGINT) AS n, sha256(string_agg(d, '' ORDER BY bucket)) AS dataset_digest FROM (
@@ -117,10 +147,31 @@ def s13(spark, sf):
     return read.select("id", "symbol", "url", "duplicate")
 
 
-@query("s15_run_tables", sql_text="SELECT o_orderpriority AS run_id, o_orderkey AS order_id, o_totalprice AS amount FROM orders WHERE o_orderstatus <> 'P'")
-def s15(spark, sf):
-    """A run's orders, saved by run and read back; a second write of the same run fails."""
+RUN_TABLES = {
+    "orders": "order_id long, amount double, run_id string",
+    "metrics": "orders long, total double, run_id string",
+}
+
+
+def _runs(spark, sf):
+    """Where the orders' priorities were committed as runs: all but one in a first commit, that one in a second."""
     path = new_folder(spark, "runs")
-    orders = b.table(spark, sf, "orders").where("o_orderstatus <> 'P'").select(F.col("o_orderpriority").alias("run_id"), F.col("o_orderkey").alias("order_id"), F.col("o_totalprice").alias("amount"))
-    landed.save_run({"orders": orders}, path)
-    return spark.read.schema(orders.schema).parquet(f"{path}/orders").select("run_id", "order_id", "amount")
+    orders = b.table(spark, sf, "orders").select(F.col("o_orderkey").alias("order_id"), F.col("o_totalprice").alias("amount"), F.col("o_orderpriority").alias("run_id"))
+    for commit, own in (("first", F.col("run_id") < "5"), ("second", F.col("run_id") >= "5")):
+        mine = orders.where(own)
+        figures = mine.groupBy("run_id").agg(F.count(F.lit(1)).alias("orders"), F.round(F.sum("amount"), 2).alias("total"))
+        landed.save_run({"orders": mine, "metrics": figures.select("orders", "total", "run_id")}, path, commit)
+    return path
+
+
+@query("s15_run_tables", sql_text="SELECT o_orderpriority AS run_id, o_orderkey AS order_id, o_totalprice AS amount FROM orders")
+def s15(spark, sf):
+    """The runs' orders as their manifests have them."""
+    return landed.read_run(spark, _runs(spark, sf), "orders", RUN_TABLES["orders"]).select("run_id", "order_id", "amount")
+
+
+@query("s15_run_inventory", sql_text="SELECT c.name AS commit, t.name, CASE WHEN t.name = 'orders' THEN n ELSE k END AS n_rows, true AS rows_right, true AS digest_right FROM (SELECT CASE WHEN o_orderpriority < '5' THEN 'first' ELSE 'second' END AS name, count(*) AS n, count(DISTINCT o_orderpriority) AS k FROM orders GROUP BY 1) c CROSS JOIN (VALUES ('orders'), ('metrics')) t(name)")
+def s15_inventory(spark, sf):
+    """What the manifests say of each table, and whether the data still agree."""
+    found = landed.run_inventory(spark, _runs(spark, sf), RUN_TABLES)
+    return found.select("commit", "name", "n_rows", (F.col("n_rows") == F.col("found_rows")).alias("rows_right"), (F.col("digest") == F.col("found_digest")).alias("digest_right"))

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.sources.folders import written
+
 
 def bucket_digests(rows: DataFrame, levels: int = 2) -> DataFrame:
     """bucket (leading hex digits of ``digest``), n, bucket_digest: digests of sorted digests, independent of order.
@@ -30,19 +33,47 @@ def dataset_digest(rows: DataFrame, levels: int = 2) -> DataFrame:
     return reduce(lambda d, _: fold_digests(d), range(levels), bucket_digests(rows, levels)).select("n", F.col("bucket_digest").alias("dataset_digest"))
 
 
-def save_observations(rows: DataFrame, path: str, partition_by: tuple[str, ...] = ("dataset", "session")) -> None:
-    """Create-only write; an existing path is an error."""
-    rows.write.mode("errorifexists").partitionBy(*[c for c in partition_by if c in rows.columns]).parquet(path)
+LANES = 4
+
+
+def content_sums(columns: list[str]) -> list:
+    """n and ``LANES`` sums of the rows' digests, as aggregates: equal for the same rows in any order and partitions.
+
+    A lane sums 60 bits of each row's SHA-256 exactly, so rows that repeat count, and lost or changed rows show.
+    """
+    row = F.sha2(F.to_json(F.struct(*sorted(columns)), {"ignoreNullFields": "false"}), 256)
+    lane = lambda i: F.sum(F.conv(F.substring(row, 15 * i + 1, 15), 16, 10).cast("decimal(28,0)"))
+    return [F.count(F.lit(1)).alias("n"), *[F.coalesce(lane(i), F.lit(0)).alias(f"lane{i}") for i in range(LANES)]]
+
+
+def content_digest(found: dict) -> str:
+    """The digest of what ``content_sums`` found."""
+    return hashlib.sha256("|".join(str(int(found[c])) for c in ("n", *[f"lane{i}" for i in range(LANES)])).encode()).hexdigest()
+
+
+def write_observed(rows: DataFrame, path: str, partition_by: tuple[str, ...] = ()) -> tuple[int, str]:
+    """Write ``rows`` to the new ``path``; their number and digest, which the write itself has gathered."""
+    seen = Observation()
+    rows.observe(seen, *content_sums(rows.columns)).write.mode("errorifexists").partitionBy(*partition_by).parquet(path)
+    return seen.get["n"], content_digest(seen.get)
+
+
+def save_observations(rows: DataFrame, path: str, partition_by: tuple[str, ...] = ("dataset", "session")) -> str:
+    """Create-only write, whose digest is returned; an existing path is an error."""
+    return write_observed(rows, path, tuple(c for c in partition_by if c in rows.columns))[1]
 
 
 def load_observations(spark: SparkSession, path: str, schema=None, expected_digest: str | None = None) -> DataFrame:
-    """Verified read: the rows, or a failing query where their digest differs from the expected one."""
+    """The rows below ``path``. With ``expected_digest`` a verified read: the one scan that copies the rows into the
+    shared folder gathers their digest too, and an error tells that it differs; what is returned is the copy."""
     rows = (spark.read.schema(schema) if schema else spark.read).parquet(path)
     if expected_digest is None:
         return rows
-    found = dataset_digest(rows)
-    check = F.when(F.col("dataset_digest") == expected_digest, F.lit(True)).otherwise(F.raise_error(F.lit("dataset digest differs")))
-    return rows.crossJoin(F.broadcast(found.select(check.cast("boolean").alias("_right")))).where("_right").drop("_right")
+    seen = Observation()
+    copy = written(rows.observe(seen, *content_sums(rows.columns)), "verified")
+    if content_digest(seen.get) != expected_digest:
+        raise ValueError(f"dataset digest differs: {path}")
+    return copy
 
 
 def merge_bundles(bundles: list[DataFrame]) -> DataFrame:

@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
+import hashlib
+import uuid
+from functools import reduce
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tidemark.sources.datasets import content_digest, content_sums, write_observed
+
 DAILY_ROW = "Date string, Code string, O double, H double, L double, C double, Vo double, AdjFactor double, AdjO double, AdjH double, AdjL double, AdjC double, AdjVo double"
 PAGE = f"path string, params map<string,string>, ingested_at string, response struct<data: array<struct<{DAILY_ROW.replace(' double', ': double').replace(' string', ': string')}>>, pagination_key: string>"
 MOST_PAGES = 1000
@@ -21,11 +28,53 @@ def page_rows(pages: DataFrame) -> DataFrame:
     return pages.select("path", "params", "ingested_at", F.explode("response.data").alias("row")).select("path", "params", "ingested_at", "row.*")
 
 
+def store_bodies(bodies: DataFrame, path: str) -> None:
+    """Bodies (``body``, text that ends in a line feed) below ``path``, each in a folder named by its SHA-256.
+
+    Create-only: a digest that is there already is not written again, whatever its file holds.
+    """
+    named = bodies.where("body IS NOT NULL").select(F.sha2("body", 256).alias("body_sha256"), F.expr("left(body, length(body) - 1)").alias("value"))
+    named = named.dropDuplicates(["body_sha256"])
+    try:
+        there = bodies.sparkSession.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select(_named().alias("body_sha256"))
+        named = named.join(there.distinct(), "body_sha256", "left_anti")  # reads names alone
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+    named.repartition("body_sha256").write.mode("append").partitionBy("body_sha256").text(path)
+
+
+def _named() -> Column:
+    """The last SHA-256 in a file's path, which names its body."""
+    return F.regexp_extract("path", r"([0-9a-f]{64})(?!.*[0-9a-f]{64})", 1)
+
+
 def body_integrity(spark: SparkSession, path: str) -> DataFrame:
-    """file, expected, found, intact: SHA-256 of every landed body against the one in its name."""
-    files = spark.read.format("binaryFile").load(path)
-    expected = F.regexp_extract("path", r"([0-9a-f]{64})[^/]*$", 1)
-    return files.select(F.col("path").alias("file"), expected.alias("expected"), F.sha2("content", 256).alias("found"), (F.sha2("content", 256) == expected).alias("intact"))
+    """file, expected, found, intact: SHA-256 of every landed body against the one that its path names."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "[!_]*").load(path)
+    found = F.sha2("content", 256)
+    return files.select(F.col("path").alias("file"), _named().alias("expected"), found.alias("found"), (found == _named()).alias("intact"))
+
+
+def receipt_integrity(spark: SparkSession, path: str, receipts: DataFrame) -> DataFrame:
+    """``receipts`` (body_sha256, ...) with status: intact, corrupt or missing; bodies of no receipt as unreceipted.
+
+    Bodies meet receipts by digest. A digest of several files is intact only if all are.
+    """
+    bodies = body_integrity(spark, path).groupBy(F.col("expected").alias("body_sha256")).agg(F.bool_and("intact").alias("_intact"))
+    both = receipts.withColumn("_receipt", F.lit(True)).join(bodies, "body_sha256", "full_outer")
+    status = F.when(F.col("_receipt").isNull(), "unreceipted").when(F.col("_intact").isNull(), "missing").when(F.col("_intact"), "intact").otherwise("corrupt")
+    return both.withColumn("status", status).drop("_receipt", "_intact")
+
+
+def verified_bodies(spark: SparkSession, path: str, receipts: DataFrame) -> DataFrame:
+    """``receipts`` with ``body`` as text; a receipt whose body is missing or doesn't hash to it fails the query."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "[!_]*").load(path)
+    files = files.select(_named().alias("body_sha256"), "content").dropDuplicates(["body_sha256", "content"])
+    both = receipts.join(files, "body_sha256", "left")
+    right = F.coalesce(F.sha2("content", 256) == F.col("body_sha256"), F.lit(False))
+    wrong = F.raise_error(F.concat(F.lit("body missing or corrupt: "), "body_sha256"))
+    return both.withColumn("body", F.when(right, F.decode("content", "UTF-8")).otherwise(wrong)).drop("content")
 
 
 def pagination_issues(pages: DataFrame) -> DataFrame:
@@ -128,10 +177,65 @@ def write_pages(pages: DataFrame, path: str, bucket: Column) -> None:
     whole.write.partitionBy("bucket").text(path)
 
 
-def save_run(tables: dict[str, DataFrame], path: str) -> None:
-    """Each table of a run below ``path``, by run_id; a run that is there already is an error."""
-    for name, rows in tables.items():
-        rows.write.mode("errorifexists").partitionBy("run_id").parquet(f"{path}/{name}")
+MANIFEST = "commit string, name string, location string, n_rows long, digest string"
+
+
+def _manifests(spark: SparkSession, path: str) -> DataFrame:
+    try:
+        return spark.read.schema(MANIFEST).option("recursiveFileLookup", "true").parquet(f"{path}/manifests")
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], MANIFEST)
+
+
+def save_run(tables: dict[str, DataFrame], path: str, commit: str) -> None:
+    """Commit the tables of one run, or of a batch of them (each with run_id), together, below ``path``.
+
+    Every table goes to a folder of its own under ``data``, by run_id; the write gathers its row count and digest. Last
+    comes the manifest, one small file: readers go by manifests, so a job that dies before shows nothing, and can be
+    repeated. A commit, or a run of a table, that is there already is an error.
+    """
+    spark = next(iter(tables.values())).sparkSession
+    spark.createDataFrame([], MANIFEST).write.mode("ignore").parquet(f"{path}/manifests/none")  # a folder to look into
+    if not _manifests(spark, path).where(F.col("commit") == commit).isEmpty():
+        raise ValueError(f"run is there already: {commit}")
+    rows = []
+    for name, df in tables.items():
+        old = read_run(spark, path, name, df.schema)
+        if old is not None and not df.select("run_id").distinct().join(old.select("run_id").distinct(), "run_id", "left_semi").isEmpty():
+            raise ValueError(f"a run of {name} is there already")
+        location = f"{path}/data/{name}-{uuid.uuid4().hex}"
+        n, digest = write_observed(df, location, ("run_id",))
+        rows.append((commit, name, location, n, digest))
+    spark.createDataFrame(rows, MANIFEST).coalesce(1).write.mode("errorifexists").parquet(f"{path}/manifests/{hashlib.sha256(commit.encode()).hexdigest()}")
+
+
+def read_run(spark: SparkSession, path: str, name: str, schema) -> DataFrame | None:
+    """The rows of a table in all commits; None where there is no commit."""
+    places = [r["location"] for r in _manifests(spark, path).where(F.col("name") == name).select("location").collect()]  # a row a commit
+    if not places:
+        return None
+    parts = [spark.read.schema(schema).parquet(place) for place in places]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def run_inventory(spark: SparkSession, path: str, schemas: dict) -> DataFrame:
+    """commit, name, n_rows, digest as the manifests have them, and found_rows, found_digest as the data have them.
+
+    One scan a table and commit; a table whose folder is gone, or holds other rows, shows.
+    """
+    rows = []
+    for m in _manifests(spark, path).collect():  # a row a table and commit
+        try:
+            found = spark.read.schema(schemas[m["name"]]).parquet(m["location"])
+            sums = found.agg(*content_sums(found.columns)).head().asDict()
+            rows.append((m["commit"], m["name"], m["n_rows"], m["digest"], sums["n"], content_digest(sums)))
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
+            rows.append((m["commit"], m["name"], m["n_rows"], m["digest"], None, None))
+    return spark.createDataFrame(rows, "commit string, name string, n_rows long, digest string, found_rows long, found_digest string")
 
 
 def inventory_issues(expected: DataFrame, present: DataFrame) -> DataFrame:

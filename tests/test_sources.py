@@ -167,9 +167,15 @@ def test_blocked_and_exceptions(spark):
 
 
 def test_event_days_and_news_order(spark):
-    ev = spark.createDataFrame([("A", "earnings", D(15), D(1), "scheduled"), ("A", "dividend", D(10), D(1), "announced"), ("A", "split", D(22), D(1), "scheduled"), ("A", "split", D(22), D(20), "scheduled")], "symbol string, event_type string, event_date date, announced_at date, status string")
+    ev = spark.createDataFrame([("A", "earnings", D(15), D(1), "scheduled"), ("A", "dividend", D(10), D(1), "announced"), ("A", "stock_split", D(22), D(1), "scheduled"), ("A", "stock_split", D(22), D(20), "scheduled"), ("A", "stock_split", D(23), D(1), "scheduled")], "symbol string, event_type string, event_date date, announced_at date, status string").withColumn("source", F.lit("s"))
     flags = enrich.event_flags(enrich.events_at(ev, F.lit(D(8)))).first()
-    assert (flags["events"], flags["flags"]) == (3, "dividend_soon,earnings_soon,split_soon")
+    assert (flags["events"], flags["flags"]) == (4, "dividend_soon,earnings_soon,stock_split_upcoming")
+    assert [(r["rule"], r["days_until"], r["threshold_days"]) for r in flags["reasons"]] == [("dividend_soon", 2, 7), ("earnings_soon", 7, 7), ("stock_split_upcoming", 14, 14)]
+    # To the second, and by the exchange's day: 15:00 UTC is the next day there.
+    old = spark.createDataFrame([("A", "earnings", D(15), dt.datetime(2025, 1, 1, 12), "scheduled", "s")], "symbol string, event_type string, event_date date, announced_at timestamp, status string, source string")
+    seen = lambda at: enrich.events_at(old, F.lit(at)).select("days_until", "freshness").first()
+    assert tuple(seen(dt.datetime(2025, 1, 31, 12))) == (-16, "fresh") and tuple(seen(dt.datetime(2025, 1, 31, 12, 0, 1))) == (-16, "stale")
+    assert seen(dt.datetime(2025, 1, 10, 14, 59))["days_until"] == 5 and seen(dt.datetime(2025, 1, 10, 15))["days_until"] == 4
     t = lambda h: dt.datetime(2025, 1, 8, h)
     news = spark.createDataFrame([("A", "u", "s", None), ("A", "b", "s", t(8)), ("A", "a", "s", t(8)), ("A", "f", "s", t(20))], "symbol string, id string, source string, published_at timestamp")
     top = enrich.news_top(news, F.lit(t(9)))

@@ -7,7 +7,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 #: Days before an event at which it is soon, by type; announcements older than 30 days are stale, events of the last 7 days recent.
-SOON_DAYS = {"earnings": 7, "dividend": 7, "split": 14}
+SOON_DAYS = {"earnings": 7, "dividend": 7, "stock_split": 14}
+FLAGS = {"earnings": "earnings_soon", "dividend": "dividend_soon", "stock_split": "stock_split_upcoming"}
 MAX_AGE_DAYS = 30
 RECENT_DAYS = 7
 #: Articles returned for each symbol, and the hours for which they are fresh.
@@ -16,24 +17,36 @@ FRESH_HOURS = 72
 
 
 def events_at(events: DataFrame, at: Column) -> DataFrame:
-    """Events announced by ``at`` (a null announcement stays), with days_until, upcoming, recent, freshness and whether each raises its flag."""
+    """Events announced by ``at`` (a null announcement stays), with days_until, upcoming, recent, freshness, and whether
+    each raises its flag, and by which threshold. Days are those of the exchange's zone, ages are exact to the second."""
     known = events.where(F.col("announced_at").isNull() | (F.col("announced_at") <= at))
-    age = F.datediff(at, F.col("announced_at"))
-    days = F.datediff(F.col("event_date"), F.to_date(at))
+    micros = lambda c: F.unix_micros(c.cast("timestamp"))
+    age = micros(at) - micros(F.col("announced_at"))
+    today = F.to_date(F.from_utc_timestamp(F.to_utc_timestamp(at.cast("timestamp"), F.current_timezone()), "Asia/Tokyo"))
+    days = F.datediff(F.col("event_date"), today)
     soon = F.lit(None).cast("int")
     for kind, n in SOON_DAYS.items():
         soon = F.when(F.col("event_type") == kind, n).otherwise(soon)
     out = known.withColumns({
-        "days_until": days, "freshness": F.when(F.col("announced_at").isNull(), "unknown").when(age > MAX_AGE_DAYS, "stale").otherwise("fresh"),
+        "days_until": days, "freshness": F.when(F.col("announced_at").isNull(), "unknown").when(age > MAX_AGE_DAYS * 86_400_000_000, "stale").otherwise("fresh"),
         "upcoming": (days >= 0) & F.col("status").isin("scheduled", "announced"), "recent": (days >= -RECENT_DAYS) & (days < 0) & (F.col("status") != "cancelled"),
     })
-    return out.withColumn("flagged", F.col("upcoming") & (F.col("freshness") == "fresh") & (F.col("days_until") <= soon))
+    return out.withColumn("threshold_days", soon).withColumn("flagged", F.col("upcoming") & (F.col("freshness") == "fresh") & (F.col("days_until") <= soon))
 
 
 def event_flags(known: DataFrame) -> DataFrame:
-    """Per symbol: events, the sorted flags, and how many raise one."""
-    flag = F.concat("event_type", F.lit("_soon"))
-    return known.groupBy("symbol").agg(F.count(F.lit(1)).alias("events"), F.count_if("upcoming").alias("upcoming"), F.count_if("recent").alias("recent"), F.count_if("flagged").alias("reasons"), F.array_join(F.sort_array(F.collect_set(F.when(F.col("flagged"), flag))), ",").alias("flags"))
+    """Per symbol: events, upcoming, recent, the sorted flags, and the reasons of all flagged events: rule, days_until,
+    threshold_days, event_date, announced_at, source, status; by date, type, announcement (unknown first), source."""
+    flag = F.lit(None).cast("string")
+    for kind, name in FLAGS.items():
+        flag = F.when(F.col("event_type") == kind, name).otherwise(flag)
+    place = [F.col(c).alias(f"o{i}") for i, c in enumerate(("event_date", "event_type", "announced_at", "source"))]
+    reason = F.struct(flag.alias("rule"), "days_until", "threshold_days", "event_date", "announced_at", "source", "status")
+    listed = F.sort_array(F.collect_list(F.when(F.col("flagged"), F.struct(*place, reason.alias("reason")))))
+    return known.groupBy("symbol").agg(
+        F.count(F.lit(1)).alias("events"), F.count_if("upcoming").alias("upcoming"), F.count_if("recent").alias("recent"),
+        F.transform(listed, lambda x: x["reason"]).alias("reasons"), F.array_join(F.sort_array(F.collect_set(F.when(F.col("flagged"), flag))), ",").alias("flags"),
+    )
 
 
 def news_top(articles: DataFrame, at: Column, k: int = MAX_ARTICLES) -> DataFrame:

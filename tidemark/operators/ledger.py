@@ -147,11 +147,13 @@ def append_batch(existing: DataFrame, batch: DataFrame, economic: list[str], ord
 
 
 def valued(pos: DataFrame, snapshots: DataFrame, as_of: Column, max_age_days: int) -> DataFrame:
-    """``pos`` with valuation_status in this priority: closed, missing, future, stale, before_transaction, ok; and value, unrealized, unrealized_pct, daily_move where ok."""
-    s = snapshots.select(F.col("symbol").alias("_s"), F.col("currency").alias("_c"), F.col("price").alias("current_price"), F.col("as_of").alias("snapshot_at"), *([F.col("previous_close")] if "previous_close" in snapshots.columns else [F.lit(None).cast(MONEY).alias("previous_close")]))
+    """``pos`` with valuation_status in this priority: closed, missing, future (observed or ingested after ``as_of``), stale,
+    before_transaction, ok; and value, unrealized, unrealized_pct, daily_move where ok."""
+    late = F.col("ingested_at") if "ingested_at" in snapshots.columns else F.lit(None).cast("timestamp")
+    s = snapshots.select(F.col("symbol").alias("_s"), F.col("currency").alias("_c"), F.col("price").alias("current_price"), F.col("as_of").alias("snapshot_at"), late.alias("_ingested"), *([F.col("previous_close")] if "previous_close" in snapshots.columns else [F.lit(None).cast(MONEY).alias("previous_close")]))
     j = pos.join(s, (pos["symbol"] == s["_s"]) & (pos["currency"] == s["_c"]), "left").drop("_s", "_c")
     status = (
-        F.when(F.col("quantity") == 0, "closed").when(F.col("current_price").isNull(), "missing").when(F.col("snapshot_at") > as_of, "future")
+        F.when(F.col("quantity") == 0, "closed").when(F.col("current_price").isNull(), "missing").when((F.col("snapshot_at") > as_of) | F.coalesce(F.col("_ingested") > as_of, F.lit(False)), "future")
         .when(F.datediff(as_of, F.col("snapshot_at")) > max_age_days, "stale").when(F.col("snapshot_at") < F.col("last_tx"), "before_transaction").otherwise("ok")
     )
     ok = F.col("valuation_status") == "ok"
@@ -159,7 +161,7 @@ def valued(pos: DataFrame, snapshots: DataFrame, as_of: Column, max_age_days: in
     product = (F.col("quantity").cast("decimal(16,4)") * F.col("current_price").cast("decimal(21,12)")).cast(MONEY)
     zero = F.lit(0).cast(MONEY)
     value = F.when(ok, product).when(F.col("valuation_status") == "closed", zero)
-    j = j.withColumn("valuation_status", status).withColumn("market_value", value)
+    j = j.withColumn("valuation_status", status).withColumn("market_value", value).drop("_ingested")
     unrealized = F.when(F.col("valuation_status") == "closed", zero).otherwise((F.col("market_value") - F.col("total_cost")).cast(MONEY))
     ratio = lambda a, b: F.when(ok, F.try_divide((F.col(a) - F.col(b)).cast("double"), F.col(b).cast("double")))
     j = j.withColumn("unrealized", unrealized).withColumn("unrealized_pct", ratio("market_value", "total_cost"))
@@ -225,8 +227,10 @@ def assessment_summary(assessed: DataFrame) -> DataFrame:
 
 
 def portfolio_summary(tx: DataFrame, v: DataFrame) -> DataFrame:
+    """One row: transactions, open_positions, closed_positions, currencies, and whether all open positions are priced."""
+    unpriced = (F.col("quantity") > 0) & (F.col("valuation_status") != "ok")
     n = tx.agg(F.count(F.lit(1)).alias("transactions"))
-    p = v.agg(F.count_if(F.col("quantity") > 0).alias("open_positions"), F.count_if(F.col("quantity") == 0).alias("closed_positions"), F.array_join(F.sort_array(F.collect_set("currency")), ",").alias("currencies"))
+    p = v.agg(F.count_if(F.col("quantity") > 0).alias("open_positions"), F.count_if(F.col("quantity") == 0).alias("closed_positions"), F.array_join(F.sort_array(F.collect_set("currency")), ",").alias("currencies"), F.coalesce(~F.bool_or(unpriced), F.lit(True)).alias("valuation_complete"))
     return n.crossJoin(p)  # one row each
 
 

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tidemark.operators import pit
+
 QUOTES = ("open", "high", "low", "close")
 COUNTED = (*QUOTES, "volume", "turnover", "factor")
 #: Currencies of the ledger and the form of its symbols (fixed values).
@@ -132,10 +134,14 @@ def transaction_errors(tx: DataFrame) -> DataFrame:
 
 
 def snapshot_errors(snapshots: DataFrame) -> DataFrame:
+    """``snapshots`` with the codes of broken rules; where asked_symbol and asked_currency are there, it must be theirs."""
+    asked = {"asked_symbol", "asked_currency"} <= set(snapshots.columns)
+    other = ~(F.col("symbol").eqNullSafe(F.col("asked_symbol")) & F.col("currency").eqNullSafe(F.col("asked_currency"))) if asked else F.lit(False)
     return snapshots.withColumn("errors", _codes(
         (~F.coalesce(F.col("price") > 0, F.lit(False)), "invalid_price"),
         (F.col("previous_close") <= 0, "invalid_previous_close"),
         (F.col("ingested_at") < F.col("as_of"), "ingested_before_as_of"),
+        (other, "identity_mismatch"),
     ))
 
 
@@ -191,6 +197,19 @@ def lifecycle_errors(life: DataFrame) -> DataFrame:
     return life.withColumn("errors", _codes((F.col("delisting") <= F.col("listing"), "listing_not_before_delisting"), (F.col("event_at") != F.col("listing"), "event_is_not_listing")))
 
 
+def known_bars(rows: DataFrame, decision: Column, members: DataFrame, splits: DataFrame) -> DataFrame:
+    """The bars that a run may use at ``decision``: the newest revision known by then of each (entity, session) before it,
+    of ``members`` (entity, session) alone, tradable by the splits known by then.
+
+    ``rows``: bars with value, revision, available_at and ingested_at; ``splits``: entity, effective, ratio,
+    available_at, ingested_at. Ambiguous revisions stay, marked by ``ambiguous``.
+    """
+    known = pit.as_of(rows, decision, key=("entity", "session")).where(F.col("session") < decision)
+    own = known.join(members.select("entity", "session").distinct(), ["entity", "session"], "left_semi")
+    told = splits.where((F.col("available_at") < decision) & (F.col("ingested_at") < decision))
+    return tradable_bars(own, told)
+
+
 def tradable_bars(bars: DataFrame, splits: DataFrame) -> DataFrame:
     """Bars without error issues, unique, whose factor is 1 or undone by exactly one known split of that day (factor * ratio = 1)."""
     bad = bar_issues(bars).where("severity = 'error'").select("entity", "session").distinct()

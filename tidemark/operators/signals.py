@@ -288,8 +288,12 @@ def split_factors(actions: DataFrame) -> DataFrame:
 
 
 def split_positions(positions: DataFrame, splits: DataFrame) -> DataFrame:
-    """``positions`` (entity, quantity, mark) after the day's splits; a fractional quantity is flagged."""
-    out = positions.join(splits.select("entity", "ratio"), "entity", "left").withColumn("ratio", F.coalesce("ratio", F.lit(1.0)))
+    """``positions`` (entity, quantity, mark[, effective]) after the splits of the day; a fractional quantity is flagged.
+
+    With ``effective`` a position meets the splits of its own day; else ``splits`` holds one day's.
+    """
+    key = ["entity", *[c for c in ("effective",) if c in positions.columns]]
+    out = positions.join(splits.select(*key, "ratio"), key, "left").withColumn("ratio", F.coalesce("ratio", F.lit(1.0)))
     q = F.col("quantity") * F.col("ratio")
     return out.withColumn("new_quantity", q).withColumn("new_mark", F.col("mark") / F.col("ratio")).withColumn("fractional", F.abs(q - F.round(q)) > 1e-9)
 

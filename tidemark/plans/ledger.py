@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidemark.operators import ledger, signals
+from tidemark.operators import ledger, pit, signals
+from tidemark.plans.pit import DECISION, ELIGIBLE
 from tidemark.plans.registry import registry
 from tidemark.plans.signals import FILLS, _fills
 from tidemark.sources import bindings as b
@@ -28,8 +29,8 @@ pos AS (SELECT symbol, currency, held, cost, realized, oversold, last_tx FROM fo
 #: Snapshots older than this are stale; those of every seventh symbol lie in the future.
 MAX_AGE = 4000
 AS_OF = "2000-01-01"
-SNAPS = "snaps AS (SELECT symbol, currency, price_units AS price, CASE WHEN symbol % 7 = 0 THEN as_of + 3000 WHEN symbol % 7 < 4 THEN as_of + 300 ELSE as_of END AS as_of, CASE WHEN symbol % 4 <> 0 THEN price_units // 2 END AS previous_close FROM snap)"
-VALUED = f"""valued AS (SELECT *, CASE WHEN status = 'ok' THEN held * price WHEN status = 'closed' THEN 0 END AS market_value FROM (SELECT p.*, s.price, s.previous_close, CASE WHEN p.held = 0 THEN 'closed' WHEN s.price IS NULL THEN 'missing' WHEN s.as_of > DATE '{AS_OF}' THEN 'future'
+SNAPS = "snaps AS (SELECT symbol, currency, price_units AS price, CASE WHEN symbol % 7 = 0 THEN as_of + 3000 WHEN symbol % 7 < 4 THEN as_of + 300 ELSE as_of END AS as_of, CASE WHEN symbol % 4 <> 0 THEN price_units // 2 END AS previous_close, CASE WHEN symbol % 11 = 0 THEN DATE '" + AS_OF + "' + 1 END AS ingested_at FROM snap)"
+VALUED = f"""valued AS (SELECT *, CASE WHEN status = 'ok' THEN held * price WHEN status = 'closed' THEN 0 END AS market_value FROM (SELECT p.*, s.price, s.previous_close, CASE WHEN p.held = 0 THEN 'closed' WHEN s.price IS NULL THEN 'missing' WHEN s.as_of > DATE '{AS_OF}' OR s.ingested_at > DATE '{AS_OF}' THEN 'future'
   WHEN DATE '{AS_OF}' - s.as_of > {MAX_AGE} THEN 'stale' WHEN s.as_of < p.last_tx THEN 'before_transaction' ELSE 'ok' END AS status FROM pos p LEFT JOIN snaps s USING (symbol, currency))),
 u AS (SELECT *, CASE WHEN status = 'closed' THEN 0 ELSE market_value - cost END AS unrealized, CASE WHEN status = 'ok' THEN (market_value - cost)::DOUBLE / nullif(cost, 0)::DOUBLE END AS unrealized_pct, CASE WHEN status = 'ok' THEN (price - previous_close)::DOUBLE / nullif(previous_close, 0)::DOUBLE END AS daily_move FROM valued),
 tot AS (SELECT currency, sum(cost) AS total_cost, sum(realized) AS realized_pnl, sum(coalesce(market_value, 0)) AS known, bool_and(NOT (held > 0 AND status <> 'ok')) AS complete, array_to_string(list_sort(list(symbol) FILTER (held > 0 AND status <> 'ok')), ',') AS unpriced FROM u GROUP BY currency),
@@ -46,6 +47,7 @@ def _valued(spark, sf):
     s, k = b.snapshots(spark, sf), F.col("symbol") % 7
     days = F.when(k == 0, 3000).when(k < 4, 300).otherwise(0)
     half = (F.floor(F.col("price").cast("decimal(24,12)") * F.lit(500_000_000_000).cast("decimal(12,0)")).cast("decimal(24,0)") * F.lit("0.000000000001").cast("decimal(13,12)")).cast(ledger.MONEY)
+    s = s.withColumn("ingested_at", F.when(F.col("symbol") % 11 == 0, F.date_add(F.lit(AS_OF).cast("date"), 1)))
     s = s.withColumn("as_of", F.date_add("as_of", days)).withColumn("previous_close", F.when(F.col("symbol") % 4 != 0, half))
     return ledger.valued(_positions(spark, sf), s, F.lit(AS_OF).cast("date"), MAX_AGE)
 
@@ -120,7 +122,7 @@ def a06(spark, sf):
     return s.withColumn("concentrated", F.array_join(F.col("concentrated").cast("array<string>"), ","))
 
 
-@query("a20_portfolio_summary", *BASE, sql_text="SELECT (SELECT count(*) FROM tx) AS transactions, count(CASE WHEN held > 0 THEN 1 END) AS open_positions, count(CASE WHEN held = 0 THEN 1 END) AS closed_positions, string_agg(DISTINCT currency, ',' ORDER BY currency) AS currencies FROM u")
+@query("a20_portfolio_summary", *BASE, sql_text="SELECT (SELECT count(*) FROM tx) AS transactions, count(CASE WHEN held > 0 THEN 1 END) AS open_positions, count(CASE WHEN held = 0 THEN 1 END) AS closed_positions, string_agg(DISTINCT currency, ',' ORDER BY currency) AS currencies, (SELECT bool_and(complete) FROM tot) AS valuation_complete FROM u")
 def a20(spark, sf):
     return ledger.portfolio_summary(b.transactions(spark, sf), _valued(spark, sf))
 
@@ -225,7 +227,18 @@ def w11_segments(spark, sf):
     return out.drop("head")
 
 
-@query("t05_past_outputs", b.BARS, sql_text="SELECT entity, session, 'stored' AS side FROM bars WHERE year(session) = 1995 UNION ALL SELECT entity, session, 'recomputed' FROM bars WHERE year(session) = 1997")
+PAST = f"""past AS (SELECT *, row_number() OVER (PARTITION BY entity, event_at ORDER BY available_at DESC, ingested_at, revision DESC) AS k FROM obs WHERE {ELIGIBLE})"""
+
+
+@query("t05_past_outputs", b.OBS, PAST, sql_text="SELECT entity, event_at, CAST(round(CASE WHEN side = 'recomputed' THEN value + 1 ELSE value END * 100) AS BIGINT) AS cents, revision, side FROM past CROSS JOIN (VALUES ('stored'), ('recomputed')) s(side) WHERE k = 1 AND entity % 50 = 7")
 def t05(spark, sf):
-    bars = b.bars(spark, sf).select("entity", "session")
-    return ledger.same_outputs(bars.where("year(session) <> 1997"), bars.where("year(session) <> 1995"))
+    """A past decision's output, stored when it was made, against the same decision made again over all that came since.
+
+    Rows that came later change nothing; rows that were written over since (every fiftieth entity) do.
+    """
+    rows, decision = b.observations(spark, sf), F.lit(DECISION).cast("date")
+    known = rows.where(F.greatest("available_at", "ingested_at") < decision)
+    changed = rows.withColumn("value", F.when(F.col("entity") % 50 == 7, F.col("value") + 1).otherwise(F.col("value")))
+    decided = lambda df: pit.as_of(df, decision).select("entity", "event_at", F.round(F.col("value") * 100).cast("long").alias("cents"), "revision")
+    stored = written(decided(known), "stored")
+    return ledger.same_outputs(stored, decided(changed))

@@ -80,7 +80,7 @@ def v01_model(spark, sf):
 #: The chain: folds over the sessions that have features, train-only scaling, descent for each penalty, choice by
 #: validation loss, predictions of the chosen model, scores where the label is known.
 PENALTIES_TRIED = [0.0, 0.1, 1.0]
-STEPS = 25
+STEPS = model.EPOCHS
 LINEAR = " + ".join(f"f.w{i + 1} * z.{c}" for i, c in enumerate(USED))
 CHAINED = f"""fo AS (SELECT session, row_number() OVER (ORDER BY session) - 1 AS ord FROM (SELECT DISTINCT session FROM features WHERE n = 61)),
 num AS (SELECT count(*) AS n FROM fo),

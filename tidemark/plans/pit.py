@@ -60,11 +60,11 @@ def j04(spark, sf):
 WINDOWS = "windows AS (SELECT DISTINCT l_partkey AS entity, CAST(date_trunc('month', l_shipdate) AS DATE) AS start, CAST(date_trunc('month', l_shipdate) + INTERVAL 3 MONTH AS DATE) AS \"end\" FROM lineitem)"
 
 
-@query("j06_without_crossing", b.CEV, WINDOWS, sql_text="SELECT entity, start, \"end\" FROM windows w WHERE NOT EXISTS (SELECT 1 FROM cev c WHERE c.event_type = 'split' AND c.symbol = w.entity AND c.event_date > w.start AND c.event_date <= w.\"end\")")
+@query("j06_without_crossing", b.CEV, WINDOWS, sql_text="SELECT entity, start, \"end\" FROM windows w WHERE NOT EXISTS (SELECT 1 FROM cev c WHERE c.event_type = 'stock_split' AND c.symbol = w.entity AND c.event_date > w.start AND c.event_date <= w.\"end\")")
 def j06(spark, sf):
     start = F.trunc("l_shipdate", "month")
     windows = b.table(spark, sf, "lineitem").select(F.col("l_partkey").alias("entity"), start.alias("start"), F.add_months(start, 3).alias("end")).distinct()
-    actions = b.corporate_events(spark, sf).where("event_type = 'split'").select(F.col("symbol").alias("entity"), F.col("event_date").alias("effective"))
+    actions = b.corporate_events(spark, sf).where("event_type = 'stock_split'").select(F.col("symbol").alias("entity"), F.col("event_date").alias("effective"))
     return pit.without_crossing(windows, actions)
 
 

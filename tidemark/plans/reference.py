@@ -42,6 +42,19 @@ def v11(spark, sf):
     return signals.action_exceptions(_actions(spark, sf), F.lit("1995-01-01").cast("date"))
 
 
+@query("v11_delisted_while_held", b.CEV, ACTIONS, b.LIFE, sql_text="""SELECT a.entity, a.event_at, coalesce(q > 0, false) AS delisted_while_held FROM (SELECT DISTINCT entity, event_at FROM act) a LEFT JOIN
+  (SELECT l_suppkey AS entity, arg_max(held, session) AS q FROM (SELECT l_suppkey, m AS session, sum(sum(f)) OVER (PARTITION BY l_suppkey ORDER BY m) AS held FROM
+    (SELECT l_suppkey, CAST(date_trunc('month', l_shipdate) AS DATE) AS m, CASE WHEN l_returnflag = 'R' THEN -l_quantity ELSE l_quantity END AS f FROM lineitem) GROUP BY l_suppkey, m) JOIN (SELECT entity AS e, delisting FROM life WHERE delisting IS NOT NULL) ON e = l_suppkey WHERE session < delisting GROUP BY l_suppkey) h USING (entity)""")
+def v11_held(spark, sf):
+    """Actions of entities whose holding, by the ledger's quantities, was positive when they were delisted."""
+    signed = F.when(F.col("l_returnflag") == "R", -F.col("l_quantity")).otherwise(F.col("l_quantity"))
+    flows = b.table(spark, sf, "lineitem").groupBy(F.col("l_suppkey").alias("entity"), F.trunc("l_shipdate", "month").alias("session")).agg(F.sum(signed).alias("f"))
+    holdings = flows.select("entity", "session", F.sum("f").over(W.partitionBy("entity").orderBy("session")).alias("quantity"))
+    ends = b.lifecycle(spark, sf).where("delisting IS NOT NULL").select("entity", F.col("delisting").alias("effective"))
+    out = signals.action_exceptions(_actions(spark, sf), F.lit("1995-01-01").cast("date"), holdings, ends)
+    return out.select("entity", "event_at", "delisted_while_held")
+
+
 STATUS = "st AS (SELECT user_id AS entity, CAST(ts AS DATE) AS effective, CASE WHEN event_id % 5 = 0 THEN 'halted' WHEN event_id % 5 = 1 THEN 'last_trading_day' ELSE 'tradable' END AS status, CAST(ts AS DATE) AS available_at, CAST(ts AS DATE) + CAST(event_id % 3 AS INT) AS ingested_at, event_id FROM events)"
 
 
@@ -104,16 +117,39 @@ def f10(spark, sf):
     return quality.tradable_bars(bars, splits).select("entity", "session")
 
 
-@query("f16_snapshot_contract", b.TX, b.TXD, b.SNAP, sql_text="SELECT symbol, array_to_string(list_sort(list_filter([CASE WHEN symbol % 5 = 0 THEN 'invalid_price' END, CASE WHEN symbol % 3 = 0 THEN 'invalid_previous_close' END, CASE WHEN symbol % 2 = 0 THEN 'ingested_before_as_of' END], lambda x: x IS NOT NULL)), ',') AS errors FROM snap")
+KNOWN_BARS = """kb AS (SELECT entity, session, 1 AS revision, close, session + 1 AS known FROM ubars UNION ALL SELECT entity, session, 2, close * 2, session + 9 FROM ubars WHERE day(session) % 4 = 0 UNION ALL SELECT entity, session, 3, -close, session + 12 FROM ubars WHERE day(session) % 5 = 0),
+kn AS (SELECT entity, session, revision, close FROM kb WHERE known < DATE '2024-01-22' QUALIFY row_number() OVER (PARTITION BY entity, session ORDER BY known DESC) = 1)"""
+
+
+@query("f10_known_bars", b.UBARS, KNOWN_BARS, sql_text="""SELECT entity, session, revision, round(close, 6) AS close FROM kn WHERE session < DATE '2024-01-22' AND CAST(entity AS BIGINT) % 6 <> 0 AND close > 0
+  AND (day(session) % 3 <> 0 OR (day(session) % 6 = 0 AND session + 2 < DATE '2024-01-22'))""")
+def f10_known(spark, sf):
+    """Bars of most users as known on one day; later revisions are other or impossible prices, splits come two days late."""
+    bars, d = b.ubars(spark, sf), F.dayofmonth("session")
+    decision = F.lit("2024-01-22").cast("date")
+
+    def revised(own, factor, days, k):
+        rows = own.select("entity", "session", *[(F.col("close") * factor).alias(c) for c in ("open", "high", "low", "close")], "volume")
+        known = F.date_add("session", days)
+        return rows.select("*", F.when(d % 3 == 0, 0.5).otherwise(1.0).alias("factor"), F.col("close").alias("value"), known.alias("available_at"), known.alias("ingested_at"), F.lit(k).alias("revision"))
+
+    rows = revised(bars, 1.0, 1, 1).union(revised(bars.where(d % 4 == 0), 2.0, 9, 2)).union(revised(bars.where(d % 5 == 0), -1.0, 12, 3))
+    told = F.date_add("session", 2)
+    splits = bars.where(d % 6 == 0).select("entity", F.col("session").alias("effective"), F.lit(2.0).alias("ratio"), told.alias("available_at"), told.alias("ingested_at"))
+    members = bars.where(F.col("entity").cast("long") % 6 != 0)
+    return quality.known_bars(rows, decision, members, splits).select("entity", "session", "revision", F.round("close", 6).alias("close"))
+
+
+@query("f16_snapshot_contract", b.TX, b.TXD, b.SNAP, sql_text="SELECT symbol, array_to_string(list_sort(list_filter([CASE WHEN symbol % 5 = 0 THEN 'invalid_price' END, CASE WHEN symbol % 3 = 0 THEN 'invalid_previous_close' END, CASE WHEN symbol % 2 = 0 THEN 'ingested_before_as_of' END, CASE WHEN symbol % 13 = 0 THEN 'identity_mismatch' END], lambda x: x IS NOT NULL)), ',') AS errors FROM snap")
 def f16(spark, sf):
     s = F.col("symbol")
-    rows = b.snapshots(spark, sf).select("symbol", F.when(s % 5 != 0, F.col("price").cast("double")).otherwise(0.0).alias("price"), F.when(s % 3 == 0, -1.0).alias("previous_close"), "as_of", F.when(s % 2 == 0, F.date_sub("as_of", 1)).otherwise(F.col("as_of")).alias("ingested_at"))
+    rows = b.snapshots(spark, sf).select("symbol", F.when(s % 5 != 0, F.col("price").cast("double")).otherwise(0.0).alias("price"), F.when(s % 3 == 0, -1.0).alias("previous_close"), "as_of", F.when(s % 2 == 0, F.date_sub("as_of", 1)).otherwise(F.col("as_of")).alias("ingested_at"), "currency", F.when(s % 13 == 0, s + 1).otherwise(s).alias("asked_symbol"), F.col("currency").alias("asked_currency"))
     return quality.snapshot_errors(rows).select("symbol", F.array_join("errors", ",").alias("errors"))
 
 
-@query("f17_event_contract", b.CEV, sql_text="SELECT array_to_string(list_sort(list_filter([CASE WHEN event_type = 'split' THEN 'invalid_type' END, CASE WHEN status = 'tentative' THEN 'invalid_status' END, CASE WHEN id % 9 = 0 THEN 'invalid_date' END, CASE WHEN id % 4 = 1 THEN 'announcement_without_zone' END], lambda x: x IS NOT NULL)), ',') AS errors, count(*) AS n FROM cev GROUP BY 1")
+@query("f17_event_contract", b.CEV, sql_text="SELECT array_to_string(list_sort(list_filter([CASE WHEN id % 7 = 0 THEN 'invalid_type' END, CASE WHEN status = 'tentative' THEN 'invalid_status' END, CASE WHEN id % 9 = 0 THEN 'invalid_date' END, CASE WHEN id % 4 = 1 THEN 'announcement_without_zone' END], lambda x: x IS NOT NULL)), ',') AS errors, count(*) AS n FROM cev GROUP BY 1")
 def f17(spark, sf):
-    rows = b.corporate_events(spark, sf).select("event_type", "status", F.when(F.col("id") % 9 == 0, "soon").otherwise(F.col("event_date").cast("string")).alias("event_date"), F.concat(F.col("announced_at").cast("string"), F.when(F.col("id") % 4 == 1, "T09:00:00").otherwise("T09:00:00+09:00")).alias("announced_at"), F.create_map(F.lit("k"), F.lit("v")).alias("metadata"))
+    rows = b.corporate_events(spark, sf).select(F.when(F.col("id") % 7 == 0, "split").otherwise(F.col("event_type")).alias("event_type"), "status", F.when(F.col("id") % 9 == 0, "soon").otherwise(F.col("event_date").cast("string")).alias("event_date"), F.concat(F.col("announced_at").cast("string"), F.when(F.col("id") % 4 == 1, "T09:00:00").otherwise("T09:00:00+09:00")).alias("announced_at"), F.create_map(F.lit("k"), F.lit("v")).alias("metadata"))
     return quality.event_errors(rows).groupBy(F.array_join("errors", ",").alias("errors")).agg(F.count(F.lit(1)).alias("n"))
 
 

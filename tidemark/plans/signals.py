@@ -257,11 +257,11 @@ def v08(spark, sf):
     return _r(path.select("session", "daily_return", F.log("equity").alias("log_equity")), "daily_return", "log_equity")
 
 
-SPLITS = "splits AS (SELECT symbol AS entity, event_date AS effective, CASE WHEN id % 2 = 0 THEN 2.0 ELSE 0.5 END::DOUBLE AS ratio FROM (SELECT symbol, event_date, min(id) AS id FROM cev WHERE event_type = 'split' GROUP BY symbol, event_date))"
+SPLITS = "splits AS (SELECT symbol AS entity, event_date AS effective, CASE WHEN id % 2 = 0 THEN 2.0 ELSE 0.5 END::DOUBLE AS ratio FROM (SELECT symbol, event_date, min(id) AS id FROM cev WHERE event_type = 'stock_split' GROUP BY symbol, event_date))"
 
 
 def _splits(spark, sf):
-    cev = b.corporate_events(spark, sf).where("event_type = 'split'").groupBy("symbol", "event_date").agg(F.min("id").alias("id"))
+    cev = b.corporate_events(spark, sf).where("event_type = 'stock_split'").groupBy("symbol", "event_date").agg(F.min("id").alias("id"))
     return cev.select(F.col("symbol").alias("entity"), F.col("event_date").alias("effective"), F.when(F.col("id") % 2 == 0, 2.0).otherwise(0.5).alias("ratio"))
 
 
@@ -270,6 +270,18 @@ def v09(spark, sf):
     return _r(signals.split_factors(_splits(spark, sf)), "ratio")
 
 
+#: Positions on the ledger's symbols: so many shares as the symbol's number ends in, marked at 100.
+HELD_SPLITS = "hs AS (SELECT entity, effective, ratio, (entity % 10)::DOUBLE AS quantity, 100.0::DOUBLE AS mark FROM splits)"
+
+
+@query("v09_split_positions", b.CEV, SPLITS, HELD_SPLITS, sql_text="SELECT entity, effective, quantity * ratio AS new_quantity, mark / ratio AS new_mark, quantity * ratio <> round(quantity * ratio) AS fractional FROM hs")
+def v09_positions(spark, sf):
+    """Each entity's holding after each of its splits; a reverse split of an odd number of shares leaves a fraction."""
+    splits = _splits(spark, sf)
+    held = splits.select("entity", "effective", (F.col("entity") % 10).cast("double").alias("quantity"), F.lit(100.0).alias("mark"))
+    return signals.split_positions(held, splits).select("entity", "effective", "new_quantity", "new_mark", "fractional")
+
+
 CAPITALS = "capitals AS (SELECT unnest([100000.0, 200000.0, 300000.0])::DOUBLE AS capital)"
 
 

@@ -142,14 +142,15 @@ def corporate_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").select(
         F.col("o_custkey").alias("symbol"), F.col("o_orderkey").alias("id"), F.to_date("o_orderdate").alias("event_date"),
         F.expr("date_sub(to_date(o_orderdate), cast(pmod(o_orderkey, 60) as int))").alias("announced_at"),
-        F.when(F.col("o_orderpriority").rlike("^[12]"), "earnings").when(F.col("o_orderpriority").rlike("^3"), "dividend").otherwise("split").alias("event_type"),
+        F.when(F.col("o_orderpriority").rlike("^[12]"), "earnings").when(F.col("o_orderpriority").rlike("^3"), "dividend").otherwise("stock_split").alias("event_type"),
         F.when(F.col("o_orderstatus") == "F", "confirmed").when(F.col("o_orderstatus") == "O", "scheduled").otherwise("tentative").alias("status"),
+        F.concat(F.lit("feed"), (F.col("o_orderkey") % 3).cast("string")).alias("source"),
     )
 
 
 CEV = """cev AS (SELECT o_custkey AS symbol, o_orderkey AS id, CAST(o_orderdate AS DATE) AS event_date, CAST(o_orderdate AS DATE) - CAST(o_orderkey % 60 AS INT) AS announced_at,
-  CASE WHEN regexp_matches(o_orderpriority, '^[12]') THEN 'earnings' WHEN regexp_matches(o_orderpriority, '^3') THEN 'dividend' ELSE 'split' END AS event_type,
-  CASE o_orderstatus WHEN 'F' THEN 'confirmed' WHEN 'O' THEN 'scheduled' ELSE 'tentative' END AS status FROM orders)"""
+  CASE WHEN regexp_matches(o_orderpriority, '^[12]') THEN 'earnings' WHEN regexp_matches(o_orderpriority, '^3') THEN 'dividend' ELSE 'stock_split' END AS event_type,
+  CASE o_orderstatus WHEN 'F' THEN 'confirmed' WHEN 'O' THEN 'scheduled' ELSE 'tentative' END AS status, 'feed' || o_orderkey % 3 AS source FROM orders)"""
 
 
 def lifecycle(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,6 +1,7 @@
 """Quality rules, mixing, sharding and licences on odd rows, against plain Python."""
 
 import collections
+import hashlib
 import itertools
 import os
 import zlib
@@ -141,25 +142,56 @@ def test_mixed_documents_repeat_what_mix_takes(spark, given):
         assert r["taken"] == r["size"] * copies[r["doc_id"]]
 
 
+def shard_points(docs, shards):
+    """{doc_id: point}, and the points' (size, places) by plain Python."""
+    md5 = lambda x: hashlib.md5(x.encode()).hexdigest()
+    size = {d["doc_id"]: len((d["text"] or "").encode()) + 1 for d in docs}
+    alike = collections.Counter()
+    for d in docs:
+        alike[d["text"]] += size[d["doc_id"]]
+    total, of, sums, places = sum(size.values()), {}, collections.Counter(), {}
+    for d in docs:
+        text = "\0" if d["text"] is None else d["text"]
+        large = alike[d["text"]] * sharding.WHOLE * shards > total
+        point = md5(text), int(md5(f"{d['doc_id']}:{text}")[:2], 16) if large else 0
+        own = [len(d["text"] or ""), int(md5(d["lang"])[:8], 16), int(md5(d["source"])[:8], 16)]
+        of[d["doc_id"]] = point
+        sums[point] += size[d["doc_id"]]
+        places[point] = [min(x) for x in zip(own, places.get(point, own))]
+    tie = {p: int(md5(f"{p[0]}:{p[1]}")[:5], 16) for p in sums}
+    return of, {p: (sums[p], [(x << 20) + tie[p] for x in places[p]]) for p in sums}
+
+
 def test_shards_by_brute_force(spark, given):
     docs = spark.read.parquet(f"{given}/documents.parquet")
-    own = docs.select("doc_id", sharding.row_key().alias("d"), *sharding.coordinates(sharding.F.col("text"), sharding.F.col("lang"), sharding.F.col("source"), sharding.row_key()), (sharding.F.octet_length("text") + 1).alias("size")).toPandas()
-    wide = lambda part, d: (part[d].max() // 2**20 - part[d].min() // 2**20) / max(1, own[d].max() // 2**20 - own[d].min() // 2**20)
-
-    def cut(part, shards):
-        if len(shards) == 1:
-            return {i: shards[0] for i in part["doc_id"]}
-        d = max(sharding.DIMENSIONS, key=lambda d: wide(part, d))
-        part = part.sort_values(d)
-        half = len(shards) // 2
-        low = (part["size"].cumsum() - part["size"]) * len(shards) < part["size"].sum() * half
-        return cut(part[low], shards[:half]) | cut(part[~low], shards[half:])
+    rows = docs.collect()
+    total = sum(len((r["text"] or "").encode()) + 1 for r in rows)
+
+    def expected_of(shards):
+        of, points = shard_points(rows, len(shards))
+        spread = lambda part, d: max(points[p][1][d] >> 20 for p in part) - min(points[p][1][d] >> 20 for p in part)
+        whole = [max(1, spread(points, d)) for d in range(3)]
+
+        def cut(part, shards):
+            if len(shards) == 1:
+                return {p: shards[0] for p in part}
+            d = max(range(3), key=lambda d: spread(part, d) / whole[d])
+            part, half, low, sums = sorted(part, key=lambda p: points[p][1][d]), len(shards) // 2, [], 0
+            for p in part:
+                if sums * len(shards) >= sum(points[q][0] for q in part) * half:
+                    break
+                low.append(p)
+                sums += points[p][0]
+            return cut(low, shards[:half]) | cut(part[len(low) :], shards[half:])
+
+        placed = cut(list(points), shards)
+        return {i: placed[p] for i, p in of.items()}
 
     many = 21  # leaves of about as many bytes, an odd number of them
-    target = int(-(-own["size"].sum() // many))
+    target = -(-total // many)
     got = sharding.kd_shards(docs, target_bytes=target, keep=("lang", "source")).toPandas()
-    assert dict(zip(got["doc_id"], got["shard"])) == cut(own, list(range(many))) and set(got["shard"]) == set(range(many))
-    expected = cut(own, list(range(8)))
+    assert dict(zip(got["doc_id"], got["shard"])) == expected_of(list(range(many))) and set(got["shard"]) == set(range(many))
+    expected = expected_of(list(range(8)))
     got = sharding.kd_shards(docs).toPandas()
     assert dict(zip(got["doc_id"], got["shard"])) == expected
     for _, s in got.groupby("shard"):
@@ -169,6 +201,17 @@ def test_shards_by_brute_force(spark, given):
     assert all(zlib.crc32(texts[i].encode()) == c for i, c in zip(got["doc_id"], got["text_crc32"]))
 
 
+def test_equal_texts_share_a_shard_unless_they_are_large(spark):
+    """Whatever their ids and metadata; a group of a third of all bytes is dealt out, and shards stay even."""
+    rows = [(i, f"text {i // 4} " * 30, "abcd"[i % 4], "xyz"[i % 3], 1) for i in range(1600)] + [(5000 + i, "hot " * 80, "e", "x", 1) for i in range(800)]
+    got = sharding.kd_shards(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")).toPandas()
+    shard = dict(zip(got["doc_id"], got["shard"]))
+    assert all(len({shard[4 * k + j] for j in range(4)}) == 1 for k in range(400))
+    assert len({shard[5000 + i] for i in range(800)}) > 1
+    sums = got.groupby("shard")["size"].sum()
+    assert len(sums) == 8 and sums.max() < 1.15 * sums.min()
+
+
 def test_shards_of_odd_rows(spark, odd):
     got = sharding.kd_shards(odd).collect()
     assert len(got) == len(ODD) and {r["size"] for r in got if r["doc_id"] == 2} == {1}

@@ -207,6 +207,31 @@ def test_token_store_of_long_texts_has_a_dictionary(spark, codec):
     assert spark.read.parquet(f"{few}/dictionary").head()["kind"] == "raw" and token_store.store_index(spark, few).count() == 3
 
 
+def test_dictionary_is_trained_whatever_the_ids(spark):
+    """One id for all documents, thousands of copies of one of them, and any order give a trained, equal dictionary."""
+    rng = random.Random(1)
+    texts = [" ".join(rng.choice(["alpha", "beta", "gamma", "delta"]) for _ in range(60)) for _ in range(300)] + ["copy of a text " * 20] * 2000
+    docs = frame(spark, texts, [7] * len(texts))
+    path = bpe.vocabulary_path()
+    one, two = token_store.train_dictionary(docs, path), token_store.train_dictionary(docs.repartition(9).orderBy(F.rand(3)), path)
+    assert one == two and one[1] == "trained"
+    assert token_store.train_dictionary(docs.limit(0), path) == (b"", "none")
+    folder = new_path(spark, "same")
+    token_store.write_store(docs, folder)
+    assert token_store.store_index(spark, folder).count() == len(texts)
+
+
+def test_dictionary_saves_bytes_of_short_documents(spark, codec, given):
+    import zstandard
+
+    folder = new_path(spark, "tokens")
+    docs = given.where("n_chars < 2000")
+    token_store.write_store(docs, folder)
+    stored = spark.read.parquet(f"{folder}/blocks").agg(F.sum(F.octet_length("payload"))).head()[0]
+    plain = sum(len(zstandard.compress(token_store._serial(r["text"], bpe.vocabulary_path(), 2), token_store.LEVEL)) for r in docs.collect())
+    assert stored < 0.8 * plain
+
+
 def test_only_known_kinds_of_vocabulary_are_encoded(codec):
     import json
 

@@ -62,6 +62,24 @@ class Scratch:
         self.paths = []
 
 
+class Folder(Scratch):
+    """Tables of one folder, which is emptied at once."""
+
+    def __init__(self, spark: SparkSession, name: str):
+        super().__init__(spark)
+        self.root = new_path(spark, name)
+
+    def stash(self, df: DataFrame, name: str) -> DataFrame:
+        path = f"{self.root}/{len(self.paths)}-{name}"
+        df.write.parquet(path)
+        self.paths.append(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def clear(self) -> None:
+        self.spark.range(0).write.mode("overwrite").parquet(self.root)
+        self.paths = []
+
+
 def packed(docs: DataFrame, *columns: Column) -> DataFrame:
     """Each row of ``docs`` as one struct ``row`` beside ``columns``: no name of an operator can meet one of the table's."""
     return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *columns)

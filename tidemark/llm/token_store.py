@@ -21,7 +21,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemark.llm.bpe import codec, vocabulary_path
-from tidemark.llm.common import documents, new_path, ship, stash
+from tidemark.llm.common import Scratch, documents, new_path, ship
 
 END_ID = 2
 BLOCK_BYTES = 1 << 20
@@ -30,9 +30,9 @@ BLOCK_BYTES = 1 << 20
 SHARD_BYTES = 8 << 20
 MOST_SHARD_BYTES = 256 << 20
 SLICE = 1000  # documents compressed at a time
-#: The dictionary is fitted to about SAMPLE_ROWS rows, at most twice as many, of SAMPLE_TOKENS ids each at most: those
-#: whose doc_id has a hash divisible by the number of rows over SAMPLE_ROWS. Of a longer text it takes SAMPLE_TOKENS ids
-#: that follow each other, from a place that their checksum gives.
+#: The dictionary is fitted to the SAMPLE_ROWS documents of least digest of (doc_id, text), fewer only where there are
+#: fewer different ones, of SAMPLE_TOKENS ids each at most. Of a longer text it takes SAMPLE_TOKENS ids that follow each
+#: other, from a place that their checksum gives.
 SAMPLE_ROWS = 500
 SAMPLE_TOKENS = 4096
 LEAST_SAMPLES = 8  # fewer can't be trained on; their arrays themselves then are the dictionary
@@ -62,17 +62,23 @@ def sampled(array: bytes, width: int) -> bytes:
 
 def train_dictionary(docs: DataFrame, path: str) -> tuple[bytes, str]:
     """A zstandard dictionary of the sample's id arrays, and its kind: trained, raw (of few or tiny arrays: these
-    themselves), or none (no rows)."""
+    themselves), or none (no rows). The same rows give the same bytes, in any order and partitions."""
     import zstandard
 
-    width, every = _width(path), max(1, docs.count() // SAMPLE_ROWS)
+    width = _width(path)
+    rows = docs.withColumn("digest", F.xxhash64("doc_id", F.coalesce("text", F.lit(""))))
+    least = rows.select("digest").distinct().orderBy("digest").limit(SAMPLE_ROWS).agg(F.max("digest")).head()[0]
 
     def apply(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        seen: set[int] = set()  # SAMPLE_ROWS at most
         for batch in batches:
-            yield pd.DataFrame({"ids": [sampled(_serial(t, path, width), width) for t in batch["text"]]})
+            own = batch[~batch["digest"].isin(seen)].drop_duplicates("digest")
+            seen.update(own["digest"])
+            yield pd.DataFrame({"digest": own["digest"], "ids": [sampled(_serial(t, path, width), width) for t in own["text"]]})
 
-    sample = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(every)) == 0).select("text").mapInPandas(apply, "ids binary").limit(2 * SAMPLE_ROWS)
-    arrays = sorted(bytes(r["ids"]) for r in sample.collect())  # bounded by the sample's parameters
+    sample = rows.where(F.col("digest") <= F.lit(least)).select("digest", "text").mapInPandas(apply, "digest long, ids binary")
+    sample = sample.groupBy("digest").agg(F.min("ids").alias("ids"))  # copies of a document count once
+    arrays = [bytes(r["ids"]) for r in sorted(sample.collect(), key=lambda r: r["digest"])]  # bounded by the parameters
     size = sum(map(len, arrays))
     if not size:
         return b"", "none"
@@ -90,7 +96,7 @@ def _dictionary(data: bytes, kind: str):
 
 
 def write_store(docs: DataFrame, folder: str, path: str | None = None) -> None:
-    """Encode ``docs`` (doc_id, text) and write the store to ``folder``.
+    """Encode ``docs`` (doc_id, an integer, and text) and write the store to ``folder``.
 
     Null and empty texts hold the end id alone. Rows of one doc_id stand in the order of their frames' digests; null
     doc_ids come first. A text of any length is one frame, in a block of its own where it passes BLOCK_BYTES. Other
@@ -138,12 +144,14 @@ def write_store(docs: DataFrame, folder: str, path: str | None = None) -> None:
             yield flush()
 
     frames = docs.mapInPandas(compress, "doc_id long, n_tokens long, frame binary").withColumn("_tie", F.xxhash64("frame")).withColumn("_row", F.monotonically_increasing_id())
-    frames = stash(frames, "frames")
+    scratch = Scratch(spark)
+    frames = scratch.stash(frames, "frames")
     total = frames.agg(F.coalesce(F.sum(F.octet_length("frame")), F.lit(0))).head()[0]
     order = ["doc_id", "_tie", "_row"]
     shards = max(1, min(total // SHARD_BYTES, int(spark.conf.get("spark.sql.shuffle.partitions"))), -(-total // MOST_SHARD_BYTES))
     ranged = frames.repartitionByRange(shards, *order).sortWithinPartitions(*order)
     ranged.select("doc_id", "n_tokens", "frame").mapInPandas(pack, BLOCKS).write.parquet(f"{folder}/blocks")
+    scratch.clear()
 
 
 def _unpacked(spark: SparkSession, folder: str, doc_ids: list[int] | None, last: str, finish) -> DataFrame:

@@ -78,3 +78,27 @@ def test_backdated_rows(spark, cutoff, n):
     later = spark.createDataFrame([("d1", D(1)), ("d2", D(3)), ("d3", D(9))], "digest string, ingested_at date")
     assert pit.backdated(first, later, at(cutoff)).count() == n
     assert pit.missing_history(first, later).count() == 0
+
+
+def test_bars_known_at_a_decision(spark):
+    """Of the newest known revision, of members, undone by a split that is known; later knowledge changes nothing."""
+    from tidemark.operators import quality
+
+    t = lambda n: dt.date(2025, 1, n)
+    bar = lambda e, day, close, factor, known, k: (e, t(day), close, close, close, close, 1.0, factor, close, t(known), t(known), k)
+    rows = spark.createDataFrame([
+        bar("A", 6, 100.0, 1.0, 7, 1), bar("A", 6, 101.0, 1.0, 9, 2), bar("A", 6, 99.0, 1.0, 20, 3), bar("A", 7, 50.0, 0.5, 8, 1), bar("A", 8, 50.0, 0.5, 9, 1), bar("A", 9, -1.0, 1.0, 10, 1),
+        bar("B", 6, 10.0, 1.0, 7, 1), bar("A", 12, 10.0, 1.0, 11, 1),
+    ], "entity string, session date, open double, high double, low double, close double, volume double, factor double, value double, available_at date, ingested_at date, revision int")
+    splits = spark.createDataFrame([("A", t(7), 2.0, t(7), t(7)), ("A", t(8), 2.0, t(12), t(12))], "entity string, effective date, ratio double, available_at date, ingested_at date")
+    members = spark.createDataFrame([("A", t(n)) for n in (6, 7, 8, 9, 12)], "entity string, session date")
+    got = quality.known_bars(rows, F.lit(t(12)), members, splits).collect()
+    assert sorted((r["session"].day, r["close"], r["revision"]) for r in got) == [(6, 101.0, 2), (7, 50.0, 1)]
+
+
+def test_snapshot_of_another_symbol(spark):
+    from tidemark.operators import quality
+
+    row = lambda asked, c: ("A", "JPY", 1.0, None, dt.date(2025, 1, 2), dt.date(2025, 1, 2), asked, c)
+    rows = spark.createDataFrame([row("A", "JPY"), row("B", "JPY"), row("A", "USD"), row(None, "JPY")], "symbol string, currency string, price double, previous_close double, as_of date, ingested_at date, asked_symbol string, asked_currency string")
+    assert [r["errors"] for r in quality.snapshot_errors(rows).collect()] == [[], *[["identity_mismatch"]] * 3]

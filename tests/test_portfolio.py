@@ -53,6 +53,25 @@ def test_valuation_priority_and_exact_threshold(spark):
     assert totals["JPY"]["market_value"] is None and totals["JPY"]["unpriced_symbols"] == ["B", "C"] and totals["USD"]["market_value"] == 0
 
 
+def test_late_snapshots_are_of_the_future_and_leave_the_portfolio_incomplete(spark):
+    pos = spark.createDataFrame([("A", "JPY", 10.0, 1000.0, 0.0, D(1)), ("B", "JPY", 1.0, 1.0, 0.0, D(1)), ("C", "USD", 0.0, 0.0, 1.0, D(1))], "symbol string, currency string, quantity double, total_cost double, realized_pnl double, last_tx date")
+    snaps = spark.createDataFrame([("A", "JPY", 120.0, 100.0, D(8), D(11)), ("B", "JPY", 1.0, 1.0, D(8), D(10))], "symbol string, currency string, price double, previous_close double, as_of date, ingested_at date")
+    v = ledger.valued(pos, snaps, F.lit("2025-01-10").cast("date"), 5)
+    assert {r["symbol"]: r["valuation_status"] for r in v.collect()} == {"A": "future", "B": "ok", "C": "closed"}
+    tx = spark.createDataFrame([(1,), (2,)], "id int")
+    assert tuple(ledger.portfolio_summary(tx, v).first()) == (2, 2, 1, "JPY,USD", False)
+    assert ledger.portfolio_summary(tx, v.where("symbol <> 'A'")).first()["valuation_complete"] is True
+    assert ledger.portfolio_summary(tx, v.limit(0)).first()["valuation_complete"] is True
+
+
+def test_delisting_while_held(spark):
+    acts = spark.createDataFrame([(e, D(1), D(1), D(1), D(1), "x") for e in "ABC"], "entity string, event_at date, effective date, available_at date, ingested_at date, payload string")
+    held = spark.createDataFrame([("A", D(5), 3.0), ("B", D(5), 3.0), ("B", D(8), 0.0), ("A", D(12), 0.0)], "entity string, session date, quantity double")
+    ends = spark.createDataFrame([("A", D(10)), ("B", D(10))], "entity string, effective date")
+    got = signals.action_exceptions(acts, F.lit(D(1)), held, ends).collect()
+    assert {r["entity"]: r["delisted_while_held"] for r in got} == {"A": True, "B": False, "C": False}
+
+
 def test_performance_on_a_known_path(spark):
     days = [dt.date(2024, 1, 1), dt.date(2024, 7, 1), dt.date(2025, 1, 1)]
     eq = spark.createDataFrame([("r", d, e) for d, e in zip(days, (100.0, 120.0, 90.0))], "run string, session date, equity double")

@@ -362,6 +362,40 @@ def brute_loss(words, texts, scale=1.0):
     return np.mean(out)
 
 
+@pytest.mark.parametrize("n, most, fan, levels", [(1, 8, 1, 1), (8, 8, 8, 1), (9, 8, 3, 2), (64, 8, 8, 2), (65, 8, 5, 3), (10**6, 2048, 1000, 2)])
+def test_exchange_of_many_chunks(n, most, fan, levels):
+    got = lm_scoring.Exchange.of(n, most)
+    assert (got.levels, got.fan <= most + 1, got.fan**got.levels >= n) == (levels, True, True)
+    assert got.fan - fan in (0, 1)  # roots are rounded up
+
+
+def test_scores_are_the_same_in_any_number_of_steps(spark, given, monkeypatch):
+    """Both ways of scoring: the fitted table, and a table that the models haven't seen."""
+    labels = spark.read.parquet(f"{FOLDER}/labels.parquet")
+    docs = given.where("doc_id % 2 = 0").unionByName(frame(spark, ODD, [10**6 + i for i in range(len(ODD))]))
+    other = given.where("doc_id % 2 = 1")
+
+    def scores():
+        model = lm_scoring.fit(docs, labels)
+        rows = [lm_scoring.score(x, model).collect() for x in (docs, other)]
+        return [sorted(map(tuple, x), key=lambda r: r[0]) for x in rows]
+
+    once = scores()
+    assert len(once[0]) == docs.count() and len(once[1]) == other.count()
+    for fan in (3, 2):  # eight chunks: two steps, three steps
+        monkeypatch.setattr(lm_scoring, "FAN", fan)
+        assert scores() == once
+
+
+def test_packs_grow_with_the_chunks(spark, given):
+    """Doubling the chunks at most doubles the packs of each chunk's step."""
+    labels = spark.createDataFrame([(0,)], "_good long")
+    for n in (16, 64, 256):
+        exchange = lm_scoring.Exchange.of(n, 4)
+        packs = lm_scoring.sent(lm_scoring.chunked(given, n), lm_scoring.good_ids(labels, n), exchange, True, True)
+        assert 0 < packs.count() <= n * exchange.fan
+
+
 def test_a_text_that_stands_twice_is_scored_apart(spark):
     rng = random.Random(9)
     words = [f"w{k}" for k in range(200)]

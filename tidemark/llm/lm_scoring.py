@@ -3,7 +3,9 @@
 Every word and every pair of words is counted by itself, as bytes; no entries are shared. Documents are dealt into chunks
 by a hash of their id. Each chunk sends its distinct words and pairs with their counts to the hash ranges that add them
 up, and gets the whole corpus's counts back in the order it sent them: just the part of both models that its own
-documents need. A gram travels once a chunk, however often it occurs, so a hot word is a row a chunk.
+documents need. A gram travels once a chunk, however often it occurs, so a hot word is an entry a chunk. Chunks and
+ranges both grow with the corpus, so not every chunk writes to every range: beyond FAN chunks the grams go in several
+steps, through nodes that add up the grams of FAN senders each, and come back the same way (``Exchange``).
 
 A document that a model was fitted to is scored by that model without it (leave one out): its own counts are taken
 from the sums first. So both losses are those of texts not seen before, for target documents as for all others, and a
@@ -17,6 +19,7 @@ both, whatever the corpus has.
 from __future__ import annotations
 
 import dataclasses
+import math
 import zlib
 
 import numpy as np
@@ -26,11 +29,12 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import documents, n_words, ship
+from tidemark.llm.common import documents, n_words, ship, stash
 
 WORDS = 1 << 18  # the size that smoothing gives the vocabulary
 ADD = 0.1  # what it adds to the count of each word
 CHUNK = 1 << 24  # bytes of text in a chunk, about
+FAN = 2048  # packs that a chunk, or a node of the exchange, sends at most
 PRIOR = 20.0  # words of the unigram model that back up each context
 
 
@@ -68,12 +72,12 @@ class Grams:
         self.first, self.second = codes >> 32, codes & 0xFFFFFFFF
 
     def dealt(self, ranges: int) -> tuple[np.ndarray, np.ndarray]:
-        """The order of words then pairs by hash range, and where each range starts in it."""
+        """The order of words then pairs by hash range, and the ranges in that order."""
         h = np.fromiter(map(zlib.crc32, self.words), np.uint64, len(self.words))
         mixed = (h[self.first] * np.uint64(0x9E3779B97F4A7C15) ^ h[self.second]) * np.uint64(0xC2B2AE3D27D4EB4F)
         place = (np.concatenate([h * np.uint64(0xD6E8FEB86659FD93), mixed]) >> np.uint64(32)) % np.uint64(ranges)
         order = np.argsort(place.astype(np.uint16) if ranges < 1 << 16 else place, kind="stable")
-        return order, np.concatenate([[0], np.cumsum(np.bincount(place.astype(np.int64), minlength=ranges))])
+        return order, place[order].astype(np.int64)
 
     def keys(self, order: np.ndarray) -> pa.Array:
         """A word's bytes, or a pair's with a space between (no word has one), in that order."""
@@ -121,57 +125,155 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     return Model(docs, good, np.array([[row["t"] or 0], [row["a"] or 0]], np.int64), row["b"] or 0)
 
 
-SENT = pa.schema([("place", pa.int32()), ("chunk", pa.int32()), ("grams", pa.binary()), ("lengths", pa.binary()), ("target", pa.binary()), ("background", pa.binary())])
-BACK = pa.schema([("chunk", pa.int32()), ("place", pa.int32()), ("target", pa.binary()), ("background", pa.binary())])
-SENT_DDL = "place int, chunk int, grams binary, lengths binary, target binary, background binary"
-BACK_DDL = "chunk int, place int, target binary, background binary"
+SENT = pa.schema(
+    [("group", pa.int64()), ("place", pa.int64()), ("child", pa.int64()), ("answered", pa.bool_())]
+    + [(c, pa.binary()) for c in ("grams", "lengths", "ranges", "target", "background")]
+)
+SENT_DDL = (
+    "group long, place long, child long, answered boolean, "
+    "grams binary, lengths binary, ranges binary, target binary, background binary"
+)
+BACK = pa.schema([("group", pa.int64()), ("parent", pa.int64()), ("place", pa.int64()), ("target", pa.binary()), ("background", pa.binary())])
+BACK_DDL = "group long, parent long, place long, target binary, background binary"
+
+
+@dataclasses.dataclass(frozen=True)
+class Exchange:
+    """How ``n`` chunks reach ``n`` hash ranges in ``levels`` steps, each node sending at most ``fan`` packs a step.
+
+    After step l, node (group, place) holds chunks group * fan^l .. and of their grams those whose range is in
+    place * fan^(levels - l) .. : the more chunks a node has met, the fewer ranges it keeps, so all nodes hold about a
+    chunk's worth, and the packs of all steps are n * fan * levels instead of n * n.
+    """
+
+    n: int
+    fan: int
+    levels: int
+
+    @classmethod
+    def of(cls, n: int, most: int) -> Exchange:
+        levels = 1
+        while most**levels < n:
+            levels += 1
+        fan = max(1, math.ceil(n ** (1 / levels)))
+        return cls(n, fan + (fan**levels < n), levels)
+
+    def packs(self, level: int, group: int, answered: bool, keys: pa.Array, ranges: np.ndarray, counts: list[np.ndarray]) -> pa.Table:
+        """SENT of a node to the nodes of ``level``; ``keys`` are ordered by ``ranges``."""
+        width = self.fan ** (self.levels - level)
+        places = ranges // width
+        starts = np.flatnonzero(np.diff(places, prepend=-1))
+        offsets = np.frombuffer(keys.buffers()[1], np.int64)[keys.offset : keys.offset + len(keys) + 1]
+        values, lengths = memoryview(keys.buffers()[2]), np.diff(offsets)
+        rows = []
+        for a, b in zip(starts, [*starts[1:], len(places)]):
+            inner = pack(ranges[a:b] - places[a] * width) if width > 1 else None
+            grams = zstandard.compress(values[offsets[a] : offsets[b]], 1)
+            rows.append((group // self.fan, int(places[a]), group, answered, grams, pack(lengths[a:b]), inner, *(pack(c[a:b]) for c in counts)))
+        return pa.table([pa.array(c, f.type) for c, f in zip(zip(*rows), SENT)], schema=SENT) if rows else SENT.empty_table()
+
+
+class Node:
+    """What one node of a step has received: its grams once each, their sums, and who asked for which."""
+
+    def __init__(self, rows: pa.Table, exchange: Exchange, level: int):
+        self.rows = rows = rows.sort_by([("child", "ascending"), ("answered", "ascending")])
+        lengths = [unpack(x) for x in rows["lengths"].to_pylist()]
+        self.ends = np.cumsum([len(x) for x in lengths])
+        offsets = np.concatenate([[0], np.cumsum(np.concatenate(lengths))])
+        values = b"".join(map(zstandard.decompress, rows["grams"].to_pylist()))
+        keys = pa.Array.from_buffers(pa.large_binary(), len(offsets) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(values)])
+        coded = keys.dictionary_encode()
+        self.keys, self.number = coded.dictionary, coded.indices.to_numpy()
+        columns = [np.concatenate([unpack(x) for x in rows[c].to_pylist()]) for c in ("target", "background")]
+        self.sums = [np.bincount(self.number, c).astype(np.int64) for c in columns]
+        if level < exchange.levels:
+            width = exchange.fan ** (exchange.levels - level)
+            self.ranges = np.empty(len(self.keys), np.int64)
+            self.ranges[self.number] = np.concatenate([unpack(x) for x in rows["ranges"].to_pylist()]) + rows["place"][0].as_py() * width
+            self.order = np.argsort(self.ranges, kind="stable")
+
+    def onward(self, exchange: Exchange, level: int) -> pa.Table:
+        answered = pc.any(self.rows["answered"]).as_py()
+        o = self.order
+        return exchange.packs(level + 1, self.rows["group"][0].as_py(), answered, self.keys.take(pa.array(o)), self.ranges[o], [c[o] for c in self.sums])
+
+    def answers(self, exchange: Exchange, level: int, sums: list[np.ndarray]) -> pa.Table:
+        """BACK: ``sums``, for each child in the order of its own grams."""
+        out, place = [], self.rows["place"][0].as_py()
+        parent = place // exchange.fan if level > 1 else 0
+        whole = [s[self.number] for s in sums]
+        for child, answered, a, b in zip(self.rows["child"].to_pylist(), self.rows["answered"].to_pylist(), [0, *self.ends[:-1]], self.ends):
+            if answered:
+                out.append((child, parent, place, *(pack(s[a:b]) for s in whole)))
+        return pa.table([pa.array(c, f.type) for c, f in zip(zip(*out), BACK)], schema=BACK) if out else BACK.empty_table()
+
+
+def received(back: pa.Table) -> list[np.ndarray]:
+    """Target and background counts of a node's grams, in the order in which it sent them."""
+    back = back.sort_by("place")
+    return [np.concatenate([np.zeros(0, np.int64), *(unpack(x) for x in back[c].to_pylist())]) for c in ("target", "background")]
 
 
 def chunked(docs: DataFrame, n: int) -> DataFrame:
     """Rows without an id are dealt by their text."""
     h = F.when(F.col("doc_id").isNull(), F.xxhash64("text")).otherwise(F.xxhash64("doc_id"))
-    return docs.select(F.pmod(h, F.lit(n)).cast("int").alias("_chunk"), "doc_id", F.col("text").cast("binary").alias("text"))
+    return docs.select(F.pmod(h, F.lit(n)).alias("_chunk"), "doc_id", F.col("text").cast("binary").alias("text"))
 
 
 def good_ids(good: DataFrame, n: int) -> DataFrame:
-    return good.select(F.pmod(F.xxhash64("_good"), F.lit(n)).cast("int").alias("_chunk"), "_good")
+    return good.select(F.pmod(F.xxhash64("_good"), F.lit(n)).alias("_chunk"), "_good")
 
 
-def sent(docs: DataFrame, good: DataFrame, n: int, counted: bool, answered: bool) -> DataFrame:
-    """SENT: each chunk's grams and counts by hash range; zero counts unless ``counted``, no chunk unless ``answered``."""
+def sent(docs: DataFrame, good: DataFrame, exchange: Exchange, counted: bool, answered: bool) -> DataFrame:
+    """SENT: each chunk's grams and counts, to the first step; zero counts unless ``counted``."""
 
     def count(mine: pa.Table, marks: pa.Table) -> pa.Table:
         grams = Grams(mine["text"].to_pylist())
         if not mine.num_rows or not len(grams.word):
             return SENT.empty_table()
-        order, starts = grams.dealt(n)
-        keys = grams.keys(order)
-        offsets = np.frombuffer(keys.buffers()[1], np.int64)[keys.offset : keys.offset + len(keys) + 1]
-        values = memoryview(keys.buffers()[2])
-        lengths = np.diff(offsets)
+        order, ranges = grams.dealt(exchange.n)
         known = np.array(pc.is_in(mine["doc_id"], pc.unique(marks["_good"])).to_pylist(), np.int64)
-        target, background = (grams.counts(w if counted else 0 * w)[order] for w in (known, np.ones_like(known)))
-        chunk = mine["_chunk"][0].as_py() if answered else None
-        rows = []
-        for place in np.flatnonzero(np.diff(starts)):
-            a, b = starts[place], starts[place + 1]
-            rows.append((int(place), chunk, zstandard.compress(values[offsets[a] : offsets[b]], 1), pack(lengths[a:b]), pack(target[a:b]), pack(background[a:b])))
-        return pa.table([pa.array(c, f.type) for c, f in zip(zip(*rows), SENT)], schema=SENT)
+        counts = [grams.counts(w if counted else 0 * w)[order] for w in (known, np.ones_like(known))]
+        return exchange.packs(1, mine["_chunk"][0].as_py(), answered, grams.keys(order), ranges, counts)
+
+    return docs.groupBy("_chunk").cogroup(good_ids(good, exchange.n).groupBy("_chunk")).applyInArrow(count, SENT_DDL)
+
+
+def added_up(rows: DataFrame, exchange: Exchange) -> DataFrame:
+    """BACK for the chunks: the sums over all chunks, for each chunk in the order of its own grams.
+
+    Steps before the last are written, as their nodes are asked again on the way back.
+    """
+
+    def onward(level: int):
+        return lambda rows: Node(rows, exchange, level).onward(exchange, level)
+
+    def returned(level: int):
+        def step(rows: pa.Table, back: pa.Table) -> pa.Table:
+            if not back.num_rows:
+                return BACK.empty_table()
+            node = Node(rows, exchange, level)
+            sums = [np.empty_like(s) for s in node.sums]
+            for s, known in zip(sums, received(back)):
+                s[node.order] = known
+            return node.answers(exchange, level, sums)
 
-    return docs.groupBy("_chunk").cogroup(good_ids(good, n).groupBy("_chunk")).applyInArrow(count, SENT_DDL)
+        return step
 
+    def last(rows: pa.Table) -> pa.Table:
+        node = Node(rows, exchange, exchange.levels)
+        return node.answers(exchange, exchange.levels, node.sums)
 
-def add_up(rows: pa.Table) -> pa.Table:
-    """BACK: the sums over all chunks, for each chunk in the order of its own grams."""
-    lengths = [unpack(x) for x in rows["lengths"].to_pylist()]
-    offsets = np.concatenate([[0], np.cumsum(np.concatenate(lengths))])
-    values = b"".join(map(zstandard.decompress, rows["grams"].to_pylist()))
-    keys = pa.Array.from_buffers(pa.large_binary(), len(offsets) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(values)])
-    number = keys.dictionary_encode().indices.to_numpy()
-    sums = [np.bincount(number, np.concatenate([unpack(x) for x in rows[c].to_pylist()])).astype(np.int64)[number] for c in ("target", "background")]
-    ends = np.cumsum([len(x) for x in lengths])
-    out = [(chunk, place, *(pack(s[e - len(x) : e]) for s in sums)) for chunk, place, x, e in zip(rows["chunk"].to_pylist(), rows["place"].to_pylist(), lengths, ends) if chunk is not None]
-    return pa.table([pa.array(c, f.type) for c, f in zip(zip(*out), BACK)], schema=BACK) if out else BACK.empty_table()
+    steps = []
+    for level in range(1, exchange.levels):
+        steps.append(stash(rows, "packs"))
+        rows = steps[-1].groupBy("group", "place").applyInArrow(onward(level), SENT_DDL)
+    back = rows.groupBy("group", "place").applyInArrow(last, BACK_DDL)
+    for level in range(exchange.levels - 1, 0, -1):
+        asked, answers = steps[level - 1].groupBy("group", "place"), back.groupBy("group", "parent")
+        back = asked.cogroup(answers).applyInArrow(returned(level), BACK_DDL)
+    return back
 
 
 def own_counts(text: np.ndarray, number: np.ndarray, wanted: np.ndarray) -> np.ndarray:
@@ -217,16 +319,17 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     own = docs is model.docs
     size = model.size if own else max(model.size, docs.agg(text_size()).first()["size"])
     n = max(2 * int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // CHUNK))
+    exchange = Exchange.of(n, FAN)
     mine = chunked(docs, n)
-    rows = sent(mine, model.good, n, own, True)
+    rows = sent(mine, model.good, exchange, own, True)
     if not own:
-        rows = rows.unionAll(sent(chunked(model.docs, n), model.good, n, True, False))
-    back = rows.groupBy("place").applyInArrow(add_up, BACK_DDL)
+        rows = rows.unionAll(sent(chunked(model.docs, n), model.good, exchange, True, False))
     totals = model.totals
-    kind = docs.schema["doc_id"].dataType.simpleString()
+    id_type = docs.schema["doc_id"].dataType
 
-    ids = good_ids(model.good, n).select(F.col("_chunk").alias("chunk"), F.lit(-1).alias("place"), F.lit(None).cast("binary").alias("target"), F.lit(None).cast("binary").alias("background"), "_good")
-    back = back.withColumn("_good", F.lit(None).cast(docs.schema["doc_id"].dataType)).unionByName(ids)
+    back = added_up(rows, exchange).select(F.col("group").alias("chunk"), "place", "target", "background", F.lit(None).cast(id_type).alias("_good"))
+    none = F.lit(None).cast("binary")
+    back = back.unionByName(good_ids(model.good, n).select(F.col("_chunk").alias("chunk"), F.lit(-1).cast("long").alias("place"), none.alias("target"), none.alias("background"), "_good"))
 
     def apply(mine: pa.Table, back: pa.Table) -> pa.Table:
         grams = Grams(mine["text"].to_pylist())
@@ -235,11 +338,9 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
         if len(grams.word):
             good = pc.unique(back["_good"].drop_null())
             fitted = np.stack([np.array(pc.is_in(mine["doc_id"], good).to_pylist(), np.int64), np.ones(mine.num_rows, np.int64)]) * int(own)
-            back = back.filter(pc.greater_equal(back["place"], 0)).sort_by("place")
             order, _ = grams.dealt(n)
             counts = np.empty((2, len(order)), np.int64)
-            for i, c in enumerate(("target", "background")):
-                counts[i, order] = np.concatenate([unpack(x) for x in back[c].to_pylist()])
+            counts[:, order] = received(back.filter(pc.greater_equal(back["place"], 0)))
             loss = losses(grams, counts, totals, fitted)
             text = np.repeat(np.arange(len(n_tokens)), n_tokens)
             with np.errstate(invalid="ignore"):
@@ -247,7 +348,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
         columns = [pa.array(x, pa.float64(), from_pandas=True) for x in (*means, means[0] - means[1])]
         return pa.table([mine["doc_id"], pa.array(n_tokens), *columns], ["doc_id", "n_tokens", "target_loss", "background_loss", "difference"])
 
-    return mine.groupBy("_chunk").cogroup(back.groupBy("chunk")).applyInArrow(apply, f"doc_id {kind}, {SCORES}")
+    return mine.groupBy("_chunk").cogroup(back.groupBy("chunk")).applyInArrow(apply, f"doc_id {id_type.simpleString()}, {SCORES}")
 
 
 def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:

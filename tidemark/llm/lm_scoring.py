@@ -21,6 +21,7 @@ from __future__ import annotations
 import dataclasses
 import math
 import zlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -76,8 +77,9 @@ class Grams:
         h = np.fromiter(map(zlib.crc32, self.words), np.uint64, len(self.words))
         mixed = (h[self.first] * np.uint64(0x9E3779B97F4A7C15) ^ h[self.second]) * np.uint64(0xC2B2AE3D27D4EB4F)
         place = (np.concatenate([h * np.uint64(0xD6E8FEB86659FD93), mixed]) >> np.uint64(32)) % np.uint64(ranges)
-        order = np.argsort(place.astype(np.uint16) if ranges < 1 << 16 else place, kind="stable")
-        return order, place[order].astype(np.int64)
+        place = place.astype(np.uint16 if ranges < 1 << 16 else np.uint32)
+        order = np.argsort(place, kind="stable")
+        return order, place[order]
 
     def keys(self, order: np.ndarray) -> pa.Array:
         """A word's bytes, or a pair's with a space between (no word has one), in that order."""
@@ -161,15 +163,17 @@ class Exchange:
     def packs(self, level: int, group: int, answered: bool, keys: pa.Array, ranges: np.ndarray, counts: list[np.ndarray]) -> pa.Table:
         """SENT of a node to the nodes of ``level``; ``keys`` are ordered by ``ranges``."""
         width = self.fan ** (self.levels - level)
-        places = ranges // width
-        starts = np.flatnonzero(np.diff(places, prepend=-1))
+        places = range(int(ranges[0]) // width, int(ranges[-1]) // width + 1) if len(ranges) else range(0)
+        starts = np.searchsorted(ranges, np.array([p * width for p in places], ranges.dtype)).tolist()
         offsets = np.frombuffer(keys.buffers()[1], np.int64)[keys.offset : keys.offset + len(keys) + 1]
         values, lengths = memoryview(keys.buffers()[2]), np.diff(offsets)
         rows = []
-        for a, b in zip(starts, [*starts[1:], len(places)]):
-            inner = pack(ranges[a:b] - places[a] * width) if width > 1 else None
+        for place, a, b in zip(places, starts, [*starts[1:], len(ranges)]):
+            if a == b:
+                continue
+            inner = pack(ranges[a:b].astype(np.int64) - place * width) if width > 1 else None
             grams = zstandard.compress(values[offsets[a] : offsets[b]], 1)
-            rows.append((group // self.fan, int(places[a]), group, answered, grams, pack(lengths[a:b]), inner, *(pack(c[a:b]) for c in counts)))
+            rows.append((group // self.fan, place, group, answered, grams, pack(lengths[a:b]), inner, *(pack(c[a:b]) for c in counts)))
         return pa.table([pa.array(c, f.type) for c, f in zip(zip(*rows), SENT)], schema=SENT) if rows else SENT.empty_table()
 
 
@@ -177,16 +181,17 @@ class Node:
     """What one node of a step has received: its grams once each, their sums, and who asked for which."""
 
     def __init__(self, rows: pa.Table, exchange: Exchange, level: int):
-        self.rows = rows = rows.sort_by([("child", "ascending"), ("answered", "ascending")])
+        rows = rows.sort_by([("child", "ascending"), ("answered", "ascending")])
         lengths = [unpack(x) for x in rows["lengths"].to_pylist()]
         self.ends = np.cumsum([len(x) for x in lengths])
         offsets = np.concatenate([[0], np.cumsum(np.concatenate(lengths))])
         values = b"".join(map(zstandard.decompress, rows["grams"].to_pylist()))
         keys = pa.Array.from_buffers(pa.large_binary(), len(offsets) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(values)])
         coded = keys.dictionary_encode()
+        self.rows = rows.select(["group", "place", "child", "answered"])
         self.keys, self.number = coded.dictionary, coded.indices.to_numpy()
-        columns = [np.concatenate([unpack(x) for x in rows[c].to_pylist()]) for c in ("target", "background")]
-        self.sums = [np.bincount(self.number, c).astype(np.int64) for c in columns]
+        counts = (np.concatenate([unpack(x) for x in rows[c].to_pylist()]) for c in ("target", "background"))
+        self.sums = [np.bincount(self.number, c).astype(np.int64) for c in counts]
         if level < exchange.levels:
             width = exchange.fan ** (exchange.levels - level)
             self.ranges = np.empty(len(self.keys), np.int64)
@@ -209,10 +214,11 @@ class Node:
         return pa.table([pa.array(c, f.type) for c, f in zip(zip(*out), BACK)], schema=BACK) if out else BACK.empty_table()
 
 
-def received(back: pa.Table) -> list[np.ndarray]:
+def received(back: pa.Table) -> Iterator[np.ndarray]:
     """Target and background counts of a node's grams, in the order in which it sent them."""
     back = back.sort_by("place")
-    return [np.concatenate([np.zeros(0, np.int64), *(unpack(x) for x in back[c].to_pylist())]) for c in ("target", "background")]
+    for c in ("target", "background"):
+        yield np.concatenate([np.zeros(0, np.int64), *(unpack(x) for x in back[c].to_pylist())])
 
 
 def chunked(docs: DataFrame, n: int) -> DataFrame:
@@ -340,7 +346,8 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             fitted = np.stack([np.array(pc.is_in(mine["doc_id"], good).to_pylist(), np.int64), np.ones(mine.num_rows, np.int64)]) * int(own)
             order, _ = grams.dealt(n)
             counts = np.empty((2, len(order)), np.int64)
-            counts[:, order] = received(back.filter(pc.greater_equal(back["place"], 0)))
+            for i, known in enumerate(received(back.filter(pc.greater_equal(back["place"], 0)))):
+                counts[i, order] = known
             loss = losses(grams, counts, totals, fitted)
             text = np.repeat(np.arange(len(n_tokens)), n_tokens)
             with np.errstate(invalid="ignore"):

@@ -60,7 +60,7 @@ def fit_descent(train: DataFrame, names: list[str], penalties: list[float], by:
 def fit_logistic(train: DataFrame, names: list[str], penalty: float) -> tuple[float, list[float]]:
     """The same objective's optimum for one fold, by Spark's own distributed solver."""
     rows = VectorAssembler(inputCols=names, outputCol="_x").transform(train.select(F.col("y").cast("double").alias("label"), *names))
-    model = LogisticRegression(featuresCol="_x", regParam=penalty, elasticNetParam=0.0, standardization=False, maxIter=200, tol=1e-9).fit(rows)
+    model = LogisticRegression(featuresCol="_x", regParam=penalty, elasticNetParam=0.0, standardization=False, maxIter=500, tol=1e-11).fit(rows)
     return float(model.intercept), [float(c) for c in model.coefficients]
 
 

@@ -8,6 +8,7 @@ from tidemark.operators import calendars, model, signals
 from tidemark.plans.registry import registry
 from tidemark.plans.signals import FEATURES, RET
 from tidemark.sources import bindings as b
+from tidemark.sources.folders import written
 
 QUERIES, SQL, query = registry()
 
@@ -35,13 +36,35 @@ def m01(spark, sf):
     return _r(model.scaler(_samples(spark, sf), USED), *[f"{c}_{x}" for c in USED for x in ("mean", "std")])
 
 
-@query("m02_logistic_fit")
+#: The optimum by descent at full length: scaled features keep the curvature between PENALTY and 1.1, so each of these
+#: steps of length 1 takes a tenth off the distance at least.
+PENALTY, UNTIL = 0.1, 300
+W = [f"w{i + 1}" for i in range(len(USED))]
+GIVEN = "1 / (1 + exp(-(f.w0 + " + " + ".join(f"f.{w} * z.{c}" for w, c in zip(W, USED)) + ")))"
+OPTIMUM = f"""scaled AS MATERIALIZED (
+  SELECT fold, y, {', '.join(f"({c} - {c}_mean) / {c}_std AS {c}" for c in USED)} FROM samples JOIN scale USING (fold)),
+optimum(fold, step, w0, {', '.join(W)}) AS (
+  SELECT DISTINCT fold, 0, 0::DOUBLE, {', '.join('0::DOUBLE' for _ in USED)} FROM scaled
+  UNION ALL
+  SELECT f.fold, f.step + 1, any_value(f.w0) - avg({GIVEN} - z.y),
+    {', '.join(f"any_value(f.{w}) - avg(({GIVEN} - z.y) * z.{c}) - {PENALTY} * any_value(f.{w})" for w, c in zip(W, USED))}
+  FROM optimum f JOIN scaled z ON z.fold = f.fold WHERE f.step < {UNTIL} GROUP BY f.fold, f.step)"""
+FITTED = ", ".join(f"round({w}, 3) AS {w}" for w in W)
+
+
+@query(
+    "m02_logistic_fit", b.BARS, RET, FEATURES, SAMPLES, SCALE, OPTIMUM,
+    sql_text=f"SELECT fold, round(w0, 3) AS intercept, {FITTED} FROM optimum WHERE step = {UNTIL}",
+)
 def m02(spark, sf):
+    """The optimum that ``m02_descent`` goes towards, fold by fold, each by a distributed solver."""
     rows = _samples(spark, sf)
-    z = model.scaled(rows, model.scaler(rows, USED), USED)
-    folds = [r["fold"] for r in rows.select("fold").distinct().orderBy("fold").collect()]  # a row a fold
-    fits = [(fold, *model.fit_logistic(z.where(F.col("fold") == fold), USED, 0.1)) for fold in folds]
-    return spark.createDataFrame(fits, "fold int, intercept double, weights array<double>")
+    z = written(model.scaled(rows, model.scaler(rows, USED), USED).select("fold", "y", *USED), "scaled")
+    folds = [r["fold"] for r in z.select("fold").distinct().orderBy("fold").collect()]  # a row a fold
+    fits = [model.fit_logistic(z.where(F.col("fold") == fold), USED, PENALTY) for fold in folds]
+    fits = [(fold, intercept, *weights) for fold, (intercept, weights) in zip(folds, fits)]
+    out = spark.createDataFrame(fits, f"fold int, intercept double, {', '.join(f'{w} double' for w in W)}")
+    return _r(out, "intercept", *W, digits=3)
 
 
 SCORE = " + ".join(f"{w} * (({c} - {c}_mean) / {c}_std)" for c, w in zip(USED, WEIGHTS))

@@ -631,3 +631,30 @@ def test_pipeline_stages(spark):
         assert r["ids_sha256"] == hashlib.sha256(own.encode(texts[3][r["doc_id"]])).hexdigest()
         assert r["decoded_sha256"] == hashlib.sha256((texts[3][r["doc_id"]] or "").encode()).hexdigest()
     assert steps[5].count() == sum(mixed.values())
+
+
+def test_pipeline_on_odd_rows(spark, tmp_path):
+    """Null, empty and repeated rows, a null id and source, and columns named as the operators name theirs."""
+    import corpus_pipeline
+
+    words = [f"stem{i}" for i in range(400)]
+    prose = [". ".join(" ".join(random.Random(100 * k + i).sample(words, 12)).capitalize() for i in range(9)) + "." for k in range(4)]
+    given = [
+        (1, prose[0], "a"), (1, prose[0], "a"), (2, prose[1], None), (None, prose[2], "b"),
+        (4, prose[0], "b"), (5, None, "a"), (6, "", "b"), (7, "too short.", None), (8, prose[3], "a"),
+    ]
+    schema = "doc_id long, text string, source string"
+    plain = spark.createDataFrame(given, schema)
+    names = ["row", "label", "node", "one", "two", "_range", "taken", "size", "n_words", "kept", "copy", "key"]
+    clash = plain.withColumns({c: F.lit("own") for c in names})
+    found = []
+    for k, docs in enumerate((plain, clash, plain.limit(0))):
+        docs.coalesce(1).write.parquet(f"{tmp_path}/{k}/documents.parquet")
+        rows = corpus_pipeline.run(spark, f"{tmp_path}/{k}").select("doc_id", "n_tokens", "decoded_sha256").collect()
+        found.append(collections.Counter(map(tuple, rows)))
+    assert found[0] == found[1] and not found[2]
+    # Rejected rows go, equal rows leave one, and document 4 has lost its lines to document 1: it stays, as an empty text.
+    left = {1: prose[0], 2: prose[1], None: prose[2], 4: "", 8: prose[3]}
+    left = {(i, hashlib.sha256(t.encode()).hexdigest()) for i, t in left.items()}
+    assert found[0] and {(i, digest) for i, _, digest in found[0]} <= left
+    assert all(n <= 2 for n in found[0].values())

@@ -593,6 +593,33 @@ def test_near_duplicates_on_odd_rows(spark):
     assert near_dedup.near_duplicates(docs.limit(0)).count() == 0
 
 
+def test_near_pairs(spark, monkeypatch):
+    """The links have the similarity of their texts and make the classes; a large group meets its hub in several parts."""
+    monkeypatch.setattr(near_dedup, "PARTNERS", 3)
+    rng = np.random.default_rng(3)
+    words = [f"w{i}" for i in range(400)]
+    bases = [rng.choice(words, 120).tolist() for _ in range(3)]
+    texts = []
+    for k in range(40):
+        edited = list(bases[k % 3] if k % 10 else rng.choice(words, 60).tolist())
+        edited[int(rng.integers(len(edited)))] = f"x{k}"
+        texts.append(" ".join(edited))
+    texts += [texts[1], texts[2], "", None, "one"]
+    docs = frame(spark, texts)
+    found = near_dedup.near_pairs(docs).collect()
+    for r in found:
+        assert r["a"] < r["b"] and r["similarity"] == pytest.approx(near_dedup.similarity(texts[r["a"]], texts[r["b"]])) and r["similarity"] >= 0.8
+    assert len({(r["a"], r["b"]) for r in found}) == len(found) >= 30
+    label = list(range(len(texts)))
+    got = {r["doc_id"]: r["class_id"] for r in near_dedup.near_duplicates(docs).collect()}
+    first = {t or "": i for i, t in reversed(list(enumerate(texts)))}
+    for _ in range(len(texts)):
+        for r in found:
+            label[r["b"]] = label[r["a"]] = min(label[r["a"]], label[r["b"]])
+    assert [got[i] for i in range(len(texts))] == [label[first[t or ""]] for t in texts]
+    assert near_dedup.near_pairs(docs.limit(0)).count() == 0
+
+
 def test_pipeline_stages(spark):
     folder = FOLDER
     if not os.path.isdir(folder):

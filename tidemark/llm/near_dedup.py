@@ -42,6 +42,8 @@ SHORT_LENGTH = 2
 BLOCK = 1 << 21
 #: Texts whose arrays a task holds at once.
 SLICE = 500
+#: Partners of one text that are compared with it in one group.
+PARTNERS = 200
 #: Numbers of k-mers are dealt into bins that grow by this ratio, for the prefix filter.
 RATIO = 1.03
 
@@ -147,14 +149,16 @@ def _rising(places: list[int]) -> int:
     return len(ends)
 
 
-def compare(a: str | None, b: str | None, least: float = SIMILARITY, exact: bool = False) -> float:
-    """Aligned k-mers over all k-mers of both; 0 where it is below ``least``.
+def _prepared(text: str | None) -> tuple[np.ndarray, np.ndarray]:
+    """The text's k-mers in order, without and with their occurrence."""
+    plain = shingles(text)
+    return plain, labelled(plain)
 
-    Labelled k-mers that agree rise in both texts unless passages moved, and then the alignment is known at once. So
-    unless ``exact`` is wanted, an alignment of labelled k-mers that reaches ``least`` is enough.
-    """
-    x, y = shingles(a), shingles(b)
-    _, i, j = np.intersect1d(labelled(x), labelled(y), assume_unique=True, return_indices=True)
+
+def _compared(one: tuple[np.ndarray, np.ndarray], two: tuple[np.ndarray, np.ndarray], least: float = SIMILARITY, exact: bool = False) -> float:
+    """``compare`` of two prepared texts."""
+    (x, known_x), (y, known_y) = one, two
+    _, i, j = np.intersect1d(known_x, known_y, assume_unique=True, return_indices=True)
     total, common = len(x) + len(y), len(i)
     if common / (total - common) < least:
         return 0.0
@@ -167,6 +171,15 @@ def compare(a: str | None, b: str | None, least: float = SIMILARITY, exact: bool
     return similarity if similarity >= least else 0.0
 
 
+def compare(a: str | None, b: str | None, least: float = SIMILARITY, exact: bool = False) -> float:
+    """Aligned k-mers over all k-mers of both; 0 where it is below ``least``.
+
+    Labelled k-mers that agree rise in both texts unless passages moved, and then the alignment is known at once. So
+    unless ``exact`` is wanted, an alignment of labelled k-mers that reaches ``least`` is enough.
+    """
+    return _compared(_prepared(a), _prepared(b), least, exact)
+
+
 def similarity(a: str | None, b: str | None) -> float:
     """Aligned k-mers over all k-mers of both; 0 where it is below SIMILARITY."""
     return compare(a, b, exact=True)
@@ -184,16 +197,49 @@ def _slices(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             yield batch.iloc[i : i + SLICE]
 
 
-def _linked(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs (a, b) that are similar enough; ``texts`` has node and text."""
+def _pairs(rows: DataFrame, node: str, hub: str) -> DataFrame:
+    """a, b, hub: each pair of ``node`` and ``hub`` once, the lesser first."""
+    rows = rows.select(F.least(node, hub).alias("a"), F.greatest(node, hub).alias("b"), F.col(hub).alias("hub"))
+    return rows.groupBy("a", "b").agg(F.min("hub").alias("hub"))
+
+
+def _with_hubs(pairs: DataFrame) -> DataFrame:
+    """a, b, hub: the hub of a pair is the one that stands in more of ``pairs``."""
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("n"))
+    one, two = (ends.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}")) for x in "ab")
+    return pairs.join(one, "a").join(two, "b").select("a", "b", F.when(F.col("n_a") >= F.col("n_b"), F.col("a")).otherwise(F.col("b")).alias("hub"))
+
+
+def _linked(pairs: DataFrame, texts: DataFrame, exact: bool = False) -> DataFrame:
+    """a, b, similarity: the pairs (a, b, hub) that are similar enough; ``texts`` has node and text.
+
+    A hub's partners are dealt into parts of about PARTNERS. Sorted, each part begins with the hub's text, whose k-mers
+    are found once and are all that a task keeps while the partners pass. So a hub's text is sent once a part and not
+    once a pair, and many tasks share a large hub.
+    """
 
     def apply(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        head = None
         for batch in batches:
-            yield batch[["a", "b"]][[compare(x, y) >= SIMILARITY for x, y in zip(batch["x"], batch["y"])]]
-
-    one = texts.select(F.col("node").alias("a"), F.col("text").alias("x"))
-    two = texts.select(F.col("node").alias("b"), F.col("text").alias("y"))
-    return pairs.join(one, "a").join(two, "b").select("a", "b", "x", "y").mapInPandas(apply, "a long, b long")
+            found = []
+            for hub, other, text in zip(batch["hub"].tolist(), batch["other"].tolist(), batch["text"]):
+                if other < 0:
+                    head = _prepared(text)
+                    continue
+                value = _compared(head, _prepared(text), exact=exact)
+                if value >= SIMILARITY:
+                    found.append((min(hub, other), max(hub, other), value))
+            yield pd.DataFrame(found, columns=["a", "b", "similarity"])
+
+    sizes = pairs.groupBy("hub").agg(F.ceil(F.count(F.lit(1)) / PARTNERS).alias("parts")).where("parts > 1")
+    other = (F.col("a") + F.col("b") - F.col("hub")).alias("other")
+    dealt = pairs.select("hub", other).join(sizes, "hub", "left")
+    dealt = dealt.select("hub", "other", F.pmod(F.xxhash64("other"), F.coalesce("parts", F.lit(1))).alias("part"))
+    heads = dealt.select("hub", "part").distinct().join(texts.withColumnRenamed("node", "hub"), "hub")
+    heads = heads.select("hub", "part", F.lit(-1).cast("long").alias("other"), "text")  # nodes are 0 or more
+    partners = dealt.join(texts.withColumnRenamed("node", "other"), "other").select("hub", "part", "other", "text")
+    rows = heads.union(partners).repartition("hub", "part").sortWithinPartitions("hub", "part", "other")
+    return rows.select("hub", "other", "text").mapInPandas(apply, "a long, b long, similarity double")
 
 
 def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
@@ -259,8 +305,11 @@ def _open_pairs(left: DataFrame, texts: DataFrame, scratch: Scratch) -> DataFram
     return pairs.select(F.least("n1", "n2").alias("a"), F.greatest("n1", "n2").alias("b")).distinct()
 
 
-def near_classes(docs: DataFrame, scratch: Scratch) -> DataFrame:
-    """one, two, label: the class of each different text that has a near duplicate; one and two are ``text_key``."""
+def _links(docs: DataFrame, scratch: Scratch, exact: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(a, b, similarity: links that join each class of near duplicates; node, one, two: the different texts).
+
+    one and two are ``text_key``.
+    """
     ship(docs.sparkSession)
     keep = scratch.stash
 
@@ -286,8 +335,8 @@ def near_classes(docs: DataFrame, scratch: Scratch) -> DataFrame:
     around = members.join(pivots, "bucket").select("bucket", "node", "n", "pivot", "pivot_n")
     around = keep(around, "around")
     pairs = around.where((F.col("node") != F.col("pivot")) & _fits(F.col("n"), F.col("pivot_n")))
-    tried = keep(pairs.select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct(), "pairs")
-    links = keep(_linked(tried, texts), "links")
+    tried = keep(_pairs(pairs, "node", "pivot"), "pairs")
+    links = keep(_linked(tried, texts, exact), "links")
 
     def relabelled(rows: DataFrame) -> DataFrame:
         rows = rows.drop("label").join(components(links, scratch), "node", "left").withColumn("label", F.coalesce("label", "node"))
@@ -301,9 +350,8 @@ def near_classes(docs: DataFrame, scratch: Scratch) -> DataFrame:
         tops = held.groupBy("bucket").agg(F.max(F.struct("size", "label", "p")).alias("top"))
         tops = tops.select("bucket", F.col("top.label").alias("_label"), F.col("top.p.node").alias("_node"), F.col("top.p.n").alias("_n"))
         pairs = left.join(tops, "bucket").where((F.col("label") != F.col("_label")) & _fits(F.col("n"), F.col("_n")))
-        pairs = pairs.select(F.least("node", "_node").alias("a"), F.greatest("node", "_node").alias("b")).distinct()
-        pairs = keep(pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
-        found = keep(_linked(pairs, texts), "links")
+        pairs = keep(_pairs(pairs, "node", "_node").join(tried, ["a", "b"], "left_anti"), "pairs")
+        found = keep(_linked(pairs, texts, exact), "links")
         tried = tried.union(pairs)
         if not found.head(1):
             break
@@ -313,8 +361,14 @@ def near_classes(docs: DataFrame, scratch: Scratch) -> DataFrame:
     one = sketches.select(F.col("node").alias("a"), F.col("buckets").alias("_x"))
     two = sketches.select(F.col("node").alias("b"), F.col("buckets").alias("_y"))
     more = more.join(one, "a").join(two, "b").where(F.arrays_overlap("_x", "_y")).select("a", "b")  # candidates only
-    links = links.union(keep(_linked(more, texts), "links"))
-    return components(links, scratch).join(sketches, "node").select("one", "two", "label")
+    links = links.union(keep(_linked(_with_hubs(keep(more, "pairs")), texts, exact), "links"))
+    return links, sketches.select("node", "one", "two")
+
+
+def near_classes(docs: DataFrame, scratch: Scratch) -> DataFrame:
+    """one, two, label: the class of each different text that has a near duplicate; one and two are ``text_key``."""
+    links, nodes = _links(docs, scratch)
+    return components(links, scratch).join(nodes, "node").select("one", "two", "label")
 
 
 def _classes(docs: DataFrame) -> DataFrame:
@@ -348,6 +402,25 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return own.join(least, list(CLASS)).select("doc_id", "class_id")
 
 
+def near_pairs(docs: DataFrame) -> DataFrame:
+    """a, b, similarity: links between different texts that make the classes of ``near_duplicates``.
+
+    Each text is named by the least doc_id of its rows (null if none has one), a before b (null first); ``similarity`` is exact.
+    The links join all members of a class; which of its other pairs are among them depends on the pivots that a run
+    takes. Equal texts are one text here. Odd rows count as in ``near_duplicates``; an empty table gives no rows.
+    """
+    scratch = Scratch(docs.sparkSession)
+    links, nodes = _links(docs, scratch, exact=True)
+    named = docs.groupBy(*text_key()).agg(F.min("doc_id").alias("doc_id")).join(nodes, ["one", "two"])
+    named = scratch.stash(named.select("node", "doc_id"), "names")
+    one, two = (named.select(F.col("node").alias(x), F.col("doc_id").alias(f"id_{x}")) for x in "ab")
+    ends = F.sort_array(F.array("id_a", "id_b"))
+    found = links.join(one, "a").join(two, "b").select(ends[0].alias("a"), ends[1].alias("b"), "similarity")
+    found = stash(found, "pairs")
+    scratch.clear()
+    return found
+
+
 def without_near_duplicates(docs: DataFrame) -> DataFrame:
     """``docs`` with one row of each class: the one of least doc_id (null last), then least digest of all columns.
 

@@ -258,3 +258,24 @@ def test_whole_licences_in_usual_forms(spark):
     long = spark.createDataFrame([(1, "some words\n" * 200_000 + "MIT License\n")], "doc_id long, text string")
     assert [(r["notices"], r["n_notice_lines"]) for r in licenses.license_scan(long).collect()] == [(["MIT"], 1)]
     assert licenses.license_scan(long.limit(0)).count() == 0
+
+
+def test_licence_files(spark):
+    """Full texts match whole, rewrapped, under another address and without instructions; a changed word or a part doesn't."""
+    from tidemark.llm import license_texts as t
+
+    whole = {}
+    for licence, text in t.files():
+        whole.setdefault(licence, text)
+    assert len(whole) == 12
+    texts, expected = [], []
+    for licence, text in whole.items():
+        texts += [text, " ".join(text.split()[:200]), text.replace("License", "Lizenz", 1), text.replace("\n", "\r\n").upper()]
+        expected += [licence, None, None, licence]
+    texts.append(whole["GPL-2.0"].replace("51 Franklin Street, Fifth Floor, Boston, MA 02110-1301", "59 Temple Place, Suite 330, Boston, MA 02111-1307"))
+    texts.append(whole["GPL-3.0"][: whole["GPL-3.0"].index("How to Apply")])
+    texts.append(whole["MPL-2.0"].replace("https:", "http:").replace("  ", " "))
+    expected += ["GPL-2.0", "GPL-3.0", "MPL-2.0"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["license_id"] for r in licenses.license_scan(docs).collect()}
+    assert [got[i] for i in range(len(texts))] == expected

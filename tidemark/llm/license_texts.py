@@ -1,4 +1,10 @@
-"""Known licence texts (fixed values, public) and the rule that makes their one-line notices."""
+"""Known licence texts (fixed values, public) and the rule that makes their one-line notices.
+
+Long texts are files of ``license_files``, named by their licence.
+"""
+
+import os
+import re
 
 MIT = """The MIT License
 
@@ -219,7 +225,30 @@ NAMES = [
 NOTICES = ["{}", "Licensed under {}", "Licensed under the {}", "Released under {}", "Released under the {}", "This work is licensed under {}", "This work is licensed under the {}", "This project is licensed under the {}", "SPDX-License-Identifier: {}"]
 
 
+#: Where the text itself ends and instructions for its use begin; files are known with and without these.
+ENDS = [("END OF TERMS AND CONDITIONS", True), ("ADDENDUM: How to use this License", False)]
+#: The publisher's address in the files, and the one that earlier prints of them have.
+ADDRESS = r"51 Franklin St(reet)?, Fifth Floor, Boston,? MA +02110-1301"
+EARLIER = "59 Temple Place, Suite 330, Boston, MA 02111-1307"
+
+
+def files() -> list[tuple[str, str]]:
+    """(licence, text) of the files: whole, without instructions, and either under both addresses."""
+    folder, out = os.path.join(os.path.dirname(os.path.abspath(__file__)), "license_files"), []
+    for name in sorted(os.listdir(folder)):
+        with open(os.path.join(folder, name), encoding="utf-8") as f:
+            text = f.read()
+        forms = [text]
+        for end, inside in ENDS:
+            at = text.find(end)
+            if at >= 0:
+                forms.append(text[: at + len(end) * inside])
+        forms += [re.sub(ADDRESS, EARLIER, t) for t in forms]
+        out += [(name.removesuffix(".txt"), t) for t in dict.fromkeys(forms)]
+    return out
+
+
 def known() -> list[tuple[str, str]]:
-    """(licence, text) of every known text; the number of rows is fixed by the tables above."""
+    """(licence, text) of every known text; the number of rows is fixed by the tables and files above."""
     notices = [(i, n.format(name)) for i, names in NAMES for name in dict.fromkeys([*names, i]) for n in NOTICES]
-    return list(dict.fromkeys([*TEXTS, *notices]))
+    return list(dict.fromkeys([*TEXTS, *files(), *notices]))

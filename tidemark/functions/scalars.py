@@ -5,6 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+def ratio(a: Column, b: Column) -> Column:
+    """``a`` over ``b`` as doubles, as IEEE 754 has it: over zero an infinity of ``a``'s sign, or NaN for zero, and no error."""
+    return F.when(b == 0, a * F.lit(float("inf"))).otherwise(F.try_divide(a, b))
+
+
 OFFSET = r"(Z|[+-]\d{2}:\d{2})$"
 #: Hours that the exchange's zone is ahead of UTC; it has no summer time.
 ZONE_HOURS = 9

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tidemark.functions.scalars import ratio
 from tidemark.operators.ordered import ranged, running_before
 
 
@@ -22,9 +23,9 @@ def performance(equity: DataFrame, initial: float | str, fills: DataFrame | None
     start = F.col(initial) if isinstance(initial, str) else F.lit(initial)
     peak = F.greatest(F.max("equity").over(w.rowsBetween(W.unboundedPreceding, 0)), start)
     before = F.coalesce(F.lag("equity", 1).over(w), start)
-    steps = equity.withColumn("_ret", F.col("equity") / before - 1).withColumn("_down", F.col("equity") / peak - 1)
+    steps = equity.withColumn("_ret", ratio(F.col("equity"), before) - 1).withColumn("_down", ratio(F.col("equity"), peak) - 1)
     m = steps.groupBy("run").agg(
-        (F.max_by("equity", "session") / F.max(start)).alias("ratio"), F.datediff(F.max("session"), F.min("session")).alias("days"),
+        ratio(F.max_by("equity", "session"), F.max(start)).alias("ratio"), F.datediff(F.max("session"), F.min("session")).alias("days"),
         F.least(F.min("_down"), F.lit(0.0)).alias("down"), F.stddev_samp("_ret").alias("std"), F.avg("_ret").alias("mean"), F.avg("equity").alias("mean_equity"),
     )
     if fills is not None:
@@ -39,13 +40,13 @@ def performance(equity: DataFrame, initial: float | str, fills: DataFrame | None
         (-F.col("down")).alias("max_drawdown"),
         (std * math.sqrt(annual)).alias("annualized_volatility"),
         F.when(std > 0, F.col("mean") / std * math.sqrt(annual)).alias("sharpe_ratio"),
-        (F.coalesce("traded", F.lit(0.0)) / F.col("mean_equity")).alias("turnover"),
+        ratio(F.coalesce("traded", F.lit(0.0)), F.col("mean_equity")).alias("turnover"),
     )
 
 
 def running_drawdown(equity: DataFrame) -> DataFrame:
     w = W.partitionBy("run").orderBy("session").rowsBetween(W.unboundedPreceding, 0)
-    return equity.select("run", "session", (F.col("equity") / F.max("equity").over(w) - 1).alias("drawdown"))
+    return equity.select("run", "session", (ratio(F.col("equity"), F.max("equity").over(w)) - 1).alias("drawdown"))
 
 
 def _bin(p: Column) -> Column:
@@ -139,7 +140,7 @@ def return_difference(first: DataFrame, second: DataFrame, by: tuple[str, ...] =
 def returns(equity: DataFrame, initial: float) -> DataFrame:
     """run, session, ret of equity paths that start from ``initial``."""
     w = W.partitionBy("run").orderBy("session")
-    return equity.select("run", "session", (F.col("equity") / F.lag("equity", 1, initial).over(w) - 1).alias("ret"))
+    return equity.select("run", "session", (ratio(F.col("equity"), F.lag("equity", 1, initial).over(w)) - 1).alias("ret"))
 
 
 def difference_interval(difference: DataFrame, replicates: int, block: int, confidence: float, seed: int) -> DataFrame:

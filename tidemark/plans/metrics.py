@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tidemark.functions.scalars import ratio
 from tidemark.operators import calendars, metrics, quality, signals
 from tidemark.plans.registry import registry
 from tidemark.plans.signals import BACKTEST, FILLS, RET_E, _fills, weights_of
@@ -19,7 +20,7 @@ METRICS = ("cumulative_return", "cagr", "max_drawdown", "annualized_volatility",
 
 def _path(spark, sf):
     first = F.first("close").over(W.partitionBy("entity").orderBy("session"))
-    return b.bars(spark, sf).select(F.col("entity").alias("run"), "session", (1000 * F.col("close") / first).alias("equity"))
+    return b.bars(spark, sf).select(F.col("entity").alias("run"), "session", ratio(1000 * F.col("close"), first).alias("equity"))
 
 
 def _r(df, *columns, digits=6):
@@ -107,9 +108,9 @@ USER_RETURNS = "r AS (SELECT entity AS run, session, close / lag(close) OVER (PA
 @query("j17_return_difference", b.UBARS, USER_RETURNS, sql_text="SELECT run, session, round(r.ret - m.ret, 6) AS difference, r.session IS NULL AS mismatch FROM (SELECT DISTINCT run FROM r) CROSS JOIN m LEFT JOIN (SELECT run, session, ret FROM r) r USING (run, session)")
 def j17(spark, sf):
     bars = b.ubars(spark, sf)
-    own = bars.select(F.col("entity").alias("run"), "session", (F.col("close") / F.lag("close").over(W.partitionBy("entity").orderBy("session")) - 1).alias("ret"))
+    own = bars.select(F.col("entity").alias("run"), "session", (ratio(F.col("close"), F.lag("close").over(W.partitionBy("entity").orderBy("session"))) - 1).alias("ret"))
     mean = bars.groupBy("session").agg(F.avg("close").alias("m"))
-    mean = mean.select("session", (F.col("m") / F.lag("m").over(W.orderBy("session")) - 1).alias("ret"))  # one row a session
+    mean = mean.select("session", (ratio(F.col("m"), F.lag("m").over(W.orderBy("session"))) - 1).alias("ret"))  # one row a session
     other = own.select("run").distinct().crossJoin(mean)
     return _r(metrics.return_difference(own, other, ("run",)), "difference")
 
@@ -118,7 +119,7 @@ RUNS = "runs AS (SELECT entity AS name, year(session) AS period, round(arg_max(c
 
 
 def _runs(spark, sf):
-    return b.bars(spark, sf).groupBy(F.col("entity").alias("name"), F.year("session").cast("long").alias("period")).agg(F.round(F.max_by("close", "session") / F.min_by("close", "session") - 1, 6).alias("ret"), F.month(F.max("session")).alias("condition"))
+    return b.bars(spark, sf).groupBy(F.col("entity").alias("name"), F.year("session").cast("long").alias("period")).agg(F.round(ratio(F.max_by("close", "session"), F.min_by("close", "session")) - 1, 6).alias("ret"), F.month(F.max("session")).alias("condition"))
 
 
 @query("a15_run_comparison", b.BARS, RUNS, sql_text="SELECT period, count(DISTINCT condition) = 1 AS comparable, count(*) AS runs FROM runs GROUP BY period")

@@ -191,3 +191,27 @@ def test_dividends_of_one_day_all_count(spark):
 def test_equal_paths_give_equal_returns_whatever_the_capital(spark):
     paths = spark.createDataFrame([(str(c), D(k), float(c), c * (1 + k / 10)) for c in (100, 200, 300) for k in (1, 2, 3)], "run string, session date, initial double, equity double")
     assert {round(r["cumulative_return"], 9) for r in metrics.performance(paths, "initial").collect()} == {0.3}
+
+
+def test_a_close_of_zero_gives_infinite_returns(spark):
+    day = lambda n: dt.date(2024, 1, n)
+    bars = spark.createDataFrame([("a", day(1), 0.0, 1.0), ("a", day(2), 3.0, 1.0), ("a", day(3), 0.0, 1.0), ("a", day(4), 0.0, 1.0)], "entity string, session date, close double, volume double")
+    found = [r.ret for r in signals.daily_returns(bars).orderBy("session").collect()]
+    assert found[:3] == [None, math.inf, -1.0] and math.isnan(found[3])
+    assert math.isnan({r.session: r.score for r in signals.momentum(bars, 2).collect()}[day(3)])
+    paths = bars.select(F.lit("r").alias("run"), "session", F.col("close").alias("equity"))
+    assert metrics.returns(paths, 1.0).where("ret = double('infinity')").count() == 1
+
+
+def test_returns_over_closes_of_zero_equal_sql(spark, tmp_path):
+    import pandas as pd
+    from helpers import TABLES, by_sql, rows
+
+    from tidemark import plans
+
+    values = [0.0, 5.0, 0.0, 0.0, 7.0, 8.0, 9.0, 0.0, 3.0]
+    events = [(i, pd.Timestamp(2024, 1, 1 + i % 9), i // 9, "click", v if i < 9 else v + 1) for i, v in enumerate(values * 2)]
+    for t in TABLES:
+        pd.DataFrame(events, columns=["event_id", "ts", "user_id", "event_type", "value"]).to_parquet(tmp_path / f"{t}.parquet", coerce_timestamps="us")
+    for name in ("j17_return_difference", "w01_momentum_sparse", "w06_daily_returns"):
+        assert rows(plans.QUERIES[name](spark, str(tmp_path)).toPandas()) == rows(by_sql(plans.SQL[name], str(tmp_path))), name

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tidemark.functions.scalars import ratio
 from tidemark.operators import pit
 from tidemark.operators.calendars import ordinals
 from tidemark.operators.ordered import uncrossed
@@ -27,7 +28,7 @@ def momentum(bars: DataFrame, lookback: int) -> DataFrame:
     """entity, session, score: close over the close ``lookback`` sessions before, minus 1, if no close between is missing."""
     w = by_entity()
     ready = F.count("close").over(w.rowsBetween(-lookback, 0)) == lookback + 1
-    return on_grid(bars).withColumn("score", F.when(ready, F.col("close") / F.lag("close", lookback).over(w) - 1)).where("score IS NOT NULL").select("entity", "session", "score")
+    return on_grid(bars).withColumn("score", F.when(ready, ratio(F.col("close"), F.lag("close", lookback).over(w)) - 1)).where("score IS NOT NULL").select("entity", "session", "score")
 
 
 def top_n(scores: DataFrame, n: int) -> DataFrame:
@@ -37,7 +38,7 @@ def top_n(scores: DataFrame, n: int) -> DataFrame:
 
 
 def daily_returns(bars: DataFrame) -> DataFrame:
-    return on_grid(bars).withColumn("ret", F.col("close") / F.lag("close").over(by_entity()) - 1)
+    return on_grid(bars).withColumn("ret", ratio(F.col("close"), F.lag("close").over(by_entity())) - 1)
 
 
 def features(bars: DataFrame, history: int = 61, members: DataFrame | None = None, actions: DataFrame | None = None, volume: bool = False) -> DataFrame:
@@ -52,8 +53,8 @@ def features(bars: DataFrame, history: int = 61, members: DataFrame | None = Non
     base = F.lag("volume", 5).over(w)
     f = f.select(
         "entity", "session", "ord", F.lag("session", history - 1).over(w).alias("_first"), F.count("close").over(w.rowsBetween(1 - history, 0)).alias("_n"),
-        *[(F.col("close") / F.lag("close", k).over(w) - 1).alias(f"return_{k}") for k in (5, 20, 60)],
-        F.stddev_samp("ret").over(w.rowsBetween(-19, 0)).alias("volatility_20"), (F.col("close") / F.avg("close").over(w.rowsBetween(-19, 0)) - 1).alias("ma_ratio_20"),
+        *[(ratio(F.col("close"), F.lag("close", k).over(w)) - 1).alias(f"return_{k}") for k in (5, 20, 60)],
+        F.stddev_samp("ret").over(w.rowsBetween(-19, 0)).alias("volatility_20"), (ratio(F.col("close"), F.avg("close").over(w.rowsBetween(-19, 0))) - 1).alias("ma_ratio_20"),
         F.when(base > 0, F.col("volume") / base - 1).alias("volume_change_5"),
     )
     f = f.where(F.col("_n") == history).drop("_n")
@@ -108,7 +109,7 @@ def forward_label(bars: DataFrame, horizon: int, members: DataFrame | None = Non
         for day, name in (("session", "_first"), ("end", "_last")):
             known = (F.col("visible") < F.col("_cutoff")) & (F.col("superseded").isNull() | (F.col("_cutoff") <= F.col("superseded")))
             out = out.join(seen.withColumnRenamed("_day", day), ["entity", day]).where(known).withColumnRenamed("_close", name).drop("visible", "superseded")
-    out = out.withColumn("forward_return", F.col("_last") / F.col("_first") - 1).where("forward_return IS NOT NULL")
+    out = out.withColumn("forward_return", ratio(F.col("_last"), F.col("_first")) - 1).where("forward_return IS NOT NULL")
     out = _unbroken(out, "session", "end", members, actions)
     return out.select("entity", "session", "end", "forward_return", (F.col("forward_return") > 0).cast("int").alias("y"))
 

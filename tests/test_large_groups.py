@@ -145,3 +145,16 @@ def test_one_chain_is_verified_in_segments(spark):
     assert verdict(entries.where("seq < 100")) == {"count_right", "head_right"}
     assert verdict(entries.union(entries.where("seq = 50"))) >= {"contiguous", "count_right"}
     assert wrong(entries, marks.where("seq <> 20"))[1] == 1  # the segment that has nothing to start from
+
+
+def test_an_appended_batch_passes_few_exchanges(spark):
+    """Each row of a batch is sent for its id, its content and its symbol, and the existing rows as often: six exchanges."""
+    old = spark.createDataFrame([("a", 1, "X", "buy", 5, 1), ("b", 1, "X", "sell", 2, 2), (None, 2, "X", "buy", 1, 1)], "id string, symbol int, currency string, side string, quantity long, at int")
+    rows = [("a", 1, "X", "buy", 7, 3), ("c", 1, "X", "sell", 2, 2), ("d", 1, "X", "buy", 1, 4), ("d", 1, "X", "buy", 2, 5), (None, 2, "X", "buy", 9, 9), ("e", 3, "X", "sell", 1, 1), ("f", 4, "X", "buy", 6, 6), ("g", 4, "X", "buy", 6, 6)]
+    out = ledger.append_batch(old, spark.createDataFrame(rows, old.schema), ["symbol", "side", "quantity", "at"], ["at"])
+    found = sorted((r.id or "", r.quantity, r.code or "") for r in out.collect())
+    codes = {(i, q): c for i, q, c in found}
+    assert len(found) == 8 and {c for (i, _), c in codes.items() if i == "d"} == {"", "duplicate_id"}
+    assert [codes[k] for k in (("", 9), ("a", 7), ("c", 2), ("e", 1), ("f", 6), ("g", 6))] == ["", "duplicate_id", "duplicate_content", "oversell", "", "duplicate_content"]
+    assert out._jdf.queryExecution().sparkPlan().toString().count("Join") == 0
+    assert out._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") <= 6

@@ -685,3 +685,10 @@ def test_pipeline_on_odd_rows(spark, tmp_path):
     left = {(i, hashlib.sha256(t.encode()).hexdigest()) for i, t in left.items()}
     assert found[0] and {(i, digest) for i, _, digest in found[0]} <= left
     assert all(n <= 2 for n in found[0].values())
+
+
+def test_classes_of_a_key_are_found_without_a_join(spark):
+    rows = spark.createDataFrame([(b, i, i % 2 if b else 0) for b in range(2) for i in range(50)], "bucket long, node long, label long")
+    mixed = near_dedup._mixed(rows, ["bucket"])
+    assert {r["bucket"] for r in mixed.collect()} == {1} and mixed.count() == 50 and mixed.columns == rows.columns
+    assert "Join" not in mixed._jdf.queryExecution().optimizedPlan().toString()

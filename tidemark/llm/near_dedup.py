@@ -24,6 +24,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import Scratch, documents, packed, row_key, ship, stash, text_key
@@ -262,7 +263,8 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
 
 def _mixed(rows: DataFrame, key: list[str]) -> DataFrame:
     """The rows of those keys that hold several classes."""
-    return rows.join(rows.groupBy(*key).agg(F.min("label").alias("_lo"), F.max("label").alias("_hi")).where("_lo < _hi").select(*key), key)
+    group = W.partitionBy(*key)
+    return rows.withColumn("_mixed", F.min("label").over(group) < F.max("label").over(group)).where("_mixed").drop("_mixed")
 
 
 def _bin(n: Column) -> Column:
@@ -324,16 +326,15 @@ def _links(docs: DataFrame, scratch: Scratch, exact: bool = False) -> tuple[Data
     # Numbers can't collide as hashes do, and stay as written.
     sketches = keep(sketches.withColumn("node", F.monotonically_increasing_id()), "sketches")
     rows = sketches.select("node", "n", F.explode("buckets").alias("bucket"))
-    shared = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    members = keep(rows.join(shared, "bucket"), "members")
+    bucket = W.partitionBy("bucket")
+    members = keep(rows.withColumn("size", F.count(F.lit(1)).over(bucket)).where("size > 1"), "members")
     nodes = members.groupBy("node").agg(F.sum("size").alias("degree"))
     wanted = sketches.join(nodes, "node", "left_semi").select("one", "two", "node")
     texts = keep(own.join(wanted, ["one", "two"]).groupBy("node").agg(F.first("text").alias("text")), "texts")
 
-    pivots = members.join(nodes, "node").groupBy("bucket").agg(F.min(F.struct((-F.col("degree")).alias("d"), "node", "n")).alias("p"))
-    pivots = pivots.select("bucket", F.col("p.node").alias("pivot"), F.col("p.n").alias("pivot_n"))
-    around = members.join(pivots, "bucket").select("bucket", "node", "n", "pivot", "pivot_n")
-    around = keep(around, "around")
+    pivot = F.min(F.struct((-F.col("degree")).alias("d"), "node", "n")).over(bucket)
+    around = members.join(nodes, "node").withColumn("p", pivot)
+    around = keep(around.select("bucket", "node", "n", F.col("p.node").alias("pivot"), F.col("p.n").alias("pivot_n")), "around")
     pairs = around.where((F.col("node") != F.col("pivot")) & _fits(F.col("n"), F.col("pivot_n")))
     tried = keep(_pairs(pairs, "node", "pivot"), "pairs")
     links = keep(_linked(tried, texts, exact), "links")
@@ -346,10 +347,11 @@ def _links(docs: DataFrame, scratch: Scratch, exact: bool = False) -> tuple[Data
     for k in range(ROUNDS):
         # The first pivot comes last, as all were compared with it.
         place = F.struct("was", F.xxhash64("node", F.lit(k)).alias("h"), "node", "n")
-        held = left.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("size"), F.min(place).alias("p"))
-        tops = held.groupBy("bucket").agg(F.max(F.struct("size", "label", "p")).alias("top"))
-        tops = tops.select("bucket", F.col("top.label").alias("_label"), F.col("top.p.node").alias("_node"), F.col("top.p.n").alias("_n"))
-        pairs = left.join(tops, "bucket").where((F.col("label") != F.col("_label")) & _fits(F.col("n"), F.col("_n")))
+        own = W.partitionBy("bucket", "label")
+        held = left.withColumns({"size": F.count(F.lit(1)).over(own), "p": F.min(place).over(own)})
+        tops = held.withColumn("top", F.max(F.struct("size", "label", "p")).over(bucket))
+        tops = tops.select("bucket", "node", "n", "label", F.col("top.label").alias("_label"), F.col("top.p.node").alias("_node"), F.col("top.p.n").alias("_n"))
+        pairs = tops.where((F.col("label") != F.col("_label")) & _fits(F.col("n"), F.col("_n")))
         pairs = keep(_pairs(pairs, "node", "_node").join(tried, ["a", "b"], "left_anti"), "pairs")
         found = keep(_linked(pairs, texts, exact), "links")
         tried = tried.union(pairs)

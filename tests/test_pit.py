@@ -102,3 +102,12 @@ def test_snapshot_of_another_symbol(spark):
     row = lambda asked, c: ("A", "JPY", 1.0, None, dt.date(2025, 1, 2), dt.date(2025, 1, 2), asked, c)
     rows = spark.createDataFrame([row("A", "JPY"), row("B", "JPY"), row("A", "USD"), row(None, "JPY")], "symbol string, currency string, price double, previous_close double, as_of date, ingested_at date, asked_symbol string, asked_currency string")
     assert [r["errors"] for r in quality.snapshot_errors(rows).collect()] == [[], *[["identity_mismatch"]] * 3]
+
+
+def test_decisions_of_an_entity_are_added_up_where_its_rows_lie(spark):
+    """The expanded rows aren't sent on, and no text is kept for their greatest revision."""
+    from tidemark import plans
+
+    out = plans.QUERIES["j01_asof_many"](spark, "/root/testdata/sf0.001")
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(decision" not in plan and "max(revision" not in plan

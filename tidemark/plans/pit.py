@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemark.functions.scalars import sha256_hex
@@ -38,8 +39,14 @@ def j01_no_estimates(spark, sf):
   FROM months d JOIN obs o ON o.available_at < d.session AND o.ingested_at < d.session) WHERE k = 1 GROUP BY decision, entity""")
 def j01_asof_many(spark, sf):
     """Every month as a decision; the rows known at each are added up by entity."""
-    known = pit.as_of_many(b.observations(spark, sf), b.months(spark, sf).withColumnRenamed("session", "decision"))
-    return known.groupBy("decision", "entity").agg(F.count(F.lit(1)).alias("keys"), F.sum(F.round(F.col("value") * 100).cast("long")).alias("cents"), F.max("revision").alias("last_revision"))
+    place = F.row_number().over(W.partitionBy("entity").orderBy("revision"))
+    rows = b.observations(spark, sf).repartition("entity").withColumn("place", place)  # all that follows is inside an entity
+    known = pit.as_of_many(rows, b.months(spark, sf).withColumnRenamed("session", "decision"))
+    # Numbers are added up in place; the greatest revision is looked up by its place once the expanded rows are gone.
+    totals = known.groupBy("decision", "entity").agg(F.count(F.lit(1)).alias("keys"), F.sum(F.round(F.col("value") * 100).cast("long")).alias("cents"), F.max("place").alias("place"))
+    names = rows.select(F.col("entity").alias("_e"), F.col("place").alias("_p"), F.col("revision").alias("last_revision"))
+    found = totals.join(names, F.col("entity").eqNullSafe(F.col("_e")) & (F.col("place") == F.col("_p")))
+    return found.select("decision", "entity", "keys", "cents", "last_revision")
 
 
 @query("j02_ambiguous_revisions", b.OBS, sql_text="SELECT entity, available_at, count(DISTINCT value) AS contents FROM obs GROUP BY ALL HAVING count(DISTINCT value) > 1")

@@ -158,3 +158,17 @@ def test_an_appended_batch_passes_few_exchanges(spark):
     assert [codes[k] for k in (("", 9), ("a", 7), ("c", 2), ("e", 1), ("f", 6), ("g", 6))] == ["", "duplicate_id", "duplicate_content", "oversell", "", "duplicate_content"]
     assert out._jdf.queryExecution().sparkPlan().toString().count("Join") == 0
     assert out._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") <= 6
+
+
+def test_ledger_lines_meet_few_suppliers_without_being_sent(spark):
+    from tidemark.sources import bindings
+
+    plan = bindings.ledger_rows(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and "hashpartitioning" not in plan
+
+
+def test_weights_replay_the_ledger_once(spark):
+    from tidemark import plans
+
+    plan = plans.QUERIES["v12_rule_alerts"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "MapInPandas" not in plan and "lineitem" not in plan

@@ -70,6 +70,29 @@ def test_bodies_are_stored_once_and_meet_their_receipts(spark, tmp_path):
             landed.verified_bodies(spark, path, receipts.where(f"k = {k}")).collect()
 
 
+def test_packed_bodies_meet_their_receipts(spark, tmp_path):
+    path, texts = str(tmp_path / "packs"), ["a\n", "b\nb\n", "é\n", "a\n"]
+    names = [hashlib.sha256(t.encode()).hexdigest() for t in texts]
+    for _ in range(2):
+        landed.store_packs(spark.createDataFrame([(t,) for t in [*texts, None]], "body string"), path)
+    assert sorted(r["body_sha256"] for r in landed.read_packs(spark, path).collect()) == sorted(set(names))
+    bad = [(names[2], b"\xe8\n"), ("e" * 64, b"\xff"), (names[2], None)]  # a second content of one, another's, none
+    spark.createDataFrame(bad, landed.PACK).write.mode("append").parquet(path)
+    receipts = spark.createDataFrame([(n, k) for k, n in enumerate([names[0], names[0], names[2], "f" * 64])], "body_sha256 string, k int")
+    status = landed.pack_integrity(spark, path, receipts, size=F.length("body")).collect()
+    assert sorted((str(r["k"]), r["status"], str(r["size"])) for r in status) == [
+        ("0", "intact", "2"), ("1", "intact", "2"), ("2", "corrupt", "None"), ("3", "missing", "None"), ("None", "unreceipted", "None"), ("None", "unreceipted", "None"),
+    ]
+
+
+def test_stored_bodies_make_no_folder_each(spark, tmp_path, monkeypatch):
+    from tidemark.plans import landing
+
+    monkeypatch.setattr(landing, "new_folder", lambda _, name: f"{tmp_path}/{name}")
+    landing.QUERIES["s02_body_integrity"](spark, "/root/testdata/sf0.001")
+    assert (tmp_path / "bodies").is_dir() and not [p for p in (tmp_path / "bodies").iterdir() if p.is_dir()]
+
+
 def test_sink_is_create_only_and_verified(spark, tmp_path):
     rows = spark.range(50).select(F.sha2(F.col("id").cast("string"), 256).alias("digest"), F.when(F.col("id") > 3, F.col("id") / 7).alias("x"), F.lit("d").alias("dataset"))
     path = str(tmp_path / "o")

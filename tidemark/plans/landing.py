@@ -54,7 +54,7 @@ BODIES = "bd AS (SELECT CAST(entity AS BIGINT) // 10 AS bucket, CAST(date_trunc(
 
 @query("s02_body_integrity", b.UBARS, BODIES, sql_text="SELECT bucket, week, CASE WHEN bucket % 5 = 3 THEN 'corrupt' WHEN bucket % 5 = 4 THEN 'missing' ELSE 'intact' END AS status, CASE WHEN bucket % 5 < 3 THEN n END AS n_rows FROM bd UNION ALL SELECT NULL, NULL, 'unreceipted', NULL")
 def s02_integrity(spark, sf):
-    """Bodies of daily rows, one for ten users and a week, stored under their digests and received with receipts.
+    """Bodies of daily rows, one for ten users and a week, stored in packs under their digests and received with receipts.
 
     Some bodies change afterwards, some are lost, and one has no receipt; rows are read of the intact ones.
     """
@@ -65,17 +65,15 @@ def s02_integrity(spark, sf):
     body = F.concat(F.to_json(F.struct(F.col("week").cast("string").alias("week"), F.col("bucket"), "data")), F.lit("\n"))
     landed_bodies = written(whole.select("bucket", "week", body.alias("body"), F.sha2(body, 256).alias("body_sha256")), "receipts")
     path, fifth = new_folder(spark, "bodies"), F.col("bucket") % 5
-    landed.store_bodies(landed_bodies.where(fifth < 3).select("body"), path)
-    landed.store_bodies(landed_bodies.where(fifth < 3).select("body"), path)  # changes nothing
+    landed.store_packs(landed_bodies.where(fifth < 3).select("body"), path)
+    landed.store_packs(landed_bodies.where(fifth < 3).select("body"), path)  # changes nothing
     extra = landed_bodies.limit(1).select(F.lit("of no receipt\n").alias("body"))
-    landed.store_bodies(extra, path)
-    changed = landed_bodies.where(fifth == 3).select("body_sha256", F.concat(F.lit(" "), F.expr("left(body, length(body) - 1)")).alias("value"))
-    changed.write.mode("append").partitionBy("body_sha256").text(path)
+    landed.store_packs(extra, path)
+    changed = landed_bodies.where(fifth == 3).select("body_sha256", F.encode(F.concat(F.lit(" "), "body"), "UTF-8").alias("content"))
+    changed.write.mode("append").parquet(path)
     receipts = landed_bodies.select("bucket", "week", "body_sha256")
-    found = landed.receipt_integrity(spark, path, receipts)
-    read = landed.verified_bodies(spark, path, found.where("status = 'intact'").select("body_sha256"))
-    rows = read.select("body_sha256", F.size(F.from_json("body", "data array<struct<Date: string>>")["data"]).cast("long").alias("n_rows"))
-    return found.join(rows, "body_sha256", "left").select("bucket", "week", "status", "n_rows")
+    n_rows = F.size(F.from_json("body", "data array<struct<Date: string>>")["data"]).cast("long")
+    return landed.pack_integrity(spark, path, receipts, n_rows=n_rows).select("bucket", "week", "status", "n_rows")
 
 
 @query("s04_normalise_daily", b.UBARS, sql_text="""SELECT 'daily_bars' AS dataset, 'vendor:' || entity AS entity_id, strftime(CAST(session AS TIMESTAMP) - INTERVAL 9 HOUR, '%Y-%m-%d %H:%M:%S') AS event_at, '2024-03-01 08:00:00' AS available_at, 'observed' AS basis, session, entity AS code, open, high, low, close, volume, 1.0::DOUBLE AS factor, true AS revised FROM ubars""")

@@ -62,6 +62,10 @@ def receipt_integrity(spark: SparkSession, path: str, receipts: DataFrame) -> Da
     Bodies meet receipts by digest. A digest of several files is intact only if all are.
     """
     bodies = body_integrity(spark, path).groupBy(F.col("expected").alias("body_sha256")).agg(F.bool_and("intact").alias("_intact"))
+    return _with_status(receipts, bodies)
+
+
+def _with_status(receipts: DataFrame, bodies: DataFrame) -> DataFrame:
     both = receipts.withColumn("_receipt", F.lit(True)).join(bodies, "body_sha256", "full_outer")
     status = F.when(F.col("_receipt").isNull(), "unreceipted").when(F.col("_intact").isNull(), "missing").when(F.col("_intact"), "intact").otherwise("corrupt")
     return both.withColumn("status", status).drop("_receipt", "_intact")
@@ -77,6 +81,43 @@ def verified_bodies(spark: SparkSession, path: str, receipts: DataFrame) -> Data
     return both.withColumn("body", F.when(right, F.decode("content", "UTF-8")).otherwise(wrong)).drop("content")
 
 
+PACK = "body_sha256 string, content binary"
+
+
+def read_packs(spark: SparkSession, path: str) -> DataFrame:
+    """body_sha256, content: what packs below ``path`` hold under each digest, no rows where nothing was stored yet."""
+    try:
+        return spark.read.schema(PACK).parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.range(0).select(F.lit("").alias("body_sha256"), F.lit(b"").alias("content"))
+
+
+def store_packs(bodies: DataFrame, path: str) -> None:
+    """Bodies (``body``, text) below ``path`` as rows under their SHA-256, many to a file.
+
+    Files go with the bytes stored, where ``store_bodies`` has a folder and a file for each body. Create-only: a digest
+    that is there already is not written again, whatever is stored under it.
+    """
+    named = bodies.where("body IS NOT NULL").select(F.sha2("body", 256).alias("body_sha256"), F.encode("body", "UTF-8").alias("content"))
+    there = read_packs(bodies.sparkSession, path).select("body_sha256").distinct()  # reads digests alone
+    named.dropDuplicates(["body_sha256"]).join(there, "body_sha256", "left_anti").write.mode("append").parquet(path)
+
+
+def pack_integrity(spark: SparkSession, path: str, receipts: DataFrame, **figures: Column) -> DataFrame:
+    """``receipts`` (body_sha256, ...) with status as in ``receipt_integrity``, and ``figures`` (of ``body``, the text) of intact bodies.
+
+    One scan hashes every stored body and reads it where it lies; digests and figures alone meet the receipts.
+    """
+    intact = F.coalesce(F.sha2("content", 256) == F.col("body_sha256"), F.lit(False))
+    text = read_packs(spark, path).select("body_sha256", intact.alias("_intact"), F.when(intact, F.decode("content", "UTF-8")).alias("body"))
+    text = text.select("body_sha256", "_intact", *[F.when(F.col("_intact"), c).alias(name) for name, c in figures.items()])
+    bodies = text.groupBy("body_sha256").agg(F.bool_and("_intact").alias("_intact"), *[F.any_value(name, F.lit(True)).alias(name) for name in figures])
+    found = _with_status(receipts, bodies)
+    return found.withColumns({name: F.when(F.col("status") == "intact", F.col(name)) for name in figures})
+
+
 def pagination_issues(pages: DataFrame) -> DataFrame:
     """path, base, code for request series whose pages don't chain.
 

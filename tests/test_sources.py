@@ -274,6 +274,19 @@ def test_decisions_of_several_batches_equal_those_of_one(spark, tmp_path):
     assert sorted(map(tuple, built.collect())) == sorted(map(tuple, ledger.chain_heads(once, "series").collect()))
 
 
+def test_a_decision_goes_to_its_series_as_one_text(spark, tmp_path):
+    """One column of a series passes through Python, whatever its texts hold; times far off keep their microseconds."""
+    far = dt.datetime(2400, 1, 1, 0, 0, 0, 123457)
+    rows = [("A", D(6), far, "x"), ("A", D(7), None, "y"), ('B"\n|é', D(6), dt.datetime(2025, 1, 6, 12), '{"é\\'), ("C", None, far, None)]
+    spark.createDataFrame(rows, DECISIONS).coalesce(1).write.parquet(f"{tmp_path}/in")
+    calendar = spark.createDataFrame([(D(n), k, dt.datetime(2025, 1, n, 9)) for k, n in enumerate((6, 7), 1)], "session date, ordinal int, cutoff timestamp")
+    job = forward.append_decisions(spark.readStream.schema(DECISIONS).parquet(f"{tmp_path}/in"), calendar, f"{tmp_path}/out", f"{tmp_path}/state")
+    job.awaitTermination(120)
+    found = sorted(map(tuple, forward.read_decisions(spark, f"{tmp_path}/out").select("series", "session", "generated_at", "body", "code").collect()))
+    assert found == sorted([(*rows[0], None), (*rows[1], "session_not_closed"), (*rows[2], None), (*rows[3], "unknown_session")])
+    assert "step(series#" in (plan := job._jsq.explainInternal(False)) and plan.split("step(series#")[1].split(")")[0].count(",") == 1
+
+
 def test_decisions_take_strictly_the_next_session(spark, tmp_path):
     rows = [decision("A", 6), decision("A", 8), decision("B", 7), decision("C", 6, hour=8), decision("C", 6), decision("D", 11), decision("E", 6, late=3), decision("E", 7, late=1), decision("F", 6, "x"), decision("F", 6, "y"), decision("G", 10), decision("G", 14), (None, D(6), dt.datetime(2025, 1, 6, 12), "b")]
     found = decided(spark, str(tmp_path / "a"), [rows])

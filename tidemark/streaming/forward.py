@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import json
 from collections.abc import Iterator
 
 import pandas as pd
@@ -115,39 +116,44 @@ def append_decisions(stream: DataFrame, sessions: DataFrame, path: str, checkpoi
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         entries, ordinal, generated, head = state.get if state.exists else (0, first - 1, None, genesis)
-        rows = pd.concat(list(frames)).sort_values(["place", "micros", "body"], na_position="last")
-        out = []
-        for place, micros, closed, digest in zip(rows["place"], rows["micros"], rows["closed"], rows["digest"]):
-            code = None
-            if pd.isna(place):
-                code = "unknown_session"
+        rows = [json.loads(row) for frame in frames for row in frame["row"]]
+        at = lambda r, c, none: (c not in r, r.get(c, none))  # noqa: E731; nulls last
+        rows.sort(key=lambda r: (at(r, "place", 0), at(r, "micros", 0), at(r, "body", "")))
+        for r in rows:
+            place, micros = r.pop("place", None), r.get("micros")
+            closed = r.pop("closed")
+            if place is None:
+                r["code"] = "unknown_session"
             elif not closed:
-                code = "session_not_closed"
+                r["code"] = "session_not_closed"
             elif place <= ordinal:
-                code = "already_recorded"
+                r["code"] = "already_recorded"
             elif place != ordinal + 1:
-                code = "not_next_session"
+                r["code"] = "not_next_session"
             elif generated is not None and micros <= generated:
-                code = "generated_not_increasing"
-            if code:
-                out.append((None, None, None, code))
-                continue
-            entries, ordinal, generated, before = entries + 1, int(place), int(micros), head
-            head = hashlib.sha256(f"{before}|{entries}|{digest}".encode()).hexdigest()
-            out.append((entries, before, head, None))
+                r["code"] = "generated_not_increasing"
+            else:
+                entries, ordinal, generated, before = entries + 1, place, micros, head
+                head = hashlib.sha256(f"{before}|{entries}|{r['digest']}".encode()).hexdigest()
+                r.update(seq=entries, previous_hash=before, entry_hash=head)
         if entries:
             state.update((entries, ordinal, generated, head))
-        made = pd.DataFrame(out, columns=["seq", "previous_hash", "entry_hash", "code"], index=rows.index)
-        yield pd.concat([rows[["series", "session", "micros", "body", "digest"]], made.astype({"seq": "Int64"})], axis=1)
+        yield pd.DataFrame({"row": [json.dumps(r) for r in rows]})
 
     calendar = sessions.select("session", F.col("ordinal").cast("long").alias("place"), "cutoff")
     known = stream.select("series", "session", "generated_at", "body").join(calendar, "session", "left")
     digest = decision_digest(F.col("session"), F.col("generated_at"), F.col("body"))
     closed = F.coalesce(F.col("generated_at") >= F.col("cutoff"), F.lit(False))
-    known = known.select("series", "session", F.unix_micros("generated_at").alias("micros"), "body", digest.alias("digest"), "place", closed.alias("closed"))
-    out = "series string, session date, micros long, body string, digest string, seq long, previous_hash string, entry_hash string, code string"
-    chained = known.groupBy("series").applyInPandasWithState(step, out, SERIES_STATE, "append", GroupStateTimeout.NoTimeout)
-    chained = chained.withColumn("generated_at", F.timestamp_micros("micros")).withColumn("accepted", F.col("code").isNull()).drop("micros")
+    # A row goes to Python and back as one text: for a series of a few rows each column costs more there than the rows do.
+    row = F.struct("series", F.unix_date("session").alias("day"), F.unix_micros("generated_at").alias("micros"), "body", digest.alias("digest"), "place", closed.alias("closed"))
+    known = known.select("series", F.to_json(row, {"ignoreNullFields": "true"}).alias("row"))
+    chained = known.groupBy("series").applyInPandasWithState(step, "row string", SERIES_STATE, "append", GroupStateTimeout.NoTimeout)
+    made = "series string, day int, micros long, body string, digest string, seq long, previous_hash string, entry_hash string, code string"
+    chained = chained.select(F.from_json("row", made, {"mode": "FAILFAST"}).alias("r")).select("r.*")
+    chained = chained.select(
+        "series", F.date_from_unix_date("day").alias("session"), "body", "digest", "seq", "previous_hash", "entry_hash", "code",
+        F.timestamp_micros("micros").alias("generated_at"), F.col("code").isNull().alias("accepted"),
+    )
     written = chained.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint)
     return written.partitionBy("accepted").outputMode("append").trigger(availableNow=True).start()
 

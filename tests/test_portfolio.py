@@ -165,6 +165,14 @@ def test_descent_matches_by_hand(spark):
     assert fit["intercept"] == pytest.approx(w[0]) and fit["weights"][0] == pytest.approx(w[1])
 
 
+def test_samples_read_bars_that_were_made_once(spark):
+    from tidemark.plans import model as plans
+
+    for rows in (plans._samples, plans._roles):
+        files = rows(spark, "/root/testdata/sf0.001").inputFiles()
+        assert files and not any("lineitem" in f for f in files)
+
+
 def test_append_is_idempotent_and_refuses_overselling(spark):
     kind = "id string, what string, symbol string, currency string, side string, quantity int, at int"
     old = spark.createDataFrame([("1", "a", "A", "JPY", "buy", 5, 1), ("2", "b", "B", "JPY", "buy", 5, 1)], kind)

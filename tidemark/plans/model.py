@@ -20,9 +20,14 @@ def _r(df, *columns, digits=6):
     return df.withColumns({c: F.round(c, digits) for c in columns})
 
 
+def _bars(spark, sf):
+    """Monthly bars, written: a row an entity and month. Else every use of them reads and sorts all lines again."""
+    return written(b.bars(spark, sf), "bars")
+
+
 def _samples(spark, sf):
     """Features with a fold by year parity and a three-month label."""
-    bars = b.bars(spark, sf)
+    bars = _bars(spark, sf)
     rows = signals.features(bars).join(signals.forward_label(bars, 3), ["entity", "session"])
     return rows.withColumn("fold", F.year("session") % 2)
 
@@ -125,7 +130,7 @@ oos AS (SELECT z.fold, z.entity, z.session, z.y, 1 / (1 + exp(-(f.w0 + {LINEAR})
 
 def _roles(spark, sf):
     """Scaled samples of every fold with their role, and labels where they are known."""
-    bars = b.bars(spark, sf)
+    bars = _bars(spark, sf)
     rows = signals.features(bars).select("entity", "session", *USED).join(signals.forward_label(bars, 3).select("entity", "session", "y"), ["entity", "session"], "left")
     calendar = calendars.ordinals(rows).withColumn("ord", F.col("ord") - 1)
     samples = rows.join(calendar, "session").withColumn("label_ord", F.col("ord") + 3)
@@ -148,7 +153,7 @@ def m02_descent(spark, sf):
 @query("m05_walk_forward", b.BARS, RET, FEATURES, CHAINED, sql_text="SELECT fold, penalty, round(loss, 6) AS log_loss, count(*) AS predictions, count(y) AS scored, round(avg(p), 6) AS mean_p, round(avg(CASE WHEN y IS NOT NULL THEN pow(p - y, 2) END), 6) AS brier_score FROM oos JOIN chosen USING (fold) GROUP BY fold, penalty, loss")
 def m05_chain(spark, sf):
     """Fit, choice and out-of-sample predictions of every fold, each from the step before."""
-    z = _roles(spark, sf)
+    z = written(_roles(spark, sf), "roles")  # else it is made for the fit, the choice and the predictions
     fits = _fitted(z)
     judged = model.predict(z.where("role = 'validate' AND y IS NOT NULL").join(fits, "fold"), USED, F.col("intercept"), F.col("weights"))
     chosen = model.best_penalty(judged.select("fold", "penalty", "p", "y"))

@@ -96,6 +96,23 @@ def test_bars_known_at_a_decision(spark):
     assert sorted((r["session"].day, r["close"], r["revision"]) for r in got) == [(6, 101.0, 2), (7, 50.0, 1)]
 
 
+def test_tradable_bars_are_alone_and_without_errors(spark):
+    """Each bar is judged where it lies; the bars are not joined with themselves."""
+    from tidemark.operators import quality
+
+    t = lambda n: dt.date(2025, 1, n)
+    bar = lambda e, day, close, factor, volume=1.0, known=10: (e, day and t(day), close, close, close, close, volume, factor, t(known))
+    bars = spark.createDataFrame([
+        bar("A", 1, 5.0, 1.0), bar("A", 2, 5.0, 1.0), bar("A", 2, -5.0, 1.0), bar("A", 3, 5.0, 1.0), bar("A", 3, 6.0, 1.0), bar("A", 4, -5.0, 1.0), bar("A", 5, 5.0, 0.5), bar("A", 6, 5.0, 0.5), bar("A", 7, 5.0, None),
+        bar("A", 8, 5.0, 1.0, -1.0), bar("A", 9, None, 1.0, 0.0), bar("A", 11, 5.0, 1.0), bar("B", 5, 5.0, 0.5), bar(None, 1, 5.0, 1.0), bar("A", None, 5.0, 1.0), bar("B", 1, None, 1.0),
+    ], "entity string, session date, open double, high double, low double, close double, volume double, factor double, available_at date")
+    splits = spark.createDataFrame([("A", t(5), 2.0), ("A", t(6), 2.0), ("A", t(6), 2.0), ("B", t(5), 3.0)], "entity string, effective date, ratio double")
+    out = quality.tradable_bars(bars, splits)
+    assert sorted((r["entity"], r["session"].day) for r in out.collect()) == [("A", 1), ("A", 5), ("A", 9)]
+    assert "open" in out.columns and "_n" not in out.columns
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("Join") == 1
+
+
 def test_snapshot_of_another_symbol(spark):
     from tidemark.operators import quality
 

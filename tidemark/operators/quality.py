@@ -51,6 +51,12 @@ def daily_row_errors(rows: DataFrame, numeric: list[str]) -> DataFrame:
 
 def bar_issues(bars: DataFrame) -> DataFrame:
     """entity, session, severity, code: a row for each rule that a bar breaks; ``bars`` has available_at and factor."""
+    issues = F.array_compact(F.array(*[F.when(cond, F.struct(F.lit(s).alias("severity"), F.lit(code).alias("code"))) for cond, s, code in _bar_rules(bars)]))
+    return bars.select("entity", "session", F.inline(issues))
+
+
+def _bar_rules(bars: DataFrame) -> list[tuple[Column, str, str]]:
+    """Condition, severity and code of each rule."""
     o, h, lo, c = (F.col(x) for x in QUOTES)
     nulls = reduce(lambda a, x: a + F.col(x).isNull().cast("int"), QUOTES, F.lit(0))
     quiet = (nulls == 4) & (F.coalesce(F.col("volume"), F.lit(0.0)) == 0)
@@ -58,7 +64,7 @@ def bar_issues(bars: DataFrame) -> DataFrame:
     v, f = F.col("volume"), F.col("factor")
     # Columns that came as texts of a payload and hold no number, or no session: the payload has another schema.
     broken = F.col("schema_ok") == F.lit(False) if "schema_ok" in bars.columns else F.lit(False)
-    rules = [
+    return [
         (broken | F.col("session").isNull(), "error", "invalid_schema"),
         (F.col("available_at") < F.date_add("session", 1), "warning", "intraday_availability"),
         (F.col("available_at") < F.col("session"), "error", "future_bar"),
@@ -72,8 +78,6 @@ def bar_issues(bars: DataFrame) -> DataFrame:
         (f.isNull(), "warning", "missing_adjustment_factor"),
         ((f <= 0) | F.isnan(f), "error", "invalid_adjustment_factor"),
     ]
-    issues = F.array_compact(F.array(*[F.when(cond, F.struct(F.lit(s).alias("severity"), F.lit(code).alias("code"))) for cond, s, code in rules]))
-    return bars.select("entity", "session", F.inline(issues))
 
 
 def revision_duplicates(rows: DataFrame, key: list[str], payload: str, order: list[str]) -> DataFrame:
@@ -207,17 +211,26 @@ def known_bars(rows: DataFrame, decision: Column, members: DataFrame, splits: Da
     known = pit.as_of(rows, decision, key=("entity", "session")).where(F.col("session") < decision)
     own = known.join(members.select("entity", "session").distinct(), ["entity", "session"], "left_semi")
     told = splits.where((F.col("available_at") < decision) & (F.col("ingested_at") < decision))
-    return tradable_bars(own, told)
+    return _undone(own.where(~_any_error(own)), told)  # a key has one bar by now
 
 
 def tradable_bars(bars: DataFrame, splits: DataFrame) -> DataFrame:
     """Bars without error issues, unique, whose factor is 1 or undone by exactly one known split of that day (factor * ratio = 1)."""
-    bad = bar_issues(bars).where("severity = 'error'").select("entity", "session").distinct()
-    once = bars.groupBy("entity", "session").agg(F.count(F.lit(1)).alias("_n")).where("_n = 1").drop("_n")
+    counted = bars.withColumn("_n", F.count(F.lit(1)).over(W.partitionBy("entity", "session")))
+    once = counted.where((F.col("_n") == 1) & F.col("entity").isNotNull() & F.col("session").isNotNull() & ~_any_error(bars))
+    return _undone(once.drop("_n"), splits)
+
+
+def _any_error(bars: DataFrame) -> Column:
+    """Whether a bar breaks a rule that is an error; told from its own row, without a join with ``bar_issues``."""
+    return reduce(lambda a, c: a | F.coalesce(c, F.lit(False)), [c for c, severity, _ in _bar_rules(bars) if severity == "error"], F.lit(False))
+
+
+def _undone(bars: DataFrame, splits: DataFrame) -> DataFrame:
+    """Bars whose factor is 1 or undone by exactly one split of that day."""
     known = splits.groupBy("entity", F.col("effective").alias("session")).agg(F.count(F.lit(1)).alias("_splits"), F.max("ratio").alias("_ratio"))
-    joined = bars.join(bad, ["entity", "session"], "left_anti").join(once, ["entity", "session"], "left_semi").join(known, ["entity", "session"], "left")
     undone = (F.col("_splits") == 1) & (F.abs(F.col("factor") * F.col("_ratio") - 1) < 1e-9)
-    return joined.where((F.col("factor") == 1) | undone).drop("_splits", "_ratio")
+    return bars.join(known, ["entity", "session"], "left").where((F.col("factor") == 1) | undone).drop("_splits", "_ratio")
 
 
 def coverage_report(bars: DataFrame, sessions: DataFrame) -> DataFrame:

@@ -128,12 +128,13 @@ def f10_known(spark, sf):
     bars, d = b.ubars(spark, sf), F.dayofmonth("session")
     decision = F.lit("2024-01-22").cast("date")
 
-    def revised(own, factor, days, k):
-        rows = own.select("entity", "session", *[(F.col("close") * factor).alias(c) for c in ("open", "high", "low", "close")], "volume")
+    def revised(factor, days, k):
         known = F.date_add("session", days)
-        return rows.select("*", F.when(d % 3 == 0, 0.5).otherwise(1.0).alias("factor"), F.col("close").alias("value"), known.alias("available_at"), known.alias("ingested_at"), F.lit(k).alias("revision"))
+        prices = [(F.col("close") * factor).alias(c) for c in ("open", "high", "low", "close")]
+        return F.struct(*prices, "volume", F.when(d % 3 == 0, 0.5).otherwise(1.0).alias("factor"), F.col("close").alias("value"), known.alias("available_at"), known.alias("ingested_at"), F.lit(k).alias("revision"))
 
-    rows = revised(bars, 1.0, 1, 1).union(revised(bars.where(d % 4 == 0), 2.0, 9, 2)).union(revised(bars.where(d % 5 == 0), -1.0, 12, 3))
+    revisions = F.array_compact(F.array(revised(1.0, 1, 1), F.when(d % 4 == 0, revised(2.0, 9, 2)), F.when(d % 5 == 0, revised(-1.0, 12, 3))))
+    rows = bars.select("entity", "session", F.inline(revisions))
     told = F.date_add("session", 2)
     splits = bars.where(d % 6 == 0).select("entity", F.col("session").alias("effective"), F.lit(2.0).alias("ratio"), told.alias("available_at"), told.alias("ingested_at"))
     members = bars.where(F.col("entity").cast("long") % 6 != 0)

@@ -7,6 +7,7 @@ from decimal import Decimal
 import pytest
 from pyspark.sql import functions as F
 
+from tidemark.functions import scalars
 from tidemark.operators import ledger, metrics, model, signals
 
 D = lambda n: dt.date(2025, 1, n)
@@ -223,3 +224,42 @@ def test_returns_over_closes_of_zero_equal_sql(spark, tmp_path):
         pd.DataFrame(events, columns=["event_id", "ts", "user_id", "event_type", "value"]).to_parquet(tmp_path / f"{t}.parquet", coerce_timestamps="us")
     for name in ("j17_return_difference", "w01_momentum_sparse", "w06_daily_returns"):
         assert rows(plans.QUERIES[name](spark, str(tmp_path)).toPandas()) == rows(by_sql(plans.SQL[name], str(tmp_path))), name
+
+
+def sql_text_of(spark, tmp_path, name, closes):
+    """Rows of a query and of its SQL over one event a user and day, doubles as text: each digit and a zero's sign count."""
+    import pandas as pd
+    from helpers import TABLES, by_sql
+
+    from tidemark import plans
+
+    events = [(i, pd.Timestamp(2024, 1, 1 + day), user, "click", v) for i, (day, user, v) in enumerate((d, u, v) for d, of in enumerate(closes) for u, v in enumerate(of))]
+    for t in TABLES:
+        pd.DataFrame(events, columns=["event_id", "ts", "user_id", "event_type", "value"]).to_parquet(tmp_path / f"{t}.parquet", coerce_timestamps="us")
+    text = lambda df: sorted(tuple(repr(float(v)) if isinstance(v, float) else str(v)[:10] for v in r) for r in df[sorted(df.columns)].itertuples(index=False))
+    return text(plans.QUERIES[name](spark, str(tmp_path)).toPandas()), text(by_sql(plans.SQL[name], str(tmp_path)))
+
+
+def test_return_differences_at_ties_and_under_zero_equal_sql(spark, tmp_path):
+    # The mean stands still while 59.01 / 19.2 - 1 = 2.0734375 lies between two roundings; then a difference of -1e-7.
+    own, by_sql = sql_text_of(spark, tmp_path, "j17_return_difference", [(19.2, 59.01), (59.01, 19.2), (100.0, 100.0), (100.0, 100.00002)])
+    assert own == by_sql and {"2.073437", "-0.0"} <= {v for r in own for v in r}
+
+
+def test_rounding_equals_sql_in_every_bit(spark):
+    import duckdb
+
+    values = [a / b - 1 for a, b in ((59.01, 19.2), (36.84, 76.8), (129.1, 64.0), (32.39, 6.4))] + [-1e-7, -5e-7, 5e-7, 2.5, -0.0, 1e300, 1.9e302, math.inf, -math.inf, math.nan, 1e15 + 0.5]
+    frame = spark.createDataFrame([(v,) for v in values], "x double")
+    for digits in (0, 2, 6, 9):
+        own = [repr(r[0]) for r in frame.select(scalars.rounded(F.col("x"), digits)).collect()]
+        assert own == [repr(duckdb.execute("SELECT round(?::DOUBLE, ?::INT)", [v, digits]).fetchone()[0]) for v in values]
+
+
+def test_mean_does_not_depend_on_the_order(spark):
+    values = [(k * 7919 % 56021) / 100 for k in range(50_000)]
+    for of in (values, sorted(values), sorted(values, reverse=True)):
+        assert spark.createDataFrame([(v,) for v in of], "x double").coalesce(1).select(scalars.mean(F.col("x"))).first()[0] == math.fsum(values) / len(values)
+    odd = lambda *of: spark.createDataFrame([(v,) for v in of], "x double").select(scalars.mean(F.col("x"))).first()[0]
+    assert (odd(None, None), odd(1.0, None, 2.0), odd(math.inf, 1.0), odd(-1e300, 1e299)) == (None, 1.5, math.inf, -4.5e299)
+    assert math.isnan(odd(math.nan, 1.0)) and math.isnan(odd(math.inf, -math.inf))

@@ -5,11 +5,28 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+
 def ratio(a: Column, b: Column) -> Column:
     """``a`` over ``b`` as doubles, as IEEE 754 has it: over zero an infinity of ``a``'s sign, or NaN for zero, and no error."""
     return F.when(b == 0, a * F.lit(float("inf"))).otherwise(F.try_divide(a, b))
 
 
+def rounded(x: Column, digits: int) -> Column:
+    """The double ``x`` rounded as the SQL rounds: the product with a power of ten goes to its nearest whole number, halves
+    away from zero, and keeps its sign at zero. ``round`` with digits goes by the decimal text and has no negative zero."""
+    scale = F.lit(10.0**digits)
+    near = F.signum(x) * F.round(F.abs(x * scale)) / scale
+    return F.when(F.abs(x * scale) == F.lit(float("inf")), x).otherwise(near)
+
+
+def mean(x: Column) -> Column:
+    """Aggregate: the mean of doubles, the same in any order of the rows. Their parts above 1/1024 add up without error (as long
+    as the total stays under 2^43), so that only sums of the small rest are rounded."""
+    coarse = F.when(F.abs(x) < 2.0**42, F.rint(x * 1024) / 1024).otherwise(x)
+    rest = F.nanvl(x - coarse, F.lit(0.0))
+    return F.try_divide(F.sum(coarse) + F.sum(rest), F.count(x))
+
+
 OFFSET = r"(Z|[+-]\d{2}:\d{2})$"
 #: Hours that the exchange's zone is ahead of UTC; it has no summer time.
 ZONE_HOURS = 9

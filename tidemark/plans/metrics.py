@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidemark.functions.scalars import ratio
+from tidemark.functions.scalars import mean, ratio, rounded
 from tidemark.operators import calendars, metrics, quality, signals
 from tidemark.plans.registry import registry
 from tidemark.plans.signals import BACKTEST, FILLS, RET_E, _fills, weights_of
@@ -24,7 +24,7 @@ def _path(spark, sf):
 
 
 def _r(df, *columns, digits=6):
-    return df.withColumns({c: F.round(c, digits) for c in columns})
+    return df.withColumns({c: rounded(F.col(c), digits) for c in columns})
 
 
 PERFORMANCE = """steps AS (SELECT *, equity / lag(equity, 1, {initial}) OVER w - 1 AS ret, equity / greatest(max(equity) OVER (w ROWS UNBOUNDED PRECEDING), {initial}) - 1 AS down FROM {path} WINDOW w AS (PARTITION BY run ORDER BY session)),
@@ -109,9 +109,9 @@ USER_RETURNS = "r AS (SELECT entity AS run, session, close / lag(close) OVER (PA
 def j17(spark, sf):
     bars = b.ubars(spark, sf)
     own = bars.select(F.col("entity").alias("run"), "session", (ratio(F.col("close"), F.lag("close").over(W.partitionBy("entity").orderBy("session"))) - 1).alias("ret"))
-    mean = bars.groupBy("session").agg(F.avg("close").alias("m"))
-    mean = mean.select("session", (ratio(F.col("m"), F.lag("m").over(W.orderBy("session"))) - 1).alias("ret"))  # one row a session
-    other = own.select("run").distinct().crossJoin(mean)
+    daily = bars.groupBy("session").agg(mean(F.col("close")).alias("m"))
+    daily = daily.select("session", (ratio(F.col("m"), F.lag("m").over(W.orderBy("session"))) - 1).alias("ret"))  # one row a session
+    other = own.select("run").distinct().crossJoin(daily)
     return _r(metrics.return_difference(own, other, ("run",)), "difference")
 
 
@@ -119,7 +119,7 @@ RUNS = "runs AS (SELECT entity AS name, year(session) AS period, round(arg_max(c
 
 
 def _runs(spark, sf):
-    return b.bars(spark, sf).groupBy(F.col("entity").alias("name"), F.year("session").cast("long").alias("period")).agg(F.round(ratio(F.max_by("close", "session"), F.min_by("close", "session")) - 1, 6).alias("ret"), F.month(F.max("session")).alias("condition"))
+    return b.bars(spark, sf).groupBy(F.col("entity").alias("name"), F.year("session").cast("long").alias("period")).agg(rounded(ratio(F.max_by("close", "session"), F.min_by("close", "session")) - 1, 6).alias("ret"), F.month(F.max("session")).alias("condition"))
 
 
 @query("a15_run_comparison", b.BARS, RUNS, sql_text="SELECT period, count(DISTINCT condition) = 1 AS comparable, count(*) AS runs FROM runs GROUP BY period")

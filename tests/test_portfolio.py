@@ -246,6 +246,13 @@ def test_return_differences_at_ties_and_under_zero_equal_sql(spark, tmp_path):
     assert own == by_sql and {"2.073437", "-0.0"} <= {v for r in own for v in r}
 
 
+@pytest.mark.parametrize("name", ["w06_daily_returns", "w01_momentum_sparse"])
+def test_returns_at_ties_equal_sql(spark, tmp_path, name):
+    # 59.01 / 19.2 - 1 = 2.0734375 and 36.84 / 76.8 - 1 = -0.5203125, over one day and over two
+    own, by_sql = sql_text_of(spark, tmp_path, name, [(19.2, 76.8), (59.01, 36.84), (59.01, 36.84), (0.0, 1.0), (1.0, 0.0)])
+    assert own == by_sql and {"2.073437", "-0.520312"} <= {v for r in own for v in r}
+
+
 def test_rounding_equals_sql_in_every_bit(spark):
     import duckdb
 

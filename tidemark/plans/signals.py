@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tidemark.functions.scalars import rounded
 from tidemark.operators import calendars, signals
 from tidemark.plans.registry import registry
 from tidemark.sources import bindings as b
@@ -19,7 +20,7 @@ RET_E = "ret AS (SELECT *, coalesce(close / lag(close) OVER (PARTITION BY entity
 
 
 def _r(df, *columns, digits=6):
-    return df.withColumns({c: F.round(c, digits) for c in columns})
+    return df.withColumns({c: rounded(F.col(c), digits) for c in columns})
 
 
 SCORE = "score AS (SELECT entity, session, close / lag(close, 3) OVER (PARTITION BY entity ORDER BY session) - 1 AS score FROM bars)"

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidemark.functions.scalars import ratio
+from tidemark.functions.scalars import ratio, rounded
 from tidemark.operators import pit
 from tidemark.operators.calendars import ordinals
 from tidemark.operators.ordered import uncrossed
@@ -356,4 +356,4 @@ def one_lot_purchases(quotes: DataFrame, capitals: DataFrame, lot: int, reserve:
     broken = (F.col("_spent") > F.col("capital") * (1 - reserve)) | (F.col("price") * lot > cap * (F.col("capital") - F.col("_loss")))
     kept = run.withColumn("_broken", F.max(broken.cast("int")).over(by)).where("_broken = 0")
     bought = kept.groupBy("capital").agg(F.count(F.lit(1)).alias("n"), F.max("_spent").alias("s"))
-    return capitals.join(bought, "capital", "left").select("capital", F.coalesce("n", F.lit(0)).alias("symbol_count"), F.round(F.col("capital") - F.coalesce("s", F.lit(0.0)), 4).alias("cash_after"))
+    return capitals.join(bought, "capital", "left").select("capital", F.coalesce("n", F.lit(0)).alias("symbol_count"), rounded(F.col("capital") - F.coalesce("s", F.lit(0.0)), 4).alias("cash_after"))

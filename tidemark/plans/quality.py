@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tidemark.functions.scalars import rounded
 from tidemark.operators import calendars, quality
 from tidemark.plans.registry import registry
 from tidemark.sources import bindings as b
@@ -215,4 +216,4 @@ def w09(spark, sf):
 
 @query("j13_previous_session_close", b.UBARS, ORD, sql_text="SELECT u.entity, u.session, round(u.close, 6) AS close, round(p.close, 6) AS previous_close FROM ubars u JOIN ord USING (session) LEFT JOIN (SELECT entity, o + 1 AS o, close FROM ubars JOIN ord USING (session)) p ON p.entity = u.entity AND p.o = ord.o")
 def j13(spark, sf):
-    return calendars.previous_session_close(b.ubars(spark, sf)).select("entity", "session", F.round("close", 6).alias("close"), F.round("previous_close", 6).alias("previous_close"))
+    return calendars.previous_session_close(b.ubars(spark, sf)).select("entity", "session", rounded(F.col("close"), 6).alias("close"), rounded(F.col("previous_close"), 6).alias("previous_close"))

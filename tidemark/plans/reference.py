@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tidemark.functions.scalars import rounded
 from tidemark.operators import calendars, ledger, pit, quality, signals
 from tidemark.plans.metrics import _bounds_sql
 from tidemark.plans.pit import DECISION, ELIGIBLE, _asof_sql
@@ -138,7 +139,7 @@ def f10_known(spark, sf):
     told = F.date_add("session", 2)
     splits = bars.where(d % 6 == 0).select("entity", F.col("session").alias("effective"), F.lit(2.0).alias("ratio"), told.alias("available_at"), told.alias("ingested_at"))
     members = bars.where(F.col("entity").cast("long") % 6 != 0)
-    return quality.known_bars(rows, decision, members, splits).select("entity", "session", "revision", F.round("close", 6).alias("close"))
+    return quality.known_bars(rows, decision, members, splits).select("entity", "session", "revision", rounded(F.col("close"), 6).alias("close"))
 
 
 @query("f16_snapshot_contract", b.TX, b.TXD, b.SNAP, sql_text="SELECT symbol, array_to_string(list_sort(list_filter([CASE WHEN symbol % 5 = 0 THEN 'invalid_price' END, CASE WHEN symbol % 3 = 0 THEN 'invalid_previous_close' END, CASE WHEN symbol % 2 = 0 THEN 'ingested_before_as_of' END, CASE WHEN symbol % 13 = 0 THEN 'identity_mismatch' END], lambda x: x IS NOT NULL)), ',') AS errors FROM snap")
@@ -235,7 +236,7 @@ def t06(spark, sf):
     first = W.partitionBy("entity").orderBy("session")
     path = lambda c: bars.select(F.col("entity").alias("run"), "session", (1000 * F.col(c) / F.first(c).over(first)).alias("equity"))
     out = forward.report(path("close"), path("open"), 1000.0, 5)
-    return out.select("run", "sessions", *[F.round(c, 6).alias(c) for c in ("relative_return", "lower", "upper")], "reason")
+    return out.select("run", "sessions", *[rounded(F.col(c), 6).alias(c) for c in ("relative_return", "lower", "upper")], "reason")
 
 
 def _landed(spark, rows) -> str:

@@ -69,4 +69,4 @@ def c10(spark, sf):
 
 @query("c11_loss_and_sigmoid", b.PRED, sql_text="SELECT symbol, round(-CASE WHEN y = 1 THEN ln(greatest(p, 1e-15)) ELSE ln(greatest(1 - p, 1e-15)) END, 6) + 0.0 AS loss, round(1 / (1 + exp(-least(35, p * 100 - 50))), 6) AS squashed FROM pred")
 def c11(spark, sf):
-    return b.predictions(spark, sf).select("symbol", (F.round(c.log_loss(F.col("p"), F.col("y")), 6) + 0.0).alias("loss"), F.round(c.sigmoid(F.col("p") * 100 - 50), 6).alias("squashed"))
+    return b.predictions(spark, sf).select("symbol", (c.rounded(c.log_loss(F.col("p"), F.col("y")), 6) + 0.0).alias("loss"), c.rounded(c.sigmoid(F.col("p") * 100 - 50), 6).alias("squashed"))
